@@ -149,6 +149,12 @@ SUMMER_WINDOWS = [  # (year, first day, last day)
     (2024, "2024-06-01", "2024-08-31"),
     (2025, "2025-06-01", "2025-08-31"),
 ]
+# Test windows inside the driver's event month (its data cover January 2024).
+JAN_TEST_WINDOWS = [
+    (2024, "2024-01-01", "2024-01-10"),
+    (2024, "2024-01-11", "2024-01-20"),
+    (2024, "2024-01-21", "2024-01-31"),
+]
 GRID_CAPACITY_MW = 27000.0
 DC_LOAD_50_MW = 10027.0
 PEAK_SUMMER_MW = 23905.0

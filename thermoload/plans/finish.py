@@ -2,7 +2,8 @@
 
 Doubles are rounded (Spark's ``round`` and DuckDB's agree on every probed
 value, half away from zero on the shortest decimal form) and a rounded
-negative zero becomes 0.0, so an independent engine can compare values.
+negative zero becomes 0.0, and DATE columns are emitted as midnight
+TIMESTAMP_NTZ, so an independent engine can compare values.
 Only registered query outputs are rounded; library tables keep full values.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DateType, DoubleType, FloatType
 
 
 def rounded(df: DataFrame, digits: int = 6, per_column: dict[str, int] | None = None) -> DataFrame:
@@ -21,5 +22,7 @@ def rounded(df: DataFrame, digits: int = 6, per_column: dict[str, int] | None =
         if isinstance(f.dataType, (DoubleType, FloatType)):
             r = F.round(c.cast("double"), per_column.get(f.name, digits))
             c = F.when(r == 0, F.lit(0.0)).otherwise(r)
+        elif isinstance(f.dataType, DateType):
+            c = c.cast("timestamp_ntz")  # pandas maps DuckDB DATE to datetime64 too
         out.append(c.alias(f.name))
     return df.select(out)

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import hourly
+from .. import constants as K
+from ..operators import daily, hourly, response
 from ..sources import fixtures
 from .finish import rounded
 
@@ -36,6 +37,26 @@ def base_combine_df(spark: SparkSession, sf: str) -> DataFrame:
     return hourly.combine(spark, weather_hourly(spark, sf), load_hourly(spark, sf))
 
 
+def weather_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return daily.daily_temperature(weather_hourly(spark, sf))
+
+
+def flags_df(spark: SparkSession, sf: str) -> DataFrame:
+    return daily.heatwave_flags(weather_daily(spark, sf))
+
+
+def load_daily_df(spark: SparkSession, sf: str) -> DataFrame:
+    return daily.daily_load(load_hourly(spark, sf))
+
+
+def daily_means_df(spark: SparkSession, sf: str) -> DataFrame:
+    return response.daily_means(base_combine_df(spark, sf))
+
+
+def fit_df(spark: SparkSession, sf: str) -> DataFrame:
+    return response.quadratic_fit(base_combine_df(spark, sf))
+
+
 # --- queries --------------------------------------------------------------------------
 
 def q_temp_decode(spark, sf):
@@ -59,10 +80,100 @@ def q_rows_per_location(spark, sf):
             .orderBy(F.desc("rows"), "location"))
 
 
+def q_daily_temp(spark, sf):
+    return rounded(weather_daily(spark, sf))
+
+
+def q_hot_days(spark, sf):
+    return rounded(daily.heatwave_runs(weather_daily(spark, sf)))
+
+
+def q_heatwave_flags(spark, sf):
+    return rounded(flags_df(spark, sf))
+
+
+def q_heatwave_counts(spark, sf):
+    return daily.heatwave_counts(flags_df(spark, sf))
+
+
+def q_daily_load(spark, sf):
+    return rounded(load_daily_df(spark, sf))
+
+
+def q_heat_load_daily(spark, sf):
+    return rounded(daily.heat_load_daily(flags_df(spark, sf), load_daily_df(spark, sf)))
+
+
+def q_heat_load_daily_mapped(spark, sf):
+    return rounded(daily.heat_load_daily(flags_df(spark, sf), load_daily_df(spark, sf), mode="mapped"))
+
+
+def q_temp_category_mean(spark, sf):
+    return rounded(response.category_means(base_combine_df(spark, sf)))
+
+
+def q_temp_category_pivot(spark, sf):
+    return rounded(response.category_pivot(base_combine_df(spark, sf)))
+
+
+def q_daily_mean_load(spark, sf):
+    return rounded(daily_means_df(spark, sf))
+
+
+FIT_DIGITS = {"beta0": 4, "beta1": 4, "beta2": 4, "temp": 4, "load_pred": 4,
+              "x_annot": 4, "y_annot": 4, "beta2_1dp": 1}
+
+
+def q_quadratic_fit(spark, sf):
+    return rounded(fit_df(spark, sf), per_column=FIT_DIGITS)
+
+
+def q_fit_curve(spark, sf):
+    return rounded(response.fit_curve(fit_df(spark, sf)), per_column=FIT_DIGITS)
+
+
+def q_fit_annotation(spark, sf):
+    return rounded(response.fit_annotation(fit_df(spark, sf)), per_column=FIT_DIGITS)
+
+
+def q_series_export(spark, sf):
+    rows = response.series_rows(response.series_arrays(daily_means_df(spark, sf)))
+    return rounded(rows.withColumn("idx", F.col("idx").cast("bigint")))
+
+
+def q_temp_fahrenheit(spark, sf):
+    return rounded(response.fahrenheit(daily_means_df(spark, sf)))
+
+
+def q_summer_peak(spark, sf):
+    return rounded(response.window_peaks(daily_means_df(spark, sf)))
+
+
+def q_window_peak_jan2024(spark, sf):
+    return rounded(response.window_peaks(daily_means_df(spark, sf), K.JAN_TEST_WINDOWS))
+
+
 QUERIES: dict[str, Query] = {
     "temp_decode": q_temp_decode,
     "hourly_temp": q_hourly_temp,
     "hourly_load": q_hourly_load,
     "base_combine": q_base_combine,
     "rows_per_location": q_rows_per_location,
+    "daily_temp": q_daily_temp,
+    "hot_days": q_hot_days,
+    "heatwave_flags": q_heatwave_flags,
+    "heatwave_counts": q_heatwave_counts,
+    "daily_load": q_daily_load,
+    "heat_load_daily": q_heat_load_daily,
+    "heat_load_daily_mapped": q_heat_load_daily_mapped,
+    "temp_category_mean": q_temp_category_mean,
+    "temp_category_pivot": q_temp_category_pivot,
+    "daily_mean_load": q_daily_mean_load,
+    "quadratic_fit": q_quadratic_fit,
+    "fit_curve": q_fit_curve,
+    "fit_annotation": q_fit_annotation,
+    "series_export": q_series_export,
+    "temp_fahrenheit": q_temp_fahrenheit,
+    "summer_peak": q_summer_peak,
+    "window_peak_jan2024": q_window_peak_jan2024,
 }
