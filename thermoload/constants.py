@@ -119,11 +119,11 @@ SAMPLE_FRACTIONS = [(0, 1), (1, 4), (1, 2), (3, 4), (1, 1)]  # position = n*a//b
 WEB_TIERS = [(80, "Full Exemption", "#16a34a"), (60, "Partial Exemption", "#ca8a04")]
 WEB_TIER_NONE = ("No Exemption", "#dc2626")
 CAPACITY_BANDS = [  # (lower bound exclusive, label, colour), checked top-down
-    (200.0, ">200", "#a00060"),
-    (75.0, "75-200", "#ff69b4"),
-    (20.0, "20-75", "#ff6600"),
+    (200.0, "> 200 MW", "#a00060"),
+    (75.0, "75 – 200 MW", "#ff69b4"),
+    (20.0, "20 – 75 MW", "#ff6600"),
 ]
-CAPACITY_BAND_LOW = ("<=20", "#ffaa00")
+CAPACITY_BAND_LOW = ("≤ 20 MW", "#ffaa00")
 CAPACITY_BAND_UNKNOWN = ("Unknown", "#999")
 UNKNOWN_MARKER_Z = -1000
 HOUSEHOLD_KW = 1.2

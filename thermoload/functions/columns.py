@@ -17,7 +17,8 @@ def dbl(x: float) -> Column:
     return F.lit(float(x)).cast("double")
 
 
-NULL_DOUBLE = F.lit(None).cast("double")
+def null_double() -> Column:
+    return F.lit(None).cast("double")
 
 
 # --- time -------------------------------------------------------------------
@@ -79,7 +80,7 @@ def decode_tmp(c: str | Column) -> Column:
     the quality code (second field) is ignored.
     """
     field = F.split_part(col(c), F.lit(","), F.lit(1))
-    return (F.when(field == F.lit(K.TMP_MISSING), NULL_DOUBLE)
+    return (F.when(field == F.lit(K.TMP_MISSING), null_double())
             .otherwise(field.try_cast("int").cast("double") / dbl(K.TMP_SCALE)))
 
 
@@ -97,7 +98,7 @@ def station_code(c: str | Column, ids: dict[str, str] | None = None) -> Column:
 
 def nan_to_null(c: str | Column) -> Column:
     """NaN -> NULL (Spark orders NaN above every number; pandas skips it)."""
-    return F.nanvl(col(c), NULL_DOUBLE)
+    return F.nanvl(col(c), null_double())
 
 
 def is_finite(c: str | Column) -> Column:
@@ -130,7 +131,7 @@ def thousands(c: str | Column) -> Column:
 
 def locale_number(c: str | Column) -> Column:
     """en-US ``Number.toLocaleString()``: grouping, at most 3 decimals."""
-    return F.format_number(F.round(col(c).cast("double"), 3), "#,##0.###")
+    return F.call_function("format_number", F.round(col(c).cast("double"), 3), F.lit("#,##0.###"))
 
 
 def display_or_na(c: str | Column, suffix: str = "") -> Column:

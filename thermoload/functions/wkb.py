@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import NULL_DOUBLE, col
+from .columns import col, null_double
 
 _TWO52 = float(2 ** 52)
 
@@ -35,7 +35,7 @@ def _double_from_hex(h16: Column) -> Column:
                  .otherwise((F.lit(1.0) + mantissa.cast("double") / F.lit(_TWO52))
                             * F.pow(F.lit(2.0), (exponent - F.lit(1023)).cast("double"))))
     value = F.when(sign == 1, -magnitude).otherwise(magnitude)
-    return F.when(exponent == 0x7FF, NULL_DOUBLE).otherwise(value)  # NaN / inf / EMPTY
+    return F.when(exponent == 0x7FF, null_double()).otherwise(value)  # NaN / inf / EMPTY
 
 
 def wkb_point_xy(geometry: str | Column) -> tuple[Column, Column]:
@@ -48,4 +48,4 @@ def wkb_point_xy(geometry: str | Column) -> tuple[Column, Column]:
     ok = g.isNotNull() & (F.length(g) == 21) & (gtype == 1)
     x = _double_from_hex(_hex_bytes(h, 5, 8, little))
     y = _double_from_hex(_hex_bytes(h, 13, 8, little))
-    return F.when(ok, x).otherwise(NULL_DOUBLE), F.when(ok, y).otherwise(NULL_DOUBLE)
+    return F.when(ok, x).otherwise(null_double()), F.when(ok, y).otherwise(null_double())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import NULL_DOUBLE, dbl, is_finite, js_round, nan_to_null, replace_first, thousands
+from ..functions.columns import dbl, null_double, is_finite, js_round, nan_to_null, replace_first, thousands
 
 
 def temperature_category(c: str = "temp"):
@@ -75,9 +75,9 @@ def quadratic_fit(base: DataFrame, det_tol: float = 1e-12) -> DataFrame:
     b0 = F.col("my") - b1 * F.col("mt") - b2 * F.col("mt2")
     return m.select(
         "location", "n_obs",
-        F.when(good, b0).otherwise(NULL_DOUBLE).alias("beta0"),
-        F.when(good, b1).otherwise(NULL_DOUBLE).alias("beta1"),
-        F.when(good, b2).otherwise(NULL_DOUBLE).alias("beta2"),
+        F.when(good, b0).otherwise(null_double()).alias("beta0"),
+        F.when(good, b1).otherwise(null_double()).alias("beta1"),
+        F.when(good, b2).otherwise(null_double()).alias("beta2"),
         "temp_min", "temp_max")
 
 

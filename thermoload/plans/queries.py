@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import daily, hourly, response
+from ..operators import daily, dashboard, facilities, hourly, positional, response
 from ..sources import fixtures
 from .finish import rounded
 
@@ -57,6 +57,14 @@ def fit_df(spark: SparkSession, sf: str) -> DataFrame:
     return response.quadratic_fit(base_combine_df(spark, sf))
 
 
+def fac_clean_df(spark: SparkSession, sf: str) -> DataFrame:
+    return facilities.clean_facilities(fixtures.facility_raw(spark, sf))
+
+
+def scored_df(spark: SparkSession, sf: str) -> DataFrame:
+    return facilities.exemption_scores(fac_clean_df(spark, sf))
+
+
 # --- queries --------------------------------------------------------------------------
 
 def q_temp_decode(spark, sf):
@@ -153,6 +161,68 @@ def q_window_peak_jan2024(spark, sf):
     return rounded(response.window_peaks(daily_means_df(spark, sf), K.JAN_TEST_WINDOWS))
 
 
+NULLABLE_INTS = ["pop_within_mile", "construct_year"]
+
+
+def q_facility_clean(spark, sf):
+    # nullable integers leave as DOUBLE: pandas maps NULL-able INT columns
+    # differently per engine, DOUBLE the same way everywhere
+    d = fac_clean_df(spark, sf)
+    return rounded(d.select([F.col(c).cast("double") if c in NULLABLE_INTS else F.col(c) for c in d.columns]))
+
+
+def q_facility_points(spark, sf):
+    from ..functions.wkb import wkb_point_xy
+    raw = fixtures.facility_raw(spark, sf)
+    x, y = wkb_point_xy("geometry")
+    return rounded(raw.select("facility_id", x.alias("lon"), y.alias("lat")))
+
+
+def q_exemption_score(spark, sf):
+    return rounded(scored_df(spark, sf).select(
+        "facility_id", "ej_max_percentile", "ej_concern", "power_points", "ej_points", "pop_points",
+        "water_points", "exemption_score", "exemption_tier"))
+
+
+def q_exemption_reasons(spark, sf):
+    return facilities.reasons_rows(scored_df(spark, sf))
+
+
+def q_score_breakdown(spark, sf):
+    return facilities.score_breakdown(scored_df(spark, sf))
+
+
+def q_key_issues(spark, sf):
+    return facilities.key_issues(scored_df(spark, sf))
+
+
+def q_score_sample(spark, sf):
+    s = scored_df(spark, sf)
+    s = s.select("facility_id", facilities.facility_label(s).alias("label"), "county",
+                 "exemption_score", "exemption_tier")
+    return positional.select_positions(s, ["exemption_score", "facility_id"], positional.quartile_positions)
+
+
+def q_score_web(spark, sf):
+    return dashboard.scored_web(fac_clean_df(spark, sf)).select("facility_id", "web_score", "web_tier", "web_colour")
+
+
+def q_score_histogram(spark, sf):
+    return dashboard.score_histogram(dashboard.scored_web(fac_clean_df(spark, sf)))
+
+
+def q_facility_card(spark, sf):
+    return dashboard.facility_card(fac_clean_df(spark, sf))
+
+
+def q_facility_markers(spark, sf):
+    return rounded(dashboard.facility_markers(fac_clean_df(spark, sf)))
+
+
+def q_grid_breakdown(spark, sf):
+    return rounded(dashboard.grid_breakdown(fac_clean_df(spark, sf)))
+
+
 QUERIES: dict[str, Query] = {
     "temp_decode": q_temp_decode,
     "hourly_temp": q_hourly_temp,
@@ -176,4 +246,16 @@ QUERIES: dict[str, Query] = {
     "temp_fahrenheit": q_temp_fahrenheit,
     "summer_peak": q_summer_peak,
     "window_peak_jan2024": q_window_peak_jan2024,
+    "facility_clean": q_facility_clean,
+    "facility_points": q_facility_points,
+    "exemption_score": q_exemption_score,
+    "exemption_reasons": q_exemption_reasons,
+    "score_breakdown": q_score_breakdown,
+    "key_issues": q_key_issues,
+    "score_sample": q_score_sample,
+    "score_web": q_score_web,
+    "score_histogram": q_score_histogram,
+    "facility_card": q_facility_card,
+    "facility_markers": q_facility_markers,
+    "grid_breakdown": q_grid_breakdown,
 }
