@@ -19,6 +19,12 @@ CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Wide CASE/string projections generate big methods; HotSpot does not JIT
+    # methods over 8000 bytes, so cap whole-stage codegen there (Spark's own
+    # recommendation) and let the JVM compile the rest.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 
