@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import daily, dashboard, facilities, hourly, positional, response
 from ..sources import fixtures
+from ..session import scratch_path
+from ..sources import json_sources as J
+from ..sources import sinks
+from ..sources.weather_csv import read_csv_union, write_csv
 from .finish import rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +227,111 @@ def q_grid_breakdown(spark, sf):
     return rounded(dashboard.grid_breakdown(fac_clean_df(spark, sf)))
 
 
+# --- sources and sinks: files written to a fresh folder, read back --------------------------
+
+def q_csv_union(spark, sf):
+    """Three landings with different header sets, unioned by name."""
+    raw = fixtures.noaa_raw(spark, sf)
+    ids = list(K.STATION_IDS.values())
+    st = F.col("STATION")
+    root = scratch_path(spark, "weather-csv")
+    write_csv(raw.filter(st.isin(ids[0], ids[1])).select("STATION", "DATE", "TMP"), f"{root}/a")
+    write_csv(raw.filter(st.isin(ids[2], ids[3])).select("DATE", "TMP", F.lit("4").alias("SOURCE"), "STATION"),
+              f"{root}/b")
+    write_csv(raw.filter(~st.isin(ids)).select("STATION", "DATE"), f"{root}/c")
+    landed = read_csv_union(spark, f"{root}/*", columns=["STATION", "DATE", "TMP"])
+    return rounded(hourly.decode_weather(landed))
+
+
+def q_json_pages(spark, sf):
+    """Load rows landed as API pages of <= 5000 rows, read back."""
+    root = scratch_path(spark, "load-pages")
+    J.write_load_pages(fixtures.eia_raw(spark, sf), root)
+    return rounded(hourly.load_rows(J.read_load_pages(spark, root)))
+
+
+def q_json_lines_roundtrip(spark, sf):
+    """S6/S13 -> S5: cleaned facilities as sorted-key JSON lines, read back."""
+    root = scratch_path(spark, "facility-json")
+    J.write_json_lines(fac_clean_df(spark, sf), root)
+    d = J.read_facility_json(spark, root)
+    return rounded(d.select([F.col(c).cast("double") if c in NULLABLE_INTS else F.col(c) for c in d.columns]))
+
+
+def q_key_normalise(spark, sf):
+    """Records with mixed-case, empty and colliding keys, normalised."""
+    fac = fixtures.facility_short(spark, sf)
+    keys = ["Facility_ID", "Company", "BRAND", "County", "county", "", "Water Stress"]
+    vals = [F.col("facility_id").cast("string"), "company", "brand", "county", F.upper("county"), "zip",
+            "water_stress"]
+    text = F.to_json(F.map_from_arrays(F.array(*[F.lit(k) for k in keys]),
+                                       F.array(*[F.col(v) if isinstance(v, str) else v for v in vals])),
+                     {"ignoreNullFields": "false"})
+    root = scratch_path(spark, "records")
+    fac.select(text.alias("value")).write.mode("overwrite").text(root)
+    m = spark.read.text(root).select(J.normalise_record(F.col("value")).alias("m"))
+    return m.select(F.col("m")["facility_id"].cast("bigint").alias("facility_id"),
+                    F.explode("m").alias("key", "value"))
+
+
+def _features(spark, sf, id_expr: str, name_expr: str) -> DataFrame:
+    fac = fixtures.facility_short(spark, sf)
+    root = scratch_path(spark, "geojson")
+    J.write_feature_collections(fac.select(F.expr(id_expr).alias("id"), F.expr(name_expr).alias("name")), root)
+    return J.read_features(spark, root)
+
+
+COUNTY_ID = ("CASE WHEN facility_id % 10 = 0 THEN NULL WHEN facility_id % 10 = 1 THEN '' ELSE "
+             "concat(CASE WHEN facility_id % 3 = 0 THEN '24' ELSE '51' END, "
+             "lpad(CAST(facility_id % 1000 AS STRING), 3, '0')) END")
+COUNTY_NAME = "concat(county, ' County')"
+STATE_ID = "concat('S', CAST(facility_id AS STRING))"
+STATE_NAME = ("CASE facility_id % 4 WHEN 0 THEN 'Virginia' WHEN 1 THEN 'District of Columbia' "
+              "WHEN 2 THEN 'Maryland' ELSE NULL END")
+
+
+def q_geo_flags(spark, sf):
+    """County features of one state with the focus-county flag."""
+    return J.county_layer(_features(spark, sf, COUNTY_ID, COUNTY_NAME))
+
+
+def q_state_flags(spark, sf):
+    """State features with the focus-state flag."""
+    return J.state_layer(_features(spark, sf, STATE_ID, STATE_NAME))
+
+
+def q_row_audit(spark, sf):
+    """Row counts of the nine built tables."""
+    flags = flags_df(spark, sf)
+    return sinks.row_audit(spark, {
+        "noaa_hourly_raw": fixtures.noaa_raw(spark, sf),
+        "noaa_hourly_temp": weather(spark, sf),
+        "noaa_hourly_avg": weather_hourly(spark, sf),
+        "eia_hourly_raw": hourly.load_rows(fixtures.eia_raw(spark, sf)),
+        "eia_load_hourly": load_hourly(spark, sf),
+        "noaa_daily_temp": weather_daily(spark, sf),
+        "noaa_heatwave_flags": flags,
+        "eia_daily_load": load_daily_df(spark, sf),
+        "heat_load_daily": daily.heat_load_daily(flags, load_daily_df(spark, sf)),
+    })
+
+
+def q_hourly_temp_stream(spark, sf):
+    """Streaming: landed weather files ingested incrementally (two landings,
+    two micro-batches) into the hourly table."""
+    from ..streaming.landed_weather import start_hourly_ingest
+    raw = fixtures.noaa_raw(spark, sf)
+    root = scratch_path(spark, "stream")
+    half = F.col("DATE") < F.lit("2024-01-16")
+    write_csv(raw.filter(half), f"{root}/landing/part1")
+    q = start_hourly_ingest(spark, f"{root}/landing/*", f"{root}/hourly", f"{root}/ckpt")
+    q.awaitTermination()
+    write_csv(raw.filter(~half), f"{root}/landing/part2")
+    q = start_hourly_ingest(spark, f"{root}/landing/*", f"{root}/hourly", f"{root}/ckpt")
+    q.awaitTermination()
+    return rounded(spark.read.parquet(f"{root}/hourly"))
+
+
 QUERIES: dict[str, Query] = {
     "temp_decode": q_temp_decode,
     "hourly_temp": q_hourly_temp,
@@ -258,4 +367,12 @@ QUERIES: dict[str, Query] = {
     "facility_card": q_facility_card,
     "facility_markers": q_facility_markers,
     "grid_breakdown": q_grid_breakdown,
+    "csv_union": q_csv_union,
+    "json_pages": q_json_pages,
+    "json_lines_roundtrip": q_json_lines_roundtrip,
+    "key_normalise": q_key_normalise,
+    "geo_flags": q_geo_flags,
+    "state_flags": q_state_flags,
+    "row_audit": q_row_audit,
+    "hourly_temp_stream": q_hourly_temp_stream,
 }
