@@ -139,8 +139,9 @@ def series_rows(arrays: DataFrame) -> DataFrame:
 
 
 def fahrenheit(daily: DataFrame) -> DataFrame:
-    """Dashboard hover text value, ``Math.round(c * 9/5 + 32)``."""
-    f = F.floor(F.col("temp") * dbl(9) / dbl(5) + dbl(32) + dbl(0.5))
+    """Dashboard hover text value, ``Math.round(c * 9/5 + 32)`` (a JS
+    Number, so DOUBLE)."""
+    f = F.floor(F.col("temp") * dbl(9) / dbl(5) + dbl(32) + dbl(0.5)).cast("double")
     return daily.select("location", "date", "temp", f.alias("temp_f"))
 
 
