@@ -10,6 +10,7 @@ from the explicit decode step (P1-P3), never from inference.
 from __future__ import annotations
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,11 @@ def read_csv_union(spark: SparkSession, pattern: str, columns: list[str] | None
     STATION, DATE, TMP); a column no file carries is NULL.
     """
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for f in list_files(spark, pattern):
-        h = csv_header(spark, f)
+    files = list_files(spark, pattern)
+    # one small read per file (its first line); I/O bound, so probe in parallel
+    with ThreadPoolExecutor(max_workers=min(32, max(1, len(files)))) as pool:
+        headers = list(pool.map(lambda f: csv_header(spark, f), files))
+    for f, h in zip(files, headers):
         if h:
             groups[h].append(f)
     if not groups:
