@@ -145,9 +145,14 @@ def test_json_pages(spark, tmp_dir):
 
 def test_key_normalise(spark):
     df = spark.createDataFrame([('{"B": 1, "a": "x", "": null, "b": -2}',)], "value string")
-    got = df.select(J.normalised_json(F.col("value"))).first()[0]
-    assert json.loads(got) == {"a": "x", "b": "-2", "unknown": None}
-    assert list(json.loads(got)) == ["a", "b", "unknown"]
+    for policy in ["LAST_WIN", "EXCEPTION"]:  # native de-duplication and the explicit fallback
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", policy)
+        try:
+            got = J.normalised_json(df).first()[0]
+        finally:
+            spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+        assert json.loads(got) == {"a": "x", "b": "-2", "unknown": None}
+        assert list(json.loads(got)) == ["a", "b", "unknown"]
 
 
 def test_json_lines_keep_nulls_and_sorted_keys(spark, tmp_dir):

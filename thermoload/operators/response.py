@@ -81,11 +81,9 @@ def quadratic_fit(base: DataFrame, det_tol: float = 1e-12) -> DataFrame:
         "temp_min", "temp_max")
 
 
-def fit_curve(fit: DataFrame, points: int = K.CURVE_POINTS) -> DataFrame:
-    """``points`` evenly spaced temperatures from min to max per
-    location (``numpy.linspace``: ``i * step + lo``, last point exactly max)
-    and the fitted load at each. ``fit`` has one row per location, so the
-    expansion is bounded by locations x points."""
+def _grid(fit: DataFrame, points: int) -> DataFrame:
+    """The fit rows expanded to the curve grid, coefficients kept (J7: each
+    grid point carries its own region's model)."""
     step = (F.col("temp_max") - F.col("temp_min")) / dbl(points - 1)
     g = fit.select("location", "beta0", "beta1", "beta2", "temp_min", "temp_max",
                    F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
@@ -93,7 +91,15 @@ def fit_curve(fit: DataFrame, points: int = K.CURVE_POINTS) -> DataFrame:
             .otherwise(F.col("point").cast("double") * step + F.col("temp_min")))
     g = g.withColumn("temp", temp)
     pred = F.col("beta0") + F.col("beta1") * F.col("temp") + F.col("beta2") * (F.col("temp") * F.col("temp"))
-    return g.select("location", "point", "temp", pred.alias("load_pred"))
+    return g.withColumn("load_pred", pred)
+
+
+def fit_curve(fit: DataFrame, points: int = K.CURVE_POINTS) -> DataFrame:
+    """``points`` evenly spaced temperatures from min to max per location
+    (``numpy.linspace``: ``i * step + lo``, last point exactly max) and the
+    fitted load at each. ``fit`` has one row per location, so the expansion
+    is bounded by locations x points."""
+    return _grid(fit, points).select("location", "point", "temp", "load_pred")
 
 
 def fit_annotation(fit: DataFrame, points: int = K.CURVE_POINTS,
@@ -101,11 +107,10 @@ def fit_annotation(fit: DataFrame, points: int = K.CURVE_POINTS,
     """curvature label ``'LOC: b2'`` (one decimal) placed at grid point
     ``int(fraction * points)``."""
     idx = int(fraction * points)
-    pts = fit_curve(fit, points).filter(F.col("point") == idx)
     b2 = F.round(F.col("beta2"), 1)
-    lab = fit.select("location", F.when(b2 == 0, F.lit(0.0)).otherwise(b2).alias("beta2_1dp"))
-    return (pts.join(lab, "location")
-            .select("location", "beta2_1dp",
+    pts = (_grid(fit, points).filter(F.col("point") == idx)
+           .withColumn("beta2_1dp", F.when(b2 == 0, F.lit(0.0)).otherwise(b2)))
+    return (pts.select("location", "beta2_1dp",
                     F.concat(F.col("location"), F.lit(": "),
                              F.format_string("%.1f", F.col("beta2_1dp"))).alias("label"),
                     F.col("temp").alias("x_annot"), F.col("load_pred").alias("y_annot")))

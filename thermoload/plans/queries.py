@@ -22,49 +22,78 @@ from .finish import rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def shared(fn):
+    """Memoise a shared lazy step per (session, input folder). A DataFrame is
+    an immutable plan, so reusing it only saves building it again (thousands
+    of driver->JVM calls for the wide facility steps); every action still
+    executes the whole plan."""
+    def wrapper(spark: SparkSession, sf: str) -> DataFrame:
+        key = (fn.__name__, id(spark), sf)
+        df = _PLANS.get(key)
+        if df is None or df.sparkSession is not spark:
+            df = _PLANS[key] = fn(spark, sf)
+        return df
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
 
 # --- shared lazy steps -------------------------------------------------------------
 
+@shared
 def weather(spark: SparkSession, sf: str) -> DataFrame:
     return hourly.decode_weather(fixtures.noaa_raw(spark, sf))
 
 
+@shared
 def weather_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return hourly.hourly_temperature(weather(spark, sf))
 
 
+@shared
 def load_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return hourly.hourly_load(hourly.load_rows(fixtures.eia_raw(spark, sf)))
 
 
+@shared
 def base_combine_df(spark: SparkSession, sf: str) -> DataFrame:
     return hourly.combine(spark, weather_hourly(spark, sf), load_hourly(spark, sf))
 
 
+@shared
 def weather_daily(spark: SparkSession, sf: str) -> DataFrame:
     return daily.daily_temperature(weather_hourly(spark, sf))
 
 
+@shared
 def flags_df(spark: SparkSession, sf: str) -> DataFrame:
     return daily.heatwave_flags(weather_daily(spark, sf))
 
 
+@shared
 def load_daily_df(spark: SparkSession, sf: str) -> DataFrame:
     return daily.daily_load(load_hourly(spark, sf))
 
 
+@shared
 def daily_means_df(spark: SparkSession, sf: str) -> DataFrame:
     return response.daily_means(base_combine_df(spark, sf))
 
 
+@shared
 def fit_df(spark: SparkSession, sf: str) -> DataFrame:
     return response.quadratic_fit(base_combine_df(spark, sf))
 
 
+@shared
 def fac_clean_df(spark: SparkSession, sf: str) -> DataFrame:
     return facilities.clean_facilities(fixtures.facility_raw(spark, sf))
 
 
+@shared
 def scored_df(spark: SparkSession, sf: str) -> DataFrame:
     return facilities.exemption_scores(fac_clean_df(spark, sf))
 
@@ -269,9 +298,9 @@ def q_key_normalise(spark, sf):
                      {"ignoreNullFields": "false"})
     root = scratch_path(spark, "records")
     fac.select(text.alias("value")).write.mode("overwrite").text(root)
-    m = spark.read.text(root).select(J.normalise_record(F.col("value")).alias("m"))
-    return m.select(F.col("m")["facility_id"].cast("bigint").alias("facility_id"),
-                    F.explode("m").alias("key", "value"))
+    m = J.normalise_records(spark.read.text(root)).select("record")
+    return m.select(F.col("record")["facility_id"].cast("bigint").alias("facility_id"),
+                    F.explode("record").alias("key", "value"))
 
 
 def _features(spark, sf, id_expr: str, name_expr: str) -> DataFrame:

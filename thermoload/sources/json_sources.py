@@ -107,23 +107,35 @@ def read_facility_json(spark: SparkSession, path: str, multi_line: bool = False,
 
 # --- S7: key normalisation ----------------------------------------------------------------
 
-def normalise_record(text: Column) -> Column:
-    """A JSON object's keys lower-cased (an empty key becomes 'unknown'); when
-    two keys collide the later one wins; the result map is key-sorted.
-    Values stay JSON text. Exact duplicate keys inside one object need
-    ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` (set by ``session.build_session``)."""
-    m = F.from_json(text, "map<string,string>")
+def normalise_records(df: DataFrame, text_col: str = "value", out: str = "record") -> DataFrame:
+    """Adds ``out``: the JSON object in ``text_col`` as a key-sorted map whose
+    keys are lower-cased (an empty key becomes 'unknown'); when two keys
+    collide the later one wins. Values stay JSON text. Exact duplicate keys
+    inside one object need ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` (set by
+    ``session.build_session``).
+
+    With that policy the map builder de-duplicates natively; otherwise an
+    explicit filter keeps each entry that no later entry overrides (the entry
+    array is its own projection there, so the lambda does not re-parse).
+    """
+    m = F.from_json(F.col(text_col), "map<string,string>")
     e = F.transform(F.map_entries(m), lambda x: F.struct(
         F.when(x["key"] == "", F.lit("unknown")).otherwise(F.lower(x["key"])).alias("key"),
         x["value"].alias("value")))
-    # keep an entry only if no later entry has the same key (later duplicate wins)
-    last = F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.greatest(F.size(e) - i - 1, F.lit(0))),
-                                              lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(F.array_sort(last))
-
-
-def normalised_json(text: Column) -> Column:
-    return F.to_json(normalise_record(text), {"ignoreNullFields": "false"})
+    policy = df.sparkSession.conf.get("spark.sql.mapKeyDedupPolicy", "EXCEPTION").upper()
+    if policy == "LAST_WIN":
+        return df.withColumn(out, F.map_from_entries(F.sort_array(F.map_entries(F.map_from_entries(e)))))
+    d = df.withColumn("_e", e)
+    ent = F.col("_e")
+    last = F.filter(ent, lambda x, i: ~F.exists(F.slice(ent, i + 2, F.greatest(F.size(ent) - i - 1, F.lit(0))),
+                                                lambda y: y["key"] == x["key"]))
+    return d.withColumn(out, F.map_from_entries(F.sort_array(last))).drop("_e")
+
+
+def normalised_json(df: DataFrame, text_col: str = "value") -> DataFrame:
+    """S7 sink form: one normalised JSON object per input object."""
+    return normalise_records(df, text_col).select(
+        F.to_json("record", {"ignoreNullFields": "false"}).alias("value"))
 
 
 # --- S14: GeoJSON -------------------------------------------------------------------------------
