@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException  # noqa: F401
 
 from thermoload.functions import columns as C
-from thermoload.functions.wkb import wkb_point_xy
+from thermoload.functions.wkb import with_point_xy, wkb_point_xy
 
 
 def one_col(spark, values, expr, schema="v string"):
@@ -93,6 +93,8 @@ def test_wkb_points(spark, x, y, little):
     gx, gy = wkb_point_xy("g")
     r = df.select(gx, gy).first()
     assert (r[0], r[1]) == (x, y)
+    r = with_point_xy(df, "g", "x", "y").first()
+    assert (r.x, r.y) == (x, y) and df.columns == ["g"]
 
 
 def test_wkb_rejects(spark):
@@ -100,3 +102,4 @@ def test_wkb_rejects(spark):
     df = spark.createDataFrame(rows, "g binary")
     gx, gy = wkb_point_xy("g")
     assert [tuple(r) for r in df.select(gx, gy).collect()] == [(None, None)] * 4
+    assert [(r.x, r.y) for r in with_point_xy(df, "g", "x", "y").collect()] == [(None, None)] * 4

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import dbl, fmt0, lenient_double, lenient_int, nan_to_null, row_max, thousands
-from ..functions.wkb import wkb_point_xy
+from ..functions.wkb import with_point_xy
 
 # --- cleaning ----------------------------------------------------------------------
 
@@ -44,11 +44,11 @@ def clean_facilities(raw: DataFrame, counties: list[str] | None = None,
     src, dst = K.FACILITY_YEAR
     cols.append(lenient_int(c(src)).alias(dst))
     cols += [lenient_double(c(src)).alias(dst) for src, dst in K.FACILITY_EJ.items()]
-    x, y = wkb_point_xy(c("geometry"))
-    cols += [y.alias("lat"), x.alias("lon")]
+    cols += [F.col("lat"), F.col("lon")]
     if keep_geometry:
         cols.append(c("geometry"))
-    return raw.filter(c("county").isin(counties or K.FOCUS_COUNTIES)).select(cols)
+    focus = raw.filter(c("county").isin(counties or K.FOCUS_COUNTIES))
+    return with_point_xy(focus, "geometry", x="lon", y="lat").select(cols)
 
 
 # --- rubric (Python variant) --------------------------------------------------------------

@@ -205,10 +205,9 @@ def q_facility_clean(spark, sf):
 
 
 def q_facility_points(spark, sf):
-    from ..functions.wkb import wkb_point_xy
-    raw = fixtures.facility_raw(spark, sf)
-    x, y = wkb_point_xy("geometry")
-    return rounded(raw.select("facility_id", x.alias("lon"), y.alias("lat")))
+    from ..functions.wkb import with_point_xy
+    raw = fixtures.facility_raw(spark, sf).select("facility_id", "geometry")
+    return rounded(with_point_xy(raw).select("facility_id", "lon", "lat"))
 
 
 def q_exemption_score(spark, sf):
