@@ -6,8 +6,13 @@ rows is spread over many tasks as long as the tie-break keys differ), sorted
 within partitions, and numbered inside each partition. The per-partition
 counts form a table of at most ``num_partitions`` rows; its running sums give
 each partition's global offset, which locates every wanted position as
-(partition, index). The range exchange uses an explicit partition count, so
-AQE leaves it alone and both uses of the sorted data read one reused shuffle.
+(partition, index).
+
+Range bounds come from a sample whose seed depends on the RDD, so two
+executions of the same plan may cut partitions differently. The numbered
+rows are therefore checkpointed once (reliable checkpoint in the shared
+``spark.checkpoint.dir``): the counts and the lookup read the same rows, and
+a lost executor cannot renumber them.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 _LOW33 = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -29,9 +36,11 @@ def select_positions(df: DataFrame, order_cols: list[str],
     row once per sample number, like repeated ``iloc`` calls."""
     spark = df.sparkSession
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared_dir(spark)  # the checkpoint folder (configured, or created in local tests)
     srt = (df.repartitionByRange(n_part, *order_cols).sortWithinPartitions(*order_cols)
            .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
+           .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
+           .checkpoint(eager=True))
     counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # at most n_part rows: a single-partition window here is bounded by config
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
