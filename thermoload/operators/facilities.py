@@ -54,15 +54,6 @@ def clean_facilities(raw: DataFrame, counties: list[str] | None = None,
 # --- rubric (Python variant) --------------------------------------------------------------
 
 
-def _present(c: str) -> Column:
-    """``pd.notna``: neither NULL nor NaN."""
-    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-
-
-def _ej_max(ej_cols: list[str]) -> Column:
-    return row_max(ej_cols)
-
-
 def score_parts(df: DataFrame, ej_cols: list[str] | None = None) -> DataFrame:
     """Adds the four scored criteria: points, reason (NULL = none) and detail.
 
@@ -73,7 +64,7 @@ def score_parts(df: DataFrame, ej_cols: list[str] | None = None) -> DataFrame:
     """
     ej_cols = ej_cols or [c for c in df.columns if c.startswith("ej_")]
     cap = nan_to_null(F.col("capacity_mw").try_cast("double"))
-    ejm = _ej_max(ej_cols)
+    ejm = row_max(ej_cols)  # pandas max(axis=1): NULL/NaN skipped
     pop = F.col("pop_within_mile").cast("double")
     ws = F.col("water_stress_index")
     d = df.withColumn("capacity_numeric", cap).withColumn("ej_max_percentile", ejm)

@@ -347,7 +347,7 @@ def q_row_audit(spark, sf):
 def q_hourly_temp_stream(spark, sf):
     """Streaming: landed weather files ingested incrementally (two landings,
     two micro-batches) into the hourly table."""
-    from ..streaming.landed_weather import start_hourly_ingest
+    from ..streaming.landed_weather import hourly_table, start_hourly_ingest
     raw = fixtures.noaa_raw(spark, sf)
     root = scratch_path(spark, "stream")
     half = F.col("DATE") < F.lit("2024-01-16")
@@ -357,7 +357,7 @@ def q_hourly_temp_stream(spark, sf):
     write_csv(raw.filter(~half), f"{root}/landing/part2")
     q = start_hourly_ingest(spark, f"{root}/landing/*", f"{root}/hourly", f"{root}/ckpt")
     q.awaitTermination()
-    return rounded(spark.read.parquet(f"{root}/hourly"))
+    return rounded(hourly_table(spark, f"{root}/hourly"))
 
 
 QUERIES: dict[str, Query] = {

@@ -2,12 +2,16 @@
 
 The reference re-downloads only files that are not yet on disk and then
 rebuilds its tables. The streaming equivalent: a file source over the landing
-folder picks up only files it has not seen (tracked in the checkpoint), the
-observations are decoded exactly like the batch path, and the hourly means
-are kept as streaming aggregate state. Hourly rows are bounded by stations x
-hours, so the state stays small relative to the raw observations; each
-micro-batch replaces the hourly table (complete output mode), which is what
-the reference's DROP + CREATE does.
+folder picks up only files it has not seen (tracked in the checkpoint), and
+the observations are decoded exactly like the batch path.
+
+The hourly mean is kept without streaming state: every micro-batch reduces
+its own rows to per (station, hour) partial sums and counts and writes them
+to a folder named by the batch id (a replayed batch overwrites its own
+folder, so output is exactly-once). The hourly table is the merge of all
+partials, ``sum(sums) / sum(counts)``. Late files (a whole station-year can
+land after later years) need no watermark, no state store grows with the
+history, and each trigger writes only its own partials.
 
 Files of one landing folder must share a header; ``enforceSchema=false``
 makes Spark check it instead of shifting columns silently.
@@ -16,33 +20,51 @@ makes Spark check it instead of shifting columns silently.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.hourly import decode_weather, hourly_temperature
+from ..functions.columns import trunc_hour
+from ..operators.hourly import decode_weather
 
 WEATHER_COLUMNS = ["STATION", "DATE", "TMP"]
 
 
-def hourly_temperature_stream(spark: SparkSession, landing_dir: str,
-                              columns: list[str] | None = None,
-                              max_files_per_trigger: int | None = None) -> DataFrame:
+def observation_stream(spark: SparkSession, landing_dir: str, columns: list[str] | None = None,
+                       max_files_per_trigger: int | None = None) -> DataFrame:
+    """Decoded observations of newly landed files (station, ts_utc, temp_C)."""
     schema = StructType([StructField(c, StringType()) for c in (columns or WEATHER_COLUMNS)])
     r = (spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
          .option("mode", "FAILFAST"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return hourly_temperature(decode_weather(r.csv(landing_dir)))
+    return decode_weather(r.csv(landing_dir))
+
+
+def hourly_partials(obs: DataFrame) -> DataFrame:
+    """Per (station, hour): sum and count of the non-NULL temperatures."""
+    return (obs.groupBy("station", trunc_hour("ts_utc").alias("hour_utc"))
+            .agg(F.sum("temp_C").alias("temp_sum"), F.count("temp_C").alias("temp_n")))
 
 
 def start_hourly_ingest(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_dir: str,
                         available_now: bool = True, **kw) -> StreamingQuery:
-    """Run the stream; each micro-batch rewrites ``table_path`` with the full
-    hourly table. ``available_now`` processes what has landed and stops."""
+    """Run the stream; ``available_now`` processes what has landed and stops,
+    otherwise it triggers every minute."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+        hourly_partials(batch).write.mode("overwrite").parquet(f"{table_path}/partials/batch={batch_id}")
 
-    w = (hourly_temperature_stream(spark, landing_dir, **kw).writeStream.outputMode("complete")
+    w = (observation_stream(spark, landing_dir, **kw).writeStream
          .option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def hourly_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """``noaa_hourly_avg`` from all partials written so far. An hour whose
+    readings are all NULL keeps a NULL mean, as in the batch build."""
+    p = spark.read.parquet(f"{table_path}/partials")
+    return (p.groupBy("station", "hour_utc")
+            .agg(F.sum("temp_sum").alias("s"), F.sum("temp_n").alias("n"))
+            .select("station", "hour_utc",
+                    F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("temp_C")))
