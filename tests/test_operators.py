@@ -188,3 +188,20 @@ def test_window_peaks(spark):
                               "location string, date date, load_mwh double")
     out = {r.year: (r.peak_mwh, r.label_day) for r in response.window_peaks(d).collect()}
     assert out == {2023: (10.0, "2023-07-15"), 2024: (0.0, "2024-07-15"), 2025: (0.0, "2025-07-15")}
+
+
+def test_required_columns_and_empty_guard(spark):
+    import pytest
+    df = spark.createDataFrame([("2024-01-01T00", "PJM", "DOM", "1")], "period string, parent string, subba string, value string")
+    assert J.require_columns(df, J.LOAD_REQUIRED) is df
+    with pytest.raises(ValueError, match="missing expected columns"):
+        J.require_columns(df.drop("value"), J.LOAD_REQUIRED)
+    assert J.ensure_not_empty(df) is df
+    with pytest.raises(ValueError, match="no rows"):
+        J.ensure_not_empty(df.limit(0), "load pages")
+
+
+def test_rows_per_location_and_locations(spark):
+    base = spark.createDataFrame([("IAD",), ("BOS",), ("IAD",)], "location string")
+    assert [tuple(r) for r in response.rows_per_location(base).collect()] == [("IAD", 2), ("BOS", 1)]
+    assert sorted(r.location for r in response.locations(base).collect()) == ["BOS", "IAD"]

@@ -15,6 +15,19 @@ from .. import constants as K
 from ..functions.columns import dbl, null_double, is_finite, js_round, nan_to_null, replace_first, thousands
 
 
+def rows_per_location(base: DataFrame) -> DataFrame:
+    """Rows per location, most first. Locations come from the fixed
+    station mapping (a handful), so the ordered result is sorted in a single
+    partition instead of paying a range-sort sampling job."""
+    return (base.groupBy("location").agg(F.count(F.lit(1)).alias("rows"))
+            .coalesce(1).sortWithinPartitions(F.desc("rows"), "location"))
+
+
+def locations(base: DataFrame) -> DataFrame:
+    """The distinct locations present."""
+    return base.select("location").distinct()
+
+
 def temperature_category(c: str = "temp"):
     """Three-way category; NULL/NaN temperature falls through to Normal."""
     t = nan_to_null(c)

@@ -117,8 +117,7 @@ def q_base_combine(spark, sf):
 
 
 def q_rows_per_location(spark, sf):
-    return (base_combine_df(spark, sf).groupBy("location").agg(F.count("*").alias("rows"))
-            .orderBy(F.desc("rows"), "location"))
+    return response.rows_per_location(base_combine_df(spark, sf))
 
 
 def q_daily_temp(spark, sf):

@@ -30,6 +30,18 @@ CONF = {
 }
 
 
+# Starting points for a large cluster (pass as ``extra``): shuffle partitions
+# about 2-3x the total cores (AQE coalesces small ones and splits skewed ones)
+# and large scan splits for the raw observation files. No state-store
+# settings are needed: the streaming ingest keeps no aggregate state.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+}
+
+
 def build_session(master: str | None = None, app: str = "thermoload",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings above.
