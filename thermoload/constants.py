@@ -115,6 +115,28 @@ TIER_PARTIAL = (60, "Partial Exemption (50%)")
 TIER_NONE = "No Exemption (0%)"
 SAMPLE_FRACTIONS = [(0, 1), (1, 4), (1, 2), (3, 4), (1, 1)]  # position = n*a//b, last = n-1
 
+# --- FIXED VALUES: rubric texts ("{}" is where the value goes) -----------------
+# failing-criteria reasons
+REASON_NO_CAPACITY = "No capacity data"
+REASON_HIGH_CAPACITY = "High capacity ({} MW)"
+REASON_EJ = "Environmental justice concerns (max percentile: {})"
+REASON_NO_POPULATION = "No population data"
+REASON_POPULATION = "Population exposure: {} residents"
+REASON_POPULATION_HIGH = "High population exposure: {} residents"
+REASON_POPULATION_VERY_HIGH = "Very high population exposure: {} residents"
+REASON_WATER_MEDIUM_HIGH = "Medium-high water stress"
+REASON_WATER_HIGH = "High water stress ({})"
+# score breakdown details
+DETAIL_NO_DATA = "No data"
+DETAIL_POWER = ["{} MW (≤20)", "{} MW (20-75)", "{} MW (75-200)", "{} MW (>200)"]
+DETAIL_EJ_OK = "No EJ concerns (all percentiles < 80)"
+DETAIL_EJ_FLAG = "EJ flag (max percentile: {})"
+DETAIL_POPULATION = ["{} residents (<1,000)", "{} residents (1k-5k)", "{} residents (5k-10k)",
+                     "{} residents (≥10k)"]
+DETAIL_WATER = ["Low stress: {}", "Med-high stress: {}", "High/extreme stress: {}"]
+SCORED_CATEGORIES = ["Power", "Environmental Justice", "Population", "Water Stress"]
+UNKNOWN_FACILITY = "Unknown Facility"
+
 # web dashboard variant
 WEB_TIERS = [(80, "Full Exemption", "#16a34a"), (60, "Partial Exemption", "#ca8a04")]
 WEB_TIER_NONE = ("No Exemption", "#dc2626")
@@ -133,6 +155,12 @@ CARD_PERCENTILES = [
     ("Ozone", "ej_ozone"),
     ("Nitrogen Dioxide", "ej_nitrogen_dioxide"),
 ]
+# facility card texts
+CARD_NA = "N/A"
+CARD_PLACE = "{}, {} County, VA {}"
+CARD_PERCENTILE = "{}th"
+CARD_SCORE = "{}/100"
+CARD_NULL = "null"  # a NULL printed by a JavaScript template
 HISTOGRAM_BIN = 5
 HISTOGRAM_RANGE = (0, 100)
 
@@ -159,3 +187,5 @@ GRID_CAPACITY_MW = 27000.0
 DC_LOAD_50_MW = 10027.0
 PEAK_SUMMER_MW = 23905.0
 GRID_LABELS = ["Data Center Load", "Peak Summer Load", "Remaining Grid Capacity"]
+PEAK_LABEL = "Summer {}<br><b>{} MWh</b>"
+PEAK_DAY_REPLACEMENTS = [("-06-", "-07-"), ("-01", "-15")]  # first occurrence each, in order

@@ -137,12 +137,25 @@ def locale_number(c: str | Column) -> Column:
 def display_or_na(c: str | Column, suffix: str = "") -> Column:
     """``fmt(val, suffix)`` of the dashboard: number text + suffix or 'N/A'."""
     x = col(c)
-    return F.when(x.isNull(), F.lit("N/A")).otherwise(F.concat(locale_number(x), F.lit(suffix)))
+    return F.when(x.isNull(), F.lit(K.CARD_NA)).otherwise(F.concat(locale_number(x), F.lit(suffix)))
 
 
 def js_text(c: str | Column) -> Column:
     """``${value}`` in a JavaScript template: NULL prints as 'null'."""
-    return F.coalesce(col(c).cast("string"), F.lit("null"))
+    return F.coalesce(col(c).cast("string"), F.lit(K.CARD_NULL))
+
+
+def fill(template: str, *values: str | Column) -> Column:
+    """Text template with ``{}`` slots filled by column values (concat)."""
+    parts = template.split("{}")
+    assert len(parts) == len(values) + 1, template
+    out: list[Column] = []
+    for text, v in zip(parts, list(values) + [None]):
+        if text:
+            out.append(F.lit(text))
+        if v is not None:
+            out.append(col(v))
+    return F.concat(*out)
 
 
 def replace_first(s: str | Column, old: str, new: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import dbl, display_or_na, js_round, js_text, locale_number, nan_to_null
+from ..functions.columns import dbl, display_or_na, fill, js_round, js_text, locale_number, nan_to_null
 
 
 def web_score(df: DataFrame, ej_cols: list[str] | None = None) -> Column:
@@ -66,25 +66,24 @@ def facility_card(df: DataFrame, id_col: str = "facility_id") -> DataFrame:
     """the side-panel text of every facility."""
     s = scored_web(df)
     cap = F.col("capacity_mw")
-    households = F.when(cap.isNull(), F.lit("N/A")).otherwise(
+    households = F.when(cap.isNull(), F.lit(K.CARD_NA)).otherwise(
         locale_number(js_round(cap * dbl(1000) / dbl(K.HOUSEHOLD_KW))))
     band, _ = capacity_band(cap)
     pct = []
     for label, c in K.CARD_PERCENTILES:
         v = F.col(c)
-        pct.append(F.when(v.isNull(), F.lit("N/A"))
-                   .otherwise(F.concat(js_round(v).cast("string"), F.lit("th")))
+        pct.append(F.when(v.isNull(), F.lit(K.CARD_NA))
+                   .otherwise(fill(K.CARD_PERCENTILE, js_round(v).cast("string")))
                    .alias(c.replace("ej_", "pct_")))
     return s.select(
         id_col,
         js_text("brand").alias("title"),
         js_text("company").alias("subtitle"),
-        F.when(F.coalesce(F.col("address"), F.lit("")) == "", F.lit("N/A")).otherwise(F.col("address"))
+        F.when(F.coalesce(F.col("address"), F.lit("")) == "", F.lit(K.CARD_NA)).otherwise(F.col("address"))
          .alias("address_line"),
-        F.concat(js_text("city"), F.lit(", "), js_text("county"), F.lit(" County, VA "), js_text("zip"))
-         .alias("place_line"),
+        fill(K.CARD_PLACE, js_text("city"), js_text("county"), js_text("zip")).alias("place_line"),
         display_or_na("pop_within_mile").alias("population"),
-        F.when(F.coalesce(F.col("water_stress_index"), F.lit("")) == "", F.lit("N/A"))
+        F.when(F.coalesce(F.col("water_stress_index"), F.lit("")) == "", F.lit(K.CARD_NA))
          .otherwise(F.col("water_stress_index")).alias("water_stress"),
         water_class().alias("water_class"),
         display_or_na("capacity_mw", " MW").alias("capacity"),
@@ -92,7 +91,7 @@ def facility_card(df: DataFrame, id_col: str = "facility_id") -> DataFrame:
         display_or_na("est_load_50_mw", " MW").alias("est_load_50"),
         display_or_na("annual_load_50_twh", " TWh").alias("annual_load"),
         households.alias("households"),
-        F.concat(F.col("web_score").cast("string"), F.lit("/100")).alias("score_text"),
+        fill(K.CARD_SCORE, F.col("web_score").cast("string")).alias("score_text"),
         "web_score", "web_tier", "web_colour", *pct)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import dbl, fmt0, lenient_double, lenient_int, nan_to_null, row_max, thousands
+from ..functions.columns import dbl, fill, fmt0, lenient_double, lenient_int, nan_to_null, row_max, thousands
 from ..functions.wkb import with_point_xy
 
 # --- cleaning ----------------------------------------------------------------------
@@ -71,49 +71,38 @@ def score_parts(df: DataFrame, ej_cols: list[str] | None = None) -> DataFrame:
     d = d.withColumn("ej_concern", F.coalesce(F.col("ej_max_percentile") >= dbl(K.EJ_CONCERN_PERCENTILE),
                                               F.lit(False)))
     cap, ejm = F.col("capacity_numeric"), F.col("ej_max_percentile")
-    mw = F.concat(fmt0(cap), F.lit(" MW"))
-    d = d.select(
+    none = F.lit(None).cast("string")
+    p_lo, p_mid, p_hi, p_top = K.DETAIL_POWER
+    w_lo, w_mid, w_hi = K.DETAIL_WATER
+    n_lo, n_mid, n_hi, n_top = K.DETAIL_POPULATION
+    concern = F.col("ej_concern")
+    return d.select(
         "*",
         F.when(cap.isNull(), 0).when(cap <= 20, 28).when(cap <= 75, 18).when(cap <= 200, 7)
          .otherwise(0).alias("power_points"),
-        F.when(cap.isNull(), F.lit("No capacity data"))
-         .when(cap > 200, F.concat(F.lit("High capacity ("), fmt0(cap), F.lit(" MW)"))).alias("power_reason"),
-        F.when(cap.isNull(), F.lit("No data"))
-         .when(cap <= 20, F.concat(mw, F.lit(" (≤20)")))
-         .when(cap <= 75, F.concat(mw, F.lit(" (20-75)")))
-         .when(cap <= 200, F.concat(mw, F.lit(" (75-200)")))
-         .otherwise(F.concat(mw, F.lit(" (>200)"))).alias("power_detail"),
-        F.when(F.col("ej_concern"), 0).otherwise(20).alias("ej_points"),
-        F.when(F.col("ej_concern"), F.concat(
-            F.lit("Environmental justice concerns (max percentile: "), fmt0(ejm), F.lit(")"))).alias("ej_reason"),
-        F.when(F.col("ej_concern"), F.concat(F.lit("EJ flag (max percentile: "), fmt0(ejm), F.lit(")")))
-         .otherwise(F.lit("No EJ concerns (all percentiles < 80)")).alias("ej_detail"),
+        F.when(cap.isNull(), F.lit(K.REASON_NO_CAPACITY))
+         .when(cap > 200, fill(K.REASON_HIGH_CAPACITY, fmt0(cap))).alias("power_reason"),
+        F.when(cap.isNull(), F.lit(K.DETAIL_NO_DATA)).when(cap <= 20, fill(p_lo, fmt0(cap)))
+         .when(cap <= 75, fill(p_mid, fmt0(cap))).when(cap <= 200, fill(p_hi, fmt0(cap)))
+         .otherwise(fill(p_top, fmt0(cap))).alias("power_detail"),
+        F.when(concern, 0).otherwise(20).alias("ej_points"),
+        F.when(concern, fill(K.REASON_EJ, fmt0(ejm))).alias("ej_reason"),
+        F.when(concern, fill(K.DETAIL_EJ_FLAG, fmt0(ejm))).otherwise(F.lit(K.DETAIL_EJ_OK)).alias("ej_detail"),
         F.when(pop.isNull(), 0).when(pop < 1000, 15).when(pop < 5000, 10).when(pop < 10000, 5)
          .otherwise(0).alias("pop_points"),
-        F.when(pop.isNull(), F.lit("No population data"))
-         .when(pop < 1000, F.lit(None).cast("string"))
-         .when(pop < 5000, F.concat(F.lit("Population exposure: "), fmt0(pop), F.lit(" residents")))
-         .when(pop < 10000, F.concat(F.lit("High population exposure: "), fmt0(pop), F.lit(" residents")))
-         .otherwise(F.concat(F.lit("Very high population exposure: "), fmt0(pop), F.lit(" residents")))
-         .alias("pop_reason"),
-        _pop_detail(pop).alias("pop_detail"),
+        F.when(pop.isNull(), F.lit(K.REASON_NO_POPULATION)).when(pop < 1000, none)
+         .when(pop < 5000, fill(K.REASON_POPULATION, fmt0(pop)))
+         .when(pop < 10000, fill(K.REASON_POPULATION_HIGH, fmt0(pop)))
+         .otherwise(fill(K.REASON_POPULATION_VERY_HIGH, fmt0(pop))).alias("pop_reason"),
+        F.when(pop.isNull(), F.lit(K.DETAIL_NO_DATA)).when(pop < 1000, fill(n_lo, thousands(pop)))
+         .when(pop < 5000, fill(n_mid, thousands(pop))).when(pop < 10000, fill(n_hi, thousands(pop)))
+         .otherwise(fill(n_top, thousands(pop))).alias("pop_detail"),
         F.when(ws.isin(K.WATER_LOW), 12).when(ws == K.WATER_MEDIUM_HIGH, 6).otherwise(0).alias("water_points"),
-        F.when(ws.isin(K.WATER_LOW), F.lit(None).cast("string"))
-         .when(ws == K.WATER_MEDIUM_HIGH, F.lit("Medium-high water stress"))
-         .when(ws.isin(K.WATER_HIGH), F.concat(F.lit("High water stress ("), ws, F.lit(")"))).alias("water_reason"),
-        F.when(ws.isin(K.WATER_LOW), F.concat(F.lit("Low stress: "), ws))
-         .when(ws == K.WATER_MEDIUM_HIGH, F.concat(F.lit("Med-high stress: "), ws))
-         .when(ws.isin(K.WATER_HIGH), F.concat(F.lit("High/extreme stress: "), ws))
-         .otherwise(F.lit("No data")).alias("water_detail"),
+        F.when(ws.isin(K.WATER_LOW), none).when(ws == K.WATER_MEDIUM_HIGH, F.lit(K.REASON_WATER_MEDIUM_HIGH))
+         .when(ws.isin(K.WATER_HIGH), fill(K.REASON_WATER_HIGH, ws)).alias("water_reason"),
+        F.when(ws.isin(K.WATER_LOW), fill(w_lo, ws)).when(ws == K.WATER_MEDIUM_HIGH, fill(w_mid, ws))
+         .when(ws.isin(K.WATER_HIGH), fill(w_hi, ws)).otherwise(F.lit(K.DETAIL_NO_DATA)).alias("water_detail"),
     )
-    return d
-
-
-def _pop_detail(pop: Column) -> Column:
-    n = thousands(pop)  # int(pop) with thousands separators
-    res = lambda band: F.concat(n, F.lit(f" residents ({band})"))
-    return (F.when(pop.isNull(), F.lit("No data")).when(pop < 1000, res("<1,000"))
-            .when(pop < 5000, res("1k-5k")).when(pop < 10000, res("5k-10k")).otherwise(res("≥10k")))
 
 
 def tier(score: Column) -> Column:
@@ -139,12 +128,9 @@ def exemption_scores(df: DataFrame) -> DataFrame:
 def score_breakdown(scored: DataFrame, id_col: str = "facility_id") -> DataFrame:
     """eight rows per facility: category, points, max points, detail,
     whether the category is scored, and the facility total."""
-    parts = [
-        ("Power", "power_points", K.POWER_POINTS, "power_detail"),
-        ("Environmental Justice", "ej_points", K.EJ_POINTS, "ej_detail"),
-        ("Population", "pop_points", K.POPULATION_POINTS, "pop_detail"),
-        ("Water Stress", "water_points", K.WATER_POINTS, "water_detail"),
-    ]
+    parts = list(zip(K.SCORED_CATEGORIES, ["power_points", "ej_points", "pop_points", "water_points"],
+                     [K.POWER_POINTS, K.EJ_POINTS, K.POPULATION_POINTS, K.WATER_POINTS],
+                     ["power_detail", "ej_detail", "pop_detail", "water_detail"]))
     structs = [F.struct(F.lit(i + 1).alias("category_no"), F.lit(name).alias("category"),
                         F.col(pts).alias("points"), F.lit(mx).alias("max_points"),
                         F.col(det).alias("detail"), F.lit(True).alias("scored"))
@@ -180,4 +166,4 @@ def facility_label(df: DataFrame) -> Column:
         return F.col("brand")
     if "company" in df.columns:
         return F.col("company")
-    return F.lit("Unknown Facility")
+    return F.lit(K.UNKNOWN_FACILITY)

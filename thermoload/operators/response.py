@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import dbl, null_double, is_finite, js_round, nan_to_null, replace_first, thousands
+from ..functions.columns import dbl, fill, is_finite, js_round, nan_to_null, null_double, replace_first, thousands
 
 
 def rows_per_location(base: DataFrame) -> DataFrame:
@@ -182,8 +182,9 @@ def window_peaks(daily: DataFrame, windows: list[tuple[int, str, str]] | None =
     agg = hits.groupBy("year", "x0", "x1").agg(F.max("load_mwh").alias("max_load"))
     j = w.join(agg, ["year", "x0", "x1"], "left")
     peak = F.greatest(F.coalesce(F.col("max_load"), dbl(0)), dbl(0))
-    label_day = replace_first(replace_first("x0", "-06-", "-07-"), "-01", "-15")
+    label_day = F.col("x0")
+    for old, new in K.PEAK_DAY_REPLACEMENTS:
+        label_day = replace_first(label_day, old, new)
     return j.select(
         "year", "x0", "x1", peak.alias("peak_mwh"), label_day.alias("label_day"),
-        F.concat(F.lit("Summer "), F.col("year").cast("string"), F.lit("<br><b>"),
-                 thousands(js_round(peak)), F.lit(" MWh</b>")).alias("label"))
+        fill(K.PEAK_LABEL, F.col("year").cast("string"), thousands(js_round(peak))).alias("label"))
