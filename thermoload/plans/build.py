@@ -19,10 +19,6 @@ from ..sources import json_sources as J
 from ..sources.sinks import replace_table
 
 
-def _year(c: str):
-    return F.year(F.col(c)).alias("year")
-
-
 def build_hourly(spark: SparkSession, noaa_raw: DataFrame, eia_raw: DataFrame, root: str) -> dict[str, int]:
     """Entry A: weather and load -> hourly tables -> ``base_combine``."""
     n: dict[str, int] = {}
@@ -32,9 +28,10 @@ def build_hourly(spark: SparkSession, noaa_raw: DataFrame, eia_raw: DataFrame, r
     temps = spark.read.parquet(f"{root}/noaa_hourly_temp").drop("year")
     n["noaa_hourly_avg"] = replace_table(hourly.hourly_temperature(temps), f"{root}/noaa_hourly_avg",
                                          sort_within=["station", "hour_utc"], name="noaa_hourly_avg")
-    rows = hourly.load_rows(eia_raw)
-    n["eia_hourly_raw"] = replace_table(rows, f"{root}/eia_hourly_raw", name="eia_hourly_raw")
-    rows = spark.read.parquet(f"{root}/eia_hourly_raw")
+    rows = hourly.load_rows(eia_raw).withColumn("year", F.substring("period", 1, 4))
+    n["eia_hourly_raw"] = replace_table(rows, f"{root}/eia_hourly_raw", ["year"], ["parent", "period"],
+                                        "eia_hourly_raw")
+    rows = spark.read.parquet(f"{root}/eia_hourly_raw").drop("year")
     n["eia_load_hourly"] = replace_table(hourly.hourly_load(rows), f"{root}/eia_load_hourly",
                                          sort_within=["region", "hour_utc"], name="eia_load_hourly")
     bc = hourly.combine(spark, spark.read.parquet(f"{root}/noaa_hourly_avg"),
