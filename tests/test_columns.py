@@ -36,6 +36,19 @@ def test_strict_double_raises(spark):
         one_col(spark, ["12", "abc"], C.strict_double)
 
 
+def test_decode_weather_time_is_strict_without_ansi(spark):
+    from thermoload.operators.hourly import decode_weather
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        ok = spark.createDataFrame([("1", "2024-01-01T00:52:00", "+0010,1")], "STATION string, DATE string, TMP string")
+        assert str(decode_weather(ok).first().ts_utc) == "2024-01-01 00:52:00"
+        bad = spark.createDataFrame([("1", "Jan 1st", "+0010,1")], "STATION string, DATE string, TMP string")
+        with pytest.raises(PySparkException):
+            decode_weather(bad).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
 def test_strict_timestamp_raises_on_wrong_format(spark):
     ok = one_col(spark, ["2019-01-01T05"], lambda c: C.strict_timestamp(c, "yyyy-MM-dd'T'HH"))
     assert str(ok[0]) == "2019-01-01 05:00:00"

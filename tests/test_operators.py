@@ -129,6 +129,9 @@ def test_csv_union_by_name(spark, tmp_dir):
     df = read_csv_union(spark, f"{tmp_dir}/in/*.csv", columns=["STATION", "DATE", "TMP"])
     got = sorted(tuple(r) for r in hourly.decode_weather(df).collect())
     assert [(g[0], g[2]) for g in got] == [("1", None), ("BOS", 20.0), ("IAD", 10.0)]
+    from thermoload.sources.weather_csv import infer_csv_types
+    types = infer_csv_types(spark, f"{tmp_dir}/in/*.csv")
+    assert len(types) == 3 and types[("STATION", "DATE", "TMP")]["STATION"].dataType.typeName() in ("long", "integer")
 
 
 def test_json_pages(spark, tmp_dir):

@@ -37,14 +37,19 @@ def trunc_day(ts: str | Column) -> Column:
 
 # --- text -> numbers -------------------------------------------------------------
 
-def strict_double(c: str | Column, what: str = "value") -> Column:
-    """CAST(x AS DOUBLE) that raises on malformed text regardless of ANSI mode."""
+def strict_cast(c: str | Column, to: str, what: str = "value") -> Column:
+    """CAST that raises on malformed text regardless of the session's ANSI mode."""
     x = col(c)
-    v = x.try_cast("double")
+    v = x.try_cast(to)
     return F.when(x.isNotNull() & v.isNull(),
                   F.raise_error(F.concat(F.lit(f"malformed {what}: "), x))).otherwise(v)
 
 
+def strict_double(c: str | Column, what: str = "value") -> Column:
+    """CAST(x AS DOUBLE), strict."""
+    return strict_cast(c, "double", what)
+
+
 def strict_timestamp(c: str | Column, fmt: str, what: str = "period") -> Column:
     """Format parse that raises on a mismatch (like STRPTIME), result NTZ."""
     x = col(c)

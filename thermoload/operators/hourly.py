@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import (
-    dbl, decode_tmp, station_code, strict_double, strict_timestamp, trunc_hour,
+    dbl, decode_tmp, station_code, strict_cast, strict_double, strict_timestamp, trunc_hour,
 )
 
 # --- weather --------------------------------------------------------------------
@@ -29,7 +29,7 @@ def decode_weather(raw: DataFrame, station_ids: dict[str, str] | None = None) ->
     """
     return raw.select(
         station_code("STATION", station_ids).alias("station"),
-        F.col("DATE").cast("timestamp_ntz").alias("ts_utc"),
+        strict_cast("DATE", "timestamp_ntz", "observation time").alias("ts_utc"),
         decode_tmp("TMP").alias("temp_C"),
     )
 

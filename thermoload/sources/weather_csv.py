@@ -49,6 +49,20 @@ def read_csv_union(spark: SparkSession, pattern: str, columns: list[str] | None
     return out
 
 
+def infer_csv_types(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], StructType]:
+    """S2, for exploration only: the types Spark infers for each header group
+    when it samples every row (``samplingRatio=1.0``, like sniffing all
+    files). Production reads use the all-string schema plus explicit casts,
+    because inference costs a full extra pass and can change between landings."""
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for f in list_files(spark, pattern):
+        h = csv_header(spark, f)
+        if h:
+            groups[h].append(f)
+    return {h: spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", 1.0)
+            .csv(files).schema for h, files in groups.items()}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Land rows as CSV files with a header line (one file per partition)."""
     df.write.mode("overwrite").option("header", True).csv(path)
