@@ -208,3 +208,31 @@ def test_rows_per_location_and_locations(spark):
     base = spark.createDataFrame([("IAD",), ("BOS",), ("IAD",)], "location string")
     assert [tuple(r) for r in response.rows_per_location(base).collect()] == [("IAD", 2), ("BOS", 1)]
     assert sorted(r.location for r in response.locations(base).collect()) == ["BOS", "IAD"]
+
+
+def test_dashboard_card_rules(spark):
+    rows = [(1, 20.0, None, "High (40-80%)", 79.5, "B", "C", "A St", "X", "Loudoun", "20100", 1234.5678, 0.5),
+            (2, 20.01, 12345, "Low (<10%)", None, None, None, "", None, None, None, None, None),
+            (3, 200.0, 5, "Arid and Low Water Use", 12.5, "B", "C", None, "X", "Fairfax", "20101", 1.0, 2.0),
+            (4, None, 999, None, None, "B", "C", "x", "X", "Culpeper", "20102", None, None)]
+    schema = ("facility_id long, capacity_mw double, pop_within_mile int, water_stress_index string, "
+              "ej_particulate_matter double, brand string, company string, address string, city string, "
+              "county string, zip string, est_load_50_mw double, annual_load_50_twh double")
+    df = spark.createDataFrame(rows, schema)
+    for c in K.EJ_COLUMNS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("double"))
+    card = {r.facility_id: r for r in dashboard.facility_card(df).collect()}
+    assert card[1].capacity_band == "≤ 20 MW" and card[2].capacity_band == "20 – 75 MW"
+    assert card[3].capacity_band == "75 – 200 MW" and card[4].capacity_band == "Unknown"
+    assert [card[i].water_class for i in (1, 2, 3, 4)] == ["high", "low", "other", ""]
+    assert card[1].households == "16,667" and card[4].households == "N/A"  # Math.round(20000 / 1.2)
+    assert card[1].pct_particulate_matter == "80th" and card[3].pct_particulate_matter == "13th"
+    assert card[2].pct_particulate_matter == "N/A"
+    assert card[2].title == "null" and card[2].address_line == "N/A" and card[3].address_line == "N/A"
+    assert card[2].place_line == "null, null County, VA null"
+    assert card[1].est_load_50 == "1,234.568 MW" and card[1].annual_load == "0.5 TWh"
+    assert card[2].population == "12,345" and card[1].population == "N/A"
+    assert card[1].score_text == "48/100" and card[1].web_tier == "No Exemption"  # 28 + 20 + 0 + 0
+    mk = {r.facility_id: (r.z_offset, r.draw_layer, r.colour) for r in dashboard.facility_markers(df).collect()}
+    assert mk[4] == (-1000, 0, "#999") and mk[1] == (0, 1, "#ffaa00")
