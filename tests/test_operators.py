@@ -234,5 +234,6 @@ def test_dashboard_card_rules(spark):
     assert card[1].est_load_50 == "1,234.568 MW" and card[1].annual_load == "0.5 TWh"
     assert card[2].population == "12,345" and card[1].population == "N/A"
     assert card[1].score_text == "48/100" and card[1].web_tier == "No Exemption"  # 28 + 20 + 0 + 0
-    mk = {r.facility_id: (r.z_offset, r.draw_layer, r.colour) for r in dashboard.facility_markers(df).collect()}
+    pts = df.withColumn("lat", F.lit(39.0)).withColumn("lon", F.lit(-77.5))
+    mk = {r.facility_id: (r.z_offset, r.draw_layer, r.colour) for r in dashboard.facility_markers(pts).collect()}
     assert mk[4] == (-1000, 0, "#999") and mk[1] == (0, 1, "#ffaa00")
