@@ -167,3 +167,10 @@ def facility_label(df: DataFrame) -> Column:
     if "company" in df.columns:
         return F.col("company")
     return F.lit(K.UNKNOWN_FACILITY)
+
+
+def sample_breakdown(sample: DataFrame, scored: DataFrame, id_col: str = "facility_id") -> DataFrame:
+    """The scoring script's report: for each sampled facility (at most five
+    rows, broadcast) its eight category rows with points and detail."""
+    rows = score_breakdown(scored, id_col)
+    return rows.join(F.broadcast(sample.select("sample_no", id_col, "label", "county", "exemption_tier")), id_col)

@@ -234,6 +234,11 @@ def q_score_sample(spark, sf):
     return positional.select_positions(s, ["exemption_score", "facility_id"], positional.quartile_positions)
 
 
+def q_sample_breakdown(spark, sf):
+    """W3 + F7: the per-category report of the five sampled facilities."""
+    return facilities.sample_breakdown(q_score_sample(spark, sf), scored_df(spark, sf))
+
+
 def q_score_web(spark, sf):
     return dashboard.scored_web(fac_clean_df(spark, sf)).select("facility_id", "web_score", "web_tier", "web_colour")
 
@@ -389,6 +394,7 @@ QUERIES: dict[str, Query] = {
     "score_breakdown": q_score_breakdown,
     "key_issues": q_key_issues,
     "score_sample": q_score_sample,
+    "sample_breakdown": q_sample_breakdown,
     "score_web": q_score_web,
     "score_histogram": q_score_histogram,
     "facility_card": q_facility_card,
