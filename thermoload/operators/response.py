@@ -46,12 +46,15 @@ PIVOT_NAMES = {K.CAT_COLD: "cold_load_mwh", K.CAT_HOT: "hot_load_mwh", K.CAT_NOR
 
 
 def category_pivot(base: DataFrame) -> DataFrame:
-    """One row per location, one mean-load column per category. The
-    value list is explicit, so Spark pivots in a single aggregation."""
-    p = (base.withColumn("temp_category", temperature_category())
-         .groupBy("location").pivot("temp_category", K.CATEGORIES)
-         .agg(F.avg(nan_to_null("load_mwh"))))
-    return p.select("location", *[F.col(f"`{k}`").alias(v) for k, v in PIVOT_NAMES.items()])
+    """One row per location, one mean-load column per category.
+
+    Written as conditional averages in one aggregation: the same result as
+    ``groupBy(location).pivot(category, values).avg(load)``, whose two-phase
+    plan costs a second shuffle."""
+    cat = temperature_category()
+    load = nan_to_null("load_mwh")
+    return base.groupBy("location").agg(
+        *[F.avg(F.when(cat == F.lit(k), load)).alias(v) for k, v in PIVOT_NAMES.items()])
 
 
 def daily_means(base: DataFrame) -> DataFrame:
@@ -180,7 +183,7 @@ def window_peaks(daily: DataFrame, windows: list[tuple[int, str, str]] | None =
     d = daily.filter(F.col("location") == location).select("date", nan_to_null("load_mwh").alias("load_mwh"))
     hits = d.join(F.broadcast(w), (d["date"] >= w["d0"]) & (d["date"] <= w["d1"]))
     agg = hits.groupBy("year", "x0", "x1").agg(F.max("load_mwh").alias("max_load"))
-    j = w.join(agg, ["year", "x0", "x1"], "left")
+    j = w.join(F.broadcast(agg), ["year", "x0", "x1"], "left")  # agg: at most one row per window
     peak = F.greatest(F.coalesce(F.col("max_load"), dbl(0)), dbl(0))
     label_day = F.col("x0")
     for old, new in K.PEAK_DAY_REPLACEMENTS:
