@@ -237,3 +237,11 @@ def test_dashboard_card_rules(spark):
     pts = df.withColumn("lat", F.lit(39.0)).withColumn("lon", F.lit(-77.5))
     mk = {r.facility_id: (r.z_offset, r.draw_layer, r.colour) for r in dashboard.facility_markers(pts).collect()}
     assert mk[4] == (-1000, 0, "#999") and mk[1] == (0, 1, "#ffaa00")
+
+
+def test_window_peaks_overlapping_windows(spark):
+    d = spark.createDataFrame([("IAD", dt.date(2024, 1, 5), 7.0), ("IAD", dt.date(2024, 1, 15), 9.0)],
+                              "location string, date date, load_mwh double")
+    wins = [(1, "2024-01-01", "2024-01-10"), (2, "2024-01-05", "2024-01-20"), (3, "2024-02-01", "2024-02-02")]
+    out = {r.year: r.peak_mwh for r in response.window_peaks(d, wins).collect()}
+    assert out == {1: 7.0, 2: 9.0, 3: 0.0}

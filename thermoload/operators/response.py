@@ -171,19 +171,24 @@ def window_peaks(daily: DataFrame, windows: list[tuple[int, str, str]] | None =
     """Peak daily mean load of ``location`` inside each date window
     (``x0 <= day <= x1``), floored at 0; windows without data give 0.
 
-    The window list is a small parameter relation (a few rows, fixed by the
-    caller), so it is the broadcast side of the range join; the daily rows
-    stream past it. Label day and text follow the dashboard: first '-06-'
-    -> '-07-', then first '-01' -> '-15'; ``'Summer YYYY'`` + the JS-rounded
-    peak with thousands separators.
+    The window list is a small parameter, so the range join is an expression:
+    every day gets the ids of the windows that contain it (an overlap counts
+    for each window), and the peaks are a grouped max. No nested-loop join;
+    the at-most-one-row-per-window result is broadcast back onto the list.
+    Label day and text follow the dashboard (first-occurrence replaces, then
+    ``'Summer YYYY'`` with the JS-rounded peak and thousands separators).
     """
     spark = daily.sparkSession
-    w = spark.createDataFrame(windows or K.SUMMER_WINDOWS, "year int, x0 string, x1 string")
-    w = w.select("year", "x0", "x1", F.to_date("x0").alias("d0"), F.to_date("x1").alias("d1"))
-    d = daily.filter(F.col("location") == location).select("date", nan_to_null("load_mwh").alias("load_mwh"))
-    hits = d.join(F.broadcast(w), (d["date"] >= w["d0"]) & (d["date"] <= w["d1"]))
-    agg = hits.groupBy("year", "x0", "x1").agg(F.max("load_mwh").alias("max_load"))
-    j = w.join(F.broadcast(agg), ["year", "x0", "x1"], "left")  # agg: at most one row per window
+    windows = windows or K.SUMMER_WINDOWS
+    w = spark.createDataFrame([(i, y, x0, x1) for i, (y, x0, x1) in enumerate(windows)],
+                              "w int, year int, x0 string, x1 string")
+    day = F.col("date")
+    ids = F.array(*[F.when((day >= F.to_date(F.lit(x0))) & (day <= F.to_date(F.lit(x1))), F.lit(i))
+                    for i, (_, x0, x1) in enumerate(windows)])
+    hits = (daily.filter(F.col("location") == location)
+            .select(F.explode(F.array_compact(ids)).alias("w"), nan_to_null("load_mwh").alias("load_mwh")))
+    agg = hits.groupBy("w").agg(F.max("load_mwh").alias("max_load"))
+    j = w.join(F.broadcast(agg), "w", "left")  # agg: at most one row per window
     peak = F.greatest(F.coalesce(F.col("max_load"), dbl(0)), dbl(0))
     label_day = F.col("x0")
     for old, new in K.PEAK_DAY_REPLACEMENTS:
