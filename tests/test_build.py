@@ -21,3 +21,5 @@ def test_build_all(spark, tmp_dir):
     hw = spark.sql("SELECT sum(is_heatwave_day) FROM heat_load_daily").first()[0]
     assert hw == 38  # days inside runs of >= 3 hot days at sf0.001 (SURVEY §5)
     assert spark.read.text(f"{tmp_dir}/daily_load_json").count() == 4
+    audit = {r.table_name: r.rows for r in spark.read.parquet(f"{tmp_dir}/row_audit").collect()}
+    assert audit == counts

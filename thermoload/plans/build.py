@@ -100,8 +100,12 @@ def build_facilities(spark: SparkSession, facility_raw: DataFrame, root: str) ->
 
 def build_all(spark: SparkSession, noaa_raw: DataFrame, eia_raw: DataFrame, facility_raw: DataFrame,
               root: str) -> dict[str, int]:
+    """All steps in order; the row count of every written table (observed
+    during its write) is returned and also stored as the ``row_audit`` table."""
     counts = build_hourly(spark, noaa_raw, eia_raw, root)
     counts.update(build_daily(spark, root))
     counts.update(build_analysis(spark, root))
     counts.update(build_facilities(spark, facility_raw, root))
+    audit = spark.createDataFrame(sorted(counts.items()), "table_name string, rows bigint")
+    audit.coalesce(1).write.mode("overwrite").parquet(f"{root}/row_audit")  # one row per table
     return counts
