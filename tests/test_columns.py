@@ -5,7 +5,6 @@ import struct
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException  # noqa: F401
 
 from thermoload.functions import columns as C
 from thermoload.functions.wkb import with_point_xy, wkb_point_xy
