@@ -21,6 +21,8 @@ CONF = {
     "spark.ui.showConsoleProgress": "false",
     # dynamic records: a key repeated inside one object keeps its last value
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # checkpoint files (positional sample) are removed once nothing references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Wide CASE/string projections generate big methods; HotSpot does not JIT
     # methods over 8000 bytes, so cap whole-stage codegen there (Spark's own
     # recommendation) and let the JVM compile the rest.
