@@ -23,3 +23,16 @@ def test_build_all(spark, tmp_dir):
     assert spark.read.text(f"{tmp_dir}/daily_load_json").count() == 4
     audit = {r.table_name: r.rows for r in spark.read.parquet(f"{tmp_dir}/row_audit").collect()}
     assert audit == counts
+
+
+def test_command_line_build_from_landed_files(spark, tmp_dir):
+    from thermoload.plans.run import main
+    from thermoload.sources.json_sources import write_load_pages
+    from thermoload.sources.weather_csv import write_csv
+    write_csv(fixtures.noaa_raw(spark, SF), f"{tmp_dir}/landing/noaa")
+    write_load_pages(fixtures.eia_raw(spark, SF), f"{tmp_dir}/landing/eia")
+    fixtures.facility_raw(spark, SF).write.parquet(f"{tmp_dir}/landing/dc.parquet")
+    counts = main(["--weather", f"{tmp_dir}/landing/noaa/*.csv", "--load-pages", f"{tmp_dir}/landing/eia",
+                   "--facilities", f"{tmp_dir}/landing/dc.parquet", "--out", f"{tmp_dir}/out"], spark=spark)
+    assert counts["base_combine"] == 306 and counts["cleaned_va_datacenters"] == 144
+    assert counts["noaa_hourly_temp"] == 1000
