@@ -1,6 +1,6 @@
-"""Command-line build from landed files (a spark-submit entry point).
+"""Command-line build from landed files (launched by ``run_build.py``).
 
-    spark-submit -m thermoload.plans.run \\
+    spark-submit --py-files thermoload.zip run_build.py \\
         --weather '/landing/noaa/*.csv' --load-pages /landing/eia --facilities /landing/dc.parquet \\
         --out /shared/thermoload
 
