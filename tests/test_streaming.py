@@ -1,4 +1,5 @@
-"""Streaming ingest: only new files are read, partials merge to the batch result."""
+"""Streaming ingest: only new files are read, landings with different headers
+align by name, and the partials merge to the batch result."""
 
 from thermoload.operators.hourly import decode_weather, hourly_temperature
 from thermoload.sources import fixtures
@@ -15,7 +16,9 @@ def test_incremental_ingest_matches_batch(spark, tmp_dir):
     q = start_hourly_ingest(spark, f"{tmp_dir}/landing/*", f"{tmp_dir}/out", f"{tmp_dir}/ckpt")
     q.awaitTermination()
     assert hourly_table(spark, f"{tmp_dir}/out").count() == hourly_temperature(decode_weather(first)).count()
-    write_csv(raw.filter("DATE >= '2024-01-10'"), f"{tmp_dir}/landing/b")
+    # the second landing has another header: columns reordered plus an extra one
+    later = raw.filter("DATE >= '2024-01-10'").selectExpr("DATE", "TMP", "'4' AS SOURCE", "STATION")
+    write_csv(later, f"{tmp_dir}/landing/b")
     q = start_hourly_ingest(spark, f"{tmp_dir}/landing/*", f"{tmp_dir}/out", f"{tmp_dir}/ckpt")
     q.awaitTermination()
     got = {(r.station, r.hour_utc): r.temp_C for r in hourly_table(spark, f"{tmp_dir}/out").collect()}

@@ -349,8 +349,8 @@ def q_row_audit(spark, sf):
 
 
 def q_hourly_temp_stream(spark, sf):
-    """Streaming: landed weather files ingested incrementally (two landings,
-    two micro-batches) into the hourly table."""
+    """Streaming: landed weather files ingested incrementally (two landings with
+    different headers, two micro-batches) into the hourly table."""
     from ..streaming.landed_weather import hourly_table, start_hourly_ingest
     raw = fixtures.noaa_raw(spark, sf)
     root = scratch_path(spark, "stream")
@@ -358,7 +358,9 @@ def q_hourly_temp_stream(spark, sf):
     write_csv(raw.filter(half), f"{root}/landing/part1")
     q = start_hourly_ingest(spark, f"{root}/landing/*", f"{root}/hourly", f"{root}/ckpt")
     q.awaitTermination()
-    write_csv(raw.filter(~half), f"{root}/landing/part2")
+    # the second landing carries another header (reordered, one extra column)
+    write_csv(raw.filter(~half).select("DATE", "TMP", F.lit("4").alias("SOURCE"), "STATION"),
+              f"{root}/landing/part2")
     q = start_hourly_ingest(spark, f"{root}/landing/*", f"{root}/hourly", f"{root}/ckpt")
     q.awaitTermination()
     return rounded(hourly_table(spark, f"{root}/hourly"))

@@ -19,14 +19,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .files import csv_header, list_files
 
 
-def read_csv_union(spark: SparkSession, pattern: str, columns: list[str] | None = None) -> DataFrame:
-    """All files matching ``pattern``, aligned by header name.
+def read_csv_union(spark: SparkSession, pattern: str | list[str], columns: list[str] | None = None) -> DataFrame:
+    """All files matching ``pattern`` (or the given list of files), aligned by
+    header name.
 
     ``columns`` narrows the result to those names (the weather decode needs
     STATION, DATE, TMP); a column no file carries is NULL.
     """
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    files = list_files(spark, pattern)
+    files = list(pattern) if isinstance(pattern, list) else list_files(spark, pattern)
     # one small read per file (its first line); I/O bound, so probe in parallel
     with ThreadPoolExecutor(max_workers=min(32, max(1, len(files)))) as pool:
         headers = list(pool.map(lambda f: csv_header(spark, f), files))
@@ -34,6 +35,8 @@ def read_csv_union(spark: SparkSession, pattern: str, columns: list[str] | None
         if h:
             groups[h].append(f)
     if not groups:
+        if isinstance(pattern, list) and columns:  # e.g. a micro-batch of empty files
+            return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))
         raise FileNotFoundError(f"no CSV files with a header match {pattern}")
     parts = []
     for header, files in sorted(groups.items()):

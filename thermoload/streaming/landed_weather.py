@@ -13,8 +13,11 @@ partials, ``sum(sums) / sum(counts)``. Late files (a whole station-year can
 land after later years) need no watermark, no state store grows with the
 history, and each trigger writes only its own partials.
 
-Files of one landing folder must share a header; ``enforceSchema=false``
-makes Spark check it instead of shifting columns silently.
+New files are discovered with the ``binaryFile`` source selecting only the
+path (Spark then does not read the content); each micro-batch reads its own
+files through the batch union-by-name reader, so landings whose header sets
+differ (columns added, reordered or missing) are aligned by name, exactly as
+in the batch build. ``max_files_per_trigger`` bounds a micro-batch.
 """
 
 from __future__ import annotations
@@ -22,23 +25,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..functions.columns import trunc_hour
 from ..operators.hourly import decode_weather
+from ..sources.weather_csv import read_csv_union
 
 WEATHER_COLUMNS = ["STATION", "DATE", "TMP"]
+BINARY_FILE = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()),
+                          StructField("length", LongType()), StructField("content", BinaryType())])
 
 
-def observation_stream(spark: SparkSession, landing_dir: str, columns: list[str] | None = None,
-                       max_files_per_trigger: int | None = None) -> DataFrame:
-    """Decoded observations of newly landed files (station, ts_utc, temp_C)."""
-    schema = StructType([StructField(c, StringType()) for c in (columns or WEATHER_COLUMNS)])
-    r = (spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
-         .option("mode", "FAILFAST"))
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return decode_weather(r.csv(landing_dir))
+def landed_files(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Stream of newly landed file paths (contents are not read here)."""
+    return (spark.readStream.format("binaryFile").schema(BINARY_FILE)
+            .option("maxFilesPerTrigger", max_files_per_trigger).load(landing_dir).select("path"))
+
+
+def observations(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Decoded observations of the given files (station, ts_utc, temp_C)."""
+    return decode_weather(read_csv_union(spark, paths, columns=columns or WEATHER_COLUMNS))
 
 
 def hourly_partials(obs: DataFrame) -> DataFrame:
@@ -48,13 +54,18 @@ def hourly_partials(obs: DataFrame) -> DataFrame:
 
 
 def start_hourly_ingest(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_dir: str,
-                        available_now: bool = True, **kw) -> StreamingQuery:
+                        available_now: bool = True, max_files_per_trigger: int = 1000,
+                        columns: list[str] | None = None) -> StreamingQuery:
     """Run the stream; ``available_now`` processes what has landed and stops,
-    otherwise it triggers every minute."""
+    otherwise it triggers every minute. A micro-batch holds at most
+    ``max_files_per_trigger`` paths, the only rows brought to the driver."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        hourly_partials(batch).write.mode("overwrite").parquet(f"{table_path}/partials/batch={batch_id}")
+        paths = [r.path for r in batch.collect()]
+        if paths:
+            out = hourly_partials(observations(spark, paths, columns))
+            out.write.mode("overwrite").parquet(f"{table_path}/partials/batch={batch_id}")
 
-    w = (observation_stream(spark, landing_dir, **kw).writeStream
+    w = (landed_files(spark, landing_dir, max_files_per_trigger).writeStream
          .option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
