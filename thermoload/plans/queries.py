@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import daily, dashboard, facilities, hourly, positional, response
-from ..sources import fixtures
 from ..session import scratch_path
+from ..sources import fixtures, sinks
 from ..sources import json_sources as J
-from ..sources import sinks
 from ..sources.weather_csv import read_csv_union, write_csv
 from .finish import rounded
 
