@@ -115,3 +115,15 @@ def test_wkb_rejects(spark):
     gx, gy = wkb_point_xy("g")
     assert [tuple(r) for r in df.select(gx, gy).collect()] == [(None, None)] * 4
     assert [(r.x, r.y) for r in with_point_xy(df, "g", "x", "y").collect()] == [(None, None)] * 4
+
+
+def test_wkb_round_trip_random_doubles(spark):
+    import random
+    rnd = random.Random(11)
+    vals = [rnd.uniform(-180, 180) for _ in range(400)] + [rnd.uniform(-1e-300, 1e-300) for _ in range(100)]
+    vals += [struct.unpack("<d", struct.pack("<Q", rnd.getrandbits(63)))[0] for _ in range(400)]
+    vals = [v for v in vals if v == v and abs(v) != float("inf")]
+    rows = [(i, _wkb(v, -v, little=bool(i % 2)), v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "i long, g binary, v double")
+    out = with_point_xy(df, "g", "x", "y").collect()
+    assert all(r.x == r.v and r.y == -r.v for r in out)
