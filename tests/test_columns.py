@@ -127,3 +127,21 @@ def test_wkb_round_trip_random_doubles(spark):
     df = spark.createDataFrame(rows, "i long, g binary, v double")
     out = with_point_xy(df, "g", "x", "y").collect()
     assert all(r.x == r.v and r.y == -r.v for r in out)
+
+
+def test_lenient_casts_match_duckdb_try_cast(spark):
+    """The lenient casts follow DuckDB's TRY_CAST text rules (the engine the
+    original cleaning ran on): decimal text rounds half away from zero on its
+    digits, '0x' hex and digit-group underscores are numbers, other scripts'
+    digits are not."""
+    import duckdb
+    vals = ["12", " 12", "+5", "-0.5", "0.5", "2.5", "-2.5", "5.", ".5", "1e3", "1e-3", "12.5e1", "0x10", "1_000",
+            "1,000", "inf", "nan", "2147483647.4", "2147483647.6", "-2147483648.5", "2147483648", "", "abc",
+            "12abc", "٣", "0012", "3.4999999999999999", "99999999999999999999", "0e5"]
+    con = duckdb.connect()
+    want = con.execute("SELECT TRY_CAST(v AS INTEGER), TRY_CAST(v AS DOUBLE) FROM (SELECT unnest(?) AS v, "
+                       "generate_subscripts(?, 1) AS i) ORDER BY i", [vals, vals]).fetchall()
+    df = spark.createDataFrame(list(enumerate(vals)), "i int, v string").orderBy("i")
+    got = [(r[0], r[1]) for r in df.select(C.lenient_int("v"), C.lenient_double("v")).collect()]
+    nan_safe = lambda rows: [tuple("NaN" if v != v else v for v in r) for r in rows]
+    assert nan_safe(got) == nan_safe(want)

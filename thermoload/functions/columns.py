@@ -59,23 +59,35 @@ def strict_timestamp(c: str | Column, fmt: str, what: str = "period") -> Column:
         F.to_timestamp_ntz(x, F.lit(fmt)))
 
 
-def lenient_double(c: str | Column, strip_commas: bool = False) -> Column:
-    """TRY_CAST(x AS DOUBLE), optionally after removing thousands commas."""
+def _numeric_text(c: str | Column, strip_commas: bool) -> Column:
     x = col(c)
     if strip_commas:
         x = F.replace(x, F.lit(","), F.lit(""))
-    return x.try_cast("double")
+    # digit-group underscores ('1_000') are accepted by the original engine's casts
+    return F.regexp_replace(x, r"(\d)_(?=\d)", "$1")
+
+
+def lenient_double(c: str | Column, strip_commas: bool = False) -> Column:
+    """TRY_CAST(x AS DOUBLE), optionally after removing thousands commas."""
+    return _numeric_text(c, strip_commas).try_cast("double")
 
 
 def lenient_int(c: str | Column, strip_commas: bool = False) -> Column:
     """TRY_CAST(x AS INTEGER) with rounding of decimal text.
 
     ``'1234.7' -> 1235``, ``'2.5' -> 3``, ``'-2.5' -> -3``, ``'1e3' -> 1000``,
-    junk -> NULL. Spark's own ``try_cast(.. AS INT)`` gives NULL for the
-    decimal forms, so go through DOUBLE and round half away from zero.
+    ``'0x10' -> 16``, ``'1_000' -> 1000``, junk -> NULL. Spark's own
+    ``try_cast(.. AS INT)`` gives NULL for the decimal forms, so the text is
+    parsed as DECIMAL and rounded half away from zero.
     """
-    d = lenient_double(c, strip_commas)
-    return F.round(d).try_cast("int")
+    x = F.trim(_numeric_text(c, strip_commas))
+    # exact decimal rounding of the text, half away from zero ('3.4999999999999999' -> 3)
+    # (scale 28 keeps the whole fraction and still 10 integer digits: the INT range)
+    dec = F.when(x.rlike("^[ -~]*$"),  # ASCII only: Java would also read other scripts' digits
+                 F.round(x.try_cast("decimal(38,28)")).try_cast("int"))
+    hexa = F.when(x.rlike(r"^[+-]?0[xX][0-9a-fA-F]+$"),
+                  F.conv(F.regexp_replace(x, r"^([+-]?)0[xX]", "$1"), 16, 10).try_cast("int"))
+    return F.coalesce(dec, hexa)
 
 
 def decode_tmp(c: str | Column) -> Column:
