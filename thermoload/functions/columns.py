@@ -63,8 +63,9 @@ def _numeric_text(c: str | Column, strip_commas: bool) -> Column:
     x = col(c)
     if strip_commas:
         x = F.replace(x, F.lit(","), F.lit(""))
-    # digit-group underscores ('1_000') are accepted by the original engine's casts
-    return F.regexp_replace(x, r"(\d)_(?=\d)", "$1")
+    # digit-group underscores ('1_000') are accepted by the original engine's
+    # casts; the regex only runs on text that has an underscore at all
+    return F.when(F.instr(x, "_") > 0, F.regexp_replace(x, r"(\d)_(?=\d)", "$1")).otherwise(x)
 
 
 def lenient_double(c: str | Column, strip_commas: bool = False) -> Column:
