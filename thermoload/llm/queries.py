@@ -2,19 +2,72 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, quality_rules
 from .common import read_table
 
 
+def op1_quality_rules(spark, sf):
+    v = quality_rules.judge(read_table(spark, sf, "documents")).select("doc_id", "verdict")
+    return v.select("doc_id", *[f"verdict.{c}" for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "odd_characters", "odd_words", "kept")])
+
+
 def op10_exact_dedup(spark, sf):
     return exact_dedup.dedup_ledger(read_table(spark, sf, "documents"))
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_LISTED = quality_rules.COMMON_WORDS
+_OP1_LISTED = ", ".join(f"('{w}')" for w in quality_rules.bins(_LISTED))
+_OP1_LANGS = ", ".join(f"'{x}'" for x in _LISTED)
+
 ORACLE = {
+    "op1_quality_rules": rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+listed(word) AS (VALUES {_OP1_LISTED}),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i+4]) AS n
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+        FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM windows WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines
+          FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+          WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (SELECT doc_id, lang, t, ws, len(ws) AS n_words,
+                length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+         FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+kinds(kind, bin) AS (SELECT 'c', unnest(['a', 'A', '0', ' ', '.', 'x'])
+                     UNION ALL SELECT 'w', word FROM listed UNION ALL SELECT 'w', ''),
+chars AS (SELECT doc_id, 'c' AS kind, CASE WHEN regexp_matches(c, '[a-z]') THEN 'a' WHEN regexp_matches(c, '[A-Z]') THEN 'A'
+              WHEN regexp_matches(c, '[0-9]') THEN '0' WHEN regexp_matches(c, '[\x20\x09-\x0D]') THEN ' '
+              WHEN unicode(c) < 128 THEN '.' ELSE 'x' END AS bin, sum(k) AS x
+          FROM (SELECT doc_id, c, count(*) AS k FROM (SELECT doc_id, unnest(string_split(t, '')) AS c FROM d)
+                WHERE c <> '' GROUP BY ALL) GROUP BY ALL),
+tokens AS (SELECT doc_id, 'w' AS kind, coalesce(word, '') AS bin, count(*) AS x
+           FROM (SELECT doc_id, lower(unnest(ws)) AS u FROM w) LEFT JOIN listed ON u = word GROUP BY ALL),
+h AS (SELECT doc_id, lang, kind, bin, coalesce(x, 0) AS x, sum(coalesce(x, 0)) OVER (PARTITION BY doc_id, kind) AS n
+      FROM (SELECT doc_id, lang, kind, bin FROM d CROSS JOIN kinds)
+      LEFT JOIN (FROM chars UNION ALL FROM tokens) USING (doc_id, kind, bin)),
+sums AS (SELECT lang AS ref, kind, bin, sum(x) AS q FROM h WHERE lang IN ({_OP1_LANGS}) GROUP BY lang, kind, bin),
+refs AS (SELECT ref, kind, bin, q / sum(q) OVER (PARTITION BY ref, kind) AS q FROM sums),
+js AS (SELECT doc_id, kind, ref, sqrt(greatest(0, sum(
+           CASE WHEN x > 0 THEN x / n * log2(2 * (x / n) / (x / n + q)) ELSE 0 END
+           + CASE WHEN q > 0 THEN q * log2(2 * q / (x / n + q)) ELSE 0 END) / 2)) AS js
+       FROM h JOIN refs USING (kind, bin) WHERE n > 0 GROUP BY doc_id, kind, ref),
+near AS (SELECT doc_id, min(js) FILTER (kind = 'c') AS jc, min(js) FILTER (kind = 'w') AS jw FROM js GROUP BY doc_id),
+out AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+               coalesce(length(t) >= {quality_rules.GUARD_CHARS} AND word_chars > 0 AND jc > {quality_rules.CHAR_DISTANCE}, false) AS odd_characters,
+               coalesce(n_words >= {quality_rules.GUARD_WORDS} AND jw > {quality_rules.WORD_DISTANCE}, false) AS odd_words
+        FROM base LEFT JOIN near USING (doc_id))
+SELECT *, NOT (base_failed OR odd_characters OR odd_words) AS kept FROM out""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
