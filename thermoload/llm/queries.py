@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from pyspark.sql import functions as F
+
+from . import exact_dedup, ngram_join, quality_rules
 from .common import read_table
 
 
@@ -13,12 +15,18 @@ def op1_quality_rules(spark, sf):
         "odd_characters", "odd_words", "kept")])
 
 
+def op6_ngram_jaccard_join(spark, sf):
+    found = ngram_join.components(read_table(spark, sf, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_exact_dedup(spark, sf):
     return exact_dedup.dedup_ledger(read_table(spark, sf, "documents"))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -68,6 +76,19 @@ out AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_wor
                coalesce(n_words >= {quality_rules.GUARD_WORDS} AND jw > {quality_rules.WORD_DISTANCE}, false) AS odd_words
         FROM base LEFT JOIN near USING (doc_id))
 SELECT *, NOT (base_failed OR odd_characters OR odd_words) AS kept FROM out""",
+    "op6_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS g
+       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b USING (g)
+           WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+         WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT r.a AS doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(r.b) AS component_id
+FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
