@@ -340,7 +340,7 @@ def crossing_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
     open_ = (at.withColumn("__lo", F.min("root").over(by_sig)).withColumn("__hi", F.max("root").over(by_sig))
              .withColumn("__n", F.count(F.lit(1)).over(by_sig)))
     rank = F.row_number().over(Window.partitionBy("node", "band", "whole").orderBy(
-        F.col("__lo") <> F.col("__hi"), "__n", "sig"))
+        F.col("__lo") != F.col("__hi"), "__n", "sig"))
     # a set needs (shared - slack) of its shared segments, those that lie within
     # one component first, then the rarest; the former can't lead out of it
     ranked = written(open_.withColumn("__rank", rank).filter("__lo <> __hi"), "crossing")
