@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def by_value(module: str) -> None:
+    """Send the module's functions to the workers themselves, not by name: workers then
+    need no copy of this package on their path."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,3 +48,6 @@ def n_words(text: str | Column) -> Column:
 def let(value: Column, fn) -> Column:
     """``fn(value)`` with ``value`` evaluated once per row, however often ``fn`` uses it."""
     return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+by_value(__name__)

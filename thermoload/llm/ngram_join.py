@@ -48,7 +48,6 @@ result.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +57,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import by_value, written
 from .graph import connected_components
 
 SHINGLE = 5
@@ -69,6 +68,7 @@ FILTER_BITS = 26
 _P1 = np.uint64(0x9E3779B97F4A7C15)
 _P2 = np.uint64(0xBF58476D1CE4E5B9)
 _S32 = np.uint64(32)
+_SEGMENTS: dict[tuple[int, int], int] = {}
 
 
 # --- sets ----------------------------------------------------------------------------
@@ -122,11 +122,14 @@ def need(n: int, band: int, t: int = THRESHOLD) -> int:
     return allowed_difference(n, min(band_start(band + 1) - 1, n * 100 // t), t) + 1
 
 
-@lru_cache(None)
 def segments(band: int, t: int = THRESHOLD) -> int:
     """m of a band; 0: each shingle is a segment."""
-    if band == 0:
-        return 0
+    if (band, t) not in _SEGMENTS:
+        _SEGMENTS[band, t] = _segments(band, t) if band else 0
+    return _SEGMENTS[band, t]
+
+
+def _segments(band: int, t: int) -> int:
     low, high = band_start(band), band_start(band + 1) - 1
     sizes = np.unique(np.linspace(low * t // 100, high, 40).astype(int))
     wanted = np.array([need(int(x), band, t) for x in sizes])
@@ -392,3 +395,6 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = docs.mapInArrow(run, schema)
     kept = rows.join(keys, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__set") == F.col("__node")), "left_semi")
     return kept.dropDuplicates([id_col, "__set"]).select(*cols)
+
+
+by_value(__name__)
