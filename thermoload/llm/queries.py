@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat_format, exact_dedup, mixture, ngram_join, packing, quality_rules, secret_ledger, warc_bundles
+from . import chat_format, exact_dedup, language_id, mixture, ngram_join, packing, quality_rules
+from . import secret_ledger, warc_bundles
 from .common import read_table, written
 
 
@@ -21,6 +22,13 @@ def op3_source_mixture(spark, sf):
     return taken.withColumnRenamed("__id", "doc_id")
 
 
+def op4_language_codes(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out("doc_id")))
+    return (language_id.predict(docs, model).withColumnRenamed("id", "doc_id")
+            .withColumn("held_out", language_id.held_out("doc_id")))
+
+
 def op5_secret_ledger(spark, sf):
     """A new ledger is filled from all documents; the report joins it back to them."""
     docs, path = read_table(spark, sf, "documents"), scratch_path(spark, "ledger")
@@ -66,6 +74,7 @@ def op10_exact_dedup(spark, sf):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_source_mixture": op3_source_mixture,
+    "op4_language_codes": op4_language_codes,
     "op5_secret_ledger": op5_secret_ledger,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
