@@ -26,12 +26,13 @@ one by one, and other columns pass through untouched.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import SPACE, let, words
 
 # FIXED VALUES: frequent function words of each language, the bins of the word histogram.
 COMMON_WORDS = {
@@ -40,7 +41,7 @@ COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "por"],
 }
-CLASSES = 6
+CLASSES, SPACES = 6, 3
 MIN_WORDS = 10            # base rule
 MAX_REPEAT_PERCENT = 20   # base rule
 WINDOW = 5
@@ -54,33 +55,43 @@ def bins(common: dict[str, list[str]]) -> list[str]:
     return list(dict.fromkeys(w for ws in common.values() for w in ws))
 
 
-def _length_without(text: Column, pattern: str) -> Column:
+def _without(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def class_counts(text: Column, joined: Column) -> Column:
-    """Six counts of characters; ``joined``: the text without its white space."""
-    def after_lower(rest: Column) -> Column:
-        def after_upper(rest2: Column) -> Column:
-            def after_digits(rest3: Column) -> Column:
-                beyond = F.length(_length_without(rest3, r"[\x00-\x7F]+"))
-                return F.array(F.length(joined) - F.length(rest), F.length(rest) - F.length(rest2),
-                               F.length(rest2) - F.length(rest3), F.length(text) - F.length(joined),
-                               F.length(rest3) - beyond, beyond)
-            return let(_length_without(rest2, "[0-9]+"), after_digits)
-        return let(_length_without(rest, "[A-Z]+"), after_upper)
-    return let(_length_without(joined, "[a-z]+"), after_lower)
+def class_counts(text: Column) -> Column:
+    """Six counts of characters: each class is taken out of what the earlier ones left."""
+    def spaces(rest: Column) -> Column:
+        def upper(rest2: Column) -> Column:
+            def digits(rest3: Column) -> Column:
+                def beyond(rest4: Column) -> Column:
+                    far = F.length(_without(rest4, r"[\x00-\x7F]+"))
+                    return F.array(F.length(text) - F.length(rest), F.length(rest2) - F.length(rest3),
+                                   F.length(rest3) - F.length(rest4), F.length(rest) - F.length(rest2),
+                                   F.length(rest4) - far, far)
+                return let(_without(rest3, "[0-9]+"), beyond)
+            return let(_without(rest2, "[A-Z]+"), digits)
+        return let(_without(rest, SPACE), upper)
+    return let(_without(text, "[a-z]+"), spaces)
 
 
 def common_counts(ws: Column, listed: list[str]) -> Column:
     """One count per listed word, then the count of all other words."""
-    found = F.filter(F.transform(ws, F.lower), lambda w: w.isin(listed))
+    found = F.sort_array(F.filter(F.transform(ws, F.lower), lambda w: w.isin(listed)))
 
-    def count(hits: Column) -> Column:
-        each = F.transform(F.array(*map(F.lit, listed)),
-                           lambda k: F.size(hits) - F.size(F.array_remove(hits, k)))
-        return F.concat(each, F.array(F.size(ws) - F.size(hits)))
-    return let(found, count)
+    def runs(hits: Column) -> Column:
+        """Each word's count is the distance between the starts of runs of the sorted hits."""
+        first = F.filter(F.transform(hits, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
+                         lambda x: (x["i"] == 0) | (x["w"] != F.get(hits, x["i"] - 1)))
+
+        def dense(starts: Column) -> Column:
+            counts = F.map_from_entries(F.transform(starts, lambda x, i: F.struct(
+                x["w"], F.coalesce(F.get(starts, i + 1)["i"], F.size(hits)) - x["i"])))
+            return let(counts, lambda c: F.concat(
+                F.transform(F.array(*map(F.lit, listed)), lambda k: F.coalesce(F.try_element_at(c, k), F.lit(0))),
+                F.array(F.size(ws) - F.size(hits))))
+        return let(first, dense)
+    return let(found, runs)
 
 
 def repeat_words(ws: Column) -> Column:
@@ -96,8 +107,8 @@ def repeat_words(ws: Column) -> Column:
         return let(F.sort_array(F.transform(twice, lambda s: s["p"])), covered)
 
     def by_window(h: Column) -> Column:
-        keys = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW),
-                           lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)]))
+        # the last four start no window; hashed over fewer words, they equal nothing
+        keys = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, WINDOW)]))
 
         def if_any(k: Column) -> Column:
             order = F.sort_array(F.transform(k, lambda x, i: F.struct(x.alias("k"), i.alias("p"))))
@@ -108,25 +119,25 @@ def repeat_words(ws: Column) -> Column:
     return F.when(F.size(ws) <= WINDOW, F.lit(0)).otherwise(let(hashed, by_window))
 
 
-def distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of a histogram to a reference of probabilities."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    share = F.zip_with(counts, F.array(*map(F.lit, reference)),
-                       lambda x, q: F.struct(x.cast("double").alias("x"), q.alias("q")))
-
-    def term(a: Column, mean: Column) -> Column:
-        return F.when(a > 0, a * F.log2(a / mean)).otherwise(F.lit(0.0))
+def nearest(counts: Column, references: list[list[float]]) -> Column:
+    """Jensen-Shannon distance of a histogram to the nearest reference of probabilities.
 
-    def add(n: Column) -> Column:
-        return F.aggregate(share, F.lit(0.0), lambda acc, s: acc + let(
-            s["x"] / n, lambda p: term(p, (p + s["q"]) / 2) + term(s["q"], (p + s["q"]) / 2)))
-    return F.sqrt(F.greatest(F.lit(0.0), let(total, add) / 2))
+    With s = p + q the divergence is (sum p log p + sum q log q - sum s log s) / 2 + 1 in
+    bits, so only the last sum is made once per reference.
+    """
+    def xlogx(x: Column) -> Column:
+        return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
 
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + xlogx(x))
 
-def nearest(counts: Column, references: list[list[float]]) -> Column:
-    """Distance to the nearest reference."""
-    each = [distance(counts, r) for r in references]
-    return each[0] if len(each) == 1 else F.least(*each)
+    def shares(n: Column) -> Column:
+        return let(F.transform(counts, lambda x: x / n), lambda p: let(total(p), lambda own: F.least(*[
+            (own + float(sum(q * math.log2(q) for q in ref if q > 0))
+             - total(F.zip_with(p, F.array(*map(F.lit, ref)), lambda x, q: x + q))) / 2 + 1
+            for ref in references + references[:1]])))
+    n = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.sqrt(F.greatest(F.lit(0.0), let(n, shares)))
 
 
 def references(docs: DataFrame, common: dict[str, list[str]] | None = None, text: str = "text",
@@ -137,7 +148,7 @@ def references(docs: DataFrame, common: dict[str, list[str]] | None = None, text
     t = F.coalesce(F.col(text), F.lit(""))
 
     def histograms(ws: Column) -> Column:
-        return F.struct(class_counts(t, F.array_join(ws, "")).alias("c"), common_counts(ws, listed).alias("w"))
+        return F.struct(class_counts(t).alias("c"), common_counts(ws, listed).alias("w"))
     rows = (docs.filter(F.col(lang).isin(list(common)))
             .select(F.col(lang).alias("__lang"), let(words(t), histograms).alias("__h")))
     sums = rows.groupBy("__lang").agg(
@@ -161,20 +172,21 @@ def verdict(text: str, refs: tuple[list[list[float]], list[list[float]]],
     class_refs, word_refs = refs
 
     def measure(ws: Column) -> Column:
-        def rest(joined: Column) -> Column:
+        def rest(classes: Column) -> Column:
             lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-            far_c = F.when((F.length(t) >= min_chars) & (F.length(joined) > 0),
-                           nearest(class_counts(t, joined), class_refs)) if class_refs else F.lit(None).cast("double")
+            inked = F.length(t) - classes[SPACES]
+            far_c = F.when((F.length(t) >= min_chars) & (inked > 0),
+                           nearest(classes, class_refs)) if class_refs else F.lit(None).cast("double")
             far_w = F.when(F.size(ws) >= min_words,
                            nearest(common_counts(ws, listed), word_refs)) if word_refs else F.lit(None).cast("double")
             return F.struct(
                 F.size(ws).cast("long").alias("n_words"),
-                F.length(joined).cast("long").alias("word_chars"),
-                (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+                inked.cast("long").alias("word_chars"),
+                F.length(_without(t, "[^#*$%&|<>]+")).cast("long").alias("n_symbols"),
                 let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
                 repeat_words(ws).cast("long").alias("n_repeat_words"),
                 far_c.alias("char_distance"), far_w.alias("word_distance"))
-        return let(F.array_join(ws, ""), rest)
+        return let(class_counts(t), rest)
 
     def decide(m: Column) -> Column:
         base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
