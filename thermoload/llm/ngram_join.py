@@ -23,10 +23,11 @@ one of them at least one holds the same subset in the other: the pigeonhole.
 * A signature found in one set only is dropped. A set with H+1 or more such
   segments in a band has no partner there, and is dropped with the rest of its
   signatures: that is what frees sets which merely share a common passage.
-* Of what is left, each signature's members meet its smallest and its largest
-  set (linear in the members), and the pairs are verified exactly on their
+* Of what is left, each signature's members meet its most central set, the
+  one with the fewest segments of its own (linear in the members), and the pairs are verified exactly on their
   texts. Members then still in different components meet each other on the
-  rarest signatures that they need, and are verified. Links inside a component
+  rarest signatures that they need, within the sizes that their unshared shingles
+  leave in reach, and are verified. Links inside a component
   cannot change it, so no link between components is lost and a huge group of
   near copies costs a few comparisons a member.
 
@@ -59,37 +60,53 @@ from pyspark.sql.window import Window
 
 from .common import by_value, written
 from .graph import connected_components
+from .text_hash import P1 as _P1
+from .text_hash import P2 as _P2
+from .text_hash import S32 as _S32
+from .text_hash import mix as _mix
+from .text_hash import text_chunks, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 75
 FIRST_BAND = 64
 NEVER = 1 << 20          # a number of segments that no set has
 FILTER_BITS = 26
-_P1 = np.uint64(0x9E3779B97F4A7C15)
-_P2 = np.uint64(0xBF58476D1CE4E5B9)
-_S32 = np.uint64(32)
 _SEGMENTS: dict[tuple[int, int], int] = {}
 
 
 # --- sets ----------------------------------------------------------------------------
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _S32)) * _P2
-    return x ^ (x >> np.uint64(29))
+def _chunk_sets(b: np.ndarray, edges: np.ndarray, k: int):
+    """Sorted distinct shingle hashes of each text; texts lie end to end in ``b``, cut at ``edges``."""
+    words, at, _, _ = word_hashes(b, edges)
+    if len(words) >= k:
+        acc = np.full(len(words) - k + 1, k, np.uint64)
+        for j in range(k):
+            acc = _mix((acc + words[j:len(words) - k + 1 + j]) * _P1)
+    for i in range(len(edges) - 1):
+        n = at[i + 1] - at[i]
+        if n >= k:
+            s = np.sort(acc[at[i]:at[i + 1] - k + 1])
+            yield s[np.r_[True, s[1:] != s[:-1]]]
+        elif n:
+            one = np.uint64(n)
+            one = np.array([one])
+            for w in words[at[i]:at[i + 1]]:
+                one = _mix((one + w) * _P1)
+            yield one
+        else:
+            yield np.empty(0, np.uint64)
+
+
+def shingle_sets(column: pa.Array, k: int = SHINGLE):
+    """The set of each text of a string column, read from its UTF-8 buffer."""
+    for b, edges in text_chunks(column):
+        yield from _chunk_sets(b, edges, k)
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = text.encode("utf-8").lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    width = min(k, n)
-    acc = np.full(n - width + 1, width, np.uint64)
-    for j in range(width):
-        acc = _mix((acc + h[j:n - width + 1 + j]) * _P1)
-    return np.unique(acc)
+    """Sorted distinct 64-bit hashes of one text's shingles."""
+    return next(shingle_sets(pa.array([text], pa.string()), k))
 
 
 def set_name(s: np.ndarray) -> int:
@@ -189,9 +206,8 @@ def signatures(s: np.ndarray, band: int, c: int, t: int = THRESHOLD) -> tuple[np
 
 # --- passes over the texts ----------------------------------------------------------------
 
-def _texts(batch: pa.RecordBatch, name: str):
-    for v in batch.column(batch.schema.get_field_index(name)):
-        yield v.as_py()
+def _sets(batch: pa.RecordBatch, name: str):
+    return shingle_sets(batch.column(batch.schema.get_field_index(name)))
 
 
 def named_sets(docs: DataFrame, id_col: str, text: str, t: int = THRESHOLD) -> DataFrame:
@@ -205,8 +221,7 @@ def named_sets(docs: DataFrame, id_col: str, text: str, t: int = THRESHOLD) -> D
     def run(batches):
         for b in batches:
             names, sizes, needs = [], [], []
-            for text_ in _texts(b, "__text"):
-                s = shingle_set(text_)
+            for s in _sets(b, "__text"):
                 names.append(set_name(s) if len(s) else None)
                 sizes.append(len(s))
                 found = [(x, neighbourhoods_needed(s, x, t)) for x in bands(len(s), t)] if len(s) else []
@@ -219,13 +234,12 @@ def named_sets(docs: DataFrame, id_col: str, text: str, t: int = THRESHOLD) -> D
 
 
 def signature_rows(docs: DataFrame, text: str, allocation: dict[int, int], t: int = THRESHOLD) -> DataFrame:
-    """``sig``, ``node``, ``info`` = slack * 128 + band * 2 + whole; a task names a set once."""
+    """``sig``, ``node``, ``info`` = wholes * 2^32 + slack * 2^8 + band * 2 + whole; a task names a set once."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             sigs, nodes, infos, held = [], [], [], 0
-            for text_ in _texts(b, "__text"):
-                s = shingle_set(text_)
+            for s in _sets(b, "__text"):
                 if not len(s) or (name := set_name(s)) in seen:
                     continue
                 seen.add(name)
@@ -233,7 +247,7 @@ def signature_rows(docs: DataFrame, text: str, allocation: dict[int, int], t: in
                     sig, whole, slack = signatures(s, x, allocation.get(x, 0), t)
                     sigs.append(sig.view(np.int64))
                     nodes.append(np.full(len(sig), name, np.int64))
-                    infos.append((slack * 128 + x * 2 + whole).astype(np.int32))
+                    infos.append(((int(whole.sum()) << 32) + (slack << 8) + x * 2 + whole).astype(np.int64))
                     held += len(sig)
                 if held > 500_000:
                     yield _rows(sigs, nodes, infos)
@@ -243,7 +257,7 @@ def signature_rows(docs: DataFrame, text: str, allocation: dict[int, int], t: in
 
     def _rows(*cols):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["sig", "node", "info"])
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "sig long, node long, info int")
+    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "sig long, node long, info long")
 
 
 def member_filter(nodes: DataFrame) -> np.ndarray:
@@ -266,8 +280,7 @@ def node_texts(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
         bits, seen = table.value, set()
         for b in batches:
             names, texts = [], []
-            for text_ in _texts(b, "__text"):
-                s = shingle_set(text_)
+            for i, s in enumerate(_sets(b, "__text")):
                 if not len(s):
                     continue
                 name = set_name(s)
@@ -275,7 +288,7 @@ def node_texts(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
                 if name not in seen and (int(bits[low >> 6]) >> (low & 63)) & 1:
                     seen.add(name)
                     names.append(name)
-                    texts.append(text_)
+                    texts.append(b.column(0)[i].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.string())],
                                              names=["node", "text"])
     found = docs.select(F.col(text).alias("__text")).mapInArrow(run, "node long, text string")
@@ -292,11 +305,10 @@ def verify(pairs: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
         for batch in batches:
             out_a, out_b = [], []
             col = {n: batch.column(batch.schema.get_field_index(n)) for n in ("a", "b", "ta", "tb")}
-            for i in range(batch.num_rows):
+            for i, other in enumerate(shingle_sets(col["tb"])):
                 a = col["a"][i].as_py()
-                if a != last:
+                if a != last:  # rows come sorted by a
                     last, kept = a, shingle_set(col["ta"][i].as_py())
-                other = shingle_set(col["tb"][i].as_py())
                 both = len(np.intersect1d(kept, other, assume_unique=True))
                 if 100 * both >= t * (len(kept) + len(other) - both):
                     out_a.append(a)
@@ -317,40 +329,79 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
             .withColumn("__last", F.max("node").over(by_sig))
             .withColumn("__before", F.lag("node").over(by_sig.orderBy("node")))
             .filter("__first <> __last AND (__before IS NULL OR __before <> node)"))
-    some = written(some.select("sig", "node", F.expr("info >> 7").alias("slack"),
-                               F.expr("CAST((info >> 1) & 63 AS INT)").alias("band"),
+    some = written(some.select("sig", "node", F.expr("CAST(info >> 32 AS INT)").alias("wholes"),
+                               F.expr("CAST((info >> 8) & 16777215 AS INT)").alias("slack"),
+                               F.expr("CAST((info >> 1) & 127 AS INT)").alias("band"),
                                F.expr("(info & 1) = 1").alias("whole")), "signatures")
     alive = (some.groupBy("node", "band").agg(F.sum(F.col("whole").cast("int")).alias("__n"), F.max("slack").alias("__s"))
              .filter("__n > __s").select(F.col("node").alias("__node"), F.col("band").alias("__band"), "__n"))
     kept = some.join(alive, (F.col("node") == F.col("__node")) & (F.col("band") == F.col("__band")))
-    return kept.select("sig", "node", "band", "slack", "whole", F.col("__n").alias("shared"))
+    return kept.select("sig", "node", "band", "slack", "whole", F.col("__n").alias("shared"),
+                       (F.col("wholes") - F.col("__n")).alias("own"))
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each signature's members with its smallest and its largest set."""
-    by_sig = Window.partitionBy("sig")
-    ends = rows.select("node", F.min("node").over(by_sig).alias("lo"), F.max("node").over(by_sig).alias("hi"))
-    pairs = ends.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")),
-                                          F.struct(F.col("hi").alias("a"), F.col("node").alias("b")))).alias("p"))
-    return pairs.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).filter("a <> b").distinct()
+    """Each signature's members with its most central set: the one with the fewest segments
+    of its own, as an unedited original has among its edited copies."""
+    centre = F.min(F.struct("own", "node")).over(Window.partitionBy("sig"))["node"]
+    pairs = rows.select("node", centre.alias("c")).filter("node <> c")
+    return pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
 
 
-def crossing_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that share a signature which one of them needs."""
+def open_signatures(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of signatures whose members lie in several components, and of those that
+    each set needs to look up (``probe``)."""
     at = (rows.join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
           .withColumn("root", F.coalesce("root", "node")).drop("__node"))
     by_sig = Window.partitionBy("sig")
-    open_ = (at.withColumn("__lo", F.min("root").over(by_sig)).withColumn("__hi", F.max("root").over(by_sig))
-             .withColumn("__n", F.count(F.lit(1)).over(by_sig)))
+    seen = (at.withColumn("__lo", F.min("root").over(by_sig)).withColumn("__hi", F.max("root").over(by_sig))
+            .withColumn("__n", F.count(F.lit(1)).over(by_sig)))
     rank = F.row_number().over(Window.partitionBy("node", "band", "whole").orderBy(
         F.col("__lo") != F.col("__hi"), "__n", "sig"))
     # a set needs (shared - slack) of its shared segments, those that lie within
     # one component first, then the rarest; the former can't lead out of it
-    ranked = written(open_.withColumn("__rank", rank).filter("__lo <> __hi"), "crossing")
-    probe = ranked.filter("NOT whole OR __rank <= shared - slack").select(
-        "sig", F.col("node").alias("p"), F.col("root").alias("__pr"))
-    found = probe.join(ranked.select("sig", "node", "root"), "sig").filter("__pr <> root")
-    return found.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+    return seen.withColumn("__rank", rank).filter("__lo <> __hi").select(
+        "sig", "node", "root", F.expr("NOT whole OR __rank <= shared - slack").alias("probe"))
+
+
+def reach(texts: DataFrame, nodes: DataFrame, t: int = THRESHOLD) -> DataFrame:
+    """``node``, ``size`` and ``most``: the largest size of a set that it can link with, given how
+    many of its shingles no other set of ``nodes`` has.
+
+    A set r with u such shingles has u or more outside any s; a link allows
+    (|r| - |s| + H) / 2 of them, so |s| (100+t-(100-t)) <= |r| * 200 - 2 u (100+t).
+    """
+    def run(batches):
+        for b in batches:
+            for node, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1))):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), node, np.int64))],
+                                                 names=["token", "node"])
+    tokens = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "token long, node long")
+    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("one"))
+    alone = df.filter("n = 1").groupBy(F.col("one").alias("node")).agg(F.count(F.lit(1)).alias("u"))
+    sizes = tokens.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.join(alone, "node", "left").select("node", "size", F.expr(
+        f"(size * 200 - 2 * coalesce(u, 0) * {100 + t}) div {2 * t}").alias("most"))
+
+
+def crossing_pairs(rows: DataFrame, labels: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
+    """Pairs of sets in different components that share a signature which the larger one needs.
+
+    Sets meet by signature and size class (5 % wide), and only within each other's
+    ``reach``: copies of one original with too many edits each are thereby kept
+    apart without being compared.
+    """
+    found = written(open_signatures(rows, labels), "open")
+    known = written(reach(texts, found.select("node").distinct(), t), "reach")
+    size_class = lambda c: F.floor(F.log(c.cast("double")) / math.log(1.05)).cast("int")
+    rows = found.join(known, "node").filter(f"most * 100 >= size * {t}")
+    probe = rows.filter("probe").select(
+        "sig", F.col("node").alias("p"), F.col("root").alias("__pr"), F.col("size").alias("__ps"), F.col("most").alias("__pm"),
+        F.explode(F.sequence(size_class(F.ceil(F.col("size") * t / 100)), size_class(F.least("size", "most")))).alias("class"))
+    index = rows.select("sig", "node", "root", "size", "most", size_class(F.col("size")).alias("class"))
+    pairs = probe.join(index, ["sig", "class"]).filter(
+        f"__pr <> root AND size <= __ps AND size <= __pm AND __ps <= most AND size * 100 >= __ps * {t}")
+    return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: int = THRESHOLD) -> DataFrame:
@@ -363,7 +414,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: i
     texts = written(node_texts(docs, text, rows.select("node").distinct()), "candidates")
     links = written(verify(star_pairs(rows), texts, t), "links")
     labels = connected_components(links)
-    more = written(verify(crossing_pairs(rows, labels), texts, t), "links")
+    more = written(verify(crossing_pairs(rows, labels, texts, t), texts, t), "links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
     sets = named.filter("node IS NOT NULL")
@@ -388,8 +439,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def run(batches):
         for b in batches:
             names = []
-            for text_ in _texts(b, text):
-                s = shingle_set(text_)
+            for s in _sets(b, text):
                 names.append(set_name(s) if len(s) else 0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], names=[*cols, "__set"])
     rows = docs.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat_format, exact_dedup, language_id, mixture, ngram_join, packing, quality_rules
+from . import chat_format, context_tree, exact_dedup, language_id, mixture, ngram_join, packing, quality_rules
 from . import secret_ledger, warc_bundles
 from .common import read_table, written
 
@@ -22,6 +22,12 @@ def op3_source_mixture(spark, sf):
     return taken.withColumnRenamed("__id", "doc_id")
 
 
+def op2_context_tree(spark, sf):
+    out = context_tree.held_out("doc_id")
+    scored = context_tree.score(read_table(spark, sf, "documents"), ~out).withColumnRenamed("id", "doc_id")
+    return scored.withColumn("held_out", context_tree.held_out("doc_id"))
+
+
 def op4_language_codes(spark, sf):
     docs = read_table(spark, sf, "documents")
     model = language_id.train(docs.filter(~language_id.held_out("doc_id")))
@@ -73,6 +79,7 @@ def op10_exact_dedup(spark, sf):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_context_tree": op2_context_tree,
     "op3_source_mixture": op3_source_mixture,
     "op4_language_codes": op4_language_codes,
     "op5_secret_ledger": op5_secret_ledger,
