@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..session import scratch_path
 from . import chat_format, context_tree, exact_dedup, language_id, mixture, ngram_join, packing, quality_rules
 from . import secret_ledger, warc_bundles
@@ -77,7 +79,12 @@ def op10_exact_dedup(spark, sf):
     return exact_dedup.dedup_ledger(read_table(spark, sf, "documents"))
 
 
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_quality_rules": op1_quality_rules,
     "op2_context_tree": op2_context_tree,
     "op3_source_mixture": op3_source_mixture,
