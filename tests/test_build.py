@@ -12,7 +12,8 @@ def test_build_all(spark, tmp_dir):
                        fixtures.facility_raw(spark, SF), tmp_dir)
     assert counts["noaa_hourly_temp"] == 1000
     assert counts["noaa_hourly_avg"] == 868
-    assert counts["eia_load_hourly"] == 999
+    assert counts["noaa_hourly_raw"] == 1000
+    assert counts["eia_load_hourly"] == 799  # the configured sub-areas only: MISO hours are left out
     assert counts["base_combine"] == 306
     assert counts["cleaned_va_datacenters"] == 144
     assert counts["noaa_heatwave_flags"] == counts["noaa_daily_temp"] == counts["heat_load_daily"]
@@ -20,7 +21,7 @@ def test_build_all(spark, tmp_dir):
     assert {"base_combine", "heat_load_daily"} <= set(list_tables(spark))
     hw = spark.sql("SELECT sum(is_heatwave_day) FROM heat_load_daily").first()[0]
     assert hw == 38  # days inside runs of >= 3 hot days at sf0.001 (SURVEY §5)
-    assert spark.read.text(f"{tmp_dir}/daily_load_json").count() == 4
+    assert spark.read.text(f"{tmp_dir}/daily_load_json").count() == 1  # one document keyed by location
     audit = {r.table_name: r.rows for r in spark.read.parquet(f"{tmp_dir}/row_audit").collect()}
     assert audit == counts
 

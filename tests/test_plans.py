@@ -3,7 +3,6 @@ Python UDFs anywhere, exchange reuse in the positional sample."""
 
 import pytest
 
-import __spark_entry__ as E
 from thermoload.operators import facilities, positional
 from thermoload.plans import queries as Q
 from thermoload.sources import fixtures
@@ -19,9 +18,9 @@ def explain(df) -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_no_python_udfs(spark, name):
-    p = plan(E.queries()[name](spark, SF))
+    p = plan(Q.QUERIES[name](spark, SF))
     assert "PythonUDF" not in p and "EvalPython" not in p and "FlatMapGroupsInPandas" not in p
 
 
@@ -38,6 +37,19 @@ def test_base_combine_broadcasts_only_the_mapping(spark):
     assert "SortMergeJoin" in p  # region-hour alignment of the two aggregated tables
 
 
+def test_base_combine_parses_each_time_once(spark):
+    import re
+    p = explain(Q.q_base_combine(spark, SF))
+    pushed = [x for x in re.findall(r"Condition : (.*)", p) if "isnotnull" in x]
+    assert pushed and all(x.count("try_cast") + x.count("gettimestamp") <= 1 for x in pushed)
+
+
+def test_reasons_filter_holds_no_rubric(spark):
+    import re
+    p = explain(Q.q_exemption_reasons(spark, SF))
+    assert all("capacity" not in x for x in re.findall(r"Condition : (.*)", p))
+
+
 def test_scan_prunes_columns(spark):
     p = explain(Q.q_hourly_load(spark, SF))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in p

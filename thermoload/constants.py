@@ -113,7 +113,6 @@ UNSCORED_ISSUE_MARKERS = ["No renewable", "No CO2", "No community", "No disclosu
 TIER_FULL = (80, "Full Exemption (100%)")
 TIER_PARTIAL = (60, "Partial Exemption (50%)")
 TIER_NONE = "No Exemption (0%)"
-SAMPLE_FRACTIONS = [(0, 1), (1, 4), (1, 2), (3, 4), (1, 1)]  # position = n*a//b, last = n-1
 
 # --- FIXED VALUES: rubric texts ("{}" is where the value goes) -----------------
 # failing-criteria reasons

@@ -25,9 +25,8 @@ def null_double() -> Column:
 
 def trunc_hour(ts: str | Column) -> Column:
     """Hour start of a TIMESTAMP_NTZ, time-zone free, result stays NTZ."""
-    t = col(ts)
-    return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t),
-                                F.lit(0), F.lit(0))
+    # through the text form, so that a parse inside ``ts`` is evaluated once
+    return F.concat(F.substring(col(ts).cast("string"), 1, 13), F.lit(":00:00")).cast("timestamp_ntz")
 
 
 def trunc_day(ts: str | Column) -> Column:
@@ -40,9 +39,20 @@ def trunc_day(ts: str | Column) -> Column:
 def strict_cast(c: str | Column, to: str, what: str = "value") -> Column:
     """CAST that raises on malformed text regardless of the session's ANSI mode."""
     x = col(c)
-    v = x.try_cast(to)
-    return F.when(x.isNotNull() & v.isNull(),
-                  F.raise_error(F.concat(F.lit(f"malformed {what}: "), x))).otherwise(v)
+    return F.coalesce(x.try_cast(to), _malformed(x, what))
+
+
+def _malformed(x: Column, what: str) -> Column:
+    """NULL for a NULL, an error for any other value: the last branch of a strict cast."""
+    return F.when(x.isNotNull(), F.raise_error(F.concat(F.lit(f"malformed {what}: "), x)))
+
+
+def strict_observation_time(c: str | Column) -> Column:
+    """Observation time text as TIMESTAMP_NTZ; raises on a year or month alone and on an
+    hour without minutes, which Spark's own cast would fill up."""
+    x = col(c)
+    whole = F.when(~x.rlike(r"^\s*\d+(-\d+)?\s*$|[T ]\d+\s*$"), x)
+    return F.coalesce(whole.try_cast("timestamp_ntz"), _malformed(x, "observation time"))
 
 
 def strict_double(c: str | Column, what: str = "value") -> Column:
@@ -53,10 +63,8 @@ def strict_double(c: str | Column, what: str = "value") -> Column:
 def strict_timestamp(c: str | Column, fmt: str, what: str = "period") -> Column:
     """Format parse that raises on a mismatch (like STRPTIME), result NTZ."""
     x = col(c)
-    v = F.try_to_timestamp(x, F.lit(fmt)).cast("timestamp_ntz")
-    return F.when(x.isNotNull() & v.isNull(),
-                  F.raise_error(F.concat(F.lit(f"malformed {what}: "), x))).otherwise(
-        F.to_timestamp_ntz(x, F.lit(fmt)))
+    # raises by itself in ANSI mode, gives NULL otherwise
+    return F.coalesce(F.to_timestamp_ntz(x, F.lit(fmt)), _malformed(x, what))
 
 
 def _numeric_text(c: str | Column, strip_commas: bool) -> Column:
@@ -94,12 +102,12 @@ def lenient_int(c: str | Column, strip_commas: bool = False) -> Column:
 def decode_tmp(c: str | Column) -> Column:
     """Packed NOAA temperature ``'+0123,1'`` -> 12.3 (DOUBLE, degrees C).
 
-    First comma field; the ``+9999`` sentinel and unparsable text give NULL;
+    First comma field, decimal text rounded; the ``+9999`` sentinel and unparsable text give NULL;
     the quality code (second field) is ignored.
     """
     field = F.split_part(col(c), F.lit(","), F.lit(1))
     return (F.when(field == F.lit(K.TMP_MISSING), null_double())
-            .otherwise(field.try_cast("int").cast("double") / dbl(K.TMP_SCALE)))
+            .otherwise(F.coalesce(field.try_cast("int"), lenient_int(field)).cast("double") / dbl(K.TMP_SCALE)))
 
 
 def station_code(c: str | Column, ids: dict[str, str] | None = None) -> Column:

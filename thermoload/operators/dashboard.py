@@ -104,7 +104,7 @@ def facility_markers(df: DataFrame, id_col: str = "facility_id") -> DataFrame:
     return df.select(
         id_col, "lat", "lon", band.alias("capacity_band"), colour.alias("colour"),
         F.when(unknown, F.lit(K.UNKNOWN_MARKER_Z)).otherwise(F.lit(0)).alias("z_offset"),
-        F.when(unknown, F.lit(0)).otherwise(F.lit(1)).alias("draw_layer"))
+        F.when(unknown, F.lit(0)).otherwise(F.lit(1)).alias("draw_layer")).orderBy("draw_layer", id_col)
 
 
 def score_histogram(df: DataFrame, score_col: str = "web_score") -> DataFrame:
@@ -129,16 +129,20 @@ def grid_breakdown(facilities: DataFrame | None = None, dc_load_mw: float = K.DC
                    spark=None) -> DataFrame:
     """Facility load, the rest of the summer peak, remaining capacity,
     each with its share of the total. With ``facilities`` the facility load
-    is ``sum(est_load_50_mw)`` of that table; otherwise ``dc_load_mw``."""
+    is ``sum(est_load_50_mw)`` of that table; otherwise ``dc_load_mw``. A facility
+    load above the peak leaves nothing of the peak, and one above the
+    capacity is the whole; no slice is ever negative."""
     if facilities is not None:
         dc = facilities.agg(F.coalesce(F.sum("est_load_50_mw"), dbl(0)).alias("dc"))
     else:
         dc = spark.createDataFrame([(float(dc_load_mw),)], "dc double")
     l1, l2, l3 = K.GRID_LABELS
+    top = F.greatest(F.col("dc"), dbl(peak_mw))
     rows = F.array(
         F.struct(F.lit(1).alias("slice_no"), F.lit(l1).alias("label"), F.col("dc").alias("value_mw")),
-        F.struct(F.lit(2).alias("slice_no"), F.lit(l2).alias("label"), (dbl(peak_mw) - F.col("dc")).alias("value_mw")),
-        F.struct(F.lit(3).alias("slice_no"), F.lit(l3).alias("label"), dbl(capacity_mw - peak_mw).alias("value_mw")))
-    out = dc.select(F.inline(rows))
-    total = dbl(capacity_mw)  # the three slices always add up to the capacity
-    return out.withColumn("share", F.col("value_mw") / total)
+        F.struct(F.lit(2).alias("slice_no"), F.lit(l2).alias("label"), (top - F.col("dc")).alias("value_mw")),
+        F.struct(F.lit(3).alias("slice_no"), F.lit(l3).alias("label"), F.greatest(dbl(capacity_mw) - top, dbl(0)).alias("value_mw")))
+    # the slices add up to the capacity, or to the facility load where that is larger
+    total = F.greatest(F.col("dc"), dbl(capacity_mw)).alias("total")
+    out = dc.select(total, F.inline(rows))
+    return out.withColumn("share", F.col("value_mw") / F.col("total")).drop("total")

@@ -19,12 +19,13 @@ from ..functions.wkb import with_point_xy
 
 
 def clean_facilities(raw: DataFrame, counties: list[str] | None = None,
-                     keep_geometry: bool = False) -> DataFrame:
+                     keep_geometry: bool = True) -> DataFrame:
     """``cleaned_va_datacenters``: typed facility rows in the focus counties.
 
     P6 kW text -> MW (commas stripped, lenient), P7 lenient integers,
     P8 pass-through identity and labels, lenient percentiles, P4 county
-    filter (pushed down to the scan), P21/G1 lat/lon from the WKB point.
+    filter (pushed down to the scan), P21/G1 lat/lon from the WKB point; the
+    WKB ``geometry`` itself stays last unless ``keep_geometry`` is off.
     """
     c = lambda name: F.col(f"`{name}`")  # noqa: E731  (raw names hold blanks, %, parentheses)
     cols: list[Column] = []
@@ -65,7 +66,7 @@ def score_parts(df: DataFrame, ej_cols: list[str] | None = None) -> DataFrame:
     ej_cols = ej_cols or [c for c in df.columns if c.startswith("ej_")]
     cap = nan_to_null(F.col("capacity_mw").try_cast("double"))
     ejm = row_max(ej_cols)  # pandas max(axis=1): NULL/NaN skipped
-    pop = F.col("pop_within_mile").cast("double")
+    pop = F.col("pop_within_mile").try_cast("double")
     ws = F.col("water_stress_index")
     d = df.withColumn("capacity_numeric", cap).withColumn("ej_max_percentile", ejm)
     d = d.withColumn("ej_concern", F.coalesce(F.col("ej_max_percentile") >= dbl(K.EJ_CONCERN_PERCENTILE),
@@ -155,7 +156,7 @@ def key_issues(scored: DataFrame, id_col: str = "facility_id") -> DataFrame:
 
 def reasons_rows(scored: DataFrame, id_col: str = "facility_id") -> DataFrame:
     """F6 as rows: one per reason with its 1-based position."""
-    return (scored.select(id_col, F.posexplode("failing_criteria").alias("pos", "reason"))
+    return (scored.select(id_col, F.posexplode_outer("failing_criteria").alias("pos", "reason"))  # never empty; outer: no size filter to push
             .select(id_col, (F.col("pos") + 1).alias("reason_no"), "reason"))
 
 
@@ -171,6 +172,7 @@ def facility_label(df: DataFrame) -> Column:
 
 def sample_breakdown(sample: DataFrame, scored: DataFrame, id_col: str = "facility_id") -> DataFrame:
     """The scoring script's report: for each sampled facility (at most five
-    rows, broadcast) its eight category rows with points and detail."""
+    rows, broadcast) its eight category rows with points and detail. Pass the
+    scores of the sampled facilities only (``scored`` of a filtered table)."""
     rows = score_breakdown(scored, id_col)
     return rows.join(F.broadcast(sample.select("sample_no", id_col, "label", "county", "exemption_tier")), id_col)

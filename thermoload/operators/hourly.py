@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import (
-    dbl, decode_tmp, station_code, strict_cast, strict_double, strict_timestamp, trunc_hour,
+    dbl, decode_tmp, station_code, strict_double, strict_observation_time, strict_timestamp, trunc_hour,
 )
 
 # --- weather --------------------------------------------------------------------
@@ -29,7 +29,7 @@ def decode_weather(raw: DataFrame, station_ids: dict[str, str] | None = None) ->
     """
     return raw.select(
         station_code("STATION", station_ids).alias("station"),
-        strict_cast("DATE", "timestamp_ntz", "observation time").alias("ts_utc"),
+        strict_observation_time("DATE").alias("ts_utc"),
         decode_tmp("TMP").alias("temp_C"),
     )
 
@@ -59,19 +59,24 @@ def load_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def hourly_load(rows: DataFrame, subareas: dict[str, list[str]] | None = None) -> DataFrame:
+def select_load(raw: DataFrame, subareas: dict[str, list[str]] | None = None, start: str = K.LOAD_PERIOD_START,
+                end: str = K.LOAD_PERIOD_END) -> DataFrame:
+    """The load rows that the original fetch asks for: the configured region and sub-area
+    pairs, ``start <= period <= end``. Landed pages may hold others. Plain comparisons on
+    text (periods sort like their text), so they reach the scan; rows without a period go."""
+    pairs = F.lit(False)
+    for region, subs in (subareas or K.REGION_SUBAREAS).items():
+        pairs = pairs | ((F.col("parent") == region) & F.col("subba").isin(subs))
+    return raw.filter(pairs & (F.col("period") >= start) & (F.col("period") <= end))
+
+
+def hourly_load(rows: DataFrame) -> DataFrame:
     """``eia_load_hourly`` (A2): load summed over sub-areas per region and hour.
 
     ``period`` is parsed strictly as ``yyyy-MM-dd'T'HH`` (P10). NULL values are
-    skipped by the sum; an hour with only NULL values keeps a NULL load.
-    ``subareas`` optionally restricts to the configured region->sub-area pairs
-    (the reference applies that filter when fetching, not in SQL).
+    skipped by the sum; an hour with only NULL values keeps a NULL load. Which
+    rows count is decided before (``select_load``).
     """
-    if subareas:
-        pairs = F.lit(False)
-        for region, subs in subareas.items():
-            pairs = pairs | ((F.col("parent") == region) & F.col("subba").isin(subs))
-        rows = rows.filter(pairs)
     return (rows.groupBy(F.col("parent").alias("region"),
                          strict_timestamp("period", "yyyy-MM-dd'T'HH").alias("hour_utc"))
             .agg(F.sum("value_mwh").alias("load_mwh")))
@@ -103,10 +108,3 @@ def combine(spark: SparkSession, temps_hourly: DataFrame, load_hourly: DataFrame
             .select("hour_utc", F.col("station").alias("location"),
                     F.col("temp_C").alias("temp"), "load_mwh"))
 
-
-def build_base_combine(spark: SparkSession, noaa_raw: DataFrame, eia_raw: DataFrame,
-                       **kw) -> DataFrame:
-    """Entry A end to end, as one lazy plan: raw files -> ``base_combine``."""
-    temps = hourly_temperature(decode_weather(noaa_raw))
-    load = hourly_load(load_rows(eia_raw))
-    return combine(spark, temps, load, **kw)

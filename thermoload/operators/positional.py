@@ -1,16 +1,15 @@
 """Positional selection over a global sort without a single-task sort.
 
-``df.sort(keys).iloc[p]`` for a handful of positions ``p``: rows are range
-partitioned on the sort keys (so even a key value that holds a third of the
-rows is spread over many tasks as long as the tie-break keys differ), sorted
-within partitions, and numbered inside each partition. The per-partition
-counts form a table of at most ``num_partitions`` rows; its running sums give
-each partition's global offset, which locates every wanted position as
-(partition, index).
+``df.sort(keys).iloc[p]`` for a handful of positions ``p``: the sort keys alone are
+range partitioned (so even a key value that holds a third of the rows is spread
+over many tasks as long as the tie-break keys differ), sorted within partitions,
+and numbered inside each partition. The per-partition counts form a table of at
+most ``num_partitions`` rows; its running sums give each partition's global offset,
+which locates every wanted position as (partition, index).
 
 Range bounds come from a sample whose seed depends on the RDD, so two
-executions of the same plan may cut partitions differently. The numbered
-rows are therefore checkpointed once (reliable checkpoint in the shared
+executions of the same plan may cut partitions differently. The numbered keys
+are therefore checkpointed once (reliable checkpoint in the shared
 ``spark.checkpoint.dir``): the counts and the lookup read the same rows, and
 a lost executor cannot renumber them.
 """
@@ -30,14 +29,15 @@ _LOW33 = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in th
 def select_positions(df: DataFrame, order_cols: list[str],
                      positions: Callable[[Column], list[Column]],
                      num_partitions: int | None = None) -> DataFrame:
-    """Rows at global positions ``positions(n)`` (0-based, ``n`` = row count)
+    """Sort keys at global positions ``positions(n)`` (0-based, ``n`` = row count)
     of ``df`` ordered by ``order_cols``; adds ``sample_no`` (1-based, in the
     order given) and ``position``. A position repeated by the list yields the
-    row once per sample number, like repeated ``iloc`` calls."""
+    row once per sample number, like repeated ``iloc`` calls. At most one row
+    per position: callers look the rows up by these keys."""
     spark = df.sparkSession
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared_dir(spark)  # the checkpoint folder (configured, or created in local tests)
-    srt = (df.repartitionByRange(n_part, *order_cols).sortWithinPartitions(*order_cols)
+    srt = (df.select(*order_cols).repartitionByRange(n_part, *order_cols).sortWithinPartitions(*order_cols)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
            .checkpoint(eager=True))
@@ -57,4 +57,5 @@ def select_positions(df: DataFrame, order_cols: list[str],
 
 def quartile_positions(n: Column) -> list[Column]:
     """0, n//4, n//2, 3n//4, n-1 (integer division), as in the score sample."""
-    return [F.lit(0).cast("bigint"), F.floor(n / 4), F.floor(n / 2), F.floor(n * 3 / 4), n - 1]
+    whole = lambda c, d: F.call_function("div", c, F.lit(d).cast("bigint"))
+    return [F.lit(0).cast("bigint"), whole(n, 4), whole(n, 2), whole(n * 3, 4), n - 1]

@@ -17,8 +17,8 @@ from ..functions.columns import dbl, fill, is_finite, js_round, nan_to_null, nul
 
 def rows_per_location(base: DataFrame) -> DataFrame:
     """Rows per location, most first. Locations come from the fixed
-    station mapping (a handful), so the ordered result is sorted in a single
-    partition instead of paying a range-sort sampling job."""
+    station mapping (``combine`` joins to it, so there are never more), so the ordered
+    result is sorted in a single partition instead of paying a range-sort sampling job."""
     return (base.groupBy("location").agg(F.count(F.lit(1)).alias("rows"))
             .coalesce(1).sortWithinPartitions(F.desc("rows"), "location"))
 
@@ -152,6 +152,21 @@ def series_json(arrays: DataFrame) -> DataFrame:
         F.col("location"), F.struct("dates", "load", "temp"))).alias("value"))
 
 
+def series_document(arrays: DataFrame) -> DataFrame:
+    """The dashboard's file: one JSON object keyed by location (one row). Locations come
+    from the station mapping and a series has one entry per day, so the document is small."""
+    entry = F.struct(F.col("location").alias("key"), F.struct("dates", "load", "temp").alias("value"))
+    doc = F.map_from_entries(F.array_sort(F.collect_list(entry)))
+    return arrays.agg(F.to_json(doc, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def read_series_document(doc: DataFrame) -> DataFrame:
+    """``series_arrays`` back from the document."""
+    kind = "map<string, struct<dates: array<string>, load: array<double>, temp: array<double>>>"
+    m = doc.select(F.explode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("location", "s"))
+    return m.select("location", "s.*")
+
+
 def series_rows(arrays: DataFrame) -> DataFrame:
     """The series arrays back as rows (position, date, load, temp)."""
     z = arrays.select("location", F.posexplode(F.arrays_zip("dates", "load", "temp")).alias("idx", "p"))

@@ -16,19 +16,22 @@ from pyspark.sql import functions as F
 
 from ..operators import daily, dashboard, facilities, hourly, response
 from ..sources import json_sources as J
-from ..sources.sinks import replace_table
+from ..sources.sinks import replace_table, row_audit
 
 
-def build_hourly(spark: SparkSession, noaa_raw: DataFrame, eia_raw: DataFrame, root: str) -> dict[str, int]:
-    """Entry A: weather and load -> hourly tables -> ``base_combine``."""
+def build_hourly(spark: SparkSession, noaa_raw: DataFrame, eia_raw: DataFrame, root: str,
+                 select: bool = True) -> dict[str, int]:
+    """Entry A: weather and load -> hourly tables -> ``base_combine``. ``select`` keeps the
+    load rows of the configured sub-areas and period only (``hourly.select_load``)."""
     n: dict[str, int] = {}
-    temps = hourly.decode_weather(noaa_raw)
+    n["noaa_hourly_raw"] = replace_table(noaa_raw, f"{root}/noaa_hourly_raw", name="noaa_hourly_raw")
+    temps = hourly.decode_weather(spark.read.parquet(f"{root}/noaa_hourly_raw"))
     n["noaa_hourly_temp"] = replace_table(temps.withColumn("year", F.year("ts_utc")), f"{root}/noaa_hourly_temp",
                                           ["year"], ["station", "ts_utc"], "noaa_hourly_temp")
     temps = spark.read.parquet(f"{root}/noaa_hourly_temp").drop("year")
     n["noaa_hourly_avg"] = replace_table(hourly.hourly_temperature(temps), f"{root}/noaa_hourly_avg",
                                          sort_within=["station", "hour_utc"], name="noaa_hourly_avg")
-    rows = hourly.load_rows(eia_raw).withColumn("year", F.substring("period", 1, 4))
+    rows = hourly.load_rows(hourly.select_load(eia_raw) if select else eia_raw).withColumn("year", F.substring("period", 1, 4))
     n["eia_hourly_raw"] = replace_table(rows, f"{root}/eia_hourly_raw", ["year"], ["parent", "period"],
                                         "eia_hourly_raw")
     rows = spark.read.parquet(f"{root}/eia_hourly_raw").drop("year")
@@ -74,7 +77,7 @@ def build_analysis(spark: SparkSession, root: str) -> dict[str, int]:
     n["fit_curve"] = replace_table(response.fit_curve(fit), f"{root}/fit_curve")
     n["fit_annotation"] = replace_table(response.fit_annotation(fit), f"{root}/fit_annotation")
     days = spark.read.parquet(f"{root}/daily_means")
-    series = response.series_json(response.series_arrays(days))
+    series = response.series_document(response.series_arrays(days))
     series.write.mode("overwrite").text(f"{root}/daily_load_json")
     n["summer_peaks"] = replace_table(response.window_peaks(days), f"{root}/summer_peaks")
     return n
@@ -86,6 +89,7 @@ def build_facilities(spark: SparkSession, facility_raw: DataFrame, root: str) ->
     n["cleaned_va_datacenters"] = replace_table(facilities.clean_facilities(facility_raw),
                                                 f"{root}/cleaned_va_datacenters", name="cleaned")
     clean = spark.read.parquet(f"{root}/cleaned_va_datacenters")
+    clean = clean.drop("geometry")  # the exports and scores use lat and lon
     J.write_json_lines(clean, f"{root}/data_json")
     scored = facilities.exemption_scores(clean)
     n["exemption_scores"] = replace_table(scored, f"{root}/exemption_scores", name="scores")
@@ -106,6 +110,5 @@ def build_all(spark: SparkSession, noaa_raw: DataFrame, eia_raw: DataFrame, faci
     counts.update(build_daily(spark, root))
     counts.update(build_analysis(spark, root))
     counts.update(build_facilities(spark, facility_raw, root))
-    audit = spark.createDataFrame(sorted(counts.items()), "table_name string, rows bigint")
-    audit.coalesce(1).write.mode("overwrite").parquet(f"{root}/row_audit")  # one row per table
+    row_audit(spark, counts).coalesce(1).write.mode("overwrite").parquet(f"{root}/row_audit")  # one row per table
     return counts

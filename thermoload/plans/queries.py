@@ -21,78 +21,48 @@ from .finish import rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def shared(fn):
-    """Memoise a shared lazy step per (session, input folder). A DataFrame is
-    an immutable plan, so reusing it only saves building it again (thousands
-    of driver->JVM calls for the wide facility steps); every action still
-    executes the whole plan."""
-    def wrapper(spark: SparkSession, sf: str) -> DataFrame:
-        key = (fn.__name__, id(spark), sf)
-        df = _PLANS.get(key)
-        if df is None or df.sparkSession is not spark:
-            df = _PLANS[key] = fn(spark, sf)
-        return df
-    wrapper.__name__ = fn.__name__
-    wrapper.__doc__ = fn.__doc__
-    return wrapper
-
-
 # --- shared lazy steps -------------------------------------------------------------
 
-@shared
 def weather(spark: SparkSession, sf: str) -> DataFrame:
     return hourly.decode_weather(fixtures.noaa_raw(spark, sf))
 
 
-@shared
 def weather_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return hourly.hourly_temperature(weather(spark, sf))
 
 
-@shared
 def load_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return hourly.hourly_load(hourly.load_rows(fixtures.eia_raw(spark, sf)))
 
 
-@shared
 def base_combine_df(spark: SparkSession, sf: str) -> DataFrame:
     return hourly.combine(spark, weather_hourly(spark, sf), load_hourly(spark, sf))
 
 
-@shared
 def weather_daily(spark: SparkSession, sf: str) -> DataFrame:
     return daily.daily_temperature(weather_hourly(spark, sf))
 
 
-@shared
 def flags_df(spark: SparkSession, sf: str) -> DataFrame:
     return daily.heatwave_flags(weather_daily(spark, sf))
 
 
-@shared
 def load_daily_df(spark: SparkSession, sf: str) -> DataFrame:
     return daily.daily_load(load_hourly(spark, sf))
 
 
-@shared
 def daily_means_df(spark: SparkSession, sf: str) -> DataFrame:
     return response.daily_means(base_combine_df(spark, sf))
 
 
-@shared
 def fit_df(spark: SparkSession, sf: str) -> DataFrame:
     return response.quadratic_fit(base_combine_df(spark, sf))
 
 
-@shared
 def fac_clean_df(spark: SparkSession, sf: str) -> DataFrame:
-    return facilities.clean_facilities(fixtures.facility_raw(spark, sf))
+    return facilities.clean_facilities(fixtures.facility_raw(spark, sf), keep_geometry=False)
 
 
-@shared
 def scored_df(spark: SparkSession, sf: str) -> DataFrame:
     return facilities.exemption_scores(fac_clean_df(spark, sf))
 
@@ -198,7 +168,7 @@ NULLABLE_INTS = ["pop_within_mile", "construct_year"]
 def q_facility_clean(spark, sf):
     # nullable integers leave as DOUBLE: pandas maps NULL-able INT columns
     # differently per engine, DOUBLE the same way everywhere
-    d = fac_clean_df(spark, sf)
+    d = facilities.clean_facilities(fixtures.facility_raw(spark, sf)).withColumn("geometry", F.hex("geometry"))
     return rounded(d.select([F.col(c).cast("double") if c in NULLABLE_INTS else F.col(c) for c in d.columns]))
 
 
@@ -226,16 +196,29 @@ def q_key_issues(spark, sf):
     return facilities.key_issues(scored_df(spark, sf))
 
 
+def _sampled(spark, sf):
+    """The keys of the five sampled facilities, and the scores of those facilities only."""
+    keys = positional.select_positions(scored_df(spark, sf), ["exemption_score", "facility_id"],
+                                       positional.quartile_positions).collect()  # at most five rows
+    raw = fixtures.facility_raw(spark, sf).filter(F.col("facility_id").isin([k.facility_id for k in keys]))
+    scored = facilities.exemption_scores(facilities.clean_facilities(raw, keep_geometry=False))
+    table = spark.createDataFrame([(k.sample_no, k.position, k.facility_id) for k in keys],
+                                  "sample_no int, position bigint, facility_id bigint")
+    return F.broadcast(table), scored
+
+
 def q_score_sample(spark, sf):
-    s = scored_df(spark, sf)
-    s = s.select("facility_id", facilities.facility_label(s).alias("label"), "county",
-                 "exemption_score", "exemption_tier")
-    return positional.select_positions(s, ["exemption_score", "facility_id"], positional.quartile_positions)
+    keys, s = _sampled(spark, sf)
+    return s.select("facility_id", facilities.facility_label(s).alias("label"), "county",
+                    "exemption_score", "exemption_tier").join(keys, "facility_id")
 
 
 def q_sample_breakdown(spark, sf):
     """W3 + F7: the per-category report of the five sampled facilities."""
-    return facilities.sample_breakdown(q_score_sample(spark, sf), scored_df(spark, sf))
+    keys, s = _sampled(spark, sf)
+    sample = s.select("facility_id", facilities.facility_label(s).alias("label"), "county",
+                      "exemption_tier").join(keys, "facility_id")
+    return facilities.sample_breakdown(sample, s)
 
 
 def q_score_web(spark, sf):
@@ -258,15 +241,71 @@ def q_grid_breakdown(spark, sf):
     return rounded(dashboard.grid_breakdown(fac_clean_df(spark, sf)))
 
 
+def q_grid_breakdown_reference(spark, sf):
+    """A17 with the original's constant load, beside the load of the table it stands for."""
+    total = fac_clean_df(spark, sf).agg(F.sum("est_load_50_mw").alias("table_mw"))
+    return rounded(dashboard.grid_breakdown(spark=spark).join(F.broadcast(total)))
+
+
+def q_locations(spark, sf):
+    """The distinct locations."""
+    return response.locations(base_combine_df(spark, sf))
+
+
+def q_series_document(spark, sf):
+    """One JSON document keyed by location, written and read back."""
+    root = scratch_path(spark, "series")
+    doc = response.series_document(response.series_arrays(daily_means_df(spark, sf)))
+    doc.write.mode("overwrite").text(root)
+    rows = response.series_rows(response.read_series_document(spark.read.text(root)))
+    return rounded(rows.withColumn("idx", F.col("idx").cast("bigint")))
+
+
+def q_summer_peak_shifted(spark, sf):
+    """J6/A15 on the original summer windows, with the days moved half a year on into them."""
+    days = daily_means_df(spark, sf).withColumn("date", F.date_add("date", 182))
+    return rounded(response.window_peaks(days))
+
+
+def q_hourly_load_selected(spark, sf):
+    """A2 after the load selection: pages also hold other sub-areas and hours out of the period."""
+    raw = fixtures.eia_raw_wide(spark, sf)
+    return rounded(hourly.hourly_load(hourly.load_rows(hourly.select_load(raw))))
+
+
+def q_table_replace(spark, sf):
+    """A partitioned, sorted table written, replaced and read back."""
+    path = f"{scratch_path(spark, 'replace')}/hourly"
+    temps = weather_hourly(spark, sf).withColumn("month", F.month("hour_utc"))
+    sinks.replace_table(temps.filter("station = 'IAD'"), path, ["month"], ["station", "hour_utc"])
+    sinks.replace_table(temps, path, ["month"], ["station", "hour_utc"])
+    return rounded(spark.read.parquet(path).select("station", "hour_utc", "temp_C", F.col("month").cast("int").alias("month")))
+
+
+def q_table_catalog(spark, sf):
+    """Written tables registered as relations, listed, and counted by SQL."""
+    root = scratch_path(spark, "catalog")
+    names = ["noaa_daily_temp", "eia_daily_load"]
+    for n, df in zip(names, (weather_daily(spark, sf), load_daily_df(spark, sf))):
+        sinks.replace_table(df, f"{root}/{n}", name=n)
+    sinks.register_tables(spark, root, names)
+    listed = [n for n in sinks.list_tables(spark) if n in names]
+    return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in listed))
+
+
 # --- sources and sinks: files written to a fresh folder, read back --------------------------
 
 def q_csv_union(spark, sf):
-    """Three landings with different header sets, unioned by name."""
+    """Landings with different header sets, a lower-case header, a nested folder, and
+    fields with doubled quotes and line feeds, unioned by name."""
     raw = fixtures.noaa_raw(spark, sf)
     ids = list(K.STATION_IDS.values())
     st = F.col("STATION")
     root = scratch_path(spark, "weather-csv")
-    write_csv(raw.filter(st.isin(ids[0], ids[1])).select("STATION", "DATE", "TMP"), f"{root}/a")
+    note = F.concat(F.lit('say "x, y"\nend '), F.col("TMP")).alias("REMARKS")
+    write_csv(raw.filter(st.isin(ids[0])).select("STATION", note, "DATE", "TMP"), f"{root}/a")
+    write_csv(raw.filter(st.isin(ids[1])).select(F.col("STATION").alias("station"), F.col("DATE").alias("date"),
+                                                 F.col("TMP").alias("tmp")), f"{root}/a2/nested")
     write_csv(raw.filter(st.isin(ids[2], ids[3])).select("DATE", "TMP", F.lit("4").alias("SOURCE"), "STATION"),
               f"{root}/b")
     write_csv(raw.filter(~st.isin(ids)).select("STATION", "DATE"), f"{root}/c")
@@ -332,19 +371,13 @@ def q_state_flags(spark, sf):
 
 
 def q_row_audit(spark, sf):
-    """Row counts of the nine built tables."""
-    flags = flags_df(spark, sf)
-    return sinks.row_audit(spark, {
-        "noaa_hourly_raw": fixtures.noaa_raw(spark, sf),
-        "noaa_hourly_temp": weather(spark, sf),
-        "noaa_hourly_avg": weather_hourly(spark, sf),
-        "eia_hourly_raw": hourly.load_rows(fixtures.eia_raw(spark, sf)),
-        "eia_load_hourly": load_hourly(spark, sf),
-        "noaa_daily_temp": weather_daily(spark, sf),
-        "noaa_heatwave_flags": flags,
-        "eia_daily_load": load_daily_df(spark, sf),
-        "heat_load_daily": daily.heat_load_daily(flags, load_daily_df(spark, sf)),
-    })
+    """Row counts of the nine built tables, taken while they are written; each source is read once."""
+    from .build import build_daily, build_hourly
+    root = scratch_path(spark, "audit")
+    counts = build_hourly(spark, fixtures.noaa_raw(spark, sf), fixtures.eia_raw(spark, sf), root, select=False)
+    counts.update(build_daily(spark, root))
+    counts.pop("base_combine")
+    return sinks.row_audit(spark, counts)
 
 
 def q_hourly_temp_stream(spark, sf):
@@ -353,7 +386,7 @@ def q_hourly_temp_stream(spark, sf):
     from ..streaming.landed_weather import hourly_table, start_hourly_ingest
     raw = fixtures.noaa_raw(spark, sf)
     root = scratch_path(spark, "stream")
-    half = F.col("DATE") < F.lit("2024-01-16")
+    half = F.coalesce(F.col("DATE") < F.lit("2024-01-16"), F.lit(False))
     write_csv(raw.filter(half), f"{root}/landing/part1")
     q = start_hourly_ingest(spark, f"{root}/landing/*", f"{root}/hourly", f"{root}/ckpt")
     q.awaitTermination()
@@ -401,6 +434,13 @@ QUERIES: dict[str, Query] = {
     "facility_card": q_facility_card,
     "facility_markers": q_facility_markers,
     "grid_breakdown": q_grid_breakdown,
+    "grid_breakdown_reference": q_grid_breakdown_reference,
+    "locations": q_locations,
+    "series_document": q_series_document,
+    "summer_peak_shifted": q_summer_peak_shifted,
+    "hourly_load_selected": q_hourly_load_selected,
+    "table_replace": q_table_replace,
+    "table_catalog": q_table_catalog,
     "csv_union": q_csv_union,
     "json_pages": q_json_pages,
     "json_lines_roundtrip": q_json_lines_roundtrip,

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import build_session
-from ..sources.json_sources import LOAD_REQUIRED, read_load_pages, require_columns
+from ..sources.json_sources import ensure_not_empty, read_load_pages, require_page_keys
 from ..sources.weather_csv import read_csv_union
 from ..streaming.landed_weather import WEATHER_COLUMNS
 from .build import build_all
@@ -28,7 +28,7 @@ from .build import build_all
 def read_facilities(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "parquet":
         return spark.read.parquet(path)
-    df = spark.read.option("header", True).option("multiLine", True).csv(path)  # every column as text
+    df = read_csv_union(spark, path)  # every column as text, files aligned by name
     return df.withColumn("geometry", F.unhex(F.col("geometry"))) if "geometry" in df.columns else df
 
 
@@ -44,7 +44,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
 
     spark = spark or build_session()
     noaa = read_csv_union(spark, a.weather, columns=WEATHER_COLUMNS)
-    load = require_columns(read_load_pages(spark, a.load_pages, a.pages_multiline), LOAD_REQUIRED)
+    require_page_keys(spark, a.load_pages, multi_line=a.pages_multiline)
+    load = ensure_not_empty(read_load_pages(spark, a.load_pages, a.pages_multiline), "the load pages")
     fac = read_facilities(spark, a.facilities, a.facilities_format)
     counts = build_all(spark, noaa, load, fac, a.out.rstrip("/"))
     print(json.dumps(counts, sort_keys=True))

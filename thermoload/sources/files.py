@@ -18,31 +18,38 @@ def _fs(spark: SparkSession, path: str):
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Files matching a glob (directories are expanded one level)."""
+    """Files matching a glob; folders are followed to any depth. Names that
+    start with ``_`` or ``.`` are skipped, as Spark's own readers do."""
     p, fs = _fs(spark, pattern)
-    out: list[str] = []
-    for st in fs.globStatus(p) or []:
+    todo, out = list(fs.globStatus(p) or []), []
+    while todo:
+        st = todo.pop()
         if st.isDirectory():
-            for child in fs.listStatus(st.getPath()):
-                name = child.getPath().getName()
-                if child.isFile() and not name.startswith(("_", ".")):
-                    out.append(child.getPath().toString())
+            todo += [c for c in fs.listStatus(st.getPath()) if not c.getPath().getName().startswith(("_", "."))]
         else:
             out.append(st.getPath().toString())
     return sorted(out)
 
 
-def first_line(spark: SparkSession, path: str) -> str:
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The file's first line; None for a file without any byte."""
     jvm = spark.sparkContext._jvm
     p, fs = _fs(spark, path)
     stream = fs.open(p)
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine() or ""
+        return reader.readLine()
     finally:
         stream.close()
 
 
 def csv_header(spark: SparkSession, path: str, sep: str = ",") -> tuple[str, ...]:
-    line = first_line(spark, path).lstrip("﻿")
-    return tuple(next(csv.reader([line], delimiter=sep))) if line else ()
+    """Column names of the first line; empty for an empty file. A blank first line
+    before other content is an error: the file's columns are unknown."""
+    line = first_line(spark, path)
+    if line is None:
+        return ()
+    line = line.lstrip("﻿")
+    if not line.strip():
+        raise ValueError(f"blank header line in {path}")
+    return tuple(next(csv.reader([line], delimiter=sep)))

@@ -34,7 +34,8 @@ def noaa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"CASE user_id % 5 WHEN 0 THEN '{ids[0]}' WHEN 1 THEN '{ids[1]}' "
                f"WHEN 2 THEN '{ids[2]}' WHEN 3 THEN '{ids[3]}' ELSE '99999999999' END").alias("STATION"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("DATE"),
-        F.expr("CASE WHEN event_id % 23 = 0 THEN '+9999,9' WHEN event_id % 29 = 0 THEN 'bad,1' ELSE "
+        F.expr("CASE WHEN event_id % 23 = 0 THEN '+9999,9' WHEN event_id % 29 = 0 THEN 'bad,1' "
+               "WHEN event_id % 31 = 0 THEN concat('+', CAST(100 + event_id % 60 AS STRING), '.7,1') ELSE "
                "concat(CASE WHEN t < 0 THEN '-' ELSE '+' END, lpad(CAST(abs(t) AS STRING), 4, '0'), ',1') END"
                ).alias("TMP"),
     )
@@ -61,6 +62,15 @@ def eia_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def eia_raw_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``eia_raw`` as a wider fetch would land it: every seventh value of another sub-area, every
+    eleventh out of the configured period."""
+    d, n = eia_raw(spark, sf_dir), F.coalesce(F.col("value").cast("bigint"), F.lit(0))
+    late = F.when(n % 2 == 0, F.lit("2018-12-31T23")).otherwise(F.lit("2025-08-27T05"))
+    return (d.withColumn("subba", F.when(n % 7 == 3, F.concat(F.lit("X"), "subba")).otherwise(F.col("subba")))
+            .withColumn("period", F.when(n % 11 == 5, late).otherwise(F.col("period"))))
+
+
 # --- facility raw table ------------------------------------------------------------
 
 def _wkb_point(x: float, y: float, little: bool) -> str:
@@ -77,7 +87,7 @@ _FAC_SHORT = [
     "CASE WHEN k % 31 = 0 THEN NULL ELSE concat('Brand', CAST(k % 60 AS STRING)) END AS brand",
     "CASE k % 7 WHEN 0 THEN 'Loudoun' WHEN 1 THEN 'Fairfax' WHEN 2 THEN 'Prince William' WHEN 3 THEN 'Fauqier' WHEN 4 THEN 'Culpeper' WHEN 5 THEN 'Fauquier' ELSE 'Arlington' END AS county",
     "CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN 'N/A' ELSE CASE WHEN c >= 1000 THEN concat(CAST(CAST(floor(c / 1000) AS INT) AS STRING), ',', lpad(CAST(c % 1000 AS STRING), 3, '0')) ELSE CAST(c AS STRING) END END AS capacity_kw",
-    "CASE WHEN k % 19 = 0 THEN NULL WHEN k % 23 = 0 THEN '1234.7' ELSE CASE WHEN p >= 1000 THEN concat(CAST(CAST(floor(p / 1000) AS INT) AS STRING), ',', lpad(CAST(p % 1000 AS STRING), 3, '0')) ELSE CAST(p AS STRING) END END AS pop",
+    "CASE WHEN k % 19 = 0 THEN NULL WHEN k % 23 = 0 THEN '1234.7' WHEN k % 37 = 0 THEN 'n/a' ELSE CASE WHEN p >= 1000 THEN concat(CAST(CAST(floor(p / 1000) AS INT) AS STRING), ',', lpad(CAST(p % 1000 AS STRING), 3, '0')) ELSE CAST(p AS STRING) END END AS pop",
     "CASE k % 8 WHEN 0 THEN 'Low (<10%)' WHEN 1 THEN 'Low - Medium (10-20%)' WHEN 2 THEN 'Medium - High (20-40%)' WHEN 3 THEN 'High (40-80%)' WHEN 4 THEN 'Extremely High (>80%)' WHEN 5 THEN 'Arid and Low Water Use' WHEN 6 THEN 'Low (new label)' ELSE NULL END AS water_stress",
     "concat('City', CAST(k % 12 AS STRING)) AS city",
     "CASE WHEN k % 9 = 0 THEN NULL WHEN k % 10 = 0 THEN '' ELSE concat(CAST(k AS STRING), ' Main St') END AS address",

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
+    ArrayType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType,
 )
 
 from .. import constants as K
@@ -35,6 +35,12 @@ def chunked_documents(rows: DataFrame, record: Column, chunk: int, wrap) -> Data
     return docs.select(F.to_json(wrap(F.col("_rs")), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def _read_json(spark: SparkSession, path: str, schema: StructType, multi_line: bool) -> DataFrame:
+    """JSON documents with a declared schema; a malformed or truncated document, or a
+    pretty-printed one read line by line, fails the job instead of vanishing."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
+
+
 # --- S3: load API pages ----------------------------------------------------------------
 
 LOAD_RECORD = StructType([StructField(n, StringType()) for n in
@@ -58,11 +64,26 @@ def read_load_pages(spark: SparkSession, path: str, multi_line: bool = False) ->
     no rows; values arrive as text whether the page held strings or numbers
     (the strict cast happens in ``hourly.load_rows``). ``multi_line`` reads
     one pretty-printed document per file."""
-    pages = spark.read.schema(LOAD_PAGE).option("multiLine", multi_line).json(path)
+    pages = _read_json(spark, path, LOAD_PAGE, multi_line)
     rows = pages.select(F.explode("response.data").alias("r")).select("r.*")
     return rows.select([F.col(f"`{c}`").alias(c.replace("-", "_")) for c in rows.columns])
 
 
+def require_page_keys(spark: SparkSession, path: str, required: list[str] = LOAD_REQUIRED,
+                      multi_line: bool = False) -> None:
+    """Fail when no record of any page has one of the ``required`` keys (a null
+    value counts as present). The keys are looked up in the documents themselves, because a
+    read with a declared schema has every column."""
+    keyed = StructType([StructField("response", StructType([
+        StructField("data", ArrayType(MapType(StringType(), StringType())))]))])
+    rec = _read_json(spark, path, keyed, multi_line).select(F.explode("response.data").alias("r"))
+    found = rec.agg(F.count(F.lit(1)).alias("n"), *[
+        F.max(F.map_contains_key("r", k)).alias(f"k{i}") for i, k in enumerate(required)]).first()
+    missing = [k for i, k in enumerate(required) if found["n"] and not found[f"k{i}"]]
+    if missing:
+        raise ValueError(f"input is missing expected columns: {missing}")
+
+
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     """Fail when expected columns are absent (schema-inferred reads)."""
     missing = sorted(set(required) - set(df.columns))
@@ -101,7 +122,7 @@ def read_facility_json(spark: SparkSession, path: str, multi_line: bool = False,
                        schema: StructType = FACILITY_SCHEMA) -> DataFrame:
     """Facility records (JSON lines, or one JSON array per file with
     ``multi_line``) with the declared schema; columns in schema order."""
-    df = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    df = _read_json(spark, path, schema, multi_line)
     return df.select([f.name for f in schema.fields])
 
 
@@ -110,7 +131,7 @@ def read_facility_json(spark: SparkSession, path: str, multi_line: bool = False,
 def normalise_records(df: DataFrame, text_col: str = "value", out: str = "record") -> DataFrame:
     """Adds ``out``: the JSON object in ``text_col`` as a key-sorted map whose
     keys are lower-cased (an empty key becomes 'unknown'); when two keys
-    collide the later one wins. Values stay JSON text. Exact duplicate keys
+    collide the later one wins. A malformed record fails the job. Values stay JSON text. Exact duplicate keys
     inside one object need ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` (set by
     ``session.build_session``).
 
@@ -118,7 +139,7 @@ def normalise_records(df: DataFrame, text_col: str = "value", out: str = "record
     explicit filter keeps each entry that no later entry overrides (the entry
     array is its own projection there, so the lambda does not re-parse).
     """
-    m = F.from_json(F.col(text_col), "map<string,string>")
+    m = F.from_json(F.col(text_col), "map<string,string>", {"mode": "FAILFAST"})
     e = F.transform(F.map_entries(m), lambda x: F.struct(
         F.when(x["key"] == "", F.lit("unknown")).otherwise(F.lower(x["key"])).alias("key"),
         x["value"].alias("value")))
@@ -156,7 +177,7 @@ def write_feature_collections(features: DataFrame, path: str, chunk: int = 5000)
 
 
 def read_features(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    fc = spark.read.schema(FEATURE_COLLECTION).option("multiLine", multi_line).json(path)
+    fc = _read_json(spark, path, FEATURE_COLLECTION, multi_line)
     return fc.select(F.explode("features").alias("f")).select(
         F.col("f.id").alias("feature_id"), F.col("f.properties.name").alias("name"))
 

@@ -1,14 +1,18 @@
 """S8 replace-table sink, S10 table listing and A9 row audit.
 
-Tables are replaced atomically per path (``mode("overwrite")``), optionally
-partitioned (fact tables by year) and sorted within partitions (no global
-sort is needed to write). The row count of every written table is taken
+A table is written beside the old one and then takes its place by two renames, so
+a failed job never loses the old table (the swap itself is not atomic: a
+reader can find no table between the renames). Sorted tables are
+range-partitioned by their partition columns and keys, so a year is written by
+the few tasks that hold its key ranges and every file is sorted. The row count of every written table is taken
 during the write itself with ``DataFrame.observe``, so auditing costs no
 second pass over the data.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +20,40 @@ from pyspark.sql import functions as F
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                   sort_within: list[str] | None = None, name: str | None = None,
                   fmt: str = "parquet") -> int:
-    """DROP + CREATE TABLE AS: overwrite ``path`` with ``df``; returns its row
+    """DROP + CREATE TABLE AS: replace the table at ``path`` with ``df``; returns its row
     count (observed while writing)."""
     obs = Observation(name or "rows")
-    out = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    out = df
     if sort_within:
-        out = out.sortWithinPartitions(*sort_within)
-    w = out.write.mode("overwrite").format(fmt)
+        # partition columns first: the writer then keeps this order in every folder
+        keys = [*(partition_by or []), *sort_within]
+        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    out = out.observe(obs, F.count(F.lit(1)).alias("rows"))  # after the range sampling, which reads rows too
+    fresh = f"{path.rstrip('/')}__new_{uuid.uuid4().hex[:12]}"
+    w = out.write.format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(path)
+    w.save(fresh)
+    _swap(df.sparkSession, fresh, path.rstrip("/"))
     return int(obs.get["rows"])
 
 
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    to_path = jvm.org.apache.hadoop.fs.Path
+    new, cur, old = to_path(fresh), to_path(path), to_path(f"{fresh}_old")
+    fs = cur.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(cur)
+    if had and not fs.rename(cur, old):
+        raise OSError(f"can't move the old table at {path}")
+    if not fs.rename(new, cur):
+        if had:
+            fs.rename(old, cur)
+        raise OSError(f"can't move the new table to {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def register_tables(spark: SparkSession, root: str, names: list[str]) -> None:
     """Expose written tables as temporary views (queryable with SQL)."""
     for n in names:
@@ -40,11 +65,7 @@ def list_tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
 
 
-def row_audit(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, rows) for each named relation, as one DataFrame."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
-             for n, df in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def row_audit(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """(table_name, rows) of the counts that ``replace_table`` observed while the tables
+    were written: no table is computed or read again for its audit."""
+    return spark.createDataFrame(sorted(counts.items()), "table_name string, rows bigint")

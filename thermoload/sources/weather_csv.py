@@ -19,32 +19,53 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .files import csv_header, list_files
 
 
-def read_csv_union(spark: SparkSession, pattern: str | list[str], columns: list[str] | None = None) -> DataFrame:
-    """All files matching ``pattern`` (or the given list of files), aligned by
-    header name.
-
-    ``columns`` narrows the result to those names (the weather decode needs
-    STATION, DATE, TMP); a column no file carries is NULL.
-    """
+def _group_by_header(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by header line; one small read per file (I/O bound, so in parallel)."""
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    files = list(pattern) if isinstance(pattern, list) else list_files(spark, pattern)
-    # one small read per file (its first line); I/O bound, so probe in parallel
     with ThreadPoolExecutor(max_workers=min(32, max(1, len(files)))) as pool:
         headers = list(pool.map(lambda f: csv_header(spark, f), files))
     for f, h in zip(files, headers):
+        if len({c.lower() for c in h}) < len(h):
+            raise ValueError(f"the header of {f} repeats a column name: {h}")
         if h:
             groups[h].append(f)
+    return groups
+
+
+def read_csv_union(spark: SparkSession, pattern: str | list[str], columns: list[str] | None = None,
+                   require: bool = True) -> DataFrame:
+    """All files matching ``pattern`` (or the given list of files), aligned by
+    header name without regard to case.
+
+    ``columns`` narrows the result to those names (the weather decode needs
+    STATION, DATE, TMP). A file without one of them gives NULL there; a column
+    that no file has is an error unless ``require`` is off (a micro-batch may
+    hold such files only). Quotes are doubled inside quoted fields and quoted
+    fields may hold line feeds, so a file is one task: landed files are
+    station-years, a few megabytes each.
+    """
+    files = list(pattern) if isinstance(pattern, list) else list_files(spark, pattern)
+    groups = _group_by_header(spark, files)
     if not groups:
         if isinstance(pattern, list) and columns:  # e.g. a micro-batch of empty files
             return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))
         raise FileNotFoundError(f"no CSV files with a header match {pattern}")
+    names: dict[str, str] = {c.lower(): c for c in columns or []}
+    for header in sorted(groups):
+        for c in header:
+            names.setdefault(c.lower(), c)
+    present = {c.lower() for header in groups for c in header}
+    absent = [c for c in columns or [] if c.lower() not in present]
+    if absent and require:
+        raise ValueError(f"no file has the columns {absent}")
     parts = []
-    for header, files in sorted(groups.items()):
-        schema = StructType([StructField(c, StringType()) for c in header])
-        df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(files)
+    for header, found in sorted(groups.items()):
+        schema = StructType([StructField(names[c.lower()], StringType()) for c in header])
+        df = (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", True)
+              .option("quote", '"').option("escape", '"').option("multiLine", True).csv(found))
         if columns:
-            df = df.select([F.col(f"`{c}`") if c in header else F.lit(None).cast("string").alias(c)
-                            for c in columns])
+            have = set(schema.names)
+            df = df.select([F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns])
         parts.append(df)
     out = parts[0]
     for p in parts[1:]:
@@ -57,15 +78,12 @@ def infer_csv_types(spark: SparkSession, pattern: str) -> dict[tuple[str, ...],
     when it samples every row (``samplingRatio=1.0``, like sniffing all
     files). Production reads use the all-string schema plus explicit casts,
     because inference costs a full extra pass and can change between landings."""
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for f in list_files(spark, pattern):
-        h = csv_header(spark, f)
-        if h:
-            groups[h].append(f)
     return {h: spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", 1.0)
-            .csv(files).schema for h, files in groups.items()}
+            .option("escape", '"').option("multiLine", True).csv(files).schema
+            for h, files in _group_by_header(spark, list_files(spark, pattern)).items()}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Land rows as CSV files with a header line (one file per partition)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Land rows as CSV files with a header line (one file per partition); quotes
+    inside fields are doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

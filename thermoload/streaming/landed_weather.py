@@ -7,8 +7,10 @@ the observations are decoded exactly like the batch path.
 
 The hourly mean is kept without streaming state: every micro-batch reduces
 its own rows to per (station, hour) partial sums and counts and writes them
-to a folder named by the batch id (a replayed batch overwrites its own
-folder, so output is exactly-once). The hourly table is the merge of all
+to a folder named by the checkpoint and the batch id: a replayed batch
+overwrites its own folder, so output is exactly-once, and a stream started
+with another checkpoint writes beside the old folders, never over them (it
+reads all landed files again, so give it a new table). The hourly table is the merge of all
 partials, ``sum(sums) / sum(counts)``. Late files (a whole station-year can
 land after later years) need no watermark, no state store grows with the
 history, and each trigger writes only its own partials.
@@ -22,6 +24,8 @@ in the batch build. ``max_files_per_trigger`` bounds a micro-batch.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,7 +48,7 @@ def landed_files(spark: SparkSession, landing_dir: str, max_files_per_trigger: i
 
 def observations(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
     """Decoded observations of the given files (station, ts_utc, temp_C)."""
-    return decode_weather(read_csv_union(spark, paths, columns=columns or WEATHER_COLUMNS))
+    return decode_weather(read_csv_union(spark, paths, columns=columns or WEATHER_COLUMNS, require=False))
 
 
 def hourly_partials(obs: DataFrame) -> DataFrame:
@@ -59,11 +63,13 @@ def start_hourly_ingest(spark: SparkSession, landing_dir: str, table_path: str,
     """Run the stream; ``available_now`` processes what has landed and stops,
     otherwise it triggers every minute. A micro-batch holds at most
     ``max_files_per_trigger`` paths, the only rows brought to the driver."""
+    run = hashlib.sha256(checkpoint_dir.encode()).hexdigest()[:16]
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         paths = [r.path for r in batch.collect()]
         if paths:
             out = hourly_partials(observations(spark, paths, columns))
-            out.write.mode("overwrite").parquet(f"{table_path}/partials/batch={batch_id}")
+            out.write.mode("overwrite").parquet(f"{table_path}/partials/run={run}/batch={batch_id}")
 
     w = (landed_files(spark, landing_dir, max_files_per_trigger).writeStream
          .option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch))
