@@ -119,7 +119,7 @@ def with_offsets(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     placed = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn(
         "__in", F.coalesce(F.sum("__size").over(within), F.lit(0)))
     same = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b"))
-    return (placed.join(starts, same)
+    return (placed.join(starts.hint("merge"), same)
             .withColumn("__offset", F.col("__in") + F.col("__start"))
             .drop("__in", "__start", "__s", "__b", "__bucket", "__row"))
 
@@ -151,26 +151,29 @@ def draws(spark, sources: pd.DataFrame, slots: int, seed: int, block: int) -> Da
     groups = groups.select("number", "g", F.coalesce(F.sum("gn").over(upto), F.lit(0)).alias("g0"))
     inside = Window.partitionBy("number", "g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     rows = (rows.withColumn("i0", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(groups, ["number", "g"]).select("shard", "number", "n", (F.col("g0") + F.col("i0")).alias("first"))
+            .join(groups.hint("merge"), ["number", "g"]).select("shard", "number", "n", (F.col("g0") + F.col("i0")).alias("first"))
             .filter("n > 0"))
     limit = MAX_EPOCHS
 
     def place(batches):
         for b in batches:
-            for shard, number, n, first in zip(*(c.to_pylist() for c in b.columns)):
-                blocks = int(n_blocks[number])
-                i = np.arange(first, first + n)
-                i = i[i < limit * blocks]
-                if not len(i):
-                    continue
-                epoch = i // blocks
-                at = np.empty(len(i), np.int64)
-                for e in np.unique(epoch):
-                    k = epoch == e
-                    at[k] = permute(i[k] % blocks, blocks, (seed * 1009 + number) * 31 + int(e))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(i), shard)), pa.array(i - first), pa.array(np.full(len(i), number)),
-                     pa.array(at), pa.array(epoch)], names=["shard", "slot", "number", "block", "epoch"])
+            shard, number, n, first = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            row = np.repeat(np.arange(len(n)), n)
+            slot = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            i, num = first[row] + slot, number[row]
+            ok = i < limit * n_blocks[num]
+            i, num, row, slot = i[ok], num[ok], row[ok], slot[ok]
+            epoch, at = i // n_blocks[num], np.empty(len(i), np.int64)
+            for k in np.unique(num):          # at most sources * epochs groups
+                for e in np.unique(epoch[num == k]):
+                    here = (num == k) & (epoch == e)
+                    blocks = int(n_blocks[k])
+                    at[here] = permute(i[here] % blocks, blocks, (seed * 1009 + int(k)) * 31 + int(e))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[row]), pa.array(slot), pa.array(num), pa.array(at), pa.array(epoch)],
+                names=["shard", "slot", "number", "block", "epoch"])
+    # a few rows a shard grow to all its slots here: deal them to enough tasks
+    rows = rows.select("shard", "number", "n", "first").repartition(max(1, -(-shards // 64)), "shard")
     return rows.mapInArrow(place, "shard long, slot long, number long, block long, epoch long")
 
 
@@ -185,6 +188,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     rows = docs.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"),
                        n_words(text).alias("__size"), F.xxhash64(F.col(text)).alias("__hash"),
                        *[F.col(c).alias(f"__k_{c}") for c in keep])
+    if not keep:
+        rows = written(rows, "mix-sizes")  # small columns only
     sources = sizes_by_source(rows).toPandas()  # one row per source
     if not len(sources):
         sources = pd.DataFrame({"__source": pd.Series(dtype=object), "size": pd.Series(dtype="int64")})
@@ -207,7 +212,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
         .withColumn("__from", F.greatest(F.col("__offset"), F.col("block") * block))
         .withColumn("n", F.least(F.col("__offset") + F.col("__size"), (F.col("block") + 1) * block) - F.col("__from"))
         .select("number", "block", "__offset", (F.col("__from") - F.col("__offset")).alias("start"), "n"))
-    uses = slot.join(pieces, ["number", "block"]).select(
+    # Spark can't know how many slots a shard's row becomes: never broadcast them
+    uses = slot.hint("merge").join(pieces, ["number", "block"]).select(
         "number", "__offset", "epoch", "shard", "slot", "start", "n")
     return placed, uses
 
@@ -216,7 +222,7 @@ def taken_words(docs: DataFrame, **params) -> DataFrame:
     """One row per document: ``__id``, ``size``, ``source_size``, ``target``, ``taken``."""
     placed, uses = mixture(docs, **params)
     sums = uses.groupBy("number", "__offset").agg(F.sum("n").alias("taken"))
-    filled = placed.filter("__size > 0").join(sums, ["number", "__offset"], "left")
+    filled = placed.filter("__size > 0").join(sums.hint("merge"), ["number", "__offset"], "left")
     empty = placed.filter("__size = 0").withColumn("taken", F.lit(None).cast("long"))
     return filled.unionByName(empty).select(
         "__id", F.col("__size").alias("size"), "source_size", "target",
@@ -232,7 +238,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     placed, uses = mixture(docs, id_col, text, source, keep=tuple(cols), **params)
     runs = uses.groupBy("number", "__offset", "epoch").agg(
         F.sum("n").alias("__n"), F.array_sort(F.collect_list(F.struct("start", "n"))).alias("__runs"))
-    rows = placed.filter("__size > 0").join(runs, ["number", "__offset"])
+    rows = placed.filter("__size > 0").join(runs.hint("merge"), ["number", "__offset"])
     ws = F.filter(F.split(F.col(f"__k_{text}"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.array_join(F.flatten(F.transform(F.col("__runs"), lambda r: F.slice(
         F.col("__ws"), (r["start"] + 1).cast("int"), r["n"].cast("int")))), " ")
