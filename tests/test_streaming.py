@@ -1,6 +1,8 @@
 """Streaming ingest: only new files are read, landings with different headers
 align by name, and the partials merge to the batch result."""
 
+import pytest
+
 from thermoload.operators.hourly import decode_weather, hourly_temperature
 from thermoload.sources import fixtures
 from thermoload.sources.weather_csv import write_csv
@@ -27,3 +29,11 @@ def test_incremental_ingest_matches_batch(spark, tmp_dir):
     assert all((got[k] is None and want[k] is None) or abs(got[k] - want[k]) < 1e-9 for k in want)
     batches = spark.read.parquet(f"{tmp_dir}/out/partials").select("batch").distinct().count()
     assert batches == 2  # the second run read only the newly landed files
+
+
+def test_second_checkpoint_is_refused(spark, tmp_dir):
+    write_csv(fixtures.noaa_raw(spark, SF).filter("DATE < '2024-01-03'"), f"{tmp_dir}/landing/a")
+    for _ in range(2):  # the same checkpoint may go on
+        start_hourly_ingest(spark, f"{tmp_dir}/landing/*", f"{tmp_dir}/out", f"{tmp_dir}/ckpt").awaitTermination()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        start_hourly_ingest(spark, f"{tmp_dir}/landing/*", f"{tmp_dir}/out", f"{tmp_dir}/ckpt2")

@@ -99,6 +99,10 @@ EJ_POINTS = 20
 POPULATION_POINTS = 15
 WATER_POINTS = 12
 EJ_CONCERN_PERCENTILE = 80.0
+POWER_BANDS = [(20, 28), (75, 18), (200, 7)]               # (MW at most, points), above: 0
+POPULATION_BANDS = [(1000, 15), (5000, 10), (10000, 5)]    # (residents below, points), from there: 0
+WATER_LOW_POINTS = 12
+WATER_MEDIUM_HIGH_POINTS = 6
 WATER_LOW = ["Low (<10%)", "Low - Medium (10-20%)"]
 WATER_MEDIUM_HIGH = "Medium - High (20-40%)"
 WATER_HIGH = ["High (40-80%)", "Extremely High (>80%)"]

@@ -138,6 +138,16 @@ def row_max(cols: list[str]) -> Column:
     return F.greatest(*[nan_to_null(c) for c in cols])
 
 
+def banded(value: Column, bands: list[tuple[float, object]], last, inclusive: bool) -> Column:
+    """The entry of the first band that ``value`` lies in (bounds ascending), else ``last``. NULL
+    values take ``last`` too."""
+    out = None
+    for bound, entry in bands:
+        test = value <= bound if inclusive else value < bound
+        out = F.when(test, entry) if out is None else out.when(test, entry)
+    return out.otherwise(last)
+
+
 # --- display formatting ----------------------------------------------------------
 
 def fmt0(c: str | Column) -> Column:

@@ -14,20 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import dbl, display_or_na, fill, js_round, js_text, locale_number, nan_to_null
+from ..functions.columns import banded, dbl, display_or_na, fill, js_round, js_text, locale_number, nan_to_null
 
 
 def web_score(df: DataFrame, ej_cols: list[str] | None = None) -> Column:
     """the browser's ``calcExemptionScore``."""
     ej_cols = ej_cols or K.EJ_COLUMNS
     cap = F.col("capacity_mw")
-    power = F.when(cap.isNull(), 0).when(cap <= 20, 28).when(cap <= 75, 18).when(cap <= 200, 7).otherwise(0)
+    power = banded(cap, K.POWER_BANDS, 0, True)
     max_ej = F.greatest(dbl(0), *[nan_to_null(c) for c in ej_cols if c in df.columns])
-    ej = F.when(max_ej < dbl(K.EJ_CONCERN_PERCENTILE), 20).otherwise(0)
+    ej = F.when(max_ej < dbl(K.EJ_CONCERN_PERCENTILE), K.EJ_POINTS).otherwise(0)
     pop = F.col("pop_within_mile")
-    popp = F.when(pop.isNull(), 0).when(pop < 1000, 15).when(pop < 5000, 10).when(pop < 10000, 5).otherwise(0)
+    popp = banded(pop, K.POPULATION_BANDS, 0, False)
     ws = F.coalesce(F.col("water_stress_index"), F.lit(""))
-    water = F.when(ws.startswith("Low"), 12).when(ws == K.WATER_MEDIUM_HIGH, 6).otherwise(0)
+    water = (F.when(ws.startswith("Low"), K.WATER_LOW_POINTS)
+             .when(ws == K.WATER_MEDIUM_HIGH, K.WATER_MEDIUM_HIGH_POINTS).otherwise(0))
     return power + ej + popp + water
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import dbl, fill, fmt0, lenient_double, lenient_int, nan_to_null, row_max, thousands
+from ..functions.columns import banded, dbl, fill, fmt0, lenient_double, lenient_int, nan_to_null, row_max, thousands
 from ..functions.wkb import with_point_xy
 
 # --- cleaning ----------------------------------------------------------------------
@@ -73,32 +73,29 @@ def score_parts(df: DataFrame, ej_cols: list[str] | None = None) -> DataFrame:
                                               F.lit(False)))
     cap, ejm = F.col("capacity_numeric"), F.col("ej_max_percentile")
     none = F.lit(None).cast("string")
-    p_lo, p_mid, p_hi, p_top = K.DETAIL_POWER
     w_lo, w_mid, w_hi = K.DETAIL_WATER
-    n_lo, n_mid, n_hi, n_top = K.DETAIL_POPULATION
     concern = F.col("ej_concern")
     return d.select(
         "*",
-        F.when(cap.isNull(), 0).when(cap <= 20, 28).when(cap <= 75, 18).when(cap <= 200, 7)
-         .otherwise(0).alias("power_points"),
+        banded(cap, K.POWER_BANDS, 0, True).alias("power_points"),
         F.when(cap.isNull(), F.lit(K.REASON_NO_CAPACITY))
-         .when(cap > 200, fill(K.REASON_HIGH_CAPACITY, fmt0(cap))).alias("power_reason"),
-        F.when(cap.isNull(), F.lit(K.DETAIL_NO_DATA)).when(cap <= 20, fill(p_lo, fmt0(cap)))
-         .when(cap <= 75, fill(p_mid, fmt0(cap))).when(cap <= 200, fill(p_hi, fmt0(cap)))
-         .otherwise(fill(p_top, fmt0(cap))).alias("power_detail"),
-        F.when(concern, 0).otherwise(20).alias("ej_points"),
+         .when(cap > K.POWER_BANDS[-1][0], fill(K.REASON_HIGH_CAPACITY, fmt0(cap))).alias("power_reason"),
+        F.when(cap.isNull(), F.lit(K.DETAIL_NO_DATA)).otherwise(banded(
+            cap, [(b, fill(x, fmt0(cap))) for (b, _), x in zip(K.POWER_BANDS, K.DETAIL_POWER)],
+            fill(K.DETAIL_POWER[-1], fmt0(cap)), True)).alias("power_detail"),
+        F.when(concern, 0).otherwise(K.EJ_POINTS).alias("ej_points"),
         F.when(concern, fill(K.REASON_EJ, fmt0(ejm))).alias("ej_reason"),
         F.when(concern, fill(K.DETAIL_EJ_FLAG, fmt0(ejm))).otherwise(F.lit(K.DETAIL_EJ_OK)).alias("ej_detail"),
-        F.when(pop.isNull(), 0).when(pop < 1000, 15).when(pop < 5000, 10).when(pop < 10000, 5)
-         .otherwise(0).alias("pop_points"),
-        F.when(pop.isNull(), F.lit(K.REASON_NO_POPULATION)).when(pop < 1000, none)
-         .when(pop < 5000, fill(K.REASON_POPULATION, fmt0(pop)))
-         .when(pop < 10000, fill(K.REASON_POPULATION_HIGH, fmt0(pop)))
-         .otherwise(fill(K.REASON_POPULATION_VERY_HIGH, fmt0(pop))).alias("pop_reason"),
-        F.when(pop.isNull(), F.lit(K.DETAIL_NO_DATA)).when(pop < 1000, fill(n_lo, thousands(pop)))
-         .when(pop < 5000, fill(n_mid, thousands(pop))).when(pop < 10000, fill(n_hi, thousands(pop)))
-         .otherwise(fill(n_top, thousands(pop))).alias("pop_detail"),
-        F.when(ws.isin(K.WATER_LOW), 12).when(ws == K.WATER_MEDIUM_HIGH, 6).otherwise(0).alias("water_points"),
+        banded(pop, K.POPULATION_BANDS, 0, False).alias("pop_points"),
+        F.when(pop.isNull(), F.lit(K.REASON_NO_POPULATION)).otherwise(banded(
+            pop, [(b, x) for (b, _), x in zip(K.POPULATION_BANDS, (
+                none, fill(K.REASON_POPULATION, fmt0(pop)), fill(K.REASON_POPULATION_HIGH, fmt0(pop))))],
+            fill(K.REASON_POPULATION_VERY_HIGH, fmt0(pop)), False)).alias("pop_reason"),
+        F.when(pop.isNull(), F.lit(K.DETAIL_NO_DATA)).otherwise(banded(
+            pop, [(b, fill(x, thousands(pop))) for (b, _), x in zip(K.POPULATION_BANDS, K.DETAIL_POPULATION)],
+            fill(K.DETAIL_POPULATION[-1], thousands(pop)), False)).alias("pop_detail"),
+        F.when(ws.isin(K.WATER_LOW), K.WATER_LOW_POINTS).when(ws == K.WATER_MEDIUM_HIGH, K.WATER_MEDIUM_HIGH_POINTS)
+         .otherwise(0).alias("water_points"),
         F.when(ws.isin(K.WATER_LOW), none).when(ws == K.WATER_MEDIUM_HIGH, F.lit(K.REASON_WATER_MEDIUM_HIGH))
          .when(ws.isin(K.WATER_HIGH), fill(K.REASON_WATER_HIGH, ws)).alias("water_reason"),
         F.when(ws.isin(K.WATER_LOW), fill(w_lo, ws)).when(ws == K.WATER_MEDIUM_HIGH, fill(w_mid, ws))

@@ -8,9 +8,9 @@ the observations are decoded exactly like the batch path.
 The hourly mean is kept without streaming state: every micro-batch reduces
 its own rows to per (station, hour) partial sums and counts and writes them
 to a folder named by the checkpoint and the batch id: a replayed batch
-overwrites its own folder, so output is exactly-once, and a stream started
-with another checkpoint writes beside the old folders, never over them (it
-reads all landed files again, so give it a new table). The hourly table is the merge of all
+overwrites its own folder, so output is exactly-once. A new checkpoint would
+read all landed files again, so it is refused on a table that another
+checkpoint has written. The hourly table is the merge of all
 partials, ``sum(sums) / sum(counts)``. Late files (a whole station-year can
 land after later years) need no watermark, no state store grows with the
 history, and each trigger writes only its own partials.
@@ -33,6 +33,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from ..functions.columns import trunc_hour
 from ..operators.hourly import decode_weather
+from ..sources.files import list_files
 from ..sources.weather_csv import read_csv_union
 
 WEATHER_COLUMNS = ["STATION", "DATE", "TMP"]
@@ -57,13 +58,21 @@ def hourly_partials(obs: DataFrame) -> DataFrame:
             .agg(F.sum("temp_C").alias("temp_sum"), F.count("temp_C").alias("temp_n")))
 
 
+def _run_name(checkpoint_dir: str) -> str:
+    return hashlib.sha256(checkpoint_dir.rstrip("/").encode()).hexdigest()[:16]
+
+
 def start_hourly_ingest(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_dir: str,
                         available_now: bool = True, max_files_per_trigger: int = 1000,
                         columns: list[str] | None = None) -> StreamingQuery:
     """Run the stream; ``available_now`` processes what has landed and stops,
     otherwise it triggers every minute. A micro-batch holds at most
     ``max_files_per_trigger`` paths, the only rows brought to the driver."""
-    run = hashlib.sha256(checkpoint_dir.encode()).hexdigest()[:16]
+    others = [f for f in list_files(spark, f"{table_path}/partials/run=*")
+              if f"/run={_run_name(checkpoint_dir)}/" not in f]
+    if others:
+        raise ValueError(f"{table_path} was written with another checkpoint; its rows would count twice")
+    run = _run_name(checkpoint_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         paths = [r.path for r in batch.collect()]
