@@ -25,9 +25,10 @@ one of them at least one holds the same subset in the other: the pigeonhole.
   signatures: that is what frees sets which merely share a common passage.
 * Of what is left, each signature's members meet its most central set, the
   one with the fewest segments of its own (linear in the members), and the pairs are verified exactly on their
-  texts. Members then still in different components meet each other on the
-  rarest signatures that they need, within the sizes that their unshared shingles
-  leave in reach, and are verified. Links inside a component
+  texts. Members then still in different components are compared where
+  they can link: those that met the same centre by a prefix filter over their
+  differences from it (``family_pairs``), others by the signatures that they need
+  within the sizes that their unshared shingles leave in reach, and are verified. Links inside a component
   cannot change it, so no link between components is lost and a huge group of
   near copies costs a few comparisons a member.
 
@@ -296,27 +297,24 @@ def node_texts(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
-    """The pairs (``a``, ``b``) whose texts' sets link."""
+    """``a``, ``b`` and whether their texts' sets are ``linked``."""
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
     def run(batches):
         last, kept = None, None
         for batch in batches:
-            out_a, out_b = [], []
+            linked = []
             col = {n: batch.column(batch.schema.get_field_index(n)) for n in ("a", "b", "ta", "tb")}
             for i, other in enumerate(shingle_sets(col["tb"])):
                 a = col["a"][i].as_py()
                 if a != last:  # rows come sorted by a
                     last, kept = a, shingle_set(col["ta"][i].as_py())
                 both = len(np.intersect1d(kept, other, assume_unique=True))
-                if 100 * both >= t * (len(kept) + len(other) - both):
-                    out_a.append(a)
-                    out_b.append(col["b"][i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())],
-                                             names=["a", "b"])
+                linked.append(100 * both >= t * (len(kept) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([col["a"], col["b"], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
     joined = pairs.join(tb, "b").join(ta, "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
 # --- the join ------------------------------------------------------------------------------
@@ -341,11 +339,19 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each signature's members with its most central set: the one with the fewest segments
-    of its own, as an unedited original has among its edited copies."""
+    """Each signature's members (``b``) with its most central set (``a``): the one with the fewest
+    segments of its own, as an unedited original has among its edited copies."""
     centre = F.min(F.struct("own", "node")).over(Window.partitionBy("sig"))["node"]
-    pairs = rows.select("node", centre.alias("c")).filter("node <> c")
-    return pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
+    return rows.select(centre.alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+
+
+def pivots(tested: DataFrame) -> DataFrame:
+    """``node``, ``pivot``: of the centres that a set met, and itself, the one that met most sets."""
+    met = tested.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    both = (tested.select("a", F.col("b").alias("node")).join(met, "a")
+            .unionByName(met.select("a", F.col("a").alias("node"), "n")))
+    best = both.groupBy("node").agg(F.max(F.struct("n", (-F.col("a")).alias("c"))).alias("x"))
+    return best.select("node", (-F.col("x.c")).alias("pivot"))
 
 
 def open_signatures(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -384,26 +390,91 @@ def reach(texts: DataFrame, nodes: DataFrame, t: int = THRESHOLD) -> DataFrame:
         f"(size * 200 - 2 * coalesce(u, 0) * {100 + t}) div {2 * t}").alias("most"))
 
 
-def crossing_pairs(rows: DataFrame, labels: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
-    """Pairs of sets in different components that share a signature which the larger one needs.
+def difference_rows(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """For ``members`` (``node``, ``pivot``, ...): one row for each shingle in which a member differs
+    from its pivot, with ``d`` (how many there are) and the member's ``size``."""
+    tn = texts.select("node", F.col("text").alias("tn"))
+    tp = texts.select(F.col("node").alias("pivot"), F.col("text").alias("tp"))
+
+    def run(batches):
+        last, centre = None, None
+        for batch in batches:
+            out = [[] for _ in range(5)]
+            for i, s in enumerate(shingle_sets(batch.column(2))):
+                pivot = batch.column(1)[i].as_py()
+                if pivot != last:  # rows come sorted by pivot
+                    last, centre = pivot, shingle_set(batch.column(3)[i].as_py())
+                diff = np.setxor1d(s, centre, assume_unique=True)
+                n = len(diff)
+                for col, v in zip(out, (np.full(n, batch.column(0)[i].as_py()), np.full(n, pivot), diff.view(np.int64),
+                                        np.full(n, n), np.full(n, len(s)))):
+                    col.append(v.astype(np.int64))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
+                                                 names=["node", "pivot", "token", "d", "size"])
+    joined = members.select("node", "pivot").join(tn, "node").join(tp, "pivot").select("node", "pivot", "tn", "tp")
+    return joined.mapInArrow(run, "node long, pivot long, token long, d long, size long")
+
+
+def family_pairs(members: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
+    """Candidate pairs among sets with the same pivot that lie in different components.
+
+    With X the difference of a set from the pivot, r and s differ in |Xr ^ Xs|
+    shingles, so a link needs o = (|Xr| + |Xs| - H) / 2 of them in common. (Where
+    o <= 0 both link with the pivot itself, and are in one component.) Then, with X
+    ordered by rarity, the first |X| - o + 1 of either share one. What an edited copy
+    alone has comes first, so copies that were edited differently don't meet,
+    however many there are. ``members``: ``node``, ``pivot``, ``root``, ``near`` (in
+    the pivot's component).
+    """
+    rows = difference_rows(members, texts)
+    rarity = F.count(F.lit(1)).over(Window.partitionBy("pivot", "token"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    rows = rows.withColumn("df", rarity).withColumn("rank", rank).filter("df > 1")
+    rows = written(rows.join(members.select("node", "root", "near"), "node"), "differences")
+    # the smaller difference is looked up: its prefix for any partner in another component
+    first = f"IF(near, d * 100 div {100 + t} + 2, greatest(d * 100 div {100 + t}, size * {100 - t} div {2 * t}) + 2)"
+    probe = rows.filter(f"rank <= {first}").select(
+        "pivot", "token", F.col("node").alias("p"), F.col("d").alias("pd"), F.col("size").alias("ps"),
+        F.col("root").alias("pr"), F.col("rank").alias("pk"))
+    need = f"(d + pd - (size + ps) * {100 - t} div {100 + t})"
+    pairs = probe.join(rows, ["pivot", "token"]).filter(
+        f"pr <> root AND (pd < d OR pd = d AND p < node) AND {need} <= 2 * pd AND 2 * pk <= 2 * pd - {need} + 2"
+        f" AND 2 * rank <= 2 * d - {need} + 2 AND size * 100 >= ps * {t} AND ps * 100 >= size * {t}")
+    return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+
+
+def stranger_pairs(found: DataFrame, members: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
+    """Candidate pairs among sets with different pivots that lie in different components: those
+    that share a signature which the larger one needs.
 
     Sets meet by signature and size class (5 % wide), and only within each other's
-    ``reach``: copies of one original with too many edits each are thereby kept
-    apart without being compared.
+    ``reach``.
     """
-    found = written(open_signatures(rows, labels), "open")
-    known = written(reach(texts, found.select("node").distinct(), t), "reach")
+    known = written(reach(texts, members.select("node"), t).join(members, "node"), "reach")
     size_class = lambda c: F.floor(F.log(c.cast("double")) / math.log(1.05)).cast("int")
-    rows = found.join(known, "node").filter(f"most * 100 >= size * {t}")
+    rows = found.drop("root").join(known, "node").filter(f"most * 100 >= size * {t}")
     probe = rows.filter("probe").select(
-        "sig", F.col("node").alias("p"), F.col("root").alias("__pr"), F.col("size").alias("__ps"), F.col("most").alias("__pm"),
+        "sig", F.col("node").alias("p"), F.col("root").alias("pr"), F.col("size").alias("ps"), F.col("most").alias("pm"),
+        F.col("pivot").alias("pp"),
         F.explode(F.sequence(size_class(F.ceil(F.col("size") * t / 100)), size_class(F.least("size", "most")))).alias("class"))
-    index = rows.select("sig", "node", "root", "size", "most", size_class(F.col("size")).alias("class"))
+    index = rows.select("sig", "node", "root", "size", "most", "pivot", size_class(F.col("size")).alias("class"))
     pairs = probe.join(index, ["sig", "class"]).filter(
-        f"__pr <> root AND size <= __ps AND size <= __pm AND __ps <= most AND size * 100 >= __ps * {t}")
+        f"pr <> root AND pp <> pivot AND size <= ps AND size <= pm AND ps <= most AND size * 100 >= ps * {t}")
     return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
 
 
+def crossing_pairs(rows: DataFrame, labels: DataFrame, tested: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
+    """Candidate pairs of sets in different components."""
+    found = written(open_signatures(rows, labels), "open")
+    members = (found.select("node", "root").distinct().join(pivots(tested), "node", "left")
+               .withColumn("pivot", F.coalesce("pivot", "node")))
+    roots = labels.select(F.col("node").alias("pivot"), F.col("root").alias("__r"))
+    members = written(members.join(roots, "pivot", "left").withColumn(
+        "near", F.coalesce("__r", "pivot") == F.col("root")).drop("__r"), "members")
+    return family_pairs(members, texts, t).unionByName(stranger_pairs(found, members, texts, t)).distinct()
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: int = THRESHOLD) -> DataFrame:
     """One row per document: ``id``, ``node``, ``n_shingles``, ``component_id`` (the smallest id
     that can be reached by links)."""
@@ -412,9 +483,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: i
     allocation = {r["band"]: r["c"] for r in wanted}  # at most one row per band
     rows = written(shared_signatures(signature_rows(docs, text, allocation, t)), "shared")
     texts = written(node_texts(docs, text, rows.select("node").distinct()), "candidates")
-    links = written(verify(star_pairs(rows), texts, t), "links")
+    tested = written(verify(star_pairs(rows), texts, t), "tested")
+    links = tested.filter("linked")
     labels = connected_components(links)
-    more = written(verify(crossing_pairs(rows, labels, texts, t), texts, t), "links")
+    more = written(verify(crossing_pairs(rows, labels, tested, texts, t), texts, t).filter("linked"), "links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
     sets = named.filter("node IS NOT NULL")
