@@ -17,7 +17,8 @@ w * KT + (1 - w) * (the same one byte deeper); the deepest node seen in training
 takes the whole rest. The code length per byte follows from the sum.
 
 The broadcast model has 2^``SLOT_BITS`` slots whatever the corpus (48 MB); nodes
-that meet in a slot leave it to the one with the larger count. Scoring needs no
+that meet in a slot leave it to the one with the larger count. A slot holds 32
+bits of its node's name. The driver gathers it in slices. Scoring needs no
 shuffle.
 
 The unigram baseline is exact: counts of the most frequent words, as many as fit
@@ -42,8 +43,9 @@ from .text_hash import P1, mix, tables, text_chunks, word_hashes
 
 DEPTH = 5
 SLOT_BITS = 22
+SLICES = 8
 CACHE_BITS = 22
-WORD_SLOTS = 1 << 20
+WORD_SLOTS = 1 << 19
 END = 10           # the end mark's byte; no word holds it
 FLUSH = 1_000_000  # distinct grams that a task holds before it hands them on
 
@@ -163,12 +165,14 @@ def node_ids(depth, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
     return (ctx << np.uint64(11)) | (np.asarray(depth).astype(np.uint64) << np.uint64(8)) | node
 
 
-def slots_of(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(ids * P1) & np.uint64((1 << bits) - 1)).astype(np.int64)
+def slots_of(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, 32-bit name, never 0) of each identifier."""
+    h = mix(ids * P1)
+    return (h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def bounded_model(levels: list[DataFrame], slot_bits: int = SLOT_BITS) -> dict:
-    """Arrays by slot: ``id`` (2^64-1: empty), ``kt`` (estimate of a one), ``w``."""
+    """Arrays by slot: ``name`` (0: empty), ``kt`` (estimate of a one), ``w``."""
     nodes = levels[0]
     for x in levels[1:]:
         nodes = nodes.unionByName(x)
@@ -178,24 +182,27 @@ def bounded_model(levels: list[DataFrame], slot_bits: int = SLOT_BITS) -> dict:
     def place(batches):
         for b in batches:
             c = [x.to_numpy(zero_copy_only=False) for x in b.columns]
-            ids = node_ids(c[0], c[1].astype(np.uint64), c[2].astype(np.uint64))
+            slot, name = slots_of(node_ids(c[0], c[1].astype(np.uint64), c[2].astype(np.uint64)), slot_bits)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots_of(ids, slot_bits).astype(np.int32)), b.column(3), pa.array(ids.view(np.int64)), b.column(4), b.column(5)],
-                names=["slot", "n", "id", "kt", "w"])
-    placed = rows.mapInArrow(place, "slot int, n long, id long, kt float, w float")
-    best = placed.groupBy("slot").agg(F.max_by(F.struct("id", "kt", "w"), F.struct("n", "id")).alias("x"))
-    got = best.select("slot", "x.id", "x.kt", "x.w").toPandas()  # at most 2^slot_bits rows
+                [pa.array(slot.astype(np.int32)), b.column(3), pa.array(name.view(np.int32)), b.column(4), b.column(5)],
+                names=["slot", "n", "name", "kt", "w"])
+    placed = rows.mapInArrow(place, "slot int, n long, name int, kt float, w float")
+    best = written(placed.groupBy("slot").agg(F.max_by(F.struct("name", "kt", "w"), F.struct("n", "name")).alias("x"))
+                   .select("slot", "x.name", "x.kt", "x.w"), "model")
     size = 1 << slot_bits
-    model = {"id": np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF)), "kt": np.full(size, 0.5, np.float32), "w": np.ones(size, np.float32)}
-    at = got["slot"].to_numpy(np.int64)
-    model["id"][at] = got["id"].to_numpy(np.int64).view(np.uint64)
-    model["kt"][at], model["w"][at] = got["kt"].to_numpy(np.float32), got["w"].to_numpy(np.float32)
+    model = {"name": np.zeros(size, np.uint32), "kt": np.full(size, 0.5, np.float32), "w": np.ones(size, np.float32)}
+    step = max(1, size // SLICES)
+    for first in range(0, size, step):  # at most 2^slot_bits rows in all
+        got = best.filter(f"slot >= {first} AND slot < {first + step}").toArrow()
+        at = got.column("slot").to_numpy()
+        model["name"][at] = got.column("name").to_numpy().view(np.uint32)
+        model["kt"][at], model["w"][at] = got.column("kt").to_numpy(), got.column("w").to_numpy()
     return model
 
 
 def log10_probabilities(keys: np.ndarray, model: dict, depth: int = DEPTH) -> np.ndarray:
     """log10 P(byte | the bytes before) of each key."""
-    bits = len(model["id"]).bit_length() - 1
+    bits = len(model["name"]).bit_length() - 1
     ctx, byte = keys >> np.uint64(8), keys & np.uint64(255)
     total = np.zeros(len(keys))
     for j in range(8):
@@ -205,8 +212,8 @@ def log10_probabilities(keys: np.ndarray, model: dict, depth: int = DEPTH) -> np
         seen = np.zeros(len(keys), bool)
         for d in range(depth, -1, -1):
             ids = node_ids(d, ctx & np.uint64((1 << 8 * d) - 1), node)
-            at = slots_of(ids, bits)
-            hit = model["id"][at] == ids
+            at, name = slots_of(ids, bits)
+            hit = model["name"][at] == name
             w = np.where(seen, model["w"][at], 1.0)      # the deepest node seen takes the rest
             p = np.where(hit, w * model["kt"][at] + (1 - w) * p, p)
             seen |= hit
@@ -226,10 +233,10 @@ def frequent_words(words: DataFrame, most: int = WORD_SLOTS) -> tuple[np.ndarray
         least, held = n, held + k
     if least is None:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    rows = words.filter(F.col("n") >= least).select("key", "n").toPandas()
-    keys = rows["key"].to_numpy(np.int64).view(np.uint64)
+    rows = words.filter(F.col("n") >= least).select("key", "n").toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], rows["n"].to_numpy(np.int64)[order]
+    return keys[order], rows.column("n").to_numpy()[order]
 
 
 def score(docs: DataFrame, train_filter: Column, id_col: str = "doc_id", text: str = "text",
@@ -267,14 +274,14 @@ def score(docs: DataFrame, train_filter: Column, id_col: str = "doc_id", text: s
                 known = keys_of[place] == found if len(keys_of) else np.zeros(len(found), bool)
                 base = np.bincount(owner[known], logs_of[place[known]], n) + end_log
                 keys, whose = byte_keys(b, edges, at, starts, stops, depth)
-                slot = slots_of(keys, CACHE_BITS)
+                slot, _ = slots_of(keys, CACHE_BITS)
                 new = cache_key[slot] != keys
                 logs = cache_log[slot].astype(np.float64)
                 if new.any():
                     fresh, back = np.unique(keys[new], return_inverse=True)
                     p = log10_probabilities(fresh, tree, depth)
                     logs[new] = p[back]
-                    where = slots_of(fresh, CACHE_BITS)
+                    where, _ = slots_of(fresh, CACHE_BITS)
                     cache_key[where], cache_log[where] = fresh, p
                     # of keys that share a slot the last one stays: value and key must agree
                     cache_log[where] = np.where(cache_key[where] == fresh, p, cache_log[where])
