@@ -79,4 +79,9 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts
     key = won.select(*[F.col(c).alias(f"__w{c}") for c in REF], F.col("keep_id").alias("__keep"))
     same = [F.col(c) == F.col(f"__w{c}") for c in REF] + [F.col(id_col).eqNullSafe(F.col("__keep"))]
     hit = rows.join(key, same, "left_semi")
-    return hit.dropDuplicates(["__sha", "__len", "__xx", id_col]).select(*cols)
+    small = docs.select(F.col(id_col).alias("__id"), *_ref(text))
+    again = [F.col(c) == F.col(f"__w{c}") for c in REF] + [F.col("__id").eqNullSafe(F.col("__keep"))]
+    repeats = small.join(key, again, "left_semi").groupBy("__id", *REF).count().filter("count > 1")
+    if not repeats.isEmpty():  # rows repeated with id and text: one of them stays
+        hit = hit.dropDuplicates(["__sha", "__len", "__xx", id_col])
+    return hit.select(*cols)

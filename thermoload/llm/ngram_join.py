@@ -192,12 +192,13 @@ def signatures(s: np.ndarray, band: int, c: int, t: int = THRESHOLD) -> tuple[np
     seg, starts = cut(s, m)
     mixed = _mix(s * _P1)
     total = np.add.reduceat(mixed, starts)
-    sig = _mix(total + (seg + np.uint64(1)) * _P1 + salt)
+    place = (seg + np.uint64(1)) * _P1 + salt
+    sig = _mix(total + place)
     whole = np.ones(len(sig), bool)
     if c:
         sizes = np.diff(np.r_[starts, len(s)])
         more = [np.repeat(total[i], sizes[i]) - mixed[starts[i]:starts[i] + sizes[i]]
-                + (seg[i] + np.uint64(1)) * _P1 + salt
+                + place[i]
                 for i in np.flatnonzero((seg < c) & (sizes >= 2))]
         if more:
             extra = _mix(np.concatenate(more))
@@ -246,7 +247,7 @@ def signature_rows(docs: DataFrame, text: str, allocation: dict[int, int], t: in
                 seen.add(name)
                 for x in bands(len(s), t):
                     sig, whole, slack = signatures(s, x, allocation.get(x, 0), t)
-                    sigs.append(sig.view(np.int64))
+                    sigs.append((sig >> np.uint64(16)).view(np.int64))  # 48 bits are enough to meet by
                     nodes.append(np.full(len(sig), name, np.int64))
                     infos.append(((int(whole.sum()) << 32) + (slack << 8) + x * 2 + whole).astype(np.int64))
                     held += len(sig)
@@ -321,21 +322,19 @@ def verify(pairs: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
     """The signatures that two sets or more have, without those of sets that have no
-    partner in their band."""
+    partner in their band: ``sig``, ``node``, ``kind`` (band * 2 + whole), ``slack``, and ``own``,
+    the number of the set's segments that no other set has."""
     by_sig = Window.partitionBy("sig")
     some = (rows.withColumn("__first", F.min("node").over(by_sig))
             .withColumn("__last", F.max("node").over(by_sig))
             .withColumn("__before", F.lag("node").over(by_sig.orderBy("node")))
             .filter("__first <> __last AND (__before IS NULL OR __before <> node)"))
-    some = written(some.select("sig", "node", F.expr("CAST(info >> 32 AS INT)").alias("wholes"),
-                               F.expr("CAST((info >> 8) & 16777215 AS INT)").alias("slack"),
-                               F.expr("CAST((info >> 1) & 127 AS INT)").alias("band"),
-                               F.expr("(info & 1) = 1").alias("whole")), "signatures")
-    alive = (some.groupBy("node", "band").agg(F.sum(F.col("whole").cast("int")).alias("__n"), F.max("slack").alias("__s"))
-             .filter("__n > __s").select(F.col("node").alias("__node"), F.col("band").alias("__band"), "__n"))
-    kept = some.join(alive, (F.col("node") == F.col("__node")) & (F.col("band") == F.col("__band")))
-    return kept.select("sig", "node", "band", "slack", "whole", F.col("__n").alias("shared"),
-                       (F.col("wholes") - F.col("__n")).alias("own"))
+    rows = some.select("sig", "node", "info", F.expr("CAST((info >> 1) & 127 AS INT)").alias("band"))
+    shared = F.sum(F.expr("CAST(info & 1 AS INT)")).over(Window.partitionBy("node", "band"))
+    alive = rows.withColumn("shared", shared).filter("shared > CAST((info >> 8) & 16777215 AS INT)")
+    return alive.select("sig", "node", F.expr("CAST(info & 255 AS INT)").alias("kind"),
+                        F.expr("CAST((info >> 8) & 16777215 AS INT)").alias("slack"),
+                        F.expr("CAST((info >> 32) - shared AS INT)").alias("own"))
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
@@ -357,17 +356,17 @@ def pivots(tested: DataFrame) -> DataFrame:
 def open_signatures(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of signatures whose members lie in several components, and of those that
     each set needs to look up (``probe``)."""
-    at = (rows.join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+    at = (rows.drop("own").join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
           .withColumn("root", F.coalesce("root", "node")).drop("__node"))
     by_sig = Window.partitionBy("sig")
     seen = (at.withColumn("__lo", F.min("root").over(by_sig)).withColumn("__hi", F.max("root").over(by_sig))
-            .withColumn("__n", F.count(F.lit(1)).over(by_sig)))
-    rank = F.row_number().over(Window.partitionBy("node", "band", "whole").orderBy(
-        F.col("__lo") != F.col("__hi"), "__n", "sig"))
-    # a set needs (shared - slack) of its shared segments, those that lie within
-    # one component first, then the rarest; the former can't lead out of it
-    return seen.withColumn("__rank", rank).filter("__lo <> __hi").select(
-        "sig", "node", "root", F.expr("NOT whole OR __rank <= shared - slack").alias("probe"))
+            .withColumn("__n", F.count(F.lit(1)).over(by_sig)).filter("__lo <> __hi"))
+    # of its segments a set may leave out as many as it has slack. Those not shared, or shared
+    # within one component only, lead nowhere: of the open ones, the most common are left out
+    own = Window.partitionBy("node", "kind")
+    ranked = (seen.withColumn("__rank", F.row_number().over(own.orderBy("__n", "sig")))
+              .withColumn("__open", F.count(F.lit(1)).over(own)))
+    return ranked.select("sig", "node", "root", F.expr("kind & 1 = 0 OR __rank <= __open - slack").alias("probe"))
 
 
 def reach(texts: DataFrame, nodes: DataFrame, t: int = THRESHOLD) -> DataFrame:
@@ -504,8 +503,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     with an empty set all stay), with all columns of ``docs``."""
     cols = docs.columns
     found = components(docs, id_col, text, t).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    best = found.groupBy("component_id", F.isnull("node").alias("__e")).agg(F.min("node").alias("__node"))
-    keys = best.select(F.col("component_id").alias("__id"), F.coalesce("__node", F.lit(0)).alias("__node")).distinct()
+    rows_of = found.groupBy("component_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    best = rows_of.groupBy("component_id", F.isnull("node").alias("__e")).agg(
+        F.min("node").alias("__node"), F.max("n").alias("n"))
+    keys = written(best.select(F.col("component_id").alias("__id"), F.coalesce("__node", F.lit(0)).alias("__node"), "n"), "keep")
     schema = T.StructType([*docs.schema.fields, T.StructField("__set", T.LongType())])
 
     def run(batches):
@@ -515,8 +516,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 names.append(set_name(s) if len(s) else 0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], names=[*cols, "__set"])
     rows = docs.mapInArrow(run, schema)
-    kept = rows.join(keys, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__set") == F.col("__node")), "left_semi")
-    return kept.dropDuplicates([id_col, "__set"]).select(*cols)
+    kept = rows.join(keys.drop("n"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__set") == F.col("__node")), "left_semi")
+    if not keys.filter("n > 1").isEmpty():  # rows repeated with id and text: one of them stays
+        kept = kept.dropDuplicates([id_col, "__set"])
+    return kept.select(*cols)
 
 
 by_value(__name__)
