@@ -23,8 +23,8 @@ one of them at least one holds the same subset in the other: the pigeonhole.
 * A signature found in one set only is dropped. A set with H+1 or more such
   segments in a band has no partner there, and is dropped with the rest of its
   signatures: that is what frees sets which merely share a common passage.
-* Of what is left, each signature's members meet its most central set, the
-  one with the fewest segments of its own (linear in the members), and the pairs are verified exactly on their
+* Of what is left, each set meets the two sets that are most central to its
+  signatures, those with the fewest segments of their own (linear in the sets), and the pairs are verified exactly on their
   texts. Members then still in different components are compared where
   they can link: those that met the same centre by a prefix filter over their
   differences from it (``family_pairs``), others by the signatures that they need
@@ -72,6 +72,7 @@ THRESHOLD = 75
 FIRST_BAND = 64
 NEVER = 1 << 20          # a number of segments that no set has
 FILTER_BITS = 26
+CENTRES = 2
 _SEGMENTS: dict[tuple[int, int], int] = {}
 
 
@@ -338,10 +339,14 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each signature's members (``b``) with its most central set (``a``): the one with the fewest
-    segments of its own, as an unedited original has among its edited copies."""
+    """Sets (``b``) with the centres (``a``) of their signatures: of a signature's members the one
+    with the fewest segments of its own, as an unedited original has among its edited copies.
+    Each set meets the ``CENTRES`` that most of its signatures have; other pairs are left to
+    ``crossing_pairs``, which leaves none out."""
     centre = F.min(F.struct("own", "node")).over(Window.partitionBy("sig"))["node"]
-    return rows.select(centre.alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    met = rows.select(centre.alias("a"), F.col("node").alias("b")).filter("a <> b").groupBy("a", "b").count()
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))
+    return met.withColumn("__rank", rank).filter(f"__rank <= {CENTRES}").select("a", "b")
 
 
 def pivots(tested: DataFrame) -> DataFrame:
