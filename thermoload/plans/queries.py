@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -197,14 +197,14 @@ def q_key_issues(spark, sf):
 
 
 def _sampled(spark, sf):
-    """The keys of the five sampled facilities, and the scores of those facilities only."""
-    keys = positional.select_positions(scored_df(spark, sf), ["exemption_score", "facility_id"],
+    """The keys of the five sampled facilities, and the scores of those facilities only: the id
+    filter reaches the scan, so the lookup scores five rows."""
+    scored = scored_df(spark, sf)
+    keys = positional.select_positions(scored, ["exemption_score", "facility_id"],
                                        positional.quartile_positions).collect()  # at most five rows
-    raw = fixtures.facility_raw(spark, sf).filter(F.col("facility_id").isin([k.facility_id for k in keys]))
-    scored = facilities.exemption_scores(facilities.clean_facilities(raw, keep_geometry=False))
     table = spark.createDataFrame([(k.sample_no, k.position, k.facility_id) for k in keys],
                                   "sample_no int, position bigint, facility_id bigint")
-    return F.broadcast(table), scored
+    return F.broadcast(table), scored.filter(F.col("facility_id").isin([k.facility_id for k in keys]))
 
 
 def q_score_sample(spark, sf):
@@ -371,13 +371,20 @@ def q_state_flags(spark, sf):
 
 
 def q_row_audit(spark, sf):
-    """Row counts of the nine built tables, taken while they are written; each source is read once."""
-    from .build import build_daily, build_hourly
+    """Row counts of the nine built tables. The sources are read once, for the two hourly
+    tables, and their rows counted on the way; the daily tables are counted from the hourly ones."""
     root = scratch_path(spark, "audit")
-    counts = build_hourly(spark, fixtures.noaa_raw(spark, sf), fixtures.eia_raw(spark, sf), root, select=False)
-    counts.update(build_daily(spark, root))
-    counts.pop("base_combine")
-    return sinks.row_audit(spark, counts)
+    seen = {n: Observation(n) for n in ("noaa_hourly_raw", "noaa_hourly_temp", "eia_hourly_raw")}
+    counted = lambda df, n: df.observe(seen[n], F.count(F.lit(1)).alias("rows"))
+    temps = counted(hourly.decode_weather(counted(fixtures.noaa_raw(spark, sf), "noaa_hourly_raw")), "noaa_hourly_temp")
+    load = counted(hourly.load_rows(fixtures.eia_raw(spark, sf)), "eia_hourly_raw")
+    counts = {"noaa_hourly_avg": sinks.replace_table(hourly.hourly_temperature(temps), f"{root}/temps"),
+              "eia_load_hourly": sinks.replace_table(hourly.hourly_load(load), f"{root}/load")}
+    counts.update({n: int(o.get["rows"]) for n, o in seen.items()})
+    days = daily.daily_temperature(spark.read.parquet(f"{root}/temps"))
+    flags, load_days = daily.heatwave_flags(days), daily.daily_load(spark.read.parquet(f"{root}/load"))
+    return sinks.row_audit(spark, counts, {"noaa_daily_temp": days, "noaa_heatwave_flags": flags, "eia_daily_load": load_days,
+                                           "heat_load_daily": daily.heat_load_daily(flags, load_days)})
 
 
 def q_hourly_temp_stream(spark, sf):

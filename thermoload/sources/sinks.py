@@ -65,7 +65,10 @@ def list_tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
 
 
-def row_audit(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
-    """(table_name, rows) of the counts that ``replace_table`` observed while the tables
-    were written: no table is computed or read again for its audit."""
-    return spark.createDataFrame(sorted(counts.items()), "table_name string, rows bigint")
+def row_audit(spark: SparkSession, counts: dict[str, int], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(table_name, rows) of counts that were observed while tables were written, which are
+    neither computed nor read again, and of ``tables`` to be counted now."""
+    out = spark.createDataFrame(sorted(counts.items()), "table_name string, rows bigint")
+    for n, df in (tables or {}).items():
+        out = out.unionByName(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows"))
+    return out
