@@ -178,18 +178,15 @@ def draws(spark, sources: pd.DataFrame, slots: int, seed: int, block: int) -> Da
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
-            weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED,
-            keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(documents, uses). documents: ``__id``, ``__source``, ``__size``, ``__offset``, the source's
-    ``source_size``, ``target`` and ``number``, and the columns ``keep`` (as ``__k_<name>``).
+            weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, slots: int = SLOTS,
+            seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(documents, uses), without texts. documents: ``__id``, ``__hash`` (of the text), ``__source``,
+    ``__size``, ``__offset``, and the source's ``source_size``, ``target`` and ``number``.
     uses: for each slot and document piece ``number``, ``__offset`` (of the document), ``epoch``,
     ``shard``, ``slot``, ``start``, ``n`` (words of the document from ``start``)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"),
-                       n_words(text).alias("__size"), F.xxhash64(F.col(text)).alias("__hash"),
-                       *[F.col(c).alias(f"__k_{c}") for c in keep])
-    if not keep:
-        rows = written(rows, "mix-sizes")  # small columns only
+    rows = written(docs.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"),
+                               n_words(text).alias("__size"), F.xxhash64(F.col(text)).alias("__hash")), "mix-sizes")
     sources = sizes_by_source(rows).toPandas()  # one row per source
     if not len(sources):
         sources = pd.DataFrame({"__source": pd.Series(dtype=object), "size": pd.Series(dtype="int64")})
@@ -203,7 +200,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
          sources[["__source", "null", "number", "size", "target"]].itertuples(index=False)],
         T.StructType([T.StructField("__s", docs.schema[source].dataType), T.StructField("number", T.LongType()),
                       T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]))
-    placed = with_offsets(rows).join(table, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s", "__hash")
+    placed = with_offsets(rows).join(table, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
     placed = written(placed, "mix-documents")
     slot = draws(spark, sources, slots, seed, block)
     pieces = (placed.filter("__size > 0").select(
@@ -235,10 +232,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     the taken words as text (the whole text unchanged where all of it is taken) and all
     columns of ``docs``; ``n_chars`` is counted anew where there is such a column."""
     cols = docs.columns
-    placed, uses = mixture(docs, id_col, text, source, keep=tuple(cols), **params)
+    placed, uses = mixture(docs, id_col, text, source, **params)
     runs = uses.groupBy("number", "__offset", "epoch").agg(
         F.sum("n").alias("__n"), F.array_sort(F.collect_list(F.struct("start", "n"))).alias("__runs"))
-    rows = placed.filter("__size > 0").join(runs.hint("merge"), ["number", "__offset"])
+    # a row is found again by its id and text hash, and by its number among equal rows
+    nth = Window.partitionBy("__key").orderBy("__id", "__hash")
+    keyed = lambda df: (df.withColumn("__key", F.xxhash64("__id", "__hash"))
+                        .withColumn("__nth", F.row_number().over(nth)))
+    plan = (keyed(placed.select("number", "__offset", "__id", "__hash", "__size")).filter("__size > 0")
+            .join(runs.hint("merge"), ["number", "__offset"])
+            .select(F.col("__key").alias("__pk"), F.col("__nth").alias("__pn"), "__size", "__n", "__runs"))
+    rows = keyed(docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"),
+                             *[F.col(c).alias(f"__k_{c}") for c in cols]))
+    # the number is compared apart from the join's keys, so the texts are shuffled once for both
+    rows = rows.join(plan.hint("merge"), (F.col("__key") == F.col("__pk")) & (F.col("__nth") - F.col("__pn") == 0))
     ws = F.filter(F.split(F.col(f"__k_{text}"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.array_join(F.flatten(F.transform(F.col("__runs"), lambda r: F.slice(
         F.col("__ws"), (r["start"] + 1).cast("int"), r["n"].cast("int")))), " ")

@@ -116,15 +116,20 @@ def pack_shard(pdf: pd.DataFrame, permitted: tuple[int, ...], overhead: int) ->
     return out
 
 
+def _sharded(docs: DataFrame, id_col: str, text: str, shard_words: int, with_text: bool) -> DataFrame:
+    size = n_words(text)
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    shards = max(1, -(-total // shard_words))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("hash"), size.alias("size"),
+                       *([F.col(text).alias("text")] if with_text else [])).filter("size > 0")
+    return rows.withColumn("shard", F.pmod(F.xxhash64("id", "hash"), F.lit(shards)))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", permitted: tuple[int, ...] = LENGTHS,
          overhead: int = OVERHEAD, shard_words: int = SHARD_WORDS, with_text: bool = False) -> DataFrame:
     """One row per placed piece: ``bin_id``, ``capacity``, ``used``, ``slot``, the id,
     ``start`` and ``n_words`` of the piece in its document, and its ``text`` if asked for."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("hash"), n_words(text).alias("size"),
-                       *([F.col(text).alias("text")] if with_text else [])).filter("size > 0")
-    total = docs.agg(F.sum(n_words(text))).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "hash"), F.lit(shards)))
+    rows = _sharded(docs, id_col, text, shard_words, with_text)
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField(c, T.LongType()) for c in ("bin_id", "capacity", "used", "slot")]
                        + [T.StructField("id", kind)] + [T.StructField(c, T.LongType()) for c in ("start", "n_words")]
@@ -135,13 +140,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", permitted:
     return rows.groupBy("shard").applyInPandas(run, out).withColumnRenamed("id", id_col)
 
 
-def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **params) -> DataFrame:
-    """One row per sequence: ``bin_id``, ``capacity``, ``n_words``, ``doc_ids`` and ``texts`` in slot order."""
-    pieces = pack(docs, id_col, text, with_text=True, **params)
-    # a bin has at most max(permitted) pieces, so the lists are bounded
-    listed = F.array_sort(F.collect_list(F.struct("slot", F.col(id_col).alias("id"), "text")))
-    return (pieces.groupBy("bin_id", "capacity", F.col("used").alias("n_words")).agg(listed.alias("p"))
-            .select("bin_id", "capacity", "n_words", F.col("p.id").alias("doc_ids"), F.col("p.text").alias("texts")))
+def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", permitted: tuple[int, ...] = LENGTHS,
+              overhead: int = OVERHEAD, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """One row per sequence: ``bin_id``, ``capacity``, ``n_words``, ``doc_ids`` and ``texts`` in slot order.
+    A bin lies within its shard, so the texts are shuffled once."""
+    kind = docs.schema[id_col].dataType
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("bin_id", "capacity", "n_words")]
+                       + [T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("texts", T.ArrayType(T.StringType()))])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pieces = pack_shard(pdf, permitted, overhead).sort_values(["bin_id", "slot"])
+        pieces["id"] = [None if pd.isna(x) else x for x in pieces["id"].astype(object)]
+        groups = pieces.groupby("bin_id", sort=True)
+        first = groups[["capacity", "used"]].first().reset_index()
+        return pd.DataFrame({"bin_id": first["bin_id"], "capacity": first["capacity"], "n_words": first["used"],
+                             "doc_ids": groups["id"].apply(list).to_numpy(object),
+                             "texts": groups["text"].apply(list).to_numpy(object)})
+    return _sharded(docs, id_col, text, shard_words, True).groupBy("shard").applyInPandas(run, out)
 
 
 by_value(__name__)
