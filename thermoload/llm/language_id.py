@@ -140,7 +140,8 @@ def bit_weights(counts: np.ndarray, code: np.ndarray) -> np.ndarray:
     plus, minus = (code > 0).astype(float), (code < 0).astype(float)
     up = plus.T @ share / np.maximum(plus.sum(0), 1)[:, None]
     down = minus.T @ share / np.maximum(minus.sum(0), 1)[:, None]
-    return np.log(up / down).T.astype(np.float32)
+    with np.errstate(divide="ignore"):  # one language: no other side
+        return np.log(up / down).T.astype(np.float32)
 
 
 def margins(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
