@@ -17,9 +17,10 @@ w * KT + (1 - w) * (the same one byte deeper); the deepest node seen in training
 takes the whole rest. The code length per byte follows from the sum.
 
 The broadcast model has 2^``SLOT_BITS`` slots whatever the corpus (48 MB); nodes
-that meet in a slot leave it to the one with the larger count. A slot holds 32
-bits of its node's name. The driver gathers it in slices. Scoring needs no
-shuffle.
+that meet in a slot leave it to the one with the larger count. A slot is one
+64-bit word (see ``_pack``): the count's size class, share, estimate and 16 bits of
+the node's name; estimates are kept to 0.1 %. The driver gathers it in slices.
+Scoring needs no shuffle.
 
 The unigram baseline is exact: counts of the most frequent words, as many as fit
 ``WORD_SLOTS`` (by a count threshold, so ties fall on one side), are broadcast;
@@ -44,7 +45,7 @@ from .text_hash import P1, mix, tables, text_chunks, word_hashes
 DEPTH = 5
 SLOT_BITS = 22
 SLICES = 8
-CACHE_BITS = 22
+CACHE_BITS = 21
 WORD_SLOTS = 1 << 19
 END = 10           # the end mark's byte; no word holds it
 FLUSH = 1_000_000  # distinct grams that a task holds before it hands them on
@@ -166,9 +167,9 @@ def node_ids(depth, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 def slots_of(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, 32-bit name, never 0) of each identifier."""
+    """(slot, 16-bit name, never 0) of each identifier."""
     h = mix(ids * P1)
-    return (h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return (h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
 
 def bounded_model(levels: list[DataFrame], slot_bits: int = SLOT_BITS) -> dict:
@@ -176,28 +177,41 @@ def bounded_model(levels: list[DataFrame], slot_bits: int = SLOT_BITS) -> dict:
     nodes = levels[0]
     for x in levels[1:]:
         nodes = nodes.unionByName(x)
-    rows = nodes.select("depth", "ctx", "node", (F.col("n0") + F.col("n1")).alias("n"),
-                        F.expr("CAST((n1 + 0.5D) / (n0 + n1 + 1D) AS FLOAT)").alias("kt"), F.col("w").cast("float").alias("w"))
+    rows = nodes.select("depth", "ctx", "node", "n0", "n1", "w")
 
     def place(batches):
         for b in batches:
             c = [x.to_numpy(zero_copy_only=False) for x in b.columns]
             slot, name = slots_of(node_ids(c[0], c[1].astype(np.uint64), c[2].astype(np.uint64)), slot_bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot.astype(np.int32)), b.column(3), pa.array(name.view(np.int32)), b.column(4), b.column(5)],
-                names=["slot", "n", "name", "kt", "w"])
-    placed = rows.mapInArrow(place, "slot int, n long, name int, kt float, w float")
-    best = written(placed.groupBy("slot").agg(F.max_by(F.struct("name", "kt", "w"), F.struct("n", "name")).alias("x"))
-                   .select("slot", "x.name", "x.kt", "x.w"), "model")
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(_pack(c[3], c[4], c[5], name))],
+                                             names=["slot", "word"])
+    placed = rows.mapInArrow(place, "slot int, word long")
+    best = written(placed.groupBy("slot").agg(F.max("word").alias("word")), "model")
     size = 1 << slot_bits
-    model = {"name": np.zeros(size, np.uint32), "kt": np.full(size, 0.5, np.float32), "w": np.ones(size, np.float32)}
+    words = np.zeros(size, np.int64)
     step = max(1, size // SLICES)
     for first in range(0, size, step):  # at most 2^slot_bits rows in all
         got = best.filter(f"slot >= {first} AND slot < {first + step}").toArrow()
-        at = got.column("slot").to_numpy()
-        model["name"][at] = got.column("name").to_numpy().view(np.uint32)
-        model["kt"][at], model["w"][at] = got.column("kt").to_numpy(), got.column("w").to_numpy()
-    return model
+        words[got.column("slot").to_numpy()] = got.column("word").to_numpy()
+    return _unpack(words)
+
+
+LOGIT = 1023.0  # steps per unit of log-odds: 16 bits reach odds of e^32
+
+
+def _pack(n0: np.ndarray, n1: np.ndarray, w: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """The count's size class (on top, so that the largest count wins a slot), the share, the
+    log-odds of the estimate and the name, 15 or 16 bits each."""
+    count = np.minimum(np.log2(n0 + n1 + 1.0) * 500, 32767).astype(np.int64)
+    share = np.rint(w * 65535).astype(np.int64)
+    odds = np.clip(np.rint(np.log((n1 + 0.5) / (n0 + 0.5)) * LOGIT) + 32768, 0, 65535).astype(np.int64)
+    return (count << 48) | (share << 32) | (odds << 16) | name.astype(np.int64)
+
+
+def _unpack(words: np.ndarray) -> dict:
+    odds = ((words >> 16) & 65535).astype(np.float32)
+    return {"name": (words & 65535).astype(np.uint16), "kt": 1 / (1 + np.exp((32768 - odds) / np.float32(LOGIT))),
+            "w": ((words >> 32) & 65535).astype(np.float32) / np.float32(65535)}
 
 
 def log10_probabilities(keys: np.ndarray, model: dict, depth: int = DEPTH) -> np.ndarray:
