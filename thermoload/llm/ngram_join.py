@@ -358,20 +358,35 @@ def pivots(tested: DataFrame) -> DataFrame:
     return best.select("node", (-F.col("x.c")).alias("pivot"))
 
 
-def open_signatures(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of signatures whose members lie in several components, and of those that
-    each set needs to look up (``probe``)."""
-    at = (rows.drop("own").join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
-          .withColumn("root", F.coalesce("root", "node")).drop("__node"))
+def memberships(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node``, ``root``, ``pivot``, and ``near``: whether the set is in its pivot's component. Sets that
+    met no centre and link with nothing are left out: they are their own root and pivot."""
+    both = (pivots(tested).join(labels, "node", "full")
+            .select("node", F.coalesce("root", "node").alias("root"), F.coalesce("pivot", "node").alias("pivot")))
+    roots = labels.select(F.col("node").alias("pivot"), F.col("root").alias("__r"))
+    return both.join(roots, "pivot", "left").select(
+        "node", "root", "pivot", (F.coalesce("__r", "pivot") == F.col("root")).alias("near"))
+
+
+def open_signatures(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of signatures whose members lie in several components, with their memberships,
+    whether the set needs to look the signature up (``probe``), and whether the
+    signature's members have several pivots (``mixed``)."""
+    own_place = members.select(F.col("node").alias("__node"), "root", "pivot", "near")
+    at = (rows.drop("own").join(own_place, F.col("node") == F.col("__node"), "left").drop("__node")
+          .withColumn("root", F.coalesce("root", "node")).withColumn("pivot", F.coalesce("pivot", "node"))
+          .withColumn("near", F.coalesce("near", F.lit(True))))
     by_sig = Window.partitionBy("sig")
     seen = (at.withColumn("__lo", F.min("root").over(by_sig)).withColumn("__hi", F.max("root").over(by_sig))
+            .withColumn("mixed", F.min("pivot").over(by_sig) != F.max("pivot").over(by_sig))
             .withColumn("__n", F.count(F.lit(1)).over(by_sig)).filter("__lo <> __hi"))
     # of its segments a set may leave out as many as it has slack. Those not shared, or shared
     # within one component only, lead nowhere: of the open ones, the most common are left out
     own = Window.partitionBy("node", "kind")
     ranked = (seen.withColumn("__rank", F.row_number().over(own.orderBy("__n", "sig")))
               .withColumn("__open", F.count(F.lit(1)).over(own)))
-    return ranked.select("sig", "node", "root", F.expr("kind & 1 = 0 OR __rank <= __open - slack").alias("probe"))
+    return ranked.select("sig", "node", "root", "pivot", "near", "mixed",
+                         F.expr("kind & 1 = 0 OR __rank <= __open - slack").alias("probe"))
 
 
 def reach(texts: DataFrame, nodes: DataFrame, t: int = THRESHOLD) -> DataFrame:
@@ -448,16 +463,16 @@ def family_pairs(members: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> Da
     return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
 
 
-def stranger_pairs(found: DataFrame, members: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
+def stranger_pairs(found: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
     """Candidate pairs among sets with different pivots that lie in different components: those
     that share a signature which the larger one needs.
 
     Sets meet by signature and size class (5 % wide), and only within each other's
     ``reach``.
     """
-    known = written(reach(texts, members.select("node"), t).join(members, "node"), "reach")
+    known = written(reach(texts, found.select("node").distinct(), t), "reach")
     size_class = lambda c: F.floor(F.log(c.cast("double")) / math.log(1.05)).cast("int")
-    rows = found.drop("root").join(known, "node").filter(f"most * 100 >= size * {t}")
+    rows = found.join(known, "node").filter(f"most * 100 >= size * {t}")
     probe = rows.filter("probe").select(
         "sig", F.col("node").alias("p"), F.col("root").alias("pr"), F.col("size").alias("ps"), F.col("most").alias("pm"),
         F.col("pivot").alias("pp"),
@@ -470,13 +485,12 @@ def stranger_pairs(found: DataFrame, members: DataFrame, texts: DataFrame, t: in
 
 def crossing_pairs(rows: DataFrame, labels: DataFrame, tested: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
     """Candidate pairs of sets in different components."""
-    found = written(open_signatures(rows, labels), "open")
-    members = (found.select("node", "root").distinct().join(pivots(tested), "node", "left")
-               .withColumn("pivot", F.coalesce("pivot", "node")))
-    roots = labels.select(F.col("node").alias("pivot"), F.col("root").alias("__r"))
-    members = written(members.join(roots, "pivot", "left").withColumn(
-        "near", F.coalesce("__r", "pivot") == F.col("root")).drop("__r"), "members")
-    return family_pairs(members, texts, t).unionByName(stranger_pairs(found, members, texts, t)).distinct()
+    found = written(open_signatures(rows, written(memberships(tested, labels), "members")), "open")
+    members = found.select("node", "root", "pivot", "near").distinct()
+    split = members.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    family = written(members.join(split.select("pivot"), "pivot"), "family")
+    strangers = stranger_pairs(found.filter("mixed"), texts, t)
+    return family_pairs(family, texts, t).unionByName(strangers).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: int = THRESHOLD) -> DataFrame:
