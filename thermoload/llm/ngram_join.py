@@ -369,23 +369,28 @@ def memberships(tested: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def open_signatures(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of signatures whose members lie in several components, with their memberships,
-    whether the set needs to look the signature up (``probe``), and whether the
-    signature's members have several pivots (``mixed``)."""
-    own_place = members.select(F.col("node").alias("__node"), "root", "pivot", "near")
+    """The rows of signatures whose members lie in several components, with their memberships
+    and whether the signature's members have several pivots (``mixed``)."""
+    own_place = members.select(F.col("node").alias("__node"), "root", "pivot")
     at = (rows.drop("own").join(own_place, F.col("node") == F.col("__node"), "left").drop("__node")
-          .withColumn("root", F.coalesce("root", "node")).withColumn("pivot", F.coalesce("pivot", "node"))
-          .withColumn("near", F.coalesce("near", F.lit(True))))
+          .withColumn("root", F.coalesce("root", "node")).withColumn("pivot", F.coalesce("pivot", "node")))
     by_sig = Window.partitionBy("sig")
-    seen = (at.withColumn("__lo", F.min("root").over(by_sig)).withColumn("__hi", F.max("root").over(by_sig))
+    return (at.withColumn("__lo", F.min("root").over(by_sig)).withColumn("__hi", F.max("root").over(by_sig))
             .withColumn("mixed", F.min("pivot").over(by_sig) != F.max("pivot").over(by_sig))
-            .withColumn("__n", F.count(F.lit(1)).over(by_sig)).filter("__lo <> __hi"))
-    # of its segments a set may leave out as many as it has slack. Those not shared, or shared
-    # within one component only, lead nowhere: of the open ones, the most common are left out
+            .withColumn("n", F.count(F.lit(1)).over(by_sig)).filter("__lo <> __hi").drop("__lo", "__hi"))
+
+
+def needed_signatures(found: DataFrame) -> DataFrame:
+    """The mixed rows of ``open_signatures``, and whether the set needs to look them up for a
+    partner with another pivot (``probe``).
+
+    Of its segments a set may leave out as many as it has slack. Those not shared, or not
+    mixed, lead to no such partner: of the mixed ones, the most common are left out.
+    """
     own = Window.partitionBy("node", "kind")
-    ranked = (seen.withColumn("__rank", F.row_number().over(own.orderBy("__n", "sig")))
+    ranked = (found.filter("mixed").withColumn("__rank", F.row_number().over(own.orderBy("n", "sig")))
               .withColumn("__open", F.count(F.lit(1)).over(own)))
-    return ranked.select("sig", "node", "root", "pivot", "near", "mixed",
+    return ranked.select("sig", "node", "root", "pivot",
                          F.expr("kind & 1 = 0 OR __rank <= __open - slack").alias("probe"))
 
 
@@ -410,29 +415,28 @@ def reach(texts: DataFrame, nodes: DataFrame, t: int = THRESHOLD) -> DataFrame:
 
 
 def difference_rows(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """For ``members`` (``node``, ``pivot``, ...): one row for each shingle in which a member differs
-    from its pivot, with ``d`` (how many there are) and the member's ``size``."""
+    """``node``, ``pivot``, ``token`` for each shingle in which a member (``node``, ``pivot``, ...)
+    differs from its pivot."""
     tn = texts.select("node", F.col("text").alias("tn"))
     tp = texts.select(F.col("node").alias("pivot"), F.col("text").alias("tp"))
 
     def run(batches):
         last, centre = None, None
         for batch in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(3)]
             for i, s in enumerate(shingle_sets(batch.column(2))):
                 pivot = batch.column(1)[i].as_py()
                 if pivot != last:  # rows come sorted by pivot
                     last, centre = pivot, shingle_set(batch.column(3)[i].as_py())
                 diff = np.setxor1d(s, centre, assume_unique=True)
                 n = len(diff)
-                for col, v in zip(out, (np.full(n, batch.column(0)[i].as_py()), np.full(n, pivot), diff.view(np.int64),
-                                        np.full(n, n), np.full(n, len(s)))):
+                for col, v in zip(out, (np.full(n, batch.column(0)[i].as_py()), np.full(n, pivot), diff.view(np.int64))):
                     col.append(v.astype(np.int64))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
-                                                 names=["node", "pivot", "token", "d", "size"])
+                                                 names=["node", "pivot", "token"])
     joined = members.select("node", "pivot").join(tn, "node").join(tp, "pivot").select("node", "pivot", "tn", "tp")
-    return joined.mapInArrow(run, "node long, pivot long, token long, d long, size long")
+    return joined.mapInArrow(run, "node long, pivot long, token long")
 
 
 def family_pairs(members: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
@@ -443,14 +447,15 @@ def family_pairs(members: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> Da
     o <= 0 both link with the pivot itself, and are in one component.) Then, with X
     ordered by rarity, the first |X| - o + 1 of either share one. What an edited copy
     alone has comes first, so copies that were edited differently don't meet,
-    however many there are. ``members``: ``node``, ``pivot``, ``root``, ``near`` (in
-    the pivot's component).
+    however many there are. ``members``: ``node``, ``size``, ``pivot``, ``root``, ``near``
+    (in the pivot's component).
     """
     rows = difference_rows(members, texts)
     rarity = F.count(F.lit(1)).over(Window.partitionBy("pivot", "token"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
-    rows = rows.withColumn("df", rarity).withColumn("rank", rank).filter("df > 1")
-    rows = written(rows.join(members.select("node", "root", "near"), "node"), "differences")
+    own = Window.partitionBy("node")
+    rows = (rows.withColumn("df", rarity).withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
+            .withColumn("d", F.count(F.lit(1)).over(own)).filter("df > 1").drop("df"))
+    rows = written(rows.join(members.select("node", "size", "root", "near"), "node"), "differences")
     # the smaller difference is looked up: its prefix for any partner in another component
     first = f"IF(near, d * 100 div {100 + t} + 2, greatest(d * 100 div {100 + t}, size * {100 - t} div {2 * t}) + 2)"
     probe = rows.filter(f"rank <= {first}").select(
@@ -470,6 +475,7 @@ def stranger_pairs(found: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> Da
     Sets meet by signature and size class (5 % wide), and only within each other's
     ``reach``.
     """
+    found = written(found, "mixed")
     known = written(reach(texts, found.select("node").distinct(), t), "reach")
     size_class = lambda c: F.floor(F.log(c.cast("double")) / math.log(1.05)).cast("int")
     rows = found.join(known, "node").filter(f"most * 100 >= size * {t}")
@@ -483,14 +489,17 @@ def stranger_pairs(found: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> Da
     return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
 
 
-def crossing_pairs(rows: DataFrame, labels: DataFrame, tested: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
-    """Candidate pairs of sets in different components."""
-    found = written(open_signatures(rows, written(memberships(tested, labels), "members")), "open")
-    members = found.select("node", "root", "pivot", "near").distinct()
+def crossing_pairs(rows: DataFrame, sizes: DataFrame, labels: DataFrame, tested: DataFrame, texts: DataFrame,
+                   t: int = THRESHOLD) -> DataFrame:
+    """Candidate pairs of sets in different components. ``sizes``: ``node``, ``size``."""
+    places = written(memberships(tested, labels), "members")
+    found = written(open_signatures(rows, places), "open")
+    members = found.select("node", "root", "pivot").distinct()
     split = members.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    family = written(members.join(split.select("pivot"), "pivot"), "family")
-    strangers = stranger_pairs(found.filter("mixed"), texts, t)
-    return family_pairs(family, texts, t).unionByName(strangers).distinct()
+    family = (members.join(split.select("pivot"), "pivot").join(sizes, "node")
+              .join(places.select("node", "near"), "node", "left").withColumn("near", F.coalesce("near", F.lit(True))))
+    strangers = stranger_pairs(needed_signatures(found), texts, t)
+    return family_pairs(written(family, "family"), texts, t).unionByName(strangers).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: int = THRESHOLD) -> DataFrame:
@@ -504,7 +513,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: i
     tested = written(verify(star_pairs(rows), texts, t), "tested")
     links = tested.filter("linked")
     labels = connected_components(links)
-    more = written(verify(crossing_pairs(rows, labels, tested, texts, t), texts, t).filter("linked"), "links")
+    sizes = named.filter("node IS NOT NULL").groupBy("node").agg(F.max("n_shingles").alias("size"))
+    more = written(verify(crossing_pairs(rows, sizes, labels, tested, texts, t), texts, t).filter("linked"), "links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
     sets = named.filter("node IS NOT NULL")
