@@ -136,6 +136,25 @@ def test_neighbourhoods_make_up_for_empty_segments():
     assert len(np.intersect1d(sa, sb)) and (c >= ngram_join.NEVER or not whole.all())
 
 
+def test_sets_short_of_segments_keep_their_links(spark, monkeypatch):
+    """End to end with so few segments that every set of the band depends on neighbourhoods."""
+    monkeypatch.setitem(ngram_join._SEGMENTS, (1, ngram_join.THRESHOLD), 30)
+    rng = random.Random(11)
+    texts = []
+    for k in range(8):
+        base = [f"n{k}x{i}" for i in range(100)]
+        texts += [" ".join(base)] + [" ".join(edited(base, rng.randrange(1, 4), rng)) for _ in range(4)]
+    for t in texts:
+        s = ngram_join.shingle_set(t)
+        c = ngram_join.neighbourhoods_needed(s, 1)
+        assert 0 < c < ngram_join.NEVER and ngram_join.signatures(s, 1, c)[2] < 0
+    ids = list(range(len(texts)))
+    want = brute_components(ids, brute_sets(texts))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    assert {r.id: r.component_id for r in ngram_join.components(df).collect()} == want
+    assert len(set(want.values())) < len(ids) / 2
+
+
 # --- mixture -------------------------------------------------------------------------------------
 
 def test_targets():

@@ -237,7 +237,8 @@ def named_sets(docs: DataFrame, id_col: str, text: str, t: int = THRESHOLD) -> D
 
 
 def signature_rows(docs: DataFrame, text: str, allocation: dict[int, int], t: int = THRESHOLD) -> DataFrame:
-    """``sig``, ``node``, ``info`` = wholes * 2^32 + slack * 2^8 + band * 2 + whole; a task names a set once."""
+    """``sig``, ``node``, ``info`` = wholes * 2^32 + spare * 2^8 + band * 2 + whole; a task names a set once.
+    Spare is the slack plus one, 0 for any set short of segments."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
@@ -250,7 +251,8 @@ def signature_rows(docs: DataFrame, text: str, allocation: dict[int, int], t: in
                     sig, whole, slack = signatures(s, x, allocation.get(x, 0), t)
                     sigs.append((sig >> np.uint64(16)).view(np.int64))  # 48 bits are enough to meet by
                     nodes.append(np.full(len(sig), name, np.int64))
-                    infos.append(((int(whole.sum()) << 32) + (slack << 8) + x * 2 + whole).astype(np.int64))
+                    spare = max(slack, -1) + 1
+                    infos.append(((int(whole.sum()) << 32) + (spare << 8) + x * 2 + whole).astype(np.int64))
                     held += len(sig)
                 if held > 500_000:
                     yield _rows(sigs, nodes, infos)
@@ -323,8 +325,8 @@ def verify(pairs: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
     """The signatures that two sets or more have, without those of sets that have no
-    partner in their band: ``sig``, ``node``, ``kind`` (band * 2 + whole), ``slack``, and ``own``,
-    the number of the set's segments that no other set has."""
+    partner in their band: ``sig``, ``node``, ``kind`` (band * 2 + whole), ``slack`` (-1 for any
+    set short of segments), and ``own``, the number of the set's segments that no other set has."""
     by_sig = Window.partitionBy("sig")
     some = (rows.withColumn("__first", F.min("node").over(by_sig))
             .withColumn("__last", F.max("node").over(by_sig))
@@ -332,9 +334,9 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
             .filter("__first <> __last AND (__before IS NULL OR __before <> node)"))
     rows = some.select("sig", "node", "info", F.expr("CAST((info >> 1) & 127 AS INT)").alias("band"))
     shared = F.sum(F.expr("CAST(info & 1 AS INT)")).over(Window.partitionBy("node", "band"))
-    alive = rows.withColumn("shared", shared).filter("shared > CAST((info >> 8) & 16777215 AS INT)")
+    alive = rows.withColumn("shared", shared).filter("shared >= CAST((info >> 8) & 16777215 AS INT)")
     return alive.select("sig", "node", F.expr("CAST(info & 255 AS INT)").alias("kind"),
-                        F.expr("CAST((info >> 8) & 16777215 AS INT)").alias("slack"),
+                        F.expr("CAST((info >> 8) & 16777215 AS INT) - 1").alias("slack"),
                         F.expr("CAST((info >> 32) - shared AS INT)").alias("own"))
 
 
