@@ -155,6 +155,18 @@ def test_sets_short_of_segments_keep_their_links(spark, monkeypatch):
     assert len(set(want.values())) < len(ids) / 2
 
 
+# --- quality rules -------------------------------------------------------------------------------
+
+def test_quality_rules_follow_the_labels(spark):
+    docs = read_table(spark, SF2, "documents")
+    good = {r.doc_id: r.quality for r in read_table(spark, SF2, "labels").collect()}
+    kept = {r.doc_id for r in quality_rules.clean(docs).collect()}
+    share = [np.mean([i in kept for i, q in good.items() if q == k]) for k in (0, 1)]
+    assert share[0] < 0.1 and share[1] > 0.97
+    glued = [r.doc_id for r in docs.collect() if len(re.findall(r"\w[#$%&*]|[#$%&*]\w", r.text or "")) > 0.3 * len(words(r.text)) > 15]
+    assert len(glued) > 20 and not kept & set(glued)
+
+
 # --- mixture -------------------------------------------------------------------------------------
 
 def test_targets():
