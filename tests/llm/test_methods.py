@@ -280,6 +280,17 @@ def test_context_tree_matches_brute_force(spark):
         assert got[i].score == pytest.approx(total, rel=1e-4) and got[i].bytes == len(streams[i])
 
 
+def test_context_tree_scores_every_gram(spark, monkeypatch):
+    """The scores don't depend on what the broadcast cache has room for."""
+    docs = read_table(spark, SF, "documents")
+    out = ~context_tree.held_out("doc_id")
+    want = {r.id: r.score for r in context_tree.score(docs, out).collect()}
+    monkeypatch.setattr(context_tree, "GRAM_SLOTS", 40)
+    monkeypatch.setattr(context_tree, "SLOT_BITS", 6)
+    got = {r.id: r.score for r in context_tree.score(docs, out).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_context_tree_learns(spark):
     got = QUERIES["op2_context_tree"](spark, SF).toPandas()
     rows = read_table(spark, SF, "documents").select("doc_id", "text").collect()

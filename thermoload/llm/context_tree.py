@@ -14,13 +14,16 @@ share is w = Pe / (Pe + product of the children's Pw).
 
 Scoring. A bit's probability mixes the estimates of all depths along its context:
 w * KT + (1 - w) * (the same one byte deeper); the deepest node seen in training
-takes the whole rest. The code length per byte follows from the sum.
+takes the whole rest. From the root down, one join per level (a node with its parent
+context's) carries the mixture made so far and the weight left over, so a deepest node
+has the bit's probability. Grams of texts outside the training take part in the tree
+with counts of zero, which change no other node; such a node has its parent's
+probability. Eight nodes make a gram's log-probability: every gram of the corpus has
+an exact one, in a table that grows with the corpus.
 
-The broadcast model has 2^``SLOT_BITS`` slots whatever the corpus (48 MB); nodes
-that meet in a slot leave it to the one with the larger count. A slot is one
-64-bit word (see ``_pack``): the count's size class, share, estimate and 16 bits of
-the node's name; estimates are kept to 0.1 %. The driver gathers it in slices.
-Scoring needs no shuffle.
+The most frequent grams (by a count threshold, at most ``GRAM_SLOTS``) are broadcast
+as a cache with their full keys, 2^``SLOT_BITS`` slots whatever the corpus (64 MB). A
+text's other grams meet their log-probabilities in a join and are summed back.
 
 The unigram baseline is exact: counts of the most frequent words, as many as fit
 ``WORD_SLOTS`` (by a count threshold, so ties fall on one side), are broadcast;
@@ -44,8 +47,9 @@ from .text_hash import P1, mix, tables, text_chunks, word_hashes
 
 DEPTH = 5
 SLOT_BITS = 22
-SLICES = 8
-CACHE_BITS = 21
+GRAM_SLOTS = 1 << 21
+PROBES = 4         # slots that may hold a gram; one that finds them taken is joined like a rare one
+OUTSIDE = 62       # key bit of grams and words outside the training, while they are counted
 WORD_SLOTS = 1 << 19
 END = 10           # the end mark's byte; no word holds it
 FLUSH = 1_000_000  # distinct grams that a task holds before it hands them on
@@ -90,23 +94,32 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(n, first)
 
 
-def training_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``kind`` (0: grams, 1: words, 2: texts), ``key``, ``n``: partial counts by task, added up."""
+def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``kind`` (0: grams, 1: words, 2: texts), ``key``, ``n`` (in training texts), ``m`` (grams: in all texts)
+    from columns ``text`` and ``train``: partial counts by task, added up."""
     def run(batches):
         held = {0: [], 1: []}
         sizes, texts = {0: 0, 1: 0}, 0
+        bit = np.uint64(1 << OUTSIDE)
 
         def rows(kind):
-            keys, n = _merge(held[kind])
+            keys, m = _merge(held[kind])
             held[kind], sizes[kind] = [], 0
+            n = np.where(keys & bit, 0, m) if kind == 0 else m
+            keys = keys & ~bit if kind == 0 else keys
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)),
-                                               pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+                                               pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))],
+                                              names=["kind", "key", "n", "m"])
         for batch in batches:
+            train, first = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), 0
             for b, edges in text_chunks(batch.column(0)):
                 words, at, starts, ends = word_hashes(b, edges)
-                texts += len(edges) - 1
-                keys, _ = byte_keys(b, edges, at, starts, ends, depth)
-                for kind, found in ((0, keys), (1, words)):
+                inside = train[first:first + len(edges) - 1]
+                first += len(edges) - 1
+                texts += int(inside.sum())
+                keys, whose = byte_keys(b, edges, at, starts, ends, depth)
+                keys = np.where(inside[whose], keys, keys | bit)
+                for kind, found in ((0, keys), (1, words[np.repeat(inside, np.diff(at))])):
                     if len(found):
                         part = np.unique(found, return_counts=True)
                         held[kind].append(part)
@@ -120,9 +133,10 @@ def training_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
             if held[kind]:
                 yield rows(kind)
         if texts:
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()),
-                                              pa.array([texts], pa.int64())], names=["kind", "key", "n"])
-    return train.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([texts], pa.int64()),
+                                              pa.array([texts], pa.int64())], names=["kind", "key", "n", "m"])
+    parts = docs.mapInArrow(run, "kind int, key long, n long, m long")
+    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 # --- the tree ----------------------------------------------------------------------------------
@@ -149,7 +163,7 @@ def tree_levels(grams: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     for d in range(depth, -1, -1):
         sums = (below.select(F.expr(f"ctx & {(1 << 8 * d) - 1}L").alias("ctx"), "node", "n0", "n1", "lpw")
                 .groupBy("ctx", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lpw").alias("deeper")))
-        level = sums.withColumn("pe", F.expr(_LOG_KT))
+        level = sums.withColumn("pe", F.expr(f"IF(n0 + n1 = 0, 0D, {_LOG_KT})"))
         if d == depth:
             level = level.withColumn("w", F.lit(1.0)).withColumn("lpw", F.col("pe"))
         else:
@@ -161,96 +175,101 @@ def tree_levels(grams: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     return out
 
 
-def node_ids(depth, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """A node's 64-bit name: 8 * DEPTH bits of context, 3 of depth, 8 of prefix."""
-    return (ctx << np.uint64(11)) | (np.asarray(depth).astype(np.uint64) << np.uint64(8)) | node
-
-
-def slots_of(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, 16-bit name, never 0) of each identifier."""
-    h = mix(ids * P1)
-    return (h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+def mixed_level(levels: list[DataFrame]) -> DataFrame:
+    """``ctx``, ``node`` and ``p`` of the deepest level: the probability of a one there. ``a`` and ``r`` are
+    the mixture of the depths so far and the weight left to deeper ones."""
+    one = "(n1 + 0.5D) / (n0 + n1 + 1D)"
+    above = None
+    for d, level in enumerate(reversed(levels)):
+        if above is None:
+            rows = level.selectExpr("*", "0D AS a0", "1D AS r0", "0.5D AS p0")
+        else:
+            up = above.selectExpr("ctx AS c0", "node AS k0", "a AS a0", "r AS r0", "p AS p0")
+            rows = level.join(up, (F.expr(f"ctx & {(1 << 8 * (d - 1)) - 1}L") == F.col("c0")) & (F.col("node") == F.col("k0")))
+        above = rows.selectExpr("ctx", "node", f"IF(n0 + n1 = 0, p0, a0 + r0 * {one}) AS p",
+                                f"a0 + r0 * w * {one} AS a", "r0 * (1 - w) AS r")
+    return above.select("ctx", "node", "p")
 
 
-def bounded_model(levels: list[DataFrame], slot_bits: int = SLOT_BITS) -> dict:
-    """Arrays by slot: ``name`` (0: empty), ``kt`` (estimate of a one), ``w``."""
-    nodes = levels[0]
-    for x in levels[1:]:
-        nodes = nodes.unionByName(x)
-    rows = nodes.select("depth", "ctx", "node", "n0", "n1", "w")
+def gram_logs(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``key``, ``m`` and ``log10p``, the exact log10 P(byte | the bytes before), of every gram of the corpus."""
+    # a context has at most 255 nodes and 256 bytes: they meet in one row, the bytes numbered from 256
+    bytes_of = grams.selectExpr("shiftrightunsigned(key, 8) AS ctx", "CAST(256 + (key & 255) AS INT) AS node",
+                                "CAST(m AS DOUBLE) AS p")
+    rows = (mixed_level(levels).unionByName(bytes_of).groupBy("ctx")
+            .agg(F.collect_list(F.struct("node", "p")).alias("x")).selectExpr("ctx", "x.node AS node", "x.p AS p"))
 
-    def place(batches):
+    def run(batches):
         for b in batches:
-            c = [x.to_numpy(zero_copy_only=False) for x in b.columns]
-            slot, name = slots_of(node_ids(c[0], c[1].astype(np.uint64), c[2].astype(np.uint64)), slot_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(_pack(c[3], c[4], c[5], name))],
-                                             names=["slot", "word"])
-    placed = rows.mapInArrow(place, "slot int, word long")
-    best = written(placed.groupBy("slot").agg(F.max("word").alias("word")), "model")
-    size = 1 << slot_bits
-    words = np.zeros(size, np.int64)
-    step = max(1, size // SLICES)
-    for first in range(0, size, step):  # at most 2^slot_bits rows in all
-        got = best.filter(f"slot >= {first} AND slot < {first + step}").toArrow()
-        words[got.column("slot").to_numpy()] = got.column("word").to_numpy()
-    return _unpack(words)
-
-
-LOGIT = 1023.0  # steps per unit of log-odds: 16 bits reach odds of e^32
-
-
-def _pack(n0: np.ndarray, n1: np.ndarray, w: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """The count's size class (on top, so that the largest count wins a slot), the share, the
-    log-odds of the estimate and the name, 15 or 16 bits each."""
-    count = np.minimum(np.log2(n0 + n1 + 1.0) * 500, 32767).astype(np.int64)
-    share = np.rint(w * 65535).astype(np.int64)
-    odds = np.clip(np.rint(np.log((n1 + 0.5) / (n0 + 0.5)) * LOGIT) + 32768, 0, 65535).astype(np.int64)
-    return (count << 48) | (share << 32) | (odds << 16) | name.astype(np.int64)
-
-
-def _unpack(words: np.ndarray) -> dict:
-    odds = ((words >> 16) & 65535).astype(np.float32)
-    return {"name": (words & 65535).astype(np.uint16), "kt": 1 / (1 + np.exp((32768 - odds) / np.float32(LOGIT))),
-            "w": ((words >> 32) & 65535).astype(np.float32) / np.float32(65535)}
-
-
-def log10_probabilities(keys: np.ndarray, model: dict, depth: int = DEPTH) -> np.ndarray:
-    """log10 P(byte | the bytes before) of each key."""
-    bits = len(model["name"]).bit_length() - 1
-    ctx, byte = keys >> np.uint64(8), keys & np.uint64(255)
-    total = np.zeros(len(keys))
-    for j in range(8):
-        node = np.uint64(1 << j) | (byte >> np.uint64(8 - j))
-        one = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-        p = np.full(len(keys), 0.5)
-        seen = np.zeros(len(keys), bool)
-        for d in range(depth, -1, -1):
-            ids = node_ids(d, ctx & np.uint64((1 << 8 * d) - 1), node)
-            at, name = slots_of(ids, bits)
-            hit = model["name"][at] == name
-            w = np.where(seen, model["w"][at], 1.0)      # the deepest node seen takes the rest
-            p = np.where(hit, w * model["kt"][at] + (1 - w) * p, p)
-            seen |= hit
-        total += np.log10(np.where(one, p, 1 - p))
-    return total
+            for first in range(0, b.num_rows, 4096):
+                part = b.slice(first, 4096)
+                ctx = part.column(0).to_numpy().view(np.uint64)
+                row = np.repeat(np.arange(len(ctx)), part.column(1).value_lengths().to_numpy())
+                node, value = part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()
+                table = np.full((len(ctx), 256), 0.5)
+                inner = node < 256
+                table[row[inner], node[inner]] = value[inner]
+                row, byte, m = row[~inner], node[~inner] - 256, value[~inner]
+                total = np.zeros(len(row))
+                for j in range(8):
+                    one = table[row, (1 << j) | (byte >> (8 - j))]
+                    total += np.log10(np.where((byte >> (7 - j)) & 1, one, 1 - one))
+                keys = (ctx[row] << np.uint64(8)) | byte.astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(m.astype(np.int64)), pa.array(total)],
+                                                 names=["key", "m", "log10p"])
+    return rows.mapInArrow(run, "key long, m long, log10p double")
+
+
+EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)  # no gram: keys have 8 * (DEPTH + 1) bits
+
+
+def gram_cache(keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and log-probabilities by slot; of the ``PROBES`` slots after its own a key takes the first free one."""
+    bits = SLOT_BITS
+    held, value = np.full(1 << bits, EMPTY), np.zeros(1 << bits)
+    home = (mix(keys * P1) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    left = np.arange(len(keys))
+    for k in range(PROBES):
+        at = (home[left] + k) & ((1 << bits) - 1)
+        free = held[at] == EMPTY
+        _, first = np.unique(at[free], return_index=True)
+        taken = np.flatnonzero(free)[first]
+        held[at[taken]], value[at[taken]] = keys[left[taken]], logs[left[taken]]
+        left = np.delete(left, taken)
+    return held, value
+
+
+def cached_logs(keys: np.ndarray, cache: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probability or 0, whether the cache has it) of each key."""
+    held, value = cache
+    at = (mix(keys * P1) & np.uint64(len(held) - 1)).astype(np.int64)
+    hit = held[at] == keys
+    logs = np.where(hit, value[at], 0.0)
+    left = np.flatnonzero(~hit)
+    for k in range(1, PROBES):
+        place = (at[left] + k) & (len(held) - 1)
+        found = held[place] == keys[left]
+        logs[left[found]], hit[left[found]] = value[place[found]], True
+        left = left[~found]
+    return logs, hit
 
 
 # --- scoring -------------------------------------------------------------------------------------
 
-def frequent_words(words: DataFrame, most: int = WORD_SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the words above the count threshold that lets ``most`` in."""
-    by_count = sorted((r["n"], r["k"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect())
+def frequent(rows: DataFrame, count: str, value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and values of the rows above the ``count`` threshold that lets ``most`` in."""
+    by_count = sorted((r["n"], r["k"]) for r in rows.groupBy(F.col(count).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect())
     least, held = None, 0  # one row per distinct count
     for n, k in reversed(by_count):
         if held + k > most:
             break
         least, held = n, held + k
     if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    rows = words.filter(F.col("n") >= least).select("key", "n").toArrow()
-    keys = rows.column("key").to_numpy().view(np.uint64)
+        return np.empty(0, np.uint64), np.empty(0)
+    got = rows.filter(F.col(count) >= least).select("key", value).toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], rows.column("n").to_numpy()[order]
+    return keys[order], got.column(value).to_numpy()[order]
 
 
 def score(docs: DataFrame, train_filter: Column, id_col: str = "doc_id", text: str = "text",
@@ -258,28 +277,31 @@ def score(docs: DataFrame, train_filter: Column, id_col: str = "doc_id", text: s
     """One row per row of ``docs``: ``id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
     ``score``, ``bytes`` (with the end mark) and ``bits_per_byte``."""
     spark = docs.sparkSession
-    train = docs.filter(train_filter).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = written(training_counts(train, depth), "counts")
-    model = bounded_model(tree_levels(counts.filter("kind = 0"), depth))
-    words = counts.filter("kind = 1")
+    marked = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train_filter, F.lit(False)).alias("train"))
+    counts = written(corpus_counts(marked, depth), "counts")
+    grams = counts.filter("kind = 0").select("key", "n", "m")
+    logs_by_gram = written(gram_logs(grams, tree_levels(grams, depth)), "grams")
+    words = counts.filter("kind = 1").select("key", "n")
     sums = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     ends = counts.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
     total = (sums[0] or 0) + ends
     norm = total + 0.5 * ((sums[1] or 0) + (1 if ends else 0) + 1)
-    frequent, times = frequent_words(words)
-    sent = spark.sparkContext.broadcast((model, frequent, times))
+    common, times = frequent(words, "n", "n", WORD_SLOTS)
+    sent = spark.sparkContext.broadcast((gram_cache(*frequent(logs_by_gram, "m", "log10p", GRAM_SLOTS)), common, times))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        tree, keys_of, times_of = sent.value
+        cache, keys_of, times_of = sent.value
         logs_of = np.log10((times_of + 0.5) / norm)
         end_log = np.log10((ends + 0.5) / norm)
-        cache_key = np.full(1 << CACHE_BITS, np.uint64(0xFFFFFFFFFFFFFFFF))
-        cache_log = np.zeros(1 << CACHE_BITS, np.float32)
+
+        def lists_of(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
+            cuts = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))]
+            return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.view(np.int64)))
         for batch in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for b, edges in text_chunks(batch.column(2)):
                 n = len(edges) - 1
                 found, at, starts, stops = word_hashes(b, edges)
@@ -288,44 +310,36 @@ def score(docs: DataFrame, train_filter: Column, id_col: str = "doc_id", text: s
                 known = keys_of[place] == found if len(keys_of) else np.zeros(len(found), bool)
                 base = np.bincount(owner[known], logs_of[place[known]], n) + end_log
                 keys, whose = byte_keys(b, edges, at, starts, stops, depth)
-                slot, _ = slots_of(keys, CACHE_BITS)
-                new = cache_key[slot] != keys
-                logs = cache_log[slot].astype(np.float64)
-                if new.any():
-                    fresh, back = np.unique(keys[new], return_inverse=True)
-                    p = log10_probabilities(fresh, tree, depth)
-                    logs[new] = p[back]
-                    where, _ = slots_of(fresh, CACHE_BITS)
-                    cache_key[where], cache_log[where] = fresh, p
-                    # of keys that share a slot the last one stays: value and key must agree
-                    cache_log[where] = np.where(cache_key[where] == fresh, p, cache_log[where])
-                rare = found[~known].view(np.int64)
-                cuts = np.cumsum(np.bincount(owner[~known], minlength=n))[:-1]
+                logs, hit = cached_logs(keys, cache)
                 out[0].append(np.diff(at) + 1)
                 out[1].append(np.bincount(owner[known], minlength=n) + (1 if ends else 0))
                 out[2].append(base)
                 out[3].append(np.bincount(whose, logs, n))
                 out[4].append(np.bincount(whose, minlength=n))
-                out[5] += [pa.array(x) for x in np.split(rare, cuts)] if n else []
+                out[5].append(lists_of(found[~known], owner[~known], n))
+                out[6].append(lists_of(keys[~hit], whose[~hit], n))
             if not out[0]:
                 continue
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.r_[0, np.cumsum([len(x) for x in out[5]])], pa.int32()), pa.concat_arrays(out[5]).cast(pa.int64()))
             flat = [np.concatenate(x) for x in out[:5]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)),
-                 pa.array(flat[2]), pa.array(flat[3]), pa.array(flat[4].astype(np.int64)), lists],
-                names=["row", "id", "n_tokens", "known", "base", "score", "bytes", "rare"])
+                 pa.array(flat[2]), pa.array(flat[3]), pa.array(flat[4].astype(np.int64)),
+                 pa.concat_arrays(out[5]), pa.concat_arrays(out[6])],
+                names=["row", "id", "n_tokens", "known", "base", "logs", "bytes", "rare", "grams"])
     scored = written(rows.mapInArrow(
-        run, f"row long, id {kind}, n_tokens long, known long, base double, score double, bytes long, rare array<long>"), "scored")
+        run, f"row long, id {kind}, n_tokens long, known long, base double, logs double, bytes long, "
+        "rare array<long>, grams array<long>"), "scored")
     rare = scored.select("row", F.explode("rare").alias("key")).join(words.select("key", "n"), "key", "left")
     more = rare.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("__k"),
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / norm)).alias("__b"))
-    return scored.drop("rare").join(more, "row", "left").select(
+    deep = (scored.select("row", F.explode("grams").alias("key")).join(logs_by_gram.select("key", "log10p"), "key")
+            .groupBy("row").agg(F.sum("log10p").alias("__s")))
+    total_log = F.col("logs") + F.coalesce("__s", F.lit(0.0))
+    return scored.drop("rare", "grams").join(more, "row", "left").join(deep, "row", "left").select(
         "id", "n_tokens", (F.col("known") + F.coalesce("__k", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("__b", F.lit(0.0))).alias("base_score"),
-        "score", "bytes", (-F.col("score") / F.col("bytes") * float(np.log2(10))).alias("bits_per_byte"))
+        total_log.alias("score"), "bytes", (-total_log / F.col("bytes") * float(np.log2(10))).alias("bits_per_byte"))
 
 
 by_value(__name__)
