@@ -53,7 +53,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_operator_is_registered():
     names = [n for n in QUERIES if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 # --- awkward rows ---------------------------------------------------------------------------

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import scratch_path
-from . import chat_format, context_tree, exact_dedup, language_id, mixture, ngram_join, packing, quality_rules
-from . import secret_ledger, warc_bundles
+from . import bisector_clusters, chat_format, context_tree, exact_dedup, hard_negatives, language_id, mixture, ngram_join
+from . import packing, quality_qda, quality_rules, secret_ledger, warc_bundles
 from .common import read_table, written
 
 
@@ -79,6 +79,24 @@ def op10_exact_dedup(spark, sf):
     return exact_dedup.dedup_ledger(read_table(spark, sf, "documents"))
 
 
+def op11_hard_negatives(spark, sf):
+    """Anchors are the rows whose id is divisible by 100; every seventh label is wrong on purpose."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.prepare(read_table(spark, sf, "embeddings"), label=label)
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
+def op12_quality_discriminant(spark, sf):
+    scored = quality_qda.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"),
+                                  ~quality_qda.held_out("id")).withColumnRenamed("id", "doc_id")
+    return scored.withColumn("held_out", quality_qda.held_out("doc_id"))
+
+
+def op13_bisector_clusters(spark, sf):
+    assigned, centroids = bisector_clusters.cluster(read_table(spark, sf, "embeddings"))
+    return bisector_clusters.with_inertia(assigned, centroids).withColumnRenamed("id", "vec_id")
+
+
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
 
@@ -95,8 +113,36 @@ QUERIES = {
     "op8_warc_bundles": op8_warc_bundles,
     "op9_chat_round_trip": op9_chat_round_trip,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality_discriminant": op12_quality_discriminant,
+    "op13_bisector_clusters": op13_bisector_clusters,
 }
 
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+_FINITE = "coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)"
+
+
+def _cluster_sql(k: int, rounds: int, seed: int, size: int) -> str:
+    """The clustering with a distance to every centroid, one group of steps a round."""
+    def assigned(r):
+        return f"""a{r} AS MATERIALIZED (SELECT rid, vec_id, q, k, d FROM (
+    SELECT v.*, c.k, CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v CROSS JOIN c{r} c)
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1)"""
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, {_WHOLE} AS q FROM embeddings
+    WHERE len(embedding) = {size} AND {_FINITE})""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, q FROM (
+    SELECT sha256('{seed}:' || vec_id) AS h, q FROM v ORDER BY h LIMIT {k}))""", assigned(0)]
+    for r in range(1, rounds + 1):
+        steps += [f"""c{r} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{r - 1} c LEFT JOIN (
+    SELECT k, list(m ORDER BY i) AS q FROM (SELECT k, i, floor(sum(x) / count(*)) AS m FROM (
+        SELECT k, unnest(q) AS x, unnest(range(len(q))) AS i FROM a{r - 1}) GROUP BY k, i) GROUP BY k) m USING (k))""", assigned(r)]
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT a.vec_id, CAST(a.k AS INT) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, s.h AS centroid_sha256
+FROM a{rounds} a JOIN (SELECT k, sha256(array_to_string(list_transform(q, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS h
+                   FROM c{rounds}) s USING (k)"""
+
+
 _LISTED = quality_rules.COMMON_WORDS
 _OP1_LISTED = ", ".join(f"('{w}')" for w in quality_rules.bins(_LISTED))
 _OP1_LANGS = ", ".join(f"'{x}'" for x in _LISTED)
@@ -181,4 +227,19 @@ FROM e GROUP BY conv_id""",
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_hard_negatives": f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+p AS (SELECT a.vec_id AS anchor_id, a.label, b.vec_id, b.label AS other, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)),
+pos AS (SELECT anchor_id, label, vec_id AS positive_id, score AS positive_score FROM p WHERE label = other
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score,
+       score AS negative_score
+FROM pos JOIN p USING (anchor_id)
+WHERE p.other <> pos.label AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5""",
+    "op13_bisector_clusters": _cluster_sql(bisector_clusters.CLUSTERS, bisector_clusters.ROUNDS, bisector_clusters.SEED,
+                                           bisector_clusters.SIZE),
 }
