@@ -2,7 +2,7 @@
 
 from thermoload.plans.build import build_all
 from thermoload.sources import fixtures
-from thermoload.sources.sinks import list_tables, register_tables
+from thermoload.sources.sinks import list_tables, read_table, register_tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +22,7 @@ def test_build_all(spark, tmp_dir):
     hw = spark.sql("SELECT sum(is_heatwave_day) FROM heat_load_daily").first()[0]
     assert hw == 38  # days inside runs of >= 3 hot days at sf0.001 (SURVEY §5)
     assert spark.read.text(f"{tmp_dir}/daily_load_json").count() == 1  # one document keyed by location
-    audit = {r.table_name: r.rows for r in spark.read.parquet(f"{tmp_dir}/row_audit").collect()}
+    audit = {r.table_name: r.rows for r in read_table(spark, f"{tmp_dir}/row_audit").collect()}
     assert audit == counts
 
 

@@ -3,14 +3,18 @@
 import datetime as dt
 import json
 import os
+import random
 
+import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from thermoload import constants as K
 from thermoload.operators import daily, dashboard, facilities, hourly, positional, response
 from thermoload.sources import json_sources as J
-from thermoload.sources.sinks import replace_table
-from thermoload.sources.weather_csv import read_csv_union
+from thermoload.sources.sinks import read_table, replace_table
+from thermoload.sources.weather_csv import detect_types, read_csv_union
 
 
 def test_load_clean_keeps_null(spark):
@@ -68,9 +72,21 @@ def test_quadratic_fit_recovers_coefficients(spark):
     r = response.quadratic_fit(base).first()
     assert r.n_obs == 40
     assert abs(r.beta0 - 100) < 1e-8 and abs(r.beta1 - 2) < 1e-9 and abs(r.beta2 - 0.5) < 1e-10
-    two = spark.createDataFrame([("B", 1.0, 1.0), ("B", 2.0, 2.0), ("B", 1.0, 1.5)],
-                                "location string, temp double, load_mwh double")
-    assert response.quadratic_fit(two).first().beta2 is None  # singular: fewer than 3 distinct T
+    none = base.withColumn("load_mwh", F.lit(None).cast("double"))
+    assert response.quadratic_fit(none).first().beta2 is None
+
+
+def test_quadratic_fit_of_few_temperatures_is_the_pseudo_inverse(spark):
+    sets = {"one": [(12.5, 3.0), (12.5, 5.0)], "zero": [(0.0, 7.0)], "two": [(1.0, 1.0), (2.0, 2.0), (1.0, 1.5)],
+            "wide": [(-4.0, 9000.0), (11.0, 12000.5), (11.0, 11000.25), (-4.0, 9100.0), (-4.0, 8950.0)],
+            "mirrored": [(-7.0, 5.0), (7.0, 3.0)], "with_zero": [(0.0, 800.0), (31.25, 950.0)]}
+    rows = [(k, t, y) for k, v in sets.items() for t, y in v]
+    got = {r.location: r for r in response.quadratic_fit(spark.createDataFrame(
+        rows, "location string, temp double, load_mwh double")).collect()}
+    for k, v in sets.items():
+        x = np.array([[1, t, t * t] for t, _ in v])
+        want = np.linalg.pinv(x) @ np.array([y for _, y in v])
+        assert np.allclose([got[k].beta0, got[k].beta1, got[k].beta2], want, rtol=1e-9, atol=1e-9), k
 
 
 def _fac(spark, rows):
@@ -104,20 +120,43 @@ def test_scores(spark):
 def test_positional_sample(spark):
     for n, expect in [(1, [0, 0, 0, 0, 0]), (4, [0, 1, 2, 3, 3]), (5, [0, 1, 2, 3, 4])]:
         df = spark.createDataFrame([(i, 7) for i in range(n)], "facility_id long, exemption_score int")
-        got = positional.select_positions(df, ["exemption_score", "facility_id"], positional.quartile_positions,
-                                          num_partitions=3).orderBy("sample_no").collect()
+        got = positional.select_positions(df, ["exemption_score", "facility_id"], positional.quartile_positions).orderBy("sample_no").collect()
         assert [r.position for r in got] == expect
         assert [r.facility_id for r in got] == expect  # equal scores: tie-break by id
+    assert positional.select_positions(df.limit(0), ["facility_id"], positional.quartile_positions).count() == 0
 
 
 def test_positional_sample_large_equal_group(spark):
     n = 10001
     df = spark.range(n).select(F.col("id").alias("facility_id"), F.lit(1).alias("exemption_score"))
-    got = positional.select_positions(df, ["exemption_score", "facility_id"], positional.quartile_positions,
-                                      num_partitions=8).orderBy("sample_no").collect()
+    got = positional.select_positions(df, ["exemption_score", "facility_id"], positional.quartile_positions).orderBy("sample_no").collect()
     assert [r.facility_id for r in got] == [0, n // 4, n // 2, 3 * n // 4, n - 1]
 
 
+@pytest.mark.parametrize("few", [1, 40])
+def test_positions_by_counts(spark, monkeypatch, few):
+    """Small bins and limits: every key is cut several times, with missing, equal and very wide values."""
+    monkeypatch.setattr(positional, "BINS", 4)
+    monkeypatch.setattr(positional, "FEW", few)
+    rnd = random.Random(few)
+    rows = [(rnd.choice([None, 1, 1, 1, 5, -3]), rnd.choice([None, rnd.randrange(50), 2 ** 63 - 1, -2 ** 63])) for _ in range(600)]
+    rows += [(1, 7)] * 300  # equal in all keys
+    df = spark.createDataFrame(rows, "a int, b long").repartition(3)
+    order = sorted(rows, key=lambda r: [(x is not None, x or 0) for x in r])
+    places = [0, 3, 150, 299, 450, 600, 899]
+    got = positional.select_positions(df, ["a", "b"], lambda n: places).orderBy("sample_no").collect()
+    assert [(r.a, r.b) for r in got] == [order[p] for p in places] and [r.position for r in got] == places
+
+
+def test_every_row_is_numbered(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([None, 1.5, 1.5, 2.0]), "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, v double, position string").repartition(5)
+    got = positional.number_rows(df.drop("position"), [F.col("v").isNotNull(), F.desc("id")], num_partitions=6).collect()
+    want = sorted((r[:2] for r in rows), key=lambda r: (r[1] is not None, -r[0]))
+    assert [(r.id, r.v) for r in sorted(got, key=lambda r: r.position)] == want and [*range(2000)] == sorted(r.position for r in got)
+
+
 def test_csv_union_by_name(spark, tmp_dir):
     os.makedirs(f"{tmp_dir}/in")
     with open(f"{tmp_dir}/in/a.csv", "w") as f:
@@ -129,9 +168,8 @@ def test_csv_union_by_name(spark, tmp_dir):
     df = read_csv_union(spark, f"{tmp_dir}/in/*.csv", columns=["STATION", "DATE", "TMP"])
     got = sorted(tuple(r) for r in hourly.decode_weather(df).collect())
     assert [(g[0], g[2]) for g in got] == [("1", None), ("BOS", 20.0), ("IAD", 10.0)]
-    from thermoload.sources.weather_csv import infer_csv_types
-    types = infer_csv_types(spark, f"{tmp_dir}/in/*.csv")
-    assert len(types) == 3 and types[("STATION", "DATE", "TMP")]["STATION"].dataType.typeName() in ("long", "integer")
+    types = {r.column_name: r.column_type for r in detect_types(read_csv_union(spark, f"{tmp_dir}/in/*.csv")).collect()}
+    assert types == {"STATION": "BIGINT", "DATE": "TIMESTAMP", "TMP": "VARCHAR", "X": "VARCHAR"}
 
 
 def test_json_pages(spark, tmp_dir):
@@ -182,7 +220,7 @@ def test_replace_table_counts_rows(spark, tmp_dir):
     df = spark.range(10).withColumn("year", F.lit(2024))
     assert replace_table(df, f"{tmp_dir}/t", partition_by=["year"], sort_within=["id"]) == 10
     assert replace_table(df.limit(3), f"{tmp_dir}/t") == 3
-    assert spark.read.parquet(f"{tmp_dir}/t").count() == 3
+    assert read_table(spark, f"{tmp_dir}/t").count() == 3
 
 
 def test_window_peaks(spark):
@@ -245,3 +283,31 @@ def test_window_peaks_overlapping_windows(spark):
     wins = [(1, "2024-01-01", "2024-01-10"), (2, "2024-01-05", "2024-01-20"), (3, "2024-02-01", "2024-02-02")]
     out = {r.year: r.peak_mwh for r in response.window_peaks(d, wins).collect()}
     assert out == {1: 7.0, 2: 9.0, 3: 0.0}
+
+
+def test_thousands_of_overlapping_windows(spark):
+    """The bucket join against DuckDB's own range join, with missing days, values and ends."""
+    rnd = random.Random(11)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    days = [(rnd.choice("ab"), day(rnd.randrange(900)), rnd.choice([None, rnd.uniform(-5, 5)])) for _ in range(1500)]
+    windows = [(i, rnd.choice("abc"), day(a := rnd.randrange(-50, 950)), day(a + rnd.choice([-1, 0, 3, 40, 400, 2000]))) for i in range(4000)]
+    windows += [(4000, "a", None, day(3)), (4001, "a", day(3), None)]
+    d = spark.createDataFrame(days, "k string, date date, v double")
+    w = spark.createDataFrame(windows, "id int, k string, x0 date, x1 date")
+    got = sorted((r.id, r.max_value) for r in response.interval_max(d, w, "v", by=["k"]).collect())
+    dd, ww = d.toPandas(), w.toPandas()  # noqa: F841
+    want = duckdb.sql("""SELECT id, max(v) FROM ww LEFT JOIN dd ON dd.k = ww.k AND CAST(dd.date AS DATE) BETWEEN CAST(x0 AS DATE) AND CAST(x1 AS DATE)
+                         GROUP BY id ORDER BY id""").fetchall()
+    assert [i for i, _ in got] == [i for i, _ in want] and sum(v is not None for _, v in got) > 1000
+    assert all(a == b or (a is None and (b is None or b != b)) for (_, a), (_, b) in zip(got, want))
+
+
+def test_guards_as_a_relation(spark, tmp_dir):
+    with open(f"{tmp_dir}/p.json", "w") as f:
+        f.write(json.dumps({"response": {"data": [{"period": "2024-01-01T00", "value": None}, {"period": "x"}]}}))
+    got = {(r.guard, r.subject): (r.found, r.passed) for r in J.landing_guards(spark, tmp_dir, ["period", "value", "subba"]).collect()}
+    assert got == {("not empty", "records"): (2, True), ("required key", "period"): (2, True),
+                   ("required key", "value"): (1, True), ("required key", "subba"): (0, False)}
+    with open(f"{tmp_dir}/p.json", "w") as f:
+        f.write("{}")
+    assert {r.subject for r in J.landing_guards(spark, tmp_dir, ["period"]).collect() if not r.passed} == {"records"}

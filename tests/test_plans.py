@@ -73,8 +73,10 @@ def test_heatwave_flags_one_shuffle(spark):
     assert after - before == 1  # both windows share the station partitioning; no join
 
 
-def test_positional_sample_numbers_rows_once(spark):
-    s = Q.scored_df(spark, SF).select("facility_id", "exemption_score")
-    p = plan(positional.select_positions(s, ["exemption_score", "facility_id"], positional.quartile_positions))
-    assert "rangepartitioning" not in p  # the numbered rows come from the checkpoint
-    assert "Scan ExistingRDD" in p or "LogicalRDD" in p
+def test_positional_sample_sorts_no_table(spark, monkeypatch):
+    """No global sort and no checkpoint: counts, then a window over the few rows of the positions' bins."""
+    scores = Q.scored_df(spark, SF).select("facility_id", "exemption_score")
+    for method in ("repartitionByRange", "checkpoint", "localCheckpoint", "orderBy"):
+        monkeypatch.setattr(type(scores), method, None)
+    got = positional.select_positions(scores, ["exemption_score", "facility_id"], positional.quartile_positions)
+    assert got.count() == 5

@@ -7,14 +7,16 @@ import duckdb
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from thermoload.operators import hourly
 from thermoload.plans import queries as Q
 from thermoload.sources import json_sources as J
+from thermoload.sources import files as files_module
 from thermoload.sources import sinks
 from thermoload.sources.files import list_files
-from thermoload.sources.weather_csv import read_csv_union
+from thermoload.sources.weather_csv import detect_types, read_csv_typed, read_csv_union
 
 COLS = ["STATION", "DATE", "TMP"]
 
@@ -107,13 +109,29 @@ def test_replace_table_files_are_sorted(spark, tmp_dir):
     df = spark.range(0, 5000, 1, 7).select(F.hash("id").alias("k"), (F.col("id") % 3).alias("year"))
     path = f"{tmp_dir}/t"
     assert sinks.replace_table(df.limit(10), path, ["year"], ["k"]) == 10
-    assert sinks.replace_table(df, path, ["year"], ["k"]) == 5000
-    files = list_files(spark, path)
-    assert files and spark.read.parquet(path).count() == 5000
+    read = Observation("input")
+    assert sinks.replace_table(df.observe(read, F.count(F.lit(1)).alias("n")), path, ["year"], ["k"]) == 5000
+    assert read.get["n"] == 5000  # the input is computed once
+    files = list_files(spark, sinks.table_location(spark, path))
+    assert files and sinks.read_table(spark, path).count() == 5000
+    for f in files:
+        ks = [r.k for r in spark.read.parquet(f).collect()]
+        assert ks == sorted(ks)
+
+
+def test_a_hot_year_is_written_by_several_tasks(spark, tmp_dir):
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        df = spark.range(0, 300_000, 1, 6).select(F.hash("id").alias("k"), F.when(F.col("id") % 10 < 8, 2024).otherwise(2000 + F.col("id") % 10).alias("year"))
+        sinks.replace_table(df, f"{tmp_dir}/t", ["year"], ["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = list_files(spark, sinks.table_location(spark, f"{tmp_dir}/t"))
+    assert sum("year=2024" in f for f in files) > 2
     for f in files:
         ks = [r.k for r in spark.read.parquet(f).collect()]
         assert ks == sorted(ks)
-    assert not [x for x in os.listdir(tmp_dir) if "__new_" in x]
 
 
 def test_failed_replace_keeps_the_old_table(spark, tmp_dir):
@@ -122,7 +140,80 @@ def test_failed_replace_keeps_the_old_table(spark, tmp_dir):
     bad = spark.range(5).select(F.when(F.col("id") == 3, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
     with pytest.raises((PySparkException, Py4JJavaError)):
         sinks.replace_table(bad, path)
-    assert spark.read.parquet(path).count() == 5
+    assert sinks.read_table(spark, path).count() == 5
+
+
+def test_a_job_that_stops_before_the_swap(spark, tmp_dir):
+    path = f"{tmp_dir}/t"
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, path)
+    sinks.replace_table(spark.range(5), path, view="swapped")
+    held = sinks.read_table(spark, path)  # a reader that has planned its scan
+    folder, rows = sinks.stage_table(spark.range(7).withColumn("more", F.lit(1)), path)  # written whole, not published
+    assert rows == 7 and sinks.read_table(spark, path).count() == 5 and spark.table("swapped").count() == 5
+    sinks.publish_table(spark, path, folder, view="swapped")
+    assert sinks.read_table(spark, path).count() == 7 and spark.table("swapped").columns == ["id", "more"] and held.count() == 5
+    for n in (8, 9):
+        sinks.replace_table(spark.range(n), path, view="swapped")
+    assert spark.table("swapped").count() == 9
+    assert len([x for x in os.listdir(path) if x.startswith("_v")]) == 2  # the current version and the one before
+    spark.sql("DROP VIEW swapped")
+
+
+def test_many_files_are_opened_by_executors_only(spark, tmp_dir, monkeypatch):
+    """2,000 small files and a large one, three headers; the driver's file system opens none."""
+    for i in range(2000):
+        head, row = [("STATION,DATE,TMP", "s,d,t"), ("\ufeffDATE,TMP,station,X", "d,t,s,x"), ("DATE,STATION", "d,s")][i % 3]
+        put(f"{tmp_dir}/{i % 7}/f {i}%20.csv", f"{head}\r\n{row}\n")
+    put(f"{tmp_dir}/0/empty.csv", "")
+    put(f"{tmp_dir}/1/large one%.csv", "TMP,DATE,STATION\n" + "t,d,s\n" * 200_000)
+    real = files_module._fs
+
+    class Listing:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            assert name not in ("open", "openFile")
+            return getattr(self.fs, name)
+    monkeypatch.setattr(files_module, "_fs", lambda s, p: (real(s, p)[0], Listing(real(s, p)[1])))
+    monkeypatch.setattr(SparkSession, "createDataFrame", None)
+    groups = files_module.files_by_header(spark, tmp_dir)
+    assert {k: len(v) for k, v in groups.items()} == {"STATION,DATE,TMP": 667, "DATE,TMP,station,X": 667, "DATE,STATION": 666, "TMP,DATE,STATION": 1}
+    got = read_csv_union(spark, tmp_dir, COLS).groupBy(*COLS).count().collect()
+    assert set(map(tuple, got)) == {("s", "d", None, 666), ("s", "d", "t", 201_334)}
+
+
+def test_long_files_may_be_split(spark, tmp_dir):
+    put(f"{tmp_dir}/a.csv", "STATION,DATE,TMP\n" + 's,d,"+0100,1"\n' * 50_000)
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    df = read_csv_union(own, f"{tmp_dir}/a.csv", COLS, line_feeds=False)
+    assert df.rdd.getNumPartitions() > 5 and df.filter("TMP = '+0100,1'").count() == 50_000
+    put(f"{tmp_dir}/b.csv", 'STATION,DATE,TMP\ns,d,"two\nlines"\n')
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_csv_union(spark, f"{tmp_dir}/b.csv", COLS, line_feeds=False).collect()
+
+
+TYPED = {"a": ["true", "F"], "b": ["0", "1"], "c": ["-9223372036854775808", "12"], "d": ["1.5", "2"], "e": ["1e3", ".5"], "f": ["007", "12"],
+         "g": ["2024-01-05", "2024-02-29"], "h": ["2024-02-30", "2024-01-01"], "i": ["2024-01-05T10:00:00", "2024-01-05 11:00:00.25"],
+         "j": ["2024-01-05T10:00:00Z", "2024-01-05T11:00:00Z"], "k": ["10:00:00", "11:30:00"], "l": ["", ""], "m": ["", "5"],
+         "n": ["x", "1"], "o": ["true", "1"], "p": [" 5", "6 "], "q": ["1_000", "2"], "r": ["+1", "2"], "s": ['"1,5"', "2"]}
+
+
+def test_types_match_duckdb(spark, tmp_dir):
+    for i in (0, 1):  # the columns of each file in another order
+        cols = sorted(TYPED, reverse=bool(i))
+        put(f"{tmp_dir}/{i}.csv", ",".join(cols) + "\n" + "".join(",".join(TYPED[c][k] for c in cols) + "\n" for k in (0, 1, 0)))
+    put(f"{tmp_dir}/2.csv", "t,u,g\n1,2024-01-05,2024-01-06\n")
+    put(f"{tmp_dir}/3.csv", "u,t,extra\n2024-01-05T01:00:00,2.5,\n")
+    duck = dict(r[:2] for r in duckdb.sql(f"DESCRIBE SELECT * FROM read_csv('{tmp_dir}/*.csv', header=true, union_by_name=true, "
+                                          "sample_size=-1)").fetchall())
+    got = {r.column_name: r.column_type for r in detect_types(read_csv_union(spark, f"{tmp_dir}/*.csv")).collect()}
+    assert got == duck and got["t"] == "DOUBLE" and got["u"] == "TIMESTAMP" and len(set(got.values())) == 8
+    typed = read_csv_typed(spark, f"{tmp_dir}/*.csv")
+    assert typed.count() == 8 and dict(typed.dtypes)["b"] == "bigint" and dict(typed.dtypes)["u"] == "timestamp_ntz"
+    assert sorted(r.d for r in typed.collect() if r.d) == [1.5] * 4 + [2.0] * 2
 
 
 @pytest.mark.parametrize("text", ["2024", "2024-01", "2024-01-05T10", "x"])

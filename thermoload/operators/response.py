@@ -8,7 +8,7 @@ aggregate stays correct when one region holds most of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -23,6 +23,12 @@ def rows_per_location(base: DataFrame) -> DataFrame:
             .coalesce(1).sortWithinPartitions(F.desc("rows"), "location"))
 
 
+def location_ranking(base: DataFrame) -> DataFrame:
+    """O2: the same rows with their 0-based position; a window over one row per location."""
+    order = Window.orderBy(F.desc("rows"), "location")
+    return rows_per_location(base).withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+
+
 def locations(base: DataFrame) -> DataFrame:
     """The distinct locations present."""
     return base.select("location").distinct()
@@ -70,8 +76,9 @@ def quadratic_fit(base: DataFrame, det_tol: float = 1e-12) -> DataFrame:
     Slopes solve the 2x2 covariance system of (T, T^2); the intercept follows
     from the means. Only rows with finite T and load enter the fit (P14);
     min/max temperature use every row with a temperature, as the reference's
-    plotting grid does. When T has fewer than three distinct values the
-    system is singular and the coefficients are NULL.
+    plotting grid does. Where T has one or two distinct values many parabolas fit equally
+    well and the one whose coefficients have the smallest norm is returned, as a pseudo-inverse does. It
+    follows from the same moments (see ``_least_norm``). No row to fit: NULL coefficients.
     """
     ok = is_finite("temp") & is_finite("load_mwh")
     t = F.when(ok, F.col("temp"))
@@ -82,21 +89,38 @@ def quadratic_fit(base: DataFrame, det_tol: float = 1e-12) -> DataFrame:
         F.avg(t).alias("mt"), F.avg(t2).alias("mt2"), F.avg(y).alias("my"),
         F.var_pop(t).alias("vt"), F.var_pop(t2).alias("vt2"),
         F.covar_pop(t, t2).alias("ct_t2"), F.covar_pop(t, y).alias("ct_y"),
-        F.covar_pop(t2, y).alias("ct2_y"),
+        F.covar_pop(t2, y).alias("ct2_y"), F.min(t).alias("t_lo"), F.max(t).alias("t_hi"),
         F.min(nan_to_null("temp")).alias("temp_min"), F.max(nan_to_null("temp")).alias("temp_max"))
     det = F.col("vt") * F.col("vt2") - F.col("ct_t2") * F.col("ct_t2")
     good = det > dbl(det_tol) * F.col("vt") * F.col("vt2")
     b1 = (F.col("ct_y") * F.col("vt2") - F.col("ct_t2") * F.col("ct2_y")) / det
     b2 = (F.col("vt") * F.col("ct2_y") - F.col("ct_t2") * F.col("ct_y")) / det
     b0 = F.col("my") - b1 * F.col("mt") - b2 * F.col("mt2")
+    least = _least_norm()
     return m.select(
         "location", "n_obs",
-        F.when(good, b0).otherwise(null_double()).alias("beta0"),
-        F.when(good, b1).otherwise(null_double()).alias("beta1"),
-        F.when(good, b2).otherwise(null_double()).alias("beta2"),
+        *[F.when(F.col("n_obs") == 0, null_double()).when(good, b).otherwise(other).alias(f"beta{i}")
+          for i, (b, other) in enumerate(zip((b0, b1, b2), least))],
         "temp_min", "temp_max")
 
 
+def _least_norm() -> list[Column]:
+    """Coefficients of the smallest norm for temperatures with one or two distinct values.
+
+    One value t: every fit has b . (1, t, t^2) = mean load, the shortest b is along that vector. Two
+    values t_lo, t_hi: the fits are the line through both mean loads plus any multiple of
+    (T - t_lo)(T - t_hi); the shortest is at right angles to that parabola's coefficients."""
+    lo, hi, my = F.col("t_lo"), F.col("t_hi"), F.col("my")
+    one = dbl(1.0)
+    x = [one, lo, lo * lo]
+    length = x[0] + x[1] * x[1] + x[2] * x[2]
+    slope = F.col("ct_y") / F.nullif(F.col("vt"), dbl(0))  # used for two values only
+    line = [my - slope * F.col("mt"), slope, dbl(0.0)]
+    null = [lo * hi, -(lo + hi), one]
+    along = (line[0] * null[0] + line[1] * null[1]) / (null[0] * null[0] + null[1] * null[1] + one)
+    return [F.when(lo == hi, my * xi / length).otherwise(p - along * v) for xi, p, v in zip(x, line, null)]
+
+
 def _grid(fit: DataFrame, points: int) -> DataFrame:
     """The fit rows expanded to the curve grid, coefficients kept (J7: each
     grid point carries its own region's model)."""
@@ -181,30 +205,52 @@ def fahrenheit(daily: DataFrame) -> DataFrame:
     return daily.select("location", "date", "temp", f.alias("temp_f"))
 
 
-def window_peaks(daily: DataFrame, windows: list[tuple[int, str, str]] | None = None,
+BUCKET_DAYS = 32
+
+
+def interval_max(days: DataFrame, windows: DataFrame, value: str, day: str = "date", by: list[str] | None = None) -> DataFrame:
+    """Every window of ``windows`` (``x0``, ``x1`` and any other columns) with ``max_value``, the
+    largest ``value`` of the rows of ``days`` with ``x0 <= day <= x1`` and equal ``by`` columns; NULL
+    where there is none.
+
+    A range join by day buckets: days are reduced to one row per day and per bucket of
+    ``BUCKET_DAYS`` days, a window is expanded to the buckets it touches. Buckets that lie wholly inside
+    are looked up as one row, the (at most two) others day by day, all by equality. The join's rows per window are thus bounded by its
+    length / ``BUCKET_DAYS`` + 2 * ``BUCKET_DAYS``, however many windows overlap, and no side is
+    collected or broadcast unless adaptive execution finds it small."""
+    by = by or []
+    bucket = lambda d: F.floor(F.unix_date(d) / F.lit(BUCKET_DAYS)).cast("int")
+    daily = days.filter(F.col(value).isNotNull() & F.col(day).isNotNull()).groupBy(*by, F.col(day).alias("__day")).agg(F.max(value).alias("__v"))
+    daily = daily.withColumn("__bucket", bucket(F.col("__day")))
+    whole = daily.groupBy(*by, "__bucket").agg(F.max("__v").alias("__v"))
+    numbered = windows.filter("x0 <= x1").select(*by, "x0", "x1").distinct()
+    touched = numbered.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("x0")), bucket(F.col("x1")))))
+    first = F.col("__bucket") * BUCKET_DAYS
+    inside = (first >= F.unix_date("x0")) & (first + (BUCKET_DAYS - 1) <= F.unix_date("x1"))
+    keys = [*by, "__bucket"]
+    hits = (touched.filter(inside).join(whole, keys)
+            .unionByName(touched.filter(~inside).join(daily, keys).filter("__day BETWEEN x0 AND x1"), allowMissingColumns=True))
+    best = hits.groupBy(*by, "x0", "x1").agg(F.max("__v").alias("max_value"))
+    return windows.join(best, [*by, "x0", "x1"], "left")
+
+
+def window_peaks(daily: DataFrame, windows: DataFrame | list[tuple[int, str, str]] | None = None,
                  location: str = K.SERIES_LOCATION) -> DataFrame:
     """Peak daily mean load of ``location`` inside each date window
     (``x0 <= day <= x1``), floored at 0; windows without data give 0.
 
-    The window list is a small parameter, so the range join is an expression:
-    every day gets the ids of the windows that contain it (an overlap counts
-    for each window), and the peaks are a grouped max. No nested-loop join;
-    the at-most-one-row-per-window result is broadcast back onto the list.
+    ``windows`` is a table with ``year``, ``x0``, ``x1`` (dates as text) or a list of such rows, of any number and
+    overlap (``interval_max``).
     Label day and text follow the dashboard (first-occurrence replaces, then
     ``'Summer YYYY'`` with the JS-rounded peak and thousands separators).
     """
-    spark = daily.sparkSession
-    windows = windows or K.SUMMER_WINDOWS
-    w = spark.createDataFrame([(i, y, x0, x1) for i, (y, x0, x1) in enumerate(windows)],
-                              "w int, year int, x0 string, x1 string")
-    day = F.col("date")
-    ids = F.array(*[F.when((day >= F.to_date(F.lit(x0))) & (day <= F.to_date(F.lit(x1))), F.lit(i))
-                    for i, (_, x0, x1) in enumerate(windows)])
-    hits = (daily.filter(F.col("location") == location)
-            .select(F.explode(F.array_compact(ids)).alias("w"), nan_to_null("load_mwh").alias("load_mwh")))
-    agg = hits.groupBy("w").agg(F.max("load_mwh").alias("max_load"))
-    j = w.join(F.broadcast(agg), "w", "left")  # agg: at most one row per window
-    peak = F.greatest(F.coalesce(F.col("max_load"), dbl(0)), dbl(0))
+    if not isinstance(windows, DataFrame):
+        windows = daily.sparkSession.createDataFrame(windows or K.SUMMER_WINDOWS, "year int, x0 string, x1 string")
+    spans = windows.select("year", F.col("x0").alias("x0_text"), F.col("x1").alias("x1_text"),
+                           F.to_date("x0").alias("x0"), F.to_date("x1").alias("x1"))
+    loads = daily.filter(F.col("location") == location).select("date", nan_to_null("load_mwh").alias("load_mwh"))
+    j = interval_max(loads, spans, "load_mwh").select("year", F.col("x0_text").alias("x0"), F.col("x1_text").alias("x1"), "max_value")
+    peak = F.greatest(F.coalesce(F.col("max_value"), dbl(0)), dbl(0))
     label_day = F.col("x0")
     for old, new in K.PEAK_DAY_REPLACEMENTS:
         label_day = replace_first(label_day, old, new)

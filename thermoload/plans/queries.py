@@ -16,7 +16,7 @@ from ..operators import daily, dashboard, facilities, hourly, positional, respon
 from ..session import scratch_path
 from ..sources import fixtures, sinks
 from ..sources import json_sources as J
-from ..sources.weather_csv import read_csv_union, write_csv
+from ..sources.weather_csv import detect_types, read_csv_union, write_csv
 from .finish import rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,6 +247,66 @@ def q_grid_breakdown_reference(spark, sf):
     return rounded(dashboard.grid_breakdown(spark=spark).join(F.broadcast(total)))
 
 
+def q_quadratic_fit_degenerate(spark, sf):
+    """F1 where T has one value (LAX), two values (BOS, NYC) or any (IAD): least-norm coefficients."""
+    base = base_combine_df(spark, sf)
+    temp = (F.when(F.col("location") == "LAX", F.lit(12.5))
+            .when(F.col("location") == "BOS", F.when(F.col("temp") < 5, -4.0).otherwise(F.lit(11.0)))
+            .when(F.col("location") == "NYC", F.when(F.hour("hour_utc") < 6, 0.0).otherwise(F.lit(21.5)))
+            .otherwise(F.col("temp")))
+    return rounded(response.quadratic_fit(base.withColumn("temp", temp)), per_column=FIT_DIGITS)
+
+
+def q_window_peaks_table(spark, sf):
+    """J6/A15 with the windows as a table: a window of 1 to 150 days around January 2024 for every order."""
+    o = fixtures.read_table(spark, sf, "orders")
+    start = F.date_add(F.lit("2023-11-01").cast("date"), (F.col("o_orderkey") % 97).cast("int"))
+    end = F.date_add(start, (F.col("o_custkey") % 150).cast("int"))
+    windows = o.select(F.col("o_orderkey").cast("int").alias("year"), start.cast("string").alias("x0"), end.cast("string").alias("x1"))
+    return rounded(response.window_peaks(daily_means_df(spark, sf), windows))
+
+
+def q_location_ranking(spark, sf):
+    """O2 with the position of each row."""
+    return response.location_ranking(base_combine_df(spark, sf))
+
+
+def q_score_order(spark, sf):
+    """O3: every facility's position in the order of score and id."""
+    scores = scored_df(spark, sf).select("facility_id", "exemption_score")
+    return positional.number_rows(scores, ["exemption_score", "facility_id"])
+
+
+def q_marker_order(spark, sf):
+    """Every facility's position with those of unknown capacity first."""
+    fac = fac_clean_df(spark, sf).select("facility_id", F.col("capacity_mw").isNull().alias("unknown"))
+    return positional.number_rows(fac, [F.desc("unknown"), "facility_id"])
+
+
+def q_csv_types(spark, sf):
+    """The types of all columns over landings with different headers."""
+    ev = fixtures.read_table(spark, sf, "events")
+    root = scratch_path(spark, "typed-csv")
+    day = F.col("event_id") % 3
+    half = ev.filter(day == 0).select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("seen"), "value", "event_type",
+                                      F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("event_id") % 2 == 0).alias("even"))
+    write_csv(half, f"{root}/a")
+    write_csv(ev.filter(day == 1).select(F.col("value").cast("long").alias("VALUE"), "props", "event_id",
+                                         F.date_format("ts", "yyyy-MM-dd").alias("seen"), F.date_format("ts", "HH:mm:ss").alias("clock"),
+                                         F.lpad(F.col("user_id").cast("string"), 4, "0").alias("code")), f"{root}/b")
+    write_csv(ev.filter(day == 2).select("event_id", F.lit("").alias("nothing"), F.col("event_id").alias("mixed"),
+                                         F.when(F.col("event_id") % 5 > 0, F.col("user_id")).alias("some")), f"{root}/c")
+    write_csv(ev.filter(day == 2).select("event_id", F.col("event_type").alias("mixed")), f"{root}/d")
+    return detect_types(read_csv_union(spark, f"{root}/*")).withColumn("column_name", F.lower("column_name"))
+
+
+def q_landing_guards(spark, sf):
+    """What the guards find in the landed load pages."""
+    root = scratch_path(spark, "guarded-pages")
+    J.write_load_pages(fixtures.eia_raw(spark, sf), root)
+    return J.landing_guards(spark, root, [*J.LOAD_REQUIRED, "subba-name"])
+
+
 def q_locations(spark, sf):
     """The distinct locations."""
     return response.locations(base_combine_df(spark, sf))
@@ -279,7 +339,7 @@ def q_table_replace(spark, sf):
     temps = weather_hourly(spark, sf).withColumn("month", F.month("hour_utc"))
     sinks.replace_table(temps.filter("station = 'IAD'"), path, ["month"], ["station", "hour_utc"])
     sinks.replace_table(temps, path, ["month"], ["station", "hour_utc"])
-    return rounded(spark.read.parquet(path).select("station", "hour_utc", "temp_C", F.col("month").cast("int").alias("month")))
+    return rounded(sinks.read_table(spark, path).select("station", "hour_utc", "temp_C", F.col("month").cast("int").alias("month")))
 
 
 def q_table_catalog(spark, sf):
@@ -287,7 +347,7 @@ def q_table_catalog(spark, sf):
     root = scratch_path(spark, "catalog")
     names = ["noaa_daily_temp", "eia_daily_load"]
     for n, df in zip(names, (weather_daily(spark, sf), load_daily_df(spark, sf))):
-        sinks.replace_table(df, f"{root}/{n}", name=n)
+        sinks.replace_table(df, f"{root}/{n}")
     sinks.register_tables(spark, root, names)
     listed = [n for n in sinks.list_tables(spark) if n in names]
     return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in listed))
@@ -381,8 +441,8 @@ def q_row_audit(spark, sf):
     counts = {"noaa_hourly_avg": sinks.replace_table(hourly.hourly_temperature(temps), f"{root}/temps"),
               "eia_load_hourly": sinks.replace_table(hourly.hourly_load(load), f"{root}/load")}
     counts.update({n: int(o.get["rows"]) for n, o in seen.items()})
-    days = daily.daily_temperature(spark.read.parquet(f"{root}/temps"))
-    flags, load_days = daily.heatwave_flags(days), daily.daily_load(spark.read.parquet(f"{root}/load"))
+    days = daily.daily_temperature(sinks.read_table(spark, f"{root}/temps"))
+    flags, load_days = daily.heatwave_flags(days), daily.daily_load(sinks.read_table(spark, f"{root}/load"))
     return sinks.row_audit(spark, counts, {"noaa_daily_temp": days, "noaa_heatwave_flags": flags, "eia_daily_load": load_days,
                                            "heat_load_daily": daily.heat_load_daily(flags, load_days)})
 
@@ -443,6 +503,13 @@ QUERIES: dict[str, Query] = {
     "grid_breakdown": q_grid_breakdown,
     "grid_breakdown_reference": q_grid_breakdown_reference,
     "locations": q_locations,
+    "quadratic_fit_degenerate": q_quadratic_fit_degenerate,
+    "window_peaks_table": q_window_peaks_table,
+    "location_ranking": q_location_ranking,
+    "score_order": q_score_order,
+    "marker_order": q_marker_order,
+    "csv_types": q_csv_types,
+    "landing_guards": q_landing_guards,
     "series_document": q_series_document,
     "summer_peak_shifted": q_summer_peak_shifted,
     "hourly_load_selected": q_hourly_load_selected,

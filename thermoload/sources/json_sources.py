@@ -69,19 +69,28 @@ def read_load_pages(spark: SparkSession, path: str, multi_line: bool = False) ->
     return rows.select([F.col(f"`{c}`").alias(c.replace("-", "_")) for c in rows.columns])
 
 
-def require_page_keys(spark: SparkSession, path: str, required: list[str] = LOAD_REQUIRED,
-                      multi_line: bool = False) -> None:
-    """Fail when no record of any page has one of the ``required`` keys (a null
-    value counts as present). The keys are looked up in the documents themselves, because a
-    read with a declared schema has every column."""
+def landing_guards(spark: SparkSession, path: str, required: list[str] = LOAD_REQUIRED, multi_line: bool = False) -> DataFrame:
+    """P15/P16 as a relation: ``guard``, ``subject``, ``found``, ``passed``. A row per required key with the number of records
+    that have it (a null value counts as present) and a row for the records themselves, which must not be
+    none. The keys are looked up in the documents, because a
+    read with a declared schema has every column. One pass, one row before it is spread out."""
     keyed = StructType([StructField("response", StructType([
         StructField("data", ArrayType(MapType(StringType(), StringType())))]))])
     rec = _read_json(spark, path, keyed, multi_line).select(F.explode("response.data").alias("r"))
-    found = rec.agg(F.count(F.lit(1)).alias("n"), *[
-        F.max(F.map_contains_key("r", k)).alias(f"k{i}") for i, k in enumerate(required)]).first()
-    missing = [k for i, k in enumerate(required) if found["n"] and not found[f"k{i}"]]
-    if missing:
-        raise ValueError(f"input is missing expected columns: {missing}")
+    one = rec.agg(F.count(F.lit(1)).alias("n"), *[
+        F.count_if(F.map_contains_key("r", k)).alias(f"k{i}") for i, k in enumerate(required)])
+    row = lambda guard, subject, n, ok: F.struct(F.lit(guard).alias("guard"), F.lit(subject).alias("subject"),
+                                                 n.alias("found"), ok.alias("passed"))
+    rows = [row("required key", k, F.col(f"k{i}"), (F.col(f"k{i}") > 0) | (F.col("n") == 0)) for i, k in enumerate(required)]
+    return one.select(F.inline(F.array(row("not empty", "records", F.col("n"), F.col("n") > 0), *rows)))
+
+
+def require_page_keys(spark: SparkSession, path: str, required: list[str] = LOAD_REQUIRED,
+                      multi_line: bool = False) -> None:
+    """Fail when no record of any page has one of the ``required`` keys."""
+    failed = landing_guards(spark, path, required, multi_line).filter("guard = 'required key' AND NOT passed").collect()
+    if failed:
+        raise ValueError(f"input is missing expected columns: {[r.subject for r in failed]}")
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:

@@ -1,63 +1,99 @@
 """S8 replace-table sink, S10 table listing and A9 row audit.
 
-A table is written beside the old one and then takes its place by two renames, so
-a failed job never loses the old table (the swap itself is not atomic: a
-reader can find no table between the renames). Sorted tables are
-range-partitioned by their partition columns and keys, so a year is written by
-the few tasks that hold its key ranges and every file is sorted. The row count of every written table is taken
-during the write itself with ``DataFrame.observe``, so auditing costs no
-second pass over the data.
+A table at ``path`` is a folder of versions (``_v<number>-<id>``). A new version is written
+beside the others and counts only from the moment its marker file exists; creating that file is
+the swap, on any file system and without a rename. A job that stops anywhere before leaves the old
+version in place. ``read_table`` reads the newest version with a marker; the one
+before it is kept for readers that have already planned their scan, older ones are deleted. The
+folders' names start with an underscore, so reading ``path`` itself fails instead of mixing versions.
+For SQL users a catalog view can follow the swap (``view``): one replacement of its definition.
+
+Sorted tables are rebalanced by their partition columns before the write: the input is computed
+once (no sampling of key ranges), adaptive execution splits a year that holds most rows over
+tasks and merges small ones, and every file is sorted. The row count of every written table is taken during the write itself
+with ``DataFrame.observe``, so auditing costs no second pass over the data.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .files import _fs, delete, exists
 
-def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                  sort_within: list[str] | None = None, name: str | None = None,
-                  fmt: str = "parquet") -> int:
-    """DROP + CREATE TABLE AS: replace the table at ``path`` with ``df``; returns its row
-    count (observed while writing)."""
-    obs = Observation(name or "rows")
+_MARKER = "_published"
+_VERSION = re.compile(r"_v(\d{8})-[0-9a-f]+")
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool, str]]:
+    """(number, published, folder) of every version, oldest first; equal numbers of two writers order by name."""
+    p, fs = _fs(spark, path)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    found = sorted((int(m[1]), m[0]) for m in map(_VERSION.fullmatch, names) if m)
+    return [(n, exists(spark, f"{path}/{name}/{_MARKER}"), f"{path}/{name}") for n, name in found]
+
+
+def table_location(spark: SparkSession, path: str) -> str:
+    """The folder of the table's current version."""
+    published = [folder for _, done, folder in _versions(spark, path.rstrip("/")) if done]
+    if not published:
+        raise FileNotFoundError(f"no table at {path}")
+    return published[-1]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of the table at ``path``."""
+    return spark.read.parquet(table_location(spark, path))
+
+
+def stage_table(df: DataFrame, path: str, partition_by: list[str] | None = None, sort_within: list | None = None) -> tuple[str, int]:
+    """Write ``df`` as a version of its own that nobody reads yet: (folder, rows)."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    number = max((n for n, *_ in _versions(spark, path)), default=0) + 1
+    folder = f"{path}/_v{number:08d}-{uuid.uuid4().hex[:12]}"
+    obs = Observation(f"rows-{uuid.uuid4().hex}")
     out = df
     if sort_within:
         # partition columns first: the writer then keeps this order in every folder
-        keys = [*(partition_by or []), *sort_within]
-        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    out = out.observe(obs, F.count(F.lit(1)).alias("rows"))  # after the range sampling, which reads rows too
-    fresh = f"{path.rstrip('/')}__new_{uuid.uuid4().hex[:12]}"
-    w = out.write.format(fmt)
+        out = (out.hint("rebalance", *(partition_by or []))
+               .sortWithinPartitions(*(partition_by or []), *sort_within))
+    w = out.observe(obs, F.count(F.lit(1)).alias("rows")).write  # counted by the writing tasks: a repeated shuffle counts once
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(fresh)
-    _swap(df.sparkSession, fresh, path.rstrip("/"))
-    return int(obs.get["rows"])
-
-
-def _swap(spark: SparkSession, fresh: str, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    to_path = jvm.org.apache.hadoop.fs.Path
-    new, cur, old = to_path(fresh), to_path(path), to_path(f"{fresh}_old")
-    fs = cur.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = fs.exists(cur)
-    if had and not fs.rename(cur, old):
-        raise OSError(f"can't move the old table at {path}")
-    if not fs.rename(new, cur):
-        if had:
-            fs.rename(old, cur)
-        raise OSError(f"can't move the new table to {path}")
-    if had:
-        fs.delete(old, True)
+    w.parquet(folder)
+    return folder, int(obs.get["rows"])
+
+
+def publish_table(spark: SparkSession, path: str, folder: str, view: str | None = None) -> None:
+    """Make a staged version the current one, and point the catalog view at it."""
+    path = path.rstrip("/")
+    p, fs = _fs(spark, f"{folder}/{_MARKER}")
+    fs.create(p).close()
+    if view:
+        spark.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM parquet.`{folder}`")
+    versions = _versions(spark, path)
+    published = [v for v in versions if v[1]]
+    for n, _, old in versions:
+        if len(published) > 1 and n < published[-2][0]:
+            delete(spark, old)
+
+
+def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None, sort_within: list | None = None,
+                  view: str | None = None) -> int:
+    """DROP + CREATE TABLE AS: replace the table at ``path`` with ``df``; returns its row
+    count (observed while writing)."""
+    folder, rows = stage_table(df, path, partition_by, sort_within)
+    publish_table(df.sparkSession, path, folder, view)
+    return rows
 
 
 def register_tables(spark: SparkSession, root: str, names: list[str]) -> None:
     """Expose written tables as temporary views (queryable with SQL)."""
     for n in names:
-        spark.read.parquet(f"{root}/{n}").createOrReplaceTempView(n)
+        read_table(spark, f"{root}/{n}").createOrReplaceTempView(n)
 
 
 def list_tables(spark: SparkSession) -> list[str]:
