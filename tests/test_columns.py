@@ -145,3 +145,18 @@ def test_lenient_casts_match_duckdb_try_cast(spark):
     got = [(r[0], r[1]) for r in df.select(C.lenient_int("v"), C.lenient_double("v")).collect()]
     nan_safe = lambda rows: [tuple("NaN" if v != v else v for v in r) for r in rows]
     assert nan_safe(got) == nan_safe(want)
+
+
+def test_hour_start_in_any_zone(spark):
+    import datetime as dt
+    times = [dt.datetime(1, 1, 1, 0, 59), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(2024, 3, 10, 2, 30),
+             dt.datetime(2024, 11, 3, 1, 59, 59), dt.datetime(9999, 12, 31, 23, 0), None]
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            got = [r[0] for r in df.select(C.trunc_hour("t")).collect()]
+            assert got == [t and t.replace(minute=0, second=0, microsecond=0) for t in times]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

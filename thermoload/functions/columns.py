@@ -24,9 +24,12 @@ def null_double() -> Column:
 # --- time -------------------------------------------------------------------
 
 def trunc_hour(ts: str | Column) -> Column:
-    """Hour start of a TIMESTAMP_NTZ, time-zone free, result stays NTZ."""
-    # through the text form, so that a parse inside ``ts`` is evaluated once
-    return F.concat(F.substring(col(ts).cast("string"), 1, 13), F.lit(":00:00")).cast("timestamp_ntz")
+    """Hour start of a TIMESTAMP_NTZ, time-zone free, result stays NTZ.
+
+    The whole hours since the first day of year 1 (an interval between zone-free times has no zone
+    either), so that a parse inside ``ts`` is evaluated once."""
+    start = F.expr("TIMESTAMP_NTZ'0001-01-01 00:00:00'")
+    return start + (col(ts) - start).cast("interval day to hour")
 
 
 def trunc_day(ts: str | Column) -> Column:
@@ -49,9 +52,10 @@ def _malformed(x: Column, what: str) -> Column:
 
 def strict_observation_time(c: str | Column) -> Column:
     """Observation time text as TIMESTAMP_NTZ; raises on a year or month alone and on an
-    hour without minutes, which Spark's own cast would fill up."""
+    hour without minutes, which Spark's own cast would fill up. Text with a colon is neither, so
+    the pattern is tried on other text only."""
     x = col(c)
-    whole = F.when(~x.rlike(r"^\s*\d+(-\d+)?\s*$|[T ]\d+\s*$"), x)
+    whole = F.when((F.instr(x, ":") > 0) | ~x.rlike(r"^\s*\d+(-\d+)?\s*$|[T ]\d+\s*$"), x)
     return F.coalesce(whole.try_cast("timestamp_ntz"), _malformed(x, "observation time"))
 
 
@@ -105,7 +109,7 @@ def decode_tmp(c: str | Column) -> Column:
     First comma field, decimal text rounded; the ``+9999`` sentinel and unparsable text give NULL;
     the quality code (second field) is ignored.
     """
-    field = F.split_part(col(c), F.lit(","), F.lit(1))
+    field = F.substring_index(col(c), ",", 1)  # the same as a split's first part, and cheaper
     return (F.when(field == F.lit(K.TMP_MISSING), null_double())
             .otherwise(F.coalesce(field.try_cast("int"), lenient_int(field)).cast("double") / dbl(K.TMP_SCALE)))
 
