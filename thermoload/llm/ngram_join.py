@@ -372,14 +372,25 @@ def memberships(tested: DataFrame, labels: DataFrame) -> DataFrame:
 
 def open_signatures(rows: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of signatures whose members lie in several components, with their memberships
-    and whether the signature's members have several pivots (``mixed``)."""
+    and whether the signature's members have several pivots (``mixed``).
+
+    The pigeonhole again: a set shares more whole segments than it has slack with a partner in the band, and
+    with a partner in another component all of these are open. Sets with fewer open ones in a band, such as
+    those that share but a passage with other components, have no such partner and are left out there."""
     own_place = members.select(F.col("node").alias("__node"), "root", "pivot")
     at = (rows.drop("own").join(own_place, F.col("node") == F.col("__node"), "left").drop("__node")
           .withColumn("root", F.coalesce("root", "node")).withColumn("pivot", F.coalesce("pivot", "node")))
     by_sig = Window.partitionBy("sig")
-    return (at.withColumn("__lo", F.min("root").over(by_sig)).withColumn("__hi", F.max("root").over(by_sig))
-            .withColumn("mixed", F.min("pivot").over(by_sig) != F.max("pivot").over(by_sig))
-            .withColumn("n", F.count(F.lit(1)).over(by_sig)).filter("__lo <> __hi").drop("__lo", "__hi"))
+    found = (at.withColumn("__lo", F.min("root").over(by_sig)).withColumn("__hi", F.max("root").over(by_sig))
+             .withColumn("mixed", F.min("pivot").over(by_sig) != F.max("pivot").over(by_sig))
+             .withColumn("n", F.count(F.lit(1)).over(by_sig)).filter("__lo <> __hi").drop("__lo", "__hi"))
+    return enough(found)
+
+
+def enough(found: DataFrame) -> DataFrame:
+    """The rows of sets that have more whole segments left in a band than they have slack there."""
+    in_band = F.sum(F.expr("kind & 1")).over(Window.partitionBy("node", F.expr("kind div 2")))
+    return found.withColumn("__left", in_band).filter("__left > slack").drop("__left")
 
 
 def needed_signatures(found: DataFrame) -> DataFrame:
@@ -387,10 +398,11 @@ def needed_signatures(found: DataFrame) -> DataFrame:
     partner with another pivot (``probe``).
 
     Of its segments a set may leave out as many as it has slack. Those not shared, or not
-    mixed, lead to no such partner: of the mixed ones, the most common are left out.
+    mixed, lead to no such partner: of the mixed ones, the most common are left out, and a set that has no more
+    of them than slack is left out altogether.
     """
     own = Window.partitionBy("node", "kind")
-    ranked = (found.filter("mixed").withColumn("__rank", F.row_number().over(own.orderBy("n", "sig")))
+    ranked = (enough(found.filter("mixed")).withColumn("__rank", F.row_number().over(own.orderBy("n", "sig")))
               .withColumn("__open", F.count(F.lit(1)).over(own)))
     return ranked.select("sig", "node", "root", "pivot",
                          F.expr("kind & 1 = 0 OR __rank <= __open - slack").alias("probe"))
@@ -447,7 +459,8 @@ def family_pairs(members: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> Da
     With X the difference of a set from the pivot, r and s differ in |Xr ^ Xs|
     shingles, so a link needs o = (|Xr| + |Xs| - H) / 2 of them in common. (Where
     o <= 0 both link with the pivot itself, and are in one component.) Then, with X
-    ordered by rarity, the first |X| - o + 1 of either share one. What an edited copy
+    ordered by rarity, the first |X| - o + 1 of either share one: at most H + 1 of the larger
+    difference and H / 2 + 1 of the smaller, the only ones that are kept. What an edited copy
     alone has comes first, so copies that were edited differently don't meet,
     however many there are. ``members``: ``node``, ``size``, ``pivot``, ``root``, ``near``
     (in the pivot's component).
@@ -457,9 +470,12 @@ def family_pairs(members: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> Da
     own = Window.partitionBy("node")
     rows = (rows.withColumn("df", rarity).withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
             .withColumn("d", F.count(F.lit(1)).over(own)).filter("df > 1").drop("df"))
-    rows = written(rows.join(members.select("node", "size", "root", "near"), "node"), "differences")
+    # |Xs| >= |Xr| - H, or o would be more than Xs has: no more than H + 1 of any difference can be a prefix
+    most = f"(size + size * 100 div {t}) * {100 - t} div {100 + t}"
+    rows = rows.join(members.select("node", "size", "root", "near"), "node").filter(f"rank <= {most} + 1")
+    rows = written(rows, "differences")
     # the smaller difference is looked up: its prefix for any partner in another component
-    first = f"IF(near, d * 100 div {100 + t} + 2, greatest(d * 100 div {100 + t}, size * {100 - t} div {2 * t}) + 2)"
+    first = f"least(IF(near, d * 100 div {100 + t}, d), {most} div 2) + 2"
     probe = rows.filter(f"rank <= {first}").select(
         "pivot", "token", F.col("node").alias("p"), F.col("d").alias("pd"), F.col("size").alias("ps"),
         F.col("root").alias("pr"), F.col("rank").alias("pk"))
