@@ -37,3 +37,16 @@ def test_command_line_build_from_landed_files(spark, tmp_dir):
                    "--facilities", f"{tmp_dir}/landing/dc.parquet", "--out", f"{tmp_dir}/out"], spark=spark)
     assert counts["base_combine"] == 306 and counts["cleaned_va_datacenters"] == 144
     assert counts["noaa_hourly_temp"] == 1000
+
+
+def test_old_scratch_folders_are_deleted(spark, tmp_dir):
+    import os
+    import time
+    from thermoload.session import clean_scratch, scratch_path, shared_dir
+    old, new = scratch_path(spark, "old"), scratch_path(spark, "new")
+    for path in (old, new):
+        spark.range(3).write.parquet(path)
+    local = old.replace("file:", "", 1) if old.startswith("file:") else old
+    os.utime(local, (time.time() - 7200,) * 2)
+    assert clean_scratch(spark, older_than_hours=1.0) == [old.rsplit("/", 1)[1]]
+    assert spark.read.parquet(new).count() == 3 and clean_scratch(spark) == [] and shared_dir(spark)

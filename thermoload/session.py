@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -88,3 +89,18 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one job's files."""
     return f"{shared_dir(spark)}/work-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean_scratch(spark: SparkSession, older_than_hours: float = 48.0) -> list[str]:
+    """Delete the folders of ``scratch_path`` that were last changed before that time: results of queries
+    read theirs when they are run, so nothing else knows when they are done. Returns the names."""
+    root = shared_dir(spark)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = (time.time() - older_than_hours * 3600) * 1000
+    old = [st.getPath() for st in (fs.listStatus(p) if fs.exists(p) else [])
+           if st.getPath().getName().startswith("work-") and st.getModificationTime() < before]
+    for folder in old:
+        fs.delete(folder, True)
+    return sorted(folder.getName() for folder in old)
