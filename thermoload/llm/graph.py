@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,11 +32,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = (hop.select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(hop.select("a", F.col("m").alias("b")))
                  .filter("a <> b").distinct())
-        cur = written(small, "edges")
+        last, cur = cur, written(small, "edges")
+        discard(last)
         # the contraction is finished when every node points to a root
         state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return (cur.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-            .unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    out = written(cur.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+                  .unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "labels")
+    discard(cur)
+    return out

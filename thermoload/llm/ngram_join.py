@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import by_value, written
+from .common import by_value, discard, written
 from .graph import connected_components
 from .text_hash import P1 as _P1
 from .text_hash import P2 as _P2
@@ -480,10 +480,12 @@ def family_pairs(members: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> Da
         "pivot", "token", F.col("node").alias("p"), F.col("d").alias("pd"), F.col("size").alias("ps"),
         F.col("root").alias("pr"), F.col("rank").alias("pk"))
     need = f"(d + pd - (size + ps) * {100 - t} div {100 + t})"
-    pairs = probe.join(rows, ["pivot", "token"]).filter(
+    met = probe.join(rows, ["pivot", "token"]).filter(
         f"pr <> root AND (pd < d OR pd = d AND p < node) AND {need} <= 2 * pd AND 2 * pk <= 2 * pd - {need} + 2"
         f" AND 2 * rank <= 2 * d - {need} + 2 AND size * 100 >= ps * {t} AND ps * 100 >= size * {t}")
-    return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+    pairs = written(met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct(), "family-pairs")
+    discard(rows)
+    return pairs
 
 
 def stranger_pairs(found: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> DataFrame:
@@ -502,9 +504,11 @@ def stranger_pairs(found: DataFrame, texts: DataFrame, t: int = THRESHOLD) -> Da
         F.col("pivot").alias("pp"),
         F.explode(F.sequence(size_class(F.ceil(F.col("size") * t / 100)), size_class(F.least("size", "most")))).alias("class"))
     index = rows.select("sig", "node", "root", "size", "most", "pivot", size_class(F.col("size")).alias("class"))
-    pairs = probe.join(index, ["sig", "class"]).filter(
+    met = probe.join(index, ["sig", "class"]).filter(
         f"pr <> root AND pp <> pivot AND size <= ps AND size <= pm AND ps <= most AND size * 100 >= ps * {t}")
-    return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+    pairs = written(met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct(), "stranger-pairs")
+    discard(found, known)
+    return pairs
 
 
 def crossing_pairs(rows: DataFrame, sizes: DataFrame, labels: DataFrame, tested: DataFrame, texts: DataFrame,
@@ -516,8 +520,10 @@ def crossing_pairs(rows: DataFrame, sizes: DataFrame, labels: DataFrame, tested:
     split = members.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     family = (members.join(split.select("pivot"), "pivot").join(sizes, "node")
               .join(places.select("node", "near"), "node", "left").withColumn("near", F.coalesce("near", F.lit(True))))
-    strangers = stranger_pairs(needed_signatures(found), texts, t)
-    return family_pairs(written(family, "family"), texts, t).unionByName(strangers).distinct()
+    family = written(family, "family")
+    pairs = family_pairs(family, texts, t).unionByName(stranger_pairs(needed_signatures(found), texts, t)).distinct()
+    discard(places, found, family)
+    return pairs
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: int = THRESHOLD) -> DataFrame:
@@ -535,6 +541,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: i
     more = written(verify(crossing_pairs(rows, sizes, labels, tested, texts, t), texts, t).filter("linked"), "links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
+    discard(rows, texts, tested, more)  # what is left reads the sets and the labels
     sets = named.filter("node IS NOT NULL")
     roots = (sets.groupBy("node").agg(F.min("id").alias("__id"))
              .join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
