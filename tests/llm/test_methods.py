@@ -167,6 +167,39 @@ def test_quality_rules_follow_the_labels(spark):
     assert len(glued) > 20 and not kept & set(glued)
 
 
+def made_up(rng, n, letters="bdgklmoprtuz"):
+    """Texts of a made-up language: its own frequent words among random ones."""
+    own = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(12)]
+    word = lambda: rng.choice(own) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(rng.randrange(3, 10)))
+    return [" ".join(word() for _ in range(200)).capitalize() + "." for _ in range(n)]
+
+
+def test_quality_rules_of_a_further_language(spark):
+    """Common words are learned: a language of its own is kept, with a reference or without, and its junk goes."""
+    rng = random.Random(9)
+    docs = read_table(spark, SF2, "documents").select("doc_id", "text", "lang")
+    want = set(range(10_000, 10_050))
+    new = [(i, t, "xx") for i, t in zip(want, made_up(rng, 50))]
+    junk = [(20_000 + i, " ".join(w.upper() + "!!" for w in t.split()), "xx") for i, t in enumerate(made_up(rng, 9))]
+    rare = [(30_000 + i, t, lang) for i, (t, lang) in enumerate(zip(made_up(rng, 6, "абвгдежз"), [None, "yy"] * 3))]
+    both = docs.unionByName(spark.createDataFrame(new + junk + rare, docs.schema))
+    words_of = quality_rules.common_words(both)
+    assert sorted(words_of) == ["de", "en", "es", "fr", "xx"] and all(len(x) == quality_rules.WORDS for x in words_of.values())
+    kept = {r.doc_id for r in quality_rules.clean(both).collect()}
+    assert want <= kept and {r[0] for r in rare} <= kept and not kept & {r[0] for r in junk}
+    before = {r.doc_id for r in quality_rules.clean(docs).collect()}
+    assert len(before ^ {i for i in kept if i < 10_000}) <= 5
+
+
+def test_common_words_match_a_count(spark):
+    docs = read_table(spark, SF2, "documents")
+    count = collections.defaultdict(collections.Counter)
+    for r in docs.collect():
+        count[r.lang].update(re.findall(r"[^\x20\x09-\x0D]+", r.text.lower()))
+    want = {x: [w for w, _ in sorted(c.items(), key=lambda e: (-e[1], e[0].encode()))[:quality_rules.WORDS]] for x, c in count.items()}
+    assert quality_rules.common_words(docs) == want
+
+
 # --- mixture -------------------------------------------------------------------------------------
 
 def test_targets():

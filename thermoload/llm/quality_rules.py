@@ -3,10 +3,13 @@
 Two histograms of a document are compared to language references:
 
 * character classes: a-z, A-Z, 0-9, white space, other ASCII, beyond ASCII;
-* common words: one bin for each word of ``COMMON_WORDS`` and one for all others.
+* common words: one bin for each of the languages' most frequent words, as the corpus has them, and one for all others.
 
+The languages are those that at least ``LANGUAGE_SHARE`` of the documents name in ``lang`` (50 at most, whatever the corpus),
+their common words the ``WORDS`` most frequent ones of all their documents (a grouped count).
 A language's reference is the sum of the histograms of all documents whose
-``lang`` names it, so it covers the whole corpus. The divergence is the
+``lang`` names it, so it covers the whole corpus. A text whose own language has no reference is not judged
+by those of others: only the base rules hold for it. The divergence is the
 Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) to the
 nearest reference. Each comparison has a minimum-length guard: a text with
 fewer than ``min_chars`` characters or ``min_words`` words is not judged by it.
@@ -15,12 +18,12 @@ The base rules need no reference: too few words, or too many words inside
 repeated 5-word windows (windows are compared by a 64-bit hash within one text).
 
 The whole measurement is one struct expression, so Spark evaluates it once per
-row. Only the references reach the driver: at most one row for each of the
-languages given as a parameter. Nothing is shuffled but their partial sums.
+row. Only the references and the common words reach the driver: at most one row for each language, and
+``WORDS`` words. Nothing is shuffled but partial sums and word counts.
 
 Edge cases: a null or blank text has 0 words and fails the base rule; a null or
-unknown ``lang`` adds to no reference; without any reference (an empty table, or
-no known language) the divergence rules reject nothing; repeated rows are judged
+rare ``lang`` adds to no reference and is judged by the base rules; without any reference (an empty table, or
+no language) the divergence rules reject nothing; repeated rows are judged
 one by one, and other columns pass through untouched.
 """
 
@@ -29,28 +32,23 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, let, words
 
-# FIXED VALUES: frequent function words of each language, the bins of the word histogram.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for"],
-    "fr": ["de", "la", "le", "et", "les", "des", "un", "du", "est", "que"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "por"],
-}
+WORDS = 10                # common words of a language
+LANGUAGE_SHARE = 0.02     # of the documents with a language
 CLASSES, SPACES = 6, 3
 MIN_WORDS = 10            # base rule
 MAX_REPEAT_PERCENT = 20   # base rule
 WINDOW = 5
 # Measured (README): good texts reach 0.25 at most, but for a few short ones; symbols glued to words begin at 0.31.
 CHAR_DISTANCE = 0.25
-# A text without any listed word is 0.30 away, as about 82 % of a reference are other words.
+# Measured from 120 words on: good texts reach 0.23; a text without any common word is about 0.31 away.
 WORD_DISTANCE = 0.25
 GUARD_CHARS = 100
-GUARD_WORDS = 120         # good texts of fewer words reach 0.28
+GUARD_WORDS = 120
 
 
 def bins(common: dict[str, list[str]]) -> list[str]:
@@ -142,10 +140,24 @@ def nearest(counts: Column, references: list[list[float]]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), let(n, shares)))
 
 
-def references(docs: DataFrame, common: dict[str, list[str]] | None = None, text: str = "text",
+def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """The most frequent lower-cased words of each language of the corpus; ties go to the smaller word."""
+    named = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("__lang"), F.col(text).alias("__text"))
+    by_lang = named.groupBy("__lang").agg(F.count(F.lit(1)).alias("n"))
+    total = by_lang.agg(F.sum("n").alias("n")).first()["n"] or 0
+    langs = [r["__lang"] for r in by_lang.filter(F.col("n") >= LANGUAGE_SHARE * total).collect()]  # 1 / LANGUAGE_SHARE at most
+    counted = (named.filter(F.col("__lang").isin(langs)).select("__lang", F.explode(F.transform(words("__text"), F.lower)).alias("w"))
+               .groupBy("__lang", "w").agg(F.count(F.lit(1)).alias("n")))
+    rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("n"), "w"))
+    out = {x: [] for x in sorted(langs)}
+    for r in counted.withColumn("rank", rank).filter(F.col("rank") <= WORDS).sort("__lang", "rank").collect():
+        out[r["__lang"]].append(r["w"])
+    return out
+
+
+def references(docs: DataFrame, common: dict[str, list[str]], text: str = "text",
                lang: str = "lang") -> tuple[list[list[float]], list[list[float]]]:
     """Class and word references of the languages in ``common`` that the corpus has."""
-    common = common or COMMON_WORDS
     listed = bins(common)
     t = F.coalesce(F.col(text), F.lit(""))
 
@@ -165,21 +177,22 @@ def references(docs: DataFrame, common: dict[str, list[str]] | None = None, text
 
 
 def verdict(text: str, refs: tuple[list[list[float]], list[list[float]]],
-            common: dict[str, list[str]] | None = None, char_distance: float = CHAR_DISTANCE,
+            common: dict[str, list[str]], lang: str = "lang", char_distance: float = CHAR_DISTANCE,
             word_distance: float = WORD_DISTANCE, min_chars: int = GUARD_CHARS,
             min_words: int = GUARD_WORDS) -> Column:
-    """Struct of the measures and decisions for one text column."""
+    """Struct of the measures and decisions for one text column and its language."""
     t = F.coalesce(F.col(text), F.lit(""))
-    listed = bins(common or COMMON_WORDS)
+    listed = bins(common)
+    known = F.col(lang).isin(list(common))
     class_refs, word_refs = refs
 
     def measure(ws: Column) -> Column:
         def rest(classes: Column) -> Column:
             lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
             inked = F.length(t) - classes[SPACES]
-            far_c = F.when((F.length(t) >= min_chars) & (inked > 0),
+            far_c = F.when(known & (F.length(t) >= min_chars) & (inked > 0),
                            nearest(classes, class_refs)) if class_refs else F.lit(None).cast("double")
-            far_w = F.when(F.size(ws) >= min_words,
+            far_w = F.when(known & (F.size(ws) >= min_words),
                            nearest(common_counts(ws, listed), word_refs)) if word_refs else F.lit(None).cast("double")
             return F.struct(
                 F.size(ws).cast("long").alias("n_words"),
@@ -202,14 +215,18 @@ def verdict(text: str, refs: tuple[list[list[float]], list[list[float]]],
     return let(let(words(t), measure), decide)
 
 
+def rules(docs: DataFrame, text: str = "text", lang: str = "lang", common: dict[str, list[str]] | None = None, **params) -> Column:
+    """The ``verdict`` by the common words and references of ``docs``."""
+    common = common_words(docs, text, lang) if common is None else common
+    return verdict(text, references(docs, common, text, lang), common, lang, **params)
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", **params) -> DataFrame:
     """``docs`` with one more column, the struct ``verdict`` (an input column of that
     name is replaced)."""
-    refs = references(docs, params.get("common"), text, lang)
-    return docs.withColumn("verdict", verdict(text, refs, **params))
+    return docs.withColumn("verdict", rules(docs, text, lang, **params))
 
 
 def clean(docs: DataFrame, text: str = "text", lang: str = "lang", **params) -> DataFrame:
     """The documents that pass, with their columns."""
-    refs = references(docs, params.get("common"), text, lang)
-    return docs.filter(verdict(text, refs, **params)["kept"])
+    return docs.filter(rules(docs, text, lang, **params)["kept"])

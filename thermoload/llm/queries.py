@@ -143,15 +143,15 @@ FROM a{rounds} a JOIN (SELECT k, sha256(array_to_string(list_transform(q, lambda
                    FROM c{rounds}) s USING (k)"""
 
 
-_LISTED = quality_rules.COMMON_WORDS
-_OP1_LISTED = ", ".join(f"('{w}')" for w in quality_rules.bins(_LISTED))
-_OP1_LANGS = ", ".join(f"'{x}'" for x in _LISTED)
-
 ORACLE = {
     "op1_quality_rules": rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
-listed(word) AS (VALUES {_OP1_LISTED}),
+langs AS (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang
+          HAVING count(*) >= {quality_rules.LANGUAGE_SHARE} * (SELECT count(lang) FROM d)),
+listed AS (SELECT DISTINCT word FROM (
+    SELECT lang, word FROM (SELECT lang, lower(unnest(ws)) AS word FROM w SEMI JOIN langs USING (lang)) GROUP BY lang, word
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) <= {quality_rules.WORDS})),
 windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i+4]) AS n
             FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
@@ -176,7 +176,7 @@ tokens AS (SELECT doc_id, 'w' AS kind, coalesce(word, '') AS bin, count(*) AS x
 h AS (SELECT doc_id, lang, kind, bin, coalesce(x, 0) AS x, sum(coalesce(x, 0)) OVER (PARTITION BY doc_id, kind) AS n
       FROM (SELECT doc_id, lang, kind, bin FROM d CROSS JOIN kinds)
       LEFT JOIN (FROM chars UNION ALL FROM tokens) USING (doc_id, kind, bin)),
-sums AS (SELECT lang AS ref, kind, bin, sum(x) AS q FROM h WHERE lang IN ({_OP1_LANGS}) GROUP BY lang, kind, bin),
+sums AS (SELECT lang AS ref, kind, bin, sum(x) AS q FROM h SEMI JOIN langs USING (lang) GROUP BY lang, kind, bin),
 refs AS (SELECT ref, kind, bin, q / sum(q) OVER (PARTITION BY ref, kind) AS q FROM sums),
 js AS (SELECT doc_id, kind, ref, sqrt(greatest(0, sum(
            CASE WHEN x > 0 THEN x / n * log2(2 * (x / n) / (x / n + q)) ELSE 0 END
@@ -185,8 +185,8 @@ js AS (SELECT doc_id, kind, ref, sqrt(greatest(0, sum(
 near AS (SELECT doc_id, min(js) FILTER (kind = 'c') AS jc, min(js) FILTER (kind = 'w') AS jw FROM js GROUP BY doc_id),
 out AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-               coalesce(length(t) >= {quality_rules.GUARD_CHARS} AND word_chars > 0 AND jc > {quality_rules.CHAR_DISTANCE}, false) AS odd_characters,
-               coalesce(n_words >= {quality_rules.GUARD_WORDS} AND jw > {quality_rules.WORD_DISTANCE}, false) AS odd_words
+               coalesce(lang IN (FROM langs) AND length(t) >= {quality_rules.GUARD_CHARS} AND word_chars > 0 AND jc > {quality_rules.CHAR_DISTANCE}, false) AS odd_characters,
+               coalesce(lang IN (FROM langs) AND n_words >= {quality_rules.GUARD_WORDS} AND jw > {quality_rules.WORD_DISTANCE}, false) AS odd_words
         FROM base LEFT JOIN near USING (doc_id))
 SELECT *, NOT (base_failed OR odd_characters OR odd_words) AS kept FROM out""",
     "op6_ngram_jaccard_join": r"""
