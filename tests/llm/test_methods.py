@@ -349,6 +349,73 @@ def test_code_matrix():
         assert apart[~np.eye(n, dtype=bool)].min() >= (1 if n == 2 else 2) and (np.abs(m.sum(0)) < n).all()
 
 
+def plain_grams(text):
+    """Buckets of a text's byte bigrams and trigrams, one by one."""
+    m = (1 << 32) - 1
+
+    def bucket(h):
+        return (((h ^ (h >> 15)) * 0x2C1B3C6D) & m) >> 16
+    raw = b" " + re.sub(rb"[\x09-\x0D\x20]+", b" ", text.lower().encode()) + b" "
+    out = []
+    for i in range(len(raw) - 1):
+        two = ((raw[i] * 0x9E3779B1) & m) ^ ((raw[i + 1] * 0x85EBCA77) & m)
+        out.append(bucket(two))
+        if i + 2 < len(raw):
+            three = two ^ ((((raw[i + 2] * 0xC2B2AE3D) & m) * 0x27D4EB2F) & m)
+            out.append(bucket((three + 1) & m))
+    return out
+
+
+def test_codeword_decoder_matches_brute_force(spark):
+    """Counts, log-odds, error rates, scales and loss-weighted decoding again in plain loops."""
+    rng = random.Random(12)
+    letters = {"aa": "abcdef gh", "bb": "cdefgh ij", "cc": "efghij kl", "dd": "ghijklm n"}
+    rows = [(i, "".join(rng.choice(letters[x]) for _ in range(rng.randrange(1, 60))) + "x", x)
+            for i, x in enumerate(rng.choice(sorted(letters)) for _ in range(120))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    langs, code = sorted(letters), language_id.code_matrix(4)
+    counts = {x: collections.Counter(g for _, t, y in rows if y == x for g in plain_grams(t)) for x in langs}
+    share = {x: lambda g, c=c: (c[g] + 0.5) / (sum(c.values()) + 0.5 * language_id.BUCKETS) for x, c in counts.items()}
+
+    def log_odds(g, k):
+        side = {1: [], -1: []}
+        for j, x in enumerate(langs):
+            side[int(code[j, k])].append(share[x](g))
+        return math.log((sum(side[1]) / len(side[1])) / (sum(side[-1]) / len(side[-1])))
+    bits = range(code.shape[1])
+    margin = [[sum(log_odds(g, k) for g in plain_grams(t)) / len(plain_grams(t)) for k in bits] for _, t, _ in rows]
+    weight, scale = [], []
+    for k in bits:
+        wrong = sum(m[k] * code[langs.index(x), k] <= 0 for m, (_, _, x) in zip(margin, rows))
+        e = (wrong + 1) / (len(rows) + 2)
+        weight.append(max(0.05, math.log((1 - e) / e)) if e < 0.5 else 0.05)
+        scale.append(max(sum(abs(m[k]) for m in margin) / len(rows) / 2, 1e-6))
+    got = {r.id: r for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    unsure = 0
+    for (i, _, _), m in zip(rows, margin):
+        z = [max(-language_id.CLIP, min(language_id.CLIP, m[k] / scale[k])) for k in bits]
+        loss = [sum(weight[k] * math.exp(-z[k] * code[j, k]) for k in bits) / sum(weight) for j in range(4)]
+        first, second = sorted(loss)[:2]
+        assert got[i].lang_pred == langs[loss.index(first)]
+        assert abs(got[i].score - 1 / sum(math.exp(first - x) for x in loss)) < 1e-4
+        close = (second - first) / second - language_id.AMBIGUOUS
+        assert abs(close) < 1e-3 or got[i].ambiguous == (close <= 0)
+        unsure += got[i].ambiguous
+    assert 0 < unsure < len(rows)
+
+
+def test_calibration_sample_of_a_hot_text(spark, monkeypatch):
+    """A text in a third of the rows, and a tiny share: copies are chosen one by one, never all or none."""
+    rows = spark.range(0, 30_000, 1, 6).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("id"),
+                                               F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("t "), "id")).alias("text"))
+    monkeypatch.setattr(language_id, "CALIBRATION", 600)
+    got = collections.Counter(r.text == "hot text" for r in language_id.calibration_sample(rows, 30_000).collect())
+    assert 130 < got[True] < 280 and 300 < got[False] < 500
+    assert language_id.calibration_sample(rows, 300).count() == 30_000  # fewer rows than the sample: all of them
+    share = language_id.calibration_sample(rows, 10 ** 15)._jdf.queryExecution().optimizedPlan().toString()
+    assert "6.0E-13" in share  # above zero at any size
+
+
 def test_held_out_languages(spark):
     got = QUERIES["op4_language_codes"](spark, SF2).toPandas()
     lang = {r.doc_id: r.lang for r in read_table(spark, SF2, "documents").collect()}

@@ -9,8 +9,8 @@ language counts equally within its side.
 Decoding is loss-weighted: a language's loss is the sum over the bits of
 weight * exp(-codeword bit * margin), the nearest codeword wins, and the score is
 the softmax of the negative losses. A bit's weight is log((1-e)/e) of its error
-rate e, measured on a training sample: at most about ``CALIBRATION`` documents, chosen
-by a hash of their text (the one bounded sample here; margins are scaled on it
+rate e, measured on a training sample: about ``CALIBRATION`` documents (all, if there are fewer), each chosen
+by a hash of its id, text and place in the input, so that copies are chosen one by one (the one bounded sample here; margins are scaled on it
 too). A prediction is ambiguous where the second codeword is nearly as near.
 
 Up to five languages the code is exhaustive (every split of the languages once);
@@ -167,9 +167,17 @@ def decode(margin: np.ndarray, code: np.ndarray, bit_weight: np.ndarray, scale:
     return order[:, 0], score, ((second - low) <= AMBIGUOUS * second)[:, 0]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict | None:
+def calibration_sample(rows: DataFrame, n: int) -> DataFrame:
+    """About ``CALIBRATION`` of the ``n`` rows (all, if there are fewer): those whose hash is in the lowest part of
+    its range, a part that is never empty however large n is."""
+    share = min(1.0, CALIBRATION / max(n, 1))
+    unit = F.xxhash64("id", "text", F.monotonically_increasing_id()).cast("double") / F.lit(2.0 ** 64) + 0.5
+    return rows.filter(unit <= share)
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> dict | None:
     """The model: languages, code, gram weights, bit weights and scales; None without languages."""
-    rows = docs.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = docs.filter(F.col(lang).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter(F.col("text").isNotNull())
     counted = gram_counts(rows).toPandas()  # at most languages * 2^16 rows
     langs = sorted(counted["lang"].unique().tolist())
@@ -182,8 +190,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict | Non
              "bit_weight": np.ones(code.shape[1]), "scale": np.ones(code.shape[1])}
     if len(langs) == 1:
         return model
-    n = rows.count()
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, CALIBRATION / max(n, 1))))
+    sample = calibration_sample(rows, rows.count()).select("text", "lang")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
