@@ -250,6 +250,77 @@ def test_best_fit(sizes, lengths):
     assert len(used) <= 2 * math.ceil(sizes.sum() / min(c for c in lengths if c >= sizes[0])) + 1
 
 
+def slow_best_fit(sizes, permitted, overhead):
+    """The packing rules bin by bin: (bin of each piece, words of each bin, opened lengths)."""
+    room, used, bins, opened, touched = [], [], [], [], []
+    for i, n in enumerate(sizes):
+        fits = [(room[b], -touched[b], b) for b in range(len(room)) if room[b] >= n]
+        if fits:
+            b = min(fits)[2]  # the least room; of equal ones the bin that got it last
+        else:
+            costs = []
+            for c in permitted:
+                if c >= n:
+                    to_come = sum(m for m in sizes[i + 1:] if m <= c - n)
+                    costs.append(((c + overhead) / (n + min(c - n, to_come)), -c))
+            b, best = len(room), -min(costs)[1]  # the least cost; of equal ones the longest
+            room.append(best)
+            opened.append(best)
+            used.append(0)
+            touched.append(0)
+        room[b] -= n
+        used[b] += n
+        touched[b] = i
+        bins.append(b)
+    return bins, used, opened
+
+
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=80), st.sampled_from([(40,), (41, 64), (48, 64, 100), (40, 80, 120, 160)]),
+       st.integers(0, 9))
+@settings(max_examples=150, deadline=None)
+def test_best_fit_is_the_slow_one(sizes, permitted, overhead):
+    sizes = sorted(sizes, reverse=True)
+    bins, used = packing.best_fit(np.array(sizes), permitted, overhead)
+    want_bins, want_used, opened = slow_best_fit(sizes, permitted, overhead)
+    assert bins.tolist() == want_bins and used == want_used
+    assert all(u <= o for u, o in zip(used, opened))
+
+
+def test_packing_query_packs_whole_texts(spark):
+    """The registered query's sequences: every shard again with the slow best fit, every text word for word."""
+    text = {r.doc_id: words(r.text) for r in read_table(spark, SF, "documents").collect()}
+    left = collections.defaultdict(list)
+    shards = collections.defaultdict(list)
+    for r in QUERIES["op7_best_fit_packing"](spark, SF).collect():
+        assert len(r.doc_ids) == len(r.texts) and r.n_words == sum(len(words(t)) for t in r.texts) <= r.capacity
+        assert r.capacity == min(c for c in packing.LENGTHS if c >= r.n_words)
+        shards[r.bin_id >> 32].append(sorted((len(words(t)) for t in r.texts), reverse=True))
+        for i, t in zip(r.doc_ids, r.texts):
+            left[i].append(words(t))
+    longest = max(packing.LENGTHS)
+    for i, ws in text.items():
+        pieces = [ws[k:k + longest] for k in range(0, len(ws), longest)]
+        assert sorted(left.pop(i, [])) == sorted(pieces)
+    assert not left
+    for bins in shards.values():
+        sizes = sorted((n for b in bins for n in b), reverse=True)
+        want, used, _ = slow_best_fit(sizes, packing.LENGTHS, packing.OVERHEAD)
+        again = [[n for n, b in zip(sizes, want) if b == k] for k in range(len(used))]
+        assert sorted(bins) == sorted(again)
+
+
+def test_repeated_rows_are_spread_over_shards(spark):
+    """Half of all rows are one row: no shard holds much more than its share, and nothing is lost."""
+    df = spark.range(0, 8000, 1, 5).select(F.when(F.col("id") % 2 == 0, -7).otherwise(F.col("id")).alias("doc_id"),
+                                           F.when(F.col("id") % 2 == 0, "one and the same text " * 5).otherwise(
+                                               F.concat(F.lit("text "), F.col("id"), F.lit(" a b c d e f"))).alias("text"))
+    total = 4000 * 25 + 4000 * 8
+    got = packing.pack(df, permitted=(128, 512), shard_words=4000).toPandas()
+    by_shard = got.groupby(got.bin_id // 2 ** 32).n_words.sum()
+    assert got.n_words.sum() == total and len(by_shard) == -(-total // 4000) and by_shard.max() < 1.5 * 4000
+    assert (got.doc_id == -7).sum() == 4000
+
+
 def test_packing_places_each_word_once(spark):
     docs = read_table(spark, SF, "documents")
     text = {r.doc_id: r.text for r in docs.collect()}

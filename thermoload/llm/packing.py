@@ -1,8 +1,9 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Documents are dealt by a hash of id and text to shards of about ``shard_words``
-words, and each shard is packed by itself, so a shard is a bounded group however
-large the corpus is. In a shard:
+Documents are dealt to shards of about ``shard_words`` words, and each shard is packed by itself. The
+shard follows from a hash of id, text and how many equal rows the task has read before, so rows
+that repeat are spread over all shards too: a shard is a bounded group however large the corpus is and
+whatever it repeats (only one document longer than a shard makes its shard longer). In a shard:
 
 1. a document longer than the largest permitted length is split into pieces of
    that length and a rest;
@@ -23,9 +24,11 @@ Extra columns are not looked at.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,12 +120,25 @@ def pack_shard(pdf: pd.DataFrame, permitted: tuple[int, ...], overhead: int) ->
 
 
 def _sharded(docs: DataFrame, id_col: str, text: str, shard_words: int, with_text: bool) -> DataFrame:
-    size = n_words(text)
-    total = docs.agg(F.sum(size)).first()[0] or 0
+    """``id``, ``hash``, ``text`` (if asked for), ``size`` and ``shard`` of every document with a word."""
+    total = docs.agg(F.sum(n_words(text))).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("hash"), size.alias("size"),
-                       *([F.col(text).alias("text")] if with_text else [])).filter("size > 0")
-    return rows.withColumn("shard", F.pmod(F.xxhash64("id", "hash"), F.lit(shards)))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    out = T.StructType([*rows.schema.fields[:3 if with_text else 2], T.StructField("size", T.LongType()),
+                        T.StructField("copy", T.LongType())])
+
+    def run(batches):
+        before: Counter = Counter()
+        for b in batches:
+            copies = []
+            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                copies.append(before[key])
+                before[key] += 1
+            sizes = [len((t.as_py() or "").encode().split()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3 if with_text else 2], pa.array(sizes, pa.int64()),
+                                              pa.array(copies, pa.int64())], names=out.names)
+    return (rows.mapInArrow(run, out).filter("size > 0")
+            .withColumn("shard", F.pmod(F.xxhash64("id", "hash", "copy"), F.lit(shards))).drop("copy"))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", permitted: tuple[int, ...] = LENGTHS,

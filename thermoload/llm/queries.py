@@ -57,7 +57,8 @@ def op6_ngram_jaccard_join(spark, sf):
 
 
 def op7_best_fit_packing(spark, sf):
-    return packing.pack(read_table(spark, sf, "documents"))
+    """Whole sequences: capacity, words, and the ids and texts of their pieces."""
+    return packing.sequences(read_table(spark, sf, "documents"))
 
 
 def op8_warc_bundles(spark, sf):
