@@ -537,6 +537,37 @@ def test_ledger_scans_only_what_is_new(spark, tmp_dir):
     assert got == {1: [("assign", 0, 5)], 2: [("assign", 0, 5)], 3: [], 4: []}
 
 
+def test_ledger_reports_what_it_has_not_scanned(spark, tmp_dir):
+    docs = read_table(spark, SF2, "documents").select("doc_id", "text")
+    path, names = f"{tmp_dir}/ledger", [r.name for r in secret_ledger.RULES]
+    secret_ledger.update(docs.filter("doc_id < 10"), path, rules=secret_ledger.RULES[:2])
+    got = secret_ledger.report(docs, path).collect()
+    known = {r.text or "" for r in docs.collect() if r.doc_id < 10}
+    assert len(got) == docs.count()
+    for r, t in zip(sorted(got), sorted(map(tuple, docs.collect()))):
+        assert r.unscanned == (names[2:] if (t[1] or "") in known else names) and (not r.spans or r.doc_id == t[0])
+    secret_ledger.update(docs, path)
+    done = secret_ledger.report(docs, path).collect()
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(r.unscanned == [] for r in done)
+    assert {r.doc_id: [tuple(x) for x in r.spans] for r in done} == {i: secret_ledger.find(t, secret_ledger.RULES) for i, t in text.items()}
+    scans = collections.Counter(k for r in spark.read.parquet(path).collect() for k in r.scanned)
+    blobs = len(set(text.values()))
+    assert set(scans.values()) == {blobs}  # each blob and rule version once, whatever the order of updates
+
+
+def test_a_hot_blob_is_scanned_once(spark, tmp_dir):
+    hot = "password = abcdefgh1"
+    docs = spark.range(0, 6000, 1, 7).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, hot).otherwise(
+        F.concat(F.lit("token=abcdefgh"), F.col("id") % 1000)).alias("text"))
+    secret_ledger.update(docs, f"{tmp_dir}/l")
+    rows = spark.read.parquet(f"{tmp_dir}/l").collect()
+    want = {hot} | {f"token=abcdefgh{i % 1000}" for i in range(6000) if i % 3}
+    assert len(rows) == len(want)
+    got = secret_ledger.report(docs, f"{tmp_dir}/l").collect()
+    assert len(got) == 6000 and sum(tuple(r.spans[0]) == ("assign", 0, 20) for r in got if r.doc_id % 3 == 0) == 2000
+
+
 # --- archives -------------------------------------------------------------------------------------------------
 
 def test_bundles_are_seekable_and_readable(spark):

@@ -38,8 +38,10 @@ def op4_language_codes(spark, sf):
 
 
 def op5_secret_ledger(spark, sf):
-    """A new ledger is filled from all documents; the report joins it back to them."""
+    """A new ledger is filled from all documents with the base rules, then brought up to date with all rules; the
+    report joins it back to the documents."""
     docs, path = read_table(spark, sf, "documents"), scratch_path(spark, "ledger")
+    secret_ledger.update(docs, path, rules=secret_ledger.RULES[:3])
     secret_ledger.update(docs, path)
     found = secret_ledger.report(docs, path)
     base = F.filter("spans", lambda s: s["rule"].isin("assign", "access", "hex"))
@@ -119,6 +121,24 @@ QUERIES = {
     "op13_bisector_clusters": op13_bisector_clusters,
 }
 
+# The rules again, with letter classes instead of a case flag: pattern, capture group that counts, its least length.
+_SECRETS = [("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
+             r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+            ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32),
+            ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0), ("code_host", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+            ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0)]
+
+
+def _secret_spans_sql(n: int) -> str:
+    """Spans of one rule: a match starts after all gaps and matches before it."""
+    name, pattern, group, least = _SECRETS[n]
+    return f"""SELECT r, {n} AS n, '{name}' AS rule, list_sum(list_transform(gaps[1:k], lambda x: length(x)))
+       + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS a, length(m[k]) AS len
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (
+    SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g,
+           string_split_regex(t, '{pattern}') AS gaps FROM d)) WHERE length(g[k]) >= {least}"""
+
+
 _WHOLE = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
 _FINITE = "coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)"
 
@@ -190,6 +210,14 @@ out AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_wor
                coalesce(lang IN (FROM langs) AND n_words >= {quality_rules.GUARD_WORDS} AND jw > {quality_rules.WORD_DISTANCE}, false) AS odd_words
         FROM base LEFT JOIN near USING (doc_id))
 SELECT *, NOT (base_failed OR odd_characters OR odd_words) AS kept FROM out""",
+    "op5_secret_ledger": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_secret_spans_sql(n) for n in range(len(_SECRETS)))}),
+x AS (SELECT *, concat_ws(':', rule, a, a + len) AS span FROM s)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (n = 0) AS n_assign, count(*) FILTER (n = 1) AS n_access,
+       count(*) FILTER (n = 2) AS n_hex, sha256(coalesce(string_agg(span, ',' ORDER BY a, n) FILTER (n < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY a, n), '') AS spans
+FROM d LEFT JOIN x USING (r) GROUP BY r""",
     "op6_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
