@@ -411,6 +411,31 @@ def test_context_tree_learns(spark):
     assert got[got.held_out].score.sum() * math.log2(10) > -3 * got[got.held_out].bytes.sum()
 
 
+def test_frequent_rows_by_bins(spark):
+    rng = np.random.default_rng(8)
+    n = np.unique(rng.pareto(0.7, 4000).astype(np.int64) * 3, return_inverse=False)
+    counts = rng.choice(n, 5000)
+    df = spark.createDataFrame([(int(i), int(c), float(i) / 2) for i, c in enumerate(counts)], "key long, n long, v double")
+    for most in (0, 40, 700, 4999, 10_000):
+        keys, values = context_tree.frequent(df, "n", "v", most)
+        assert len(keys) <= most and (values == keys.astype(float) / 2).all()
+        got = counts[keys.astype(int)]
+        assert (np.diff(got) <= 0).all() and (len(got) == 0 or got.min() > np.delete(counts, keys.astype(int)).max(initial=0))
+    bins = df.groupBy(F.floor(F.log2(F.col("n").cast("double")) * context_tree.BINS)).count().count()
+    assert bins <= 64 * context_tree.BINS
+    assert len(context_tree.frequent(df, "n", "v", 10_000)[0]) == (counts > 0).sum()
+
+
+def test_the_cache_prefers_frequent_grams(monkeypatch):
+    monkeypatch.setattr(context_tree, "SLOT_BITS", 12)
+    keys = np.random.default_rng(2).permutation(1 << 20)[:2900].astype(np.uint64)  # in order of falling count
+    logs = -np.arange(len(keys), dtype=float)
+    cache = context_tree.gram_cache(keys, logs)
+    found, hit = context_tree.cached_logs(keys, cache)
+    assert (found[hit] == logs[hit]).all() and 0.8 < hit.mean() < 1
+    assert hit[:300].all() and hit[:1000].mean() > 0.99 and hit[-700:].mean() < 0.95
+
+
 # --- language id -----------------------------------------------------------------------------------------
 
 def test_code_matrix():

@@ -48,6 +48,8 @@ from .text_hash import P1, mix, tables, text_chunks, word_hashes
 DEPTH = 5
 SLOT_BITS = 22
 GRAM_SLOTS = 1 << 21
+GROUPS = 64        # steps in which the cache is filled
+BINS = 16          # bins of counts for each doubling
 PROBES = 4         # slots that may hold a gram; one that finds them taken is joined like a rare one
 OUTSIDE = 62       # key bit of grams and words outside the training, while they are counted
 WORD_SLOTS = 1 << 19
@@ -224,18 +226,20 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)  # no gram: keys have 8 * (DEPTH + 1) bits
 
 
 def gram_cache(keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and log-probabilities by slot; of the ``PROBES`` slots after its own a key takes the first free one."""
+    """Keys and log-probabilities by slot; of the ``PROBES`` slots after its own a key takes the first free one.
+    Keys come in order of falling count and are placed in groups: what finds no slot (a few of the last) is
+    rarer than what has taken its slots."""
     bits = SLOT_BITS
     held, value = np.full(1 << bits, EMPTY), np.zeros(1 << bits)
     home = (mix(keys * P1) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    left = np.arange(len(keys))
-    for k in range(PROBES):
-        at = (home[left] + k) & ((1 << bits) - 1)
-        free = held[at] == EMPTY
-        _, first = np.unique(at[free], return_index=True)
-        taken = np.flatnonzero(free)[first]
-        held[at[taken]], value[at[taken]] = keys[left[taken]], logs[left[taken]]
-        left = np.delete(left, taken)
+    for left in np.array_split(np.arange(len(keys)), GROUPS):
+        for k in range(PROBES):
+            at = (home[left] + k) & ((1 << bits) - 1)
+            free = held[at] == EMPTY
+            _, first = np.unique(at[free], return_index=True)
+            taken = np.flatnonzero(free)[first]
+            held[at[taken]], value[at[taken]] = keys[left[taken]], logs[left[taken]]
+            left = np.delete(left, taken)
     return held, value
 
 
@@ -257,19 +261,20 @@ def cached_logs(keys: np.ndarray, cache: tuple[np.ndarray, np.ndarray]) -> tuple
 # --- scoring -------------------------------------------------------------------------------------
 
 def frequent(rows: DataFrame, count: str, value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and values of the rows above the ``count`` threshold that lets ``most`` in."""
-    by_count = sorted((r["n"], r["k"]) for r in rows.groupBy(F.col(count).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect())
-    least, held = None, 0  # one row per distinct count
-    for n, k in reversed(by_count):
+    """Keys and values of the most frequent rows, at most ``most``, in order of falling count. The threshold lies
+    between two of at most 64 * ``BINS`` logarithmic bins of counts, so ties fall on one side."""
+    bin_of = F.floor(F.log2(F.col(count).cast("double")) * BINS).cast("int")
+    by_bin = rows.filter(F.col(count) > 0).groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("k")).collect()
+    least, held = None, 0
+    for n, k in sorted(((r["bin"], r["k"]) for r in by_bin), reverse=True):
         if held + k > most:
             break
         least, held = n, held + k
     if least is None:
         return np.empty(0, np.uint64), np.empty(0)
-    got = rows.filter(F.col(count) >= least).select("key", value).toArrow()
-    keys = got.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], got.column(value).to_numpy()[order]
+    got = rows.filter((F.col(count) > 0) & (bin_of >= least)).select("key", value, F.col(count).alias("__n")).toArrow()
+    order = np.argsort(-got.column("__n").to_numpy(), kind="stable")
+    return got.column("key").to_numpy().view(np.uint64)[order], got.column(value).to_numpy()[order]
 
 
 def score(docs: DataFrame, train_filter: Column, id_col: str = "doc_id", text: str = "text",
@@ -287,6 +292,8 @@ def score(docs: DataFrame, train_filter: Column, id_col: str = "doc_id", text: s
     total = (sums[0] or 0) + ends
     norm = total + 0.5 * ((sums[1] or 0) + (1 if ends else 0) + 1)
     common, times = frequent(words, "n", "n", WORD_SLOTS)
+    order = np.argsort(common)
+    common, times = common[order], times[order]
     sent = spark.sparkContext.broadcast((gram_cache(*frequent(logs_by_gram, "m", "log10p", GRAM_SLOTS)), common, times))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))

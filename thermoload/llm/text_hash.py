@@ -10,7 +10,7 @@ from .common import by_value
 P1 = np.uint64(0x9E3779B97F4A7C15)
 P2 = np.uint64(0xBF58476D1CE4E5B9)
 S32 = np.uint64(32)
-CHUNK = 1 << 20            # bytes of text hashed at a time
+CHUNK = 1 << 18            # bytes of text hashed at a time
 _BASE = 0xD6E8FEB86659FD93  # odd: invertible modulo 2^64
 _TABLES: dict[int, tuple] = {}
 
