@@ -213,6 +213,111 @@ def test_permutation(n, key):
     assert sorted(mixture.permute(np.arange(n), n, key).tolist()) == list(range(n))
 
 
+def plain_permute(i, n, key):
+    half = max(1, (max(1, (n - 1).bit_length()) + 1) // 2)
+    m64, mask = (1 << 64) - 1, (1 << half) - 1
+    keys = [int(k) for k in np.random.SeedSequence(key).generate_state(4, np.uint64)]
+    while True:
+        left, right = i >> half, i & mask
+        for k in keys:
+            f = (((right + k) & m64) * 0x9E3779B97F4A7C15) & m64
+            f = ((f ^ (f >> 31)) * 0xBF58476D1CE4E5B9) & m64
+            left, right = right, left ^ ((f >> 32) & mask)
+        i = (left << half) | right
+        if i < n:
+            return i
+
+
+def plain_draw(counts, shards, shard, seed):
+    """A shard's counts and first indexes, down the tree of halves."""
+    low, high, total = 0, shards, sum(counts)
+    c, first = list(counts), [0] * len(counts)
+    while high - low > 1:
+        mid = (low + high) // 2
+        rng = np.random.default_rng((seed, low, high))
+        left = rng.multivariate_hypergeometric(c, total * mid // shards - total * low // shards, method="marginals").tolist()
+        if shard < mid:
+            c, high = left, mid
+        else:
+            first = [f + x for f, x in zip(first, left)]
+            c, low = [x - y for x, y in zip(c, left)], mid
+    return c, first
+
+
+def test_mixture_replayed(spark):
+    """Offsets, draws, permutations and the join of blocks again, slot by slot, give every document's words."""
+    docs = read_table(spark, SF2, "documents").select("doc_id", "text", "source")
+    extra = [(5000, "one row three times " * 9, "src1")] * 3 + [(5001, None, "src1"), (None, "a b c", None), (5002, "x y", "tiny")]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    slots, block = 64, mixture.BLOCK
+    placed, _ = mixture.mixture(docs, slots=slots)
+    rows = placed.withColumn("bucket", F.pmod(F.xxhash64("__id", "__hash"), F.lit(mixture.BUCKETS))).collect()
+    streams = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.bucket, r["__id"] is not None, r["__id"] or 0, r["__hash"], r["__offset"])):
+        streams[r.number].append(r)
+    sizes, target = {}, {}
+    for number, stream in streams.items():
+        at = 0
+        for r in stream:
+            assert r["__offset"] == at
+            at += r["__size"]
+        sizes[number], target[number] = at, stream[0].target
+    numbers = sorted(sizes)
+    counts = [min(round(target[k] * -(-sizes[k] // block) / sizes[k]), 3 * -(-sizes[k] // block)) if sizes[k] else 0 for k in numbers]
+    shards = round(sum(counts) / slots)
+    taken, seen, spread = collections.Counter(), collections.Counter(), []
+    for shard in range(shards):
+        c, first = plain_draw(counts, shards, shard, mixture.SEED)
+        spread.append(c)
+        for k, n, f in zip(numbers, c, first):
+            n_blocks = -(-sizes[k] // block)
+            for i in range(f, f + n):
+                e, at = i // n_blocks, plain_permute(i % n_blocks, n_blocks, (mixture.SEED * 1009 + k) * 31 + i // n_blocks)
+                seen[k, e, at] += 1
+                taken[k, at] += 1
+    assert max(seen.values()) == 1 and [sum(c) for c in zip(*spread)] == counts and shards > 20
+    by_hand = collections.Counter()
+    for k, stream in streams.items():
+        for r in stream:
+            a, z = r["__offset"], r["__offset"] + r["__size"]
+            for at in range(a // block, -(-z // block) if z > a else a // block):
+                by_hand[r["__id"], k] += taken[k, at] * (min(z, (at + 1) * block) - max(a, at * block))
+    got = collections.Counter()
+    of_source = {r["__id"]: r.number for r in rows}
+    for r in mixture.taken_words(docs, slots=slots).collect():
+        got[r["__id"], of_source[r["__id"]]] += r.taken
+    assert +got == +by_hand and len(rows) == docs.count()
+    # the counts are drawn, not shared out: over the shards they spread as a multinomial does
+    p = np.array(counts) / sum(counts)
+    z = (np.array(spread) - slots * p) ** 2 / np.maximum(slots * p * (1 - p), 1e-9)
+    assert 0.7 < z[:, p > 0.02].mean() < 1.3
+
+
+def test_huge_splits_keep_their_sums():
+    counts = np.array([3 * 10 ** 11, 7, 0, 10 ** 9 + 1, 12345])
+    total = int(counts.sum())
+    for n in (0, 1, total // 3, total // 2 + 1, total):
+        left = mixture.split(counts, n, (1, 2, n % 97))
+        assert left.sum() == n and (left >= 0).all() and (left <= counts).all()
+    drawn = list(mixture.shard_draws(np.array([900, 100]), 10, 3, 6, 1))
+    assert [d[0] for d in drawn] == [3, 4, 5] and all(d[1].sum() == 100 for d in drawn)
+    assert (drawn[0][2] + drawn[0][1] == drawn[1][2]).all()
+
+
+def test_mixture_of_a_hot_row(spark, monkeypatch):
+    """A third of the rows are one row: they are expanded in chunks, each gets its own place in the stream."""
+    monkeypatch.setattr(mixture, "CHUNK", 50)
+    docs = spark.range(0, 1500, 1, 4).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("doc_id"),
+                                             F.when(F.col("id") % 3 == 0, "hot words in a row").otherwise(F.concat(F.lit("other "), "id")).alias("text"),
+                                             F.concat(F.lit("s"), (F.col("id") % 3 == 0).cast("int")).alias("source"))
+    placed, _ = mixture.mixture(docs)
+    hot = sorted(r["__offset"] for r in placed.filter("__id = -1").collect())
+    assert hot == [5 * i for i in range(500)]
+    got = mixture.mixed_documents(docs).collect()
+    assert sum(len(words(r.text)) for r in got) == mixture.taken_words(docs).agg(F.sum("taken")).first()[0]
+    assert all(r.text in "hot words in a row" for r in got if r.doc_id == -1)
+
+
 def test_mixture_against_its_targets(spark):
     docs = read_table(spark, SF2, "documents")
     got = mixture.taken_words(docs).toPandas().set_index("__id").sort_index()

@@ -9,25 +9,27 @@
    prefix sum in two steps: rows are dealt to buckets by a hash of the id, a
    window sums within a bucket, and the buckets' totals (a bounded table) are
    summed up per source. A source with a third of all rows is spread over
-   ``buckets`` buckets.
-3. Drawing. Output shards have ``slots`` slots. Each shard gets the whole part of
-   slots * share for every source and a multinomial draw for the rest, from a
-   generator seeded by (seed, shard): residual resampling, which keeps totals
-   near the targets at every size. Running sums over the shards give each
-   source's draws the indexes 0, 1, 2, ...
+   ``buckets`` buckets; rows that are equal in all columns are one row with a number of copies until their
+   offsets are known, and then expanded in chunks.
+3. Drawing. A source's target is a number of its blocks (epochs times blocks); the sum over all sources
+   is the number of slots, dealt to output shards of about ``slots``. Each shard draws a multinomial
+   count of every source, given the sources' totals: without replacement, so the totals are
+   met at every size. The draws follow a binary tree over the shards: a node's counts are split between its
+   halves (multivariate hypergeometric) by a generator seeded by (seed, node). A task walks down to its
+   own shards; what went to the left on the way is the index at which its draws of a source begin.
 4. Mapping. Index i of a source with n blocks is epoch i // n; within an epoch a
    keyed pseudorandom permutation (a Feistel network with cycle walking) maps
    i % n to a block, so an epoch uses each block once.
 5. Joining. Slots meet the documents' pieces of their block by (source, block).
 
-Draws beyond ``max_epochs`` passes through a source are left out, so no word is
-used more often. Everything is a function of the data and the seed: reruns and
+No source has more slots than ``max_epochs`` passes through it, so no
+word is used more often. Everything is a function of the data and the seed: reruns and
 recomputed tasks agree. Only one row per source (sizes, weights) reaches the
 driver.
 
 Edge cases: null text has size 0 and takes nothing; null source is a source of
 its own, last in order; null ids and repeated rows are rows like any other
-(ordered by id, then text hash). An empty table or one without words gives every
+(ordered by id, then a hash of the whole row). An empty table or one without words gives every
 row a target of its source and ``taken`` 0. Extra columns pass through.
 """
 
@@ -36,7 +38,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -49,6 +51,9 @@ MAX_EPOCHS = 3
 WEIGHTS = (1.0, 2.0, 3.0)  # repeated over the sources in code point order, null last
 SEED = 20240607
 BUCKETS = 1024
+CHUNK = 4096          # copies of one row that are expanded in one place
+TOGETHER = 64         # shards that a task draws
+EXACT_TOTAL = 500_000_000  # slots up to which a split is drawn exactly (the generator's limit is 10^9)
 
 
 def targets(sizes: list[int], weights: list[float], limit: float = MAX_EPOCHS) -> list[float]:
@@ -89,104 +94,113 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(shares: np.ndarray, slots: int, seed: int, shard: int) -> np.ndarray:
-    """Multinomial draw of a shard's slots, whole parts fixed."""
-    if shares.sum() <= 0:
-        return np.zeros(len(shares), np.int64)
-    want = shares / shares.sum() * slots
-    whole = np.floor(want + 1e-9).astype(np.int64)
-    rest = slots - int(whole.sum())
-    part = np.clip(want - whole, 0, None)
-    if rest <= 0 or part.sum() <= 0:
-        return whole
-    return whole + np.random.default_rng([seed, shard]).multinomial(rest, part / part.sum())
+def slot_counts(sizes: np.ndarray, target: np.ndarray, block: int) -> np.ndarray:
+    """Blocks to draw from each source: its target in blocks, each used ``MAX_EPOCHS`` times at most."""
+    blocks = -(-sizes // block)
+    want = np.divide(target * blocks, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
+    return np.minimum(np.rint(want).astype(np.int64), MAX_EPOCHS * blocks)
+
+
+def split(counts: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
+    """``n`` of the slots ``counts``, drawn without replacement. Beyond ``EXACT_TOTAL`` slots, where one draw
+    hardly matters, every source gives its share, and the last few are drawn."""
+    rng, total = np.random.default_rng(key), int(counts.sum())
+    if total <= EXACT_TOTAL:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    out = np.array([int(c) * n // total for c in counts.tolist()], np.int64)
+    left = (counts - out > 0).nonzero()[0]
+    out[rng.choice(left, n - int(out.sum()), replace=False)] += 1  # fewer than there are sources
+    return out
+
+
+def shard_draws(counts: np.ndarray, shards: int, first: int, last: int, seed: int):
+    """(shard, count by source, index of the first draw by source) for the shards first..last-1."""
+    total = int(counts.sum())
+    start = lambda shard: total * shard // shards
+    todo = [(0, shards, counts, np.zeros_like(counts))] if shards else []
+    while todo:
+        low, high, c, index = todo.pop()
+        if high <= first or low >= last:
+            continue
+        if high - low == 1:
+            yield low, c, index
+            continue
+        mid = (low + high) // 2
+        left = split(c, start(mid) - start(low), (seed, low, high))
+        todo.append((mid, high, c - left, index + left))
+        todo.append((low, mid, left, index))
 
 
 def sizes_by_source(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("__source").agg(F.sum("__size").alias("size"))
+    return docs.groupBy("__source").agg(F.sum(F.col("__size") * F.col("__copies")).alias("size"))
 
 
-def with_offsets(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` (with ``__id``, ``__source``, ``__size``, ``__hash``) and each row's ``__offset``
-    in its source's stream."""
-    rows = docs.withColumn("__bucket", F.pmod(F.xxhash64("__id", "__hash"), F.lit(buckets)).cast("int"))
-    sums = rows.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__n"))
+def with_offsets(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """A row for every copy of ``rows`` (``__id``, ``__source``, ``__size``, ``__hash``, ``__copies``) with
+    its ``__offset`` in its source's stream."""
+    rows = (rows.withColumn("__bucket", F.pmod(F.xxhash64("__id", "__hash"), F.lit(buckets)).cast("int"))
+            .withColumn("__words", F.col("__size") * F.col("__copies")))
+    sums = rows.groupBy("__source", "__bucket").agg(F.sum("__words").alias("__n"))
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (sums.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
               .select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__start"))
-    within = (Window.partitionBy("__source", "__bucket").orderBy("__id", "__hash", "__row")
+    within = (Window.partitionBy("__source", "__bucket").orderBy("__id", "__hash")
               .rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn(
-        "__in", F.coalesce(F.sum("__size").over(within), F.lit(0)))
+    placed = rows.withColumn("__in", F.coalesce(F.sum("__words").over(within), F.lit(0)))
     same = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b"))
-    return (placed.join(starts.hint("merge"), same)
-            .withColumn("__offset", F.col("__in") + F.col("__start"))
-            .drop("__in", "__start", "__s", "__b", "__bucket", "__row"))
+    placed = (placed.join(starts.hint("merge"), same).withColumn("__offset", F.col("__in") + F.col("__start"))
+              .drop("__in", "__start", "__s", "__b", "__bucket", "__words"))
+    if (rows.agg(F.max("__copies")).first()[0] or 0) > 1:  # copies lie one after another
+        placed = (placed.withColumn("__chunk", F.explode(F.expr(f"sequence(0L, (__copies - 1) div {CHUNK})")))
+                  .repartition("__id", "__hash", "__chunk")
+                  .withColumn("__copy", F.explode(F.expr(f"sequence(__chunk * {CHUNK}, least((__chunk + 1) * {CHUNK}, __copies) - 1)")))
+                  .withColumn("__offset", F.col("__offset") + F.col("__copy") * F.col("__size")).drop("__chunk", "__copy"))
+    return placed.drop("__copies")
 
 
 def draws(spark, sources: pd.DataFrame, slots: int, seed: int, block: int) -> DataFrame:
     """One row for each slot of the mix: ``shard``, ``slot``, ``number`` (of the source), ``block``,
     ``epoch``. ``sources``: one row per source with ``size``, ``target``, in order."""
-    target, size = sources["target"].to_numpy(float), sources["size"].to_numpy(np.int64)
+    size = sources["size"].to_numpy(np.int64)
     n_blocks = -(-size // block)
-    shards = max(1, round(target.sum() / (block * slots))) if target.sum() > 0 else 0
-    per_shard = target.sum() / block / max(1, shards)  # the last digits of the total are spread over all shards
-    slots = max(1, round(per_shard))
-    counts = spark.range(shards, numPartitions=max(1, min(shards, 1 + shards // 16))).select(
-        F.col("id").alias("shard"))
-
-    def count(batches):
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            drawn = [shard_counts(target, slots, seed, s) for s in ids]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, len(target)), pa.int64()),
-                 pa.array(np.tile(np.arange(len(target)), len(ids)), pa.int64()),
-                 pa.array(np.concatenate(drawn), pa.int64())], names=["shard", "number", "n"])
-    rows = counts.mapInArrow(count, "shard long, number long, n long")
-    # running sums over the shards: within groups of 1024 shards, then over the groups
-    rows = rows.withColumn("g", F.expr("shard div 1024"))
-    groups = rows.groupBy("number", "g").agg(F.sum("n").alias("gn"))
-    upto = Window.partitionBy("number").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("number", "g", F.coalesce(F.sum("gn").over(upto), F.lit(0)).alias("g0"))
-    inside = Window.partitionBy("number", "g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    rows = (rows.withColumn("i0", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(groups.hint("merge"), ["number", "g"]).select("shard", "number", "n", (F.col("g0") + F.col("i0")).alias("first"))
-            .filter("n > 0"))
-    limit = MAX_EPOCHS
+    counts = slot_counts(size, sources["target"].to_numpy(float), block)
+    total = int(counts.sum())
+    shards = max(1, round(total / slots)) if total else 0
 
     def place(batches):
         for b in batches:
-            shard, number, n, first = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            row = np.repeat(np.arange(len(n)), n)
-            slot = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            i, num = first[row] + slot, number[row]
-            ok = i < limit * n_blocks[num]
-            i, num, row, slot = i[ok], num[ok], row[ok], slot[ok]
-            epoch, at = i // n_blocks[num], np.empty(len(i), np.int64)
-            for k in np.unique(num):          # at most sources * epochs groups
-                for e in np.unique(epoch[num == k]):
-                    here = (num == k) & (epoch == e)
-                    blocks = int(n_blocks[k])
-                    at[here] = permute(i[here] % blocks, blocks, (seed * 1009 + int(k)) * 31 + int(e))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[row]), pa.array(slot), pa.array(num), pa.array(at), pa.array(epoch)],
-                names=["shard", "slot", "number", "block", "epoch"])
-    # a few rows a shard grow to all its slots here: deal them to enough tasks
-    rows = rows.select("shard", "number", "n", "first").repartition(max(1, -(-shards // 64)), "shard")
-    return rows.mapInArrow(place, "shard long, slot long, number long, block long, epoch long")
+            for part in b.column(0).to_pylist():
+                for shard, n, first in shard_draws(counts, shards, part * TOGETHER, (part + 1) * TOGETHER, seed):
+                    num = np.repeat(np.arange(len(n)), n)
+                    i = np.arange(len(num)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                    epoch, at = i // n_blocks[num], np.empty(len(i), np.int64)
+                    for k, e in np.unique(np.stack([num, epoch]), axis=1).T.tolist():  # at most sources * epochs groups
+                        here = (num == k) & (epoch == e)
+                        blocks = int(n_blocks[k])
+                        at[here] = permute(i[here] % blocks, blocks, (seed * 1009 + k) * 31 + e)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(i), shard, np.int64)), pa.array(np.arange(len(i))), pa.array(num), pa.array(at), pa.array(epoch)],
+                        names=["shard", "slot", "number", "block", "epoch"])
+    parts = -(-shards // TOGETHER)
+    return spark.range(parts, numPartitions=max(1, parts)).mapInArrow(
+        place, "shard long, slot long, number long, block long, epoch long")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
             weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, slots: int = SLOTS,
             seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, uses), without texts. documents: ``__id``, ``__hash`` (of the text), ``__source``,
+    """(documents, uses), without texts. documents: ``__id``, ``__hash`` (of the row), ``__source``,
     ``__size``, ``__offset``, and the source's ``source_size``, ``target`` and ``number``.
     uses: for each slot and document piece ``number``, ``__offset`` (of the document), ``epoch``,
     ``shard``, ``slot``, ``start``, ``n`` (words of the document from ``start``)."""
     spark = docs.sparkSession
     rows = written(docs.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"),
-                               n_words(text).alias("__size"), F.xxhash64(F.col(text)).alias("__hash")), "mix-sizes")
+                               n_words(text).alias("__size"), row_hash(docs).alias("__hash"))
+                   .groupBy("__id", "__source", "__size", "__hash").agg(F.count(F.lit(1)).alias("__copies")), "mix-sizes")
     sources = sizes_by_source(rows).toPandas()  # one row per source
     if not len(sources):
         sources = pd.DataFrame({"__source": pd.Series(dtype=object), "size": pd.Series(dtype="int64")})
@@ -235,17 +249,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     placed, uses = mixture(docs, id_col, text, source, **params)
     runs = uses.groupBy("number", "__offset", "epoch").agg(
         F.sum("n").alias("__n"), F.array_sort(F.collect_list(F.struct("start", "n"))).alias("__runs"))
-    # a row is found again by its id and text hash, and by its number among equal rows
-    nth = Window.partitionBy("__key").orderBy("__id", "__hash")
-    keyed = lambda df: (df.withColumn("__key", F.xxhash64("__id", "__hash"))
-                        .withColumn("__nth", F.row_number().over(nth)))
-    plan = (keyed(placed.select("number", "__offset", "__id", "__hash", "__size")).filter("__size > 0")
-            .join(runs.hint("merge"), ["number", "__offset"])
-            .select(F.col("__key").alias("__pk"), F.col("__nth").alias("__pn"), "__size", "__n", "__runs"))
-    rows = keyed(docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"),
-                             *[F.col(c).alias(f"__k_{c}") for c in cols]))
-    # the number is compared apart from the join's keys, so the texts are shuffled once for both
-    rows = rows.join(plan.hint("merge"), (F.col("__key") == F.col("__pk")) & (F.col("__nth") - F.col("__pn") == 0))
+    # a row is found again by its hash; rows with equal hashes are equal
+    key = F.xxhash64("__id", "__hash")
+    plan = (placed.filter("__size > 0").select("number", "__offset", key.alias("__pk"), "__size")
+            .join(runs.hint("merge"), ["number", "__offset"]).select("__pk", "__size", "__n", "__runs"))
+    rows = docs.select(F.col(id_col).alias("__id"), row_hash(docs).alias("__hash"), *[F.col(c).alias(f"__k_{c}") for c in cols])
+    rows = rows.select(key.alias("__key"), *[f"__k_{c}" for c in cols])
+    if not placed.groupBy("__id", "__hash").count().filter("count > 1").isEmpty():  # one row stands for its copies
+        rows = written(rows.groupBy("__key").agg(F.first(F.struct(*[f"__k_{c}" for c in cols])).alias("r")).select("__key", "r.*"), "mix-rows")
+    rows = rows.join(plan.hint("merge"), F.col("__key") == F.col("__pk"))
     ws = F.filter(F.split(F.col(f"__k_{text}"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.array_join(F.flatten(F.transform(F.col("__runs"), lambda r: F.slice(
         F.col("__ws"), (r["start"] + 1).cast("int"), r["n"].cast("int")))), " ")
