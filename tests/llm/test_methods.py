@@ -700,6 +700,26 @@ def test_a_hot_blob_is_scanned_once(spark, tmp_dir):
 
 # --- archives -------------------------------------------------------------------------------------------------
 
+def test_a_lookup_opens_only_the_wanted_frames(spark, tmp_dir):
+    pages = read_table(spark, SF, "pages")
+    warc_bundles.write_bundles(pages, frame_bytes=20_000, bundle_bytes=60_000).write.parquet(f"{tmp_dir}/b")
+    bundles = spark.read.parquet(f"{tmp_dir}/b")
+    html = {f"<urn:page:{r.page_id}>": (r.html or "").encode() for r in pages.collect()}
+    some = sorted(html)[::17]
+    wanted = spark.createDataFrame([(x,) for x in some + some[:3] + ["<urn:page:none>"]], "record_id string")
+    got = {r.record_id: r for r in warc_bundles.fetch(bundles, wanted).collect()}
+    assert sorted(got) == some
+    for rid, r in got.items():
+        assert r.payload == html[rid] if r.record_type == "response" else html[r.refers_to] == html[rid]
+    index = {x.record_id: x for x in warc_bundles.record_index(bundles).collect()}
+    for row in bundles.collect():
+        opened = []
+        places = [(x, index[x].frame, index[x].offset, index[x].length) for x in some if index[x].bundle == row.name]
+        read = list(warc_bundles.read_records(row.data, places, lambda d, f: opened.append(f) or warc_bundles.read_frame(d, f)))
+        assert len(read) == len(places) and len(opened) == len({p[1] for p in places})
+        assert len(opened) < len(warc_bundles.seek_table(row.data)) or len(places) > 5
+
+
 def test_bundles_are_seekable_and_readable(spark):
     pages = read_table(spark, SF, "pages")
     bundles = warc_bundles.write_bundles(pages, frame_bytes=20_000, bundle_bytes=60_000)

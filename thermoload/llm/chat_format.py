@@ -111,8 +111,9 @@ def format_turns(convs: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, from the formatted turns alone: ``conv``, ``n_turns``,
-    ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``."""
+    """One row per conversation: ``conv``, ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``,
+    ``formatted_chars``. All of it is read from the formatted turns; the columns ``turn``, ``role`` and ``source``
+    only put the turns in order (by turn, then, where turns repeat a number, by role and text)."""
     rows = (formatted.repartition("conv").sortWithinPartitions("conv", "turn", "role", "source")
             .select("conv", "formatted", "loss_start", "loss_end"))
     schema = T.StructType([T.StructField("conv", formatted.schema["conv"].dataType),

@@ -172,6 +172,43 @@ def record_index(bundles: DataFrame) -> DataFrame:
     return bundles.select(F.col("name").alias("bundle"), F.explode("index").alias("x")).select("x.*", "bundle")
 
 
+def read_records(data: bytes, places: list[tuple[str, int, int, int]], open_frame=read_frame):
+    """(record identifier, headers and payload) of the records at ``places`` (identifier, frame, offset, length) of
+    one bundle; only the frames that hold them are opened, each once."""
+    frames, at, plain = seek_table(data), None, b""
+    for rid, frame, offset, length in sorted(places, key=lambda p: p[1:]):
+        if frame != at:
+            at, plain = frame, open_frame(data, frames[frame])
+        r = parse_record(plain[offset:offset + length])
+        if r["WARC-Record-ID"] != rid or r["size"] != length:
+            raise ValueError(f"the index is wrong at {rid}")
+        yield rid, r
+
+
+def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records named in ``wanted`` (column ``record_id``): ``record_id``, ``record_type``, ``payload`` (null for
+    a revisit), ``refers_to`` (the record that has a revisit's payload), ``bundle``, ``frame``. Identifiers that no bundle has give no row.
+
+    The index says where the records are; a bundle without any is not sent to a task, of the others the wanted frames are unpacked."""
+    places = (record_index(bundles).join(wanted.select("record_id").distinct(), "record_id")
+              .groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("places")))
+    rows = bundles.join(places, F.col("name") == F.col("bundle")).select("name", "data", "places")
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                at = [tuple(p.values()) for p in b.column(2)[i].as_py()]
+                frame_of = {p[0]: p[1] for p in at}
+                found = list(read_records(b.column(1)[i].as_py(), at))
+                plain = [r["payload"] if r["WARC-Type"] == "response" else None for _, r in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([rid for rid, _ in found]), pa.array([r["WARC-Type"] for _, r in found]), pa.array(plain, pa.binary()),
+                     pa.array([r.get("WARC-Refers-To") for _, r in found], pa.string()), pa.array([b.column(0)[i].as_py()] * len(found)),
+                     pa.array([frame_of[rid] for rid, _ in found], pa.int32())],
+                    names=["record_id", "record_type", "payload", "refers_to", "bundle", "frame"])
+    return rows.mapInArrow(run, "record_id string, record_type string, payload binary, refers_to string, bundle string, frame int")
+
+
 def read_bundles(bundles: DataFrame, id_type: str = "bigint") -> DataFrame:
     """One row per record, found through the index and the seek table: the id, payload size
     and digest (checked against the bytes of responses), type and the id referred to."""
