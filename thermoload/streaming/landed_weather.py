@@ -11,7 +11,8 @@ to a folder named by the checkpoint and the batch id: a replayed batch
 overwrites its own folder, so output is exactly-once. A new checkpoint would
 read all landed files again, so it is refused on a table that another
 checkpoint has written. The hourly table is the merge of all
-partials, ``sum(sums) / sum(counts)``. Late files (a whole station-year can
+partials, ``sum(sums) / sum(counts)``. ``compact_partials`` merges finished batches into one
+table, so that a reader does not merge every batch ever written. Late files (a whole station-year can
 land after later years) need no watermark, no state store grows with the
 history, and each trigger writes only its own partials.
 
@@ -33,7 +34,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from ..functions.columns import trunc_hour
 from ..operators.hourly import decode_weather
-from ..sources.files import list_files
+from ..sources.files import delete, list_files
+from ..sources.sinks import read_table, replace_table
 from ..sources.weather_csv import read_csv_union
 
 WEATHER_COLUMNS = ["STATION", "DATE", "TMP"]
@@ -86,11 +88,46 @@ def start_hourly_ingest(spark: SparkSession, landing_dir: str, table_path: str,
     return w.start()
 
 
+def _merged(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("station", "hour_utc").agg(F.sum("temp_sum").alias("temp_sum"), F.sum("temp_n").alias("temp_n"))
+
+
+def _partials(spark: SparkSession, table_path: str, last: int | None = None) -> DataFrame:
+    """Sums and counts of all batches up to ``last``: the compacted ones, and those after them."""
+    cols = ["station", "hour_utc", "temp_sum", "temp_n"]
+    later = spark.read.parquet(f"{table_path}/partials")
+    if last is not None:
+        later = later.filter(F.col("batch") <= last)
+    try:
+        base = read_table(spark, f"{table_path}/compacted")
+    except FileNotFoundError:
+        return later.select(cols)
+    upto = base.agg(F.max("upto")).first()[0]
+    return base.select(cols).unionByName(later.filter(F.col("batch") > upto).select(cols))
+
+
+def compact_partials(spark: SparkSession, table_path: str) -> int | None:
+    """Merge all batches but the newest, which a restarted query may write again, into one table; returns the
+    last batch that it holds (None: nothing to merge). The swap is the table's (``sinks``): a job that stops anywhere leaves
+    every batch counted once, because the batches that the table names are no longer looked at."""
+    later = spark.read.parquet(f"{table_path}/partials")
+    newest = later.agg(F.max("batch")).first()[0]
+    upto = newest - 1
+    try:
+        done = read_table(spark, f"{table_path}/compacted").agg(F.max("upto")).first()[0]
+    except FileNotFoundError:
+        done = -1
+    if upto <= done:
+        return None if done < 0 else done
+    replace_table(_merged(_partials(spark, table_path, upto)).withColumn("upto", F.lit(upto)), f"{table_path}/compacted", sort_within=["station", "hour_utc"])
+    for folder in {f.rsplit("/", 1)[0] for f in list_files(spark, f"{table_path}/partials")}:
+        if int(folder.rsplit("batch=", 1)[1]) <= upto:
+            delete(spark, folder)
+    return upto
+
+
 def hourly_table(spark: SparkSession, table_path: str) -> DataFrame:
     """``noaa_hourly_avg`` from all partials written so far. An hour whose
     readings are all NULL keeps a NULL mean, as in the batch build."""
-    p = spark.read.parquet(f"{table_path}/partials")
-    return (p.groupBy("station", "hour_utc")
-            .agg(F.sum("temp_sum").alias("s"), F.sum("temp_n").alias("n"))
-            .select("station", "hour_utc",
-                    F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("temp_C")))
+    return _merged(_partials(spark, table_path)).select(
+        "station", "hour_utc", F.when(F.col("temp_n") > 0, F.col("temp_sum") / F.col("temp_n")).alias("temp_C"))
