@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from thermoload.functions import columns as C
-from thermoload.functions.wkb import with_point_xy, wkb_point_xy
+from thermoload.functions.wkb import with_point_xy
 
 
 def one_col(spark, values, expr, schema="v string"):
@@ -102,9 +102,6 @@ def _wkb(x, y, little=True, gtype=1):
                                          (5e-324, -1e300, True)])
 def test_wkb_points(spark, x, y, little):
     df = spark.createDataFrame([(_wkb(x, y, little),)], "g binary")
-    gx, gy = wkb_point_xy("g")
-    r = df.select(gx, gy).first()
-    assert (r[0], r[1]) == (x, y)
     r = with_point_xy(df, "g", "x", "y").first()
     assert (r.x, r.y) == (x, y) and df.columns == ["g"]
 
@@ -112,8 +109,6 @@ def test_wkb_points(spark, x, y, little):
 def test_wkb_rejects(spark):
     rows = [(None,), (_wkb(float("nan"), float("nan")),), (_wkb(1.0, 2.0, gtype=2),), (bytearray(b"\x01\x01"),)]
     df = spark.createDataFrame(rows, "g binary")
-    gx, gy = wkb_point_xy("g")
-    assert [tuple(r) for r in df.select(gx, gy).collect()] == [(None, None)] * 4
     assert [(r.x, r.y) for r in with_point_xy(df, "g", "x", "y").collect()] == [(None, None)] * 4
 
 

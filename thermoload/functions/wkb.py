@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import col, null_double
+from .columns import null_double
 
 _TWO52 = float(2 ** 52)
 
@@ -59,14 +59,3 @@ def with_point_xy(df: DataFrame, geometry: str = "geometry", x: str = "lon", y:
     d = d.select("*", _double(F.col("_wkb_x0"), F.col("_wkb_x1"), okc).alias(x),
                  _double(F.col("_wkb_y0"), F.col("_wkb_y1"), okc).alias(y))
     return d.drop("_wkb_h", "_wkb_le", "_wkb_ok", "_wkb_x", "_wkb_y", "_wkb_x0", "_wkb_x1", "_wkb_y0", "_wkb_y1")
-
-
-def wkb_point_xy(geometry: str | Column) -> tuple[Column, Column]:
-    """The same decode as one pair of column expressions (for ad-hoc use in a
-    select list; ``with_point_xy`` is faster on large inputs)."""
-    g = col(geometry)
-    h = F.hex(g)
-    le = F.substring(h, 1, 2) == F.lit("01")
-    ok = g.isNotNull() & (F.length(g) == 21) & (_ordered(h, 1, 4, le) == F.lit("00000001"))
-    xh, yh = _ordered(h, 5, 8, le), _ordered(h, 13, 8, le)
-    return _double(_half(xh, 0), _half(xh, 1), ok), _double(_half(yh, 0), _half(yh, 1), ok)

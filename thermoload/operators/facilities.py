@@ -18,6 +18,12 @@ from ..functions.wkb import with_point_xy
 # --- cleaning ----------------------------------------------------------------------
 
 
+def raw_columns() -> list[str]:
+    """The columns that the raw facility table must have."""
+    pairs = [K.FACILITY_ANNUAL_TWH, K.FACILITY_POPULATION, K.FACILITY_CO, K.FACILITY_WATER, K.FACILITY_YEAR]
+    return [*K.FACILITY_TEXT_COLUMNS, *K.FACILITY_POWER_KW, *[src for src, _ in pairs], *K.FACILITY_EJ, "geometry"]
+
+
 def clean_facilities(raw: DataFrame, counties: list[str] | None = None,
                      keep_geometry: bool = True) -> DataFrame:
     """``cleaned_va_datacenters``: typed facility rows in the focus counties.

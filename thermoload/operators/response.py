@@ -169,13 +169,6 @@ def series_arrays(daily: DataFrame) -> DataFrame:
         F.transform("pts", lambda p: p["temp"]).alias("temp"))
 
 
-def series_json(arrays: DataFrame) -> DataFrame:
-    """One JSON line per location: ``{"IAD": {"dates": [..], "load": [..],
-    "temp": [..]}}``; concatenating the objects gives the dashboard file."""
-    return arrays.select(F.to_json(F.create_map(
-        F.col("location"), F.struct("dates", "load", "temp"))).alias("value"))
-
-
 def series_document(arrays: DataFrame) -> DataFrame:
     """The dashboard's file: one JSON object keyed by location (one row). Locations come
     from the station mapping and a series has one entry per day, so the document is small."""

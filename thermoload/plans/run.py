@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import build_session
-from ..sources.json_sources import ensure_not_empty, read_load_pages, require_page_keys
+from ..operators.facilities import raw_columns
+from ..sources.json_sources import ensure_not_empty, read_load_pages, require_columns, require_page_keys
 from ..sources.weather_csv import read_csv_union
 from ..streaming.landed_weather import WEATHER_COLUMNS
 from .build import build_all
@@ -27,9 +28,9 @@ from .build import build_all
 
 def read_facilities(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "parquet":
-        return spark.read.parquet(path)
-    df = read_csv_union(spark, path)  # every column as text, files aligned by name
-    return df.withColumn("geometry", F.unhex(F.col("geometry"))) if "geometry" in df.columns else df
+        return require_columns(spark.read.parquet(path), raw_columns())
+    df = require_columns(read_csv_union(spark, path), raw_columns())  # every column as text, files aligned by name
+    return df.withColumn("geometry", F.unhex(F.col("geometry")))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, int]:

@@ -162,12 +162,6 @@ def normalise_records(df: DataFrame, text_col: str = "value", out: str = "record
     return d.withColumn(out, F.map_from_entries(F.sort_array(last))).drop("_e")
 
 
-def normalised_json(df: DataFrame, text_col: str = "value") -> DataFrame:
-    """S7 sink form: one normalised JSON object per input object."""
-    return normalise_records(df, text_col).select(
-        F.to_json("record", {"ignoreNullFields": "false"}).alias("value"))
-
-
 # --- S14: GeoJSON -------------------------------------------------------------------------------
 
 FEATURE = StructType([StructField("type", StringType()), StructField("id", StringType()),
