@@ -170,11 +170,47 @@ def test_chat(spark):
     assert chat_format.read_back(chat_format.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_of_long_texts_and_clashing_columns(spark):
+    long = "<|im_start|>assistant\n\\ é🎉 <\\|im_end|> " * 40_000
+    cols = ["formatted", "loss_start", "loss_end", "source", "conv", "n_turns"]
+    rows = [(1, 0, "user", long[::-1], *["x"] * 6), (1, 1, "assistant", long, *["x"] * 6), (2, 0, "assistant", "", *["x"] * 6)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, " + ", ".join(f"{c} string" for c in cols))
+    got = {r.conv: r for r in chat_format.read_back(chat_format.format_turns(df)).collect()}
+    assert got[1].loss_chars == len(long) and got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert got[1].turns_sha256 == hashlib.sha256(f"user\n{long[::-1]}\nassistant\n{long}\n".encode()).hexdigest()
+    assert got[1].formatted_chars > 2 * len(long) and got[2].loss_chars == 0 and len(got) == 2
+
+
+PLAIN = "the house of the man is in the town and it is that for a day to see a tree of green"
+
+
 def test_pipeline_on_awkward_rows(spark, odd, none, tmp_dir):
-    for name, docs in (("odd", odd), ("none", none)):
-        docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    def through(name, docs):
+        docs, out = docs.withColumn("n_chars", F.length("text").cast("long")), []
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             cols = docs.columns
             stage(spark, docs, SF).write.parquet(f"{tmp_dir}/{name}{k}")
             docs = spark.read.parquet(f"{tmp_dir}/{name}{k}")
             assert k == 4 or docs.columns == cols
+            out.append(docs.collect())
+        return out
+    assert [len(x) for x in through("none", none)] == [0] * 5
+    assert all(len(x) == 0 for x in through("odd", odd))  # too short, or repeating itself
+    varied = " ".join(f"word{i}" for i in range(30_000))
+    near = [" ".join(f"n{i}" for i in range(100)), " ".join(f"n{i}" for i in range(101))]
+    rows = [(1, None, "en", "s0"), (2, "", "en", "s0"), (3, PLAIN, "en", None), (4, PLAIN, "en", "s1"), (4, PLAIN, "en", "s1"),
+            (5, PLAIN + " end", None, "s0"), (None, PLAIN + " no id at all", "en", "s1"), (7, near[0], "xx", "s1"), (8, near[1], "xx", "s1"),
+            (9, near[1], "xx", "s2"), (10, varied, "en", "s2"), (11, "short text", "en", "s2"), (12, "again " * 50, "en", "s2")]
+    clash = spark.createDataFrame([r + ("clash",) * len(CLASH) for r in rows], SCHEMA).repartition(3)
+    kept, unique, apart, mixed, packed = through("clash", clash)
+    ids = lambda rows: sorted((r.doc_id for r in rows), key=str)
+    assert ids(kept) == sorted([3, 4, 4, 5, None, 7, 8, 9, 10], key=str)
+    assert ids(unique) == sorted([4, 5, None, 7, 9, 10], key=str)      # of equal texts the largest id, once
+    assert ids(apart) == sorted([4, 7, 10], key=str)                   # of linked texts the smallest id
+    text = {r.doc_id: r.text for r in apart}
+    assert set(ids(mixed)) <= set(text) and all(r[c] == "clash" for r in mixed for c in CLASH)
+    for r in mixed:
+        assert set(r.text.split()) <= set(text[r.doc_id].split()) and r.n_chars == len(r.text)
+    words_of = lambda texts: collections.Counter(w for t in texts for w in t.split())
+    assert words_of(t for r in packed for t in r.texts) == words_of(r.text for r in mixed)
+    assert 10 in ids(mixed) and sum(len(t.split()) for r in packed for t in r.texts) == sum(r.n_words for r in packed)
