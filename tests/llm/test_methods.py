@@ -183,7 +183,8 @@ def test_quality_rules_of_a_further_language(spark):
     junk = [(20_000 + i, " ".join(w.upper() + "!!" for w in t.split()), "xx") for i, t in enumerate(made_up(rng, 9))]
     rare = [(30_000 + i, t, lang) for i, (t, lang) in enumerate(zip(made_up(rng, 6, "абвгдежз"), [None, "yy"] * 3))]
     both = docs.unionByName(spark.createDataFrame(new + junk + rare, docs.schema))
-    words_of = quality_rules.common_words(both)
+    langs = list(quality_rules.languages(both))
+    words_of = quality_rules.common_words(quality_rules.word_counts(both, langs), langs)
     assert sorted(words_of) == ["de", "en", "es", "fr", "xx"] and all(len(x) == quality_rules.WORDS for x in words_of.values())
     kept = {r.doc_id for r in quality_rules.clean(both).collect()}
     assert want <= kept and {r[0] for r in rare} <= kept and not kept & {r[0] for r in junk}
@@ -197,7 +198,9 @@ def test_common_words_match_a_count(spark):
     for r in docs.collect():
         count[r.lang].update(re.findall(r"[^\x20\x09-\x0D]+", r.text.lower()))
     want = {x: [w for w, _ in sorted(c.items(), key=lambda e: (-e[1], e[0].encode()))[:quality_rules.WORDS]] for x, c in count.items()}
-    assert quality_rules.common_words(docs) == want
+    chars = quality_rules.languages(docs)
+    assert quality_rules.common_words(quality_rules.word_counts(docs, list(chars)), list(chars)) == want
+    assert chars == {x: sum(len(r.text) for r in docs.collect() if r.lang == x) for x in sorted(count)}
 
 
 # --- mixture -------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ Two histograms of a document are compared to language references:
 The languages are those that at least ``LANGUAGE_SHARE`` of the documents name in ``lang`` (50 at most, whatever the corpus),
 their common words the ``WORDS`` most frequent ones of all their documents (a grouped count).
 A language's reference is the sum of the histograms of all documents whose
-``lang`` names it, so it covers the whole corpus. A text whose own language has no reference is not judged
+``lang`` names it, so it covers the whole corpus; it follows from the same word counts. A text whose own language has no reference is not judged
 by those of others: only the base rules hold for it. The divergence is the
 Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) to the
 nearest reference. Each comparison has a minimum-length guard: a text with
@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, words
+from .common import SPACE, discard, let, words, written
 
 WORDS = 10                # common words of a language
 LANGUAGE_SHARE = 0.02     # of the documents with a language
@@ -140,39 +140,48 @@ def nearest(counts: Column, references: list[list[float]]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), let(n, shares)))
 
 
-def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """The most frequent lower-cased words of each language of the corpus; ties go to the smaller word."""
-    named = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("__lang"), F.col(text).alias("__text"))
-    by_lang = named.groupBy("__lang").agg(F.count(F.lit(1)).alias("n"))
-    total = by_lang.agg(F.sum("n").alias("n")).first()["n"] or 0
-    langs = [r["__lang"] for r in by_lang.filter(F.col("n") >= LANGUAGE_SHARE * total).collect()]  # 1 / LANGUAGE_SHARE at most
-    counted = (named.filter(F.col("__lang").isin(langs)).select("__lang", F.explode(F.transform(words("__text"), F.lower)).alias("w"))
-               .groupBy("__lang", "w").agg(F.count(F.lit(1)).alias("n")))
+def languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, int]:
+    """The languages that enough documents name, and the characters of their texts."""
+    named = docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("n"))
+    total = named.agg(F.sum("n").alias("n")).first()["n"] or 0
+    enough = [r["__lang"] for r in named.filter(F.col("n") >= LANGUAGE_SHARE * total).collect()]  # 1 / LANGUAGE_SHARE at most
+    chars = docs.filter(F.col(lang).isin(enough)).groupBy(F.col(lang).alias("__lang")).agg(
+        F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).alias("chars"))
+    return {r["__lang"]: r["chars"] for r in chars.sort("__lang").collect()}
+
+
+def word_counts(docs: DataFrame, langs: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """``__lang``, ``w``, ``n``: how often each word, as it is spelt, stands in the texts of a language."""
+    rows = docs.filter(F.col(lang).isin(langs)).select(F.col(lang).alias("__lang"), F.explode(words(text)).alias("w"))
+    return rows.groupBy("__lang", "w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def common_words(counts: DataFrame, langs: list[str]) -> dict[str, list[str]]:
+    """The most frequent lower-cased words of each language; ties go to the smaller word."""
+    lower = counts.groupBy("__lang", F.lower("w").alias("w")).agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("n"), "w"))
-    out = {x: [] for x in sorted(langs)}
-    for r in counted.withColumn("rank", rank).filter(F.col("rank") <= WORDS).sort("__lang", "rank").collect():
+    out = {x: [] for x in langs}
+    for r in lower.withColumn("rank", rank).filter(F.col("rank") <= WORDS).sort("__lang", "rank").collect():
         out[r["__lang"]].append(r["w"])
     return out
 
 
-def references(docs: DataFrame, common: dict[str, list[str]], text: str = "text",
-               lang: str = "lang") -> tuple[list[list[float]], list[list[float]]]:
-    """Class and word references of the languages in ``common`` that the corpus has."""
+def references(counts: DataFrame, chars: dict[str, int], common: dict[str, list[str]]) -> tuple[list[list[float]], list[list[float]]]:
+    """Class and word references of the languages, from their word counts alone: a text's characters are those of
+    its words and white space."""
     listed = bins(common)
-    t = F.coalesce(F.col(text), F.lit(""))
-
-    def histograms(ws: Column) -> Column:
-        return F.struct(class_counts(t).alias("c"), common_counts(ws, listed).alias("w"))
-    rows = (docs.filter(F.col(lang).isin(list(common)))
-            .select(F.col(lang).alias("__lang"), let(words(t), histograms).alias("__h")))
-    sums = rows.groupBy("__lang").agg(
-        F.array(*[F.sum(F.col("__h.c")[i]) for i in range(CLASSES)]).alias("c"),
-        F.array(*[F.sum(F.col("__h.w")[i]) for i in range(len(listed) + 1)]).alias("w"))
+    classes = counts.groupBy("__lang").agg(F.sum("n").alias("n"), F.array(*[
+        F.sum(F.col("n") * class_counts(F.col("w"))[i]) for i in range(CLASSES)]).alias("c"))
+    lower = F.lower("w")
+    found = {(r["__lang"], r["w"]): r["n"] for r in counts.filter(lower.isin(listed)).groupBy("__lang", lower.alias("w"))
+             .agg(F.sum("n").alias("n")).collect()}  # at most one row per language and listed word
     out = ([], [])
-    for row in sorted(sums.collect(), key=lambda r: r["__lang"]):  # at most one row per listed language
-        for side, counts in zip(out, (row["c"], row["w"])):
-            if sum(counts):
-                side.append([x / sum(counts) for x in counts])
+    for row in sorted(classes.collect(), key=lambda r: r["__lang"]):  # at most one row per language
+        c = list(row["c"])
+        c[SPACES] = chars[row["__lang"]] - sum(c)
+        w = [found.get((row["__lang"], x), 0) for x in listed]
+        for side, n in zip(out, (c, [*w, row["n"] - sum(w)])):
+            side.append([x / sum(n) for x in n])
     return out
 
 
@@ -216,9 +225,14 @@ def verdict(text: str, refs: tuple[list[list[float]], list[list[float]]],
 
 
 def rules(docs: DataFrame, text: str = "text", lang: str = "lang", common: dict[str, list[str]] | None = None, **params) -> Column:
-    """The ``verdict`` by the common words and references of ``docs``."""
-    common = common_words(docs, text, lang) if common is None else common
-    return verdict(text, references(docs, common, text, lang), common, lang, **params)
+    """The ``verdict`` by the languages of ``docs``: their words are counted once and give both the common words (or
+    those in ``common``) and the references."""
+    chars = languages(docs, text, lang)
+    counts = written(word_counts(docs, list(chars), text, lang), "words")
+    common = common_words(counts, list(chars)) if common is None else common
+    refs = references(counts, chars, common)
+    discard(counts)
+    return verdict(text, refs, common, lang, **params)
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", **params) -> DataFrame:
