@@ -50,3 +50,19 @@ def test_old_scratch_folders_are_deleted(spark, tmp_dir):
     os.utime(local, (time.time() - 7200,) * 2)
     assert clean_scratch(spark, older_than_hours=1.0) == [old.rsplit("/", 1)[1]]
     assert spark.read.parquet(new).count() == 3 and clean_scratch(spark) == [] and shared_dir(spark)
+
+
+def test_views_follow_the_tables(spark, tmp_dir):
+    from thermoload.plans.build import build_daily, build_hourly
+    spark.sql("CREATE DATABASE IF NOT EXISTS heat_views")
+    try:
+        for keep in ("event_id < 500", "true"):  # built twice: the views see the second build
+            noaa = fixtures.noaa_raw(spark, SF).limit(10 ** 9)
+            counts = build_hourly(spark, noaa if keep == "true" else noaa.filter("STATION = '72403093738'"),
+                                  fixtures.eia_raw(spark, SF), tmp_dir, database="heat_views")
+            counts.update(build_daily(spark, tmp_dir, "heat_views"))
+            for name, n in counts.items():
+                assert spark.table(f"heat_views.{name}").count() == n
+        assert counts["base_combine"] == 306
+    finally:
+        spark.sql("DROP DATABASE heat_views CASCADE")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -342,6 +342,28 @@ def q_table_replace(spark, sf):
     return rounded(sinks.read_table(spark, path).select("station", "hour_utc", "temp_C", F.col("month").cast("int").alias("month")))
 
 
+def q_table_order(spark, sf):
+    """O1: the partitioned table's rows in file order: how many stand after a larger key (none)."""
+    path = f"{scratch_path(spark, 'order')}/hourly"
+    temps = weather_hourly(spark, sf).withColumn("month", F.month("hour_utc"))
+    sinks.replace_table(temps, path, ["month"], ["station", "hour_utc"])
+    place = F.struct(F.col("station"), F.col("hour_utc"))
+    rows = sinks.read_table(spark, path).select("month", place.alias("key"), F.input_file_name().alias("file"),
+                                                F.monotonically_increasing_id().alias("at"))
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    late = rows.select("month", (before > F.col("key")).alias("late"))
+    return late.groupBy(F.col("month").cast("int").alias("month")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("out_of_order"))
+
+
+def q_table_staged(spark, sf):
+    """A version that was written but not published changes nothing for readers."""
+    path = f"{scratch_path(spark, 'staged')}/hourly"
+    temps = weather_hourly(spark, sf)
+    sinks.replace_table(temps.filter("station = 'IAD'"), path)
+    sinks.stage_table(temps.filter("station <> 'IAD'"), path)
+    return rounded(sinks.read_table(spark, path).select("station", "hour_utc", "temp_C"))
+
+
 def q_table_catalog(spark, sf):
     """Written tables registered as relations, listed, and counted by SQL."""
     root = scratch_path(spark, "catalog")
@@ -388,6 +410,14 @@ def q_json_lines_roundtrip(spark, sf):
     return rounded(d.select([F.col(c).cast("double") if c in NULLABLE_INTS else F.col(c) for c in d.columns]))
 
 
+def q_json_key_order(spark, sf):
+    """The keys of every exported line, in the order in which they are written."""
+    root = scratch_path(spark, "facility-keys")
+    J.write_json_lines(fac_clean_df(spark, sf), root)
+    return spark.read.text(root).select(F.get_json_object("value", "$.facility_id").cast("bigint").alias("facility_id"),
+                                        F.array_join(F.json_object_keys("value"), ",").alias("keys"))
+
+
 def q_key_normalise(spark, sf):
     """Records with mixed-case, empty and colliding keys, normalised."""
     fac = fixtures.facility_short(spark, sf)
@@ -514,10 +544,13 @@ QUERIES: dict[str, Query] = {
     "summer_peak_shifted": q_summer_peak_shifted,
     "hourly_load_selected": q_hourly_load_selected,
     "table_replace": q_table_replace,
+    "table_order": q_table_order,
+    "table_staged": q_table_staged,
     "table_catalog": q_table_catalog,
     "csv_union": q_csv_union,
     "json_pages": q_json_pages,
     "json_lines_roundtrip": q_json_lines_roundtrip,
+    "json_key_order": q_json_key_order,
     "key_normalise": q_key_normalise,
     "geo_flags": q_geo_flags,
     "state_flags": q_state_flags,

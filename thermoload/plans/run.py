@@ -41,6 +41,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     ap.add_argument("--facilities", required=True, help="raw facility table")
     ap.add_argument("--facilities-format", choices=["parquet", "csv"], default="parquet")
     ap.add_argument("--out", required=True, help="shared output folder")
+    ap.add_argument("--database", help="catalog database whose views follow the tables")
     a = ap.parse_args(argv)
 
     spark = spark or build_session()
@@ -48,7 +49,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     require_page_keys(spark, a.load_pages, multi_line=a.pages_multiline)
     load = ensure_not_empty(read_load_pages(spark, a.load_pages, a.pages_multiline), "the load pages")
     fac = read_facilities(spark, a.facilities, a.facilities_format)
-    counts = build_all(spark, noaa, load, fac, a.out.rstrip("/"))
+    counts = build_all(spark, noaa, load, fac, a.out.rstrip("/"), a.database)
     print(json.dumps(counts, sort_keys=True))
     return counts
 

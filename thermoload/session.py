@@ -28,6 +28,9 @@ CONF = {
     # methods over 8000 bytes, so cap whole-stage codegen there (Spark's own
     # recommendation) and let the JVM compile the rest.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # no Python call site for every column expression: a third of the time that building a wide plan takes
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
