@@ -54,6 +54,7 @@ PROBES = 4         # slots that may hold a gram; one that finds them taken is jo
 OUTSIDE = 62       # key bit of grams and words outside the training, while they are counted
 WORD_SLOTS = 1 << 19
 END = 10           # the end mark's byte; no word holds it
+HELD = 1 << 20     # bytes of text whose scores a task holds before it hands them on
 FLUSH = 1_000_000  # distinct grams that a task holds before it hands them on
 
 
@@ -308,7 +309,7 @@ def score(docs: DataFrame, train_filter: Column, id_col: str = "doc_id", text: s
             cuts = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))]
             return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.view(np.int64)))
         for batch in batches:
-            out = [[] for _ in range(7)]
+            out, begin, upto, size = [[] for _ in range(7)], 0, 0, 0
             for b, edges in text_chunks(batch.column(2)):
                 n = len(edges) - 1
                 found, at, starts, stops = word_hashes(b, edges)
@@ -325,14 +326,16 @@ def score(docs: DataFrame, train_filter: Column, id_col: str = "doc_id", text: s
                 out[4].append(np.bincount(whose, minlength=n))
                 out[5].append(lists_of(found[~known], owner[~known], n))
                 out[6].append(lists_of(keys[~hit], whose[~hit], n))
-            if not out[0]:
-                continue
-            flat = [np.concatenate(x) for x in out[:5]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)),
-                 pa.array(flat[2]), pa.array(flat[3]), pa.array(flat[4].astype(np.int64)),
-                 pa.concat_arrays(out[5]), pa.concat_arrays(out[6])],
-                names=["row", "id", "n_tokens", "known", "base", "logs", "bytes", "rare", "grams"])
+                upto, size = upto + n, size + len(b)
+                if size >= HELD or upto == batch.num_rows:  # the lists of rare grams are longer than the texts
+                    flat = [np.concatenate(x) for x in out[:5]]
+                    some = batch.slice(begin, upto - begin)
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(0), some.column(1), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)),
+                         pa.array(flat[2]), pa.array(flat[3]), pa.array(flat[4].astype(np.int64)),
+                         pa.concat_arrays(out[5]), pa.concat_arrays(out[6])],
+                        names=["row", "id", "n_tokens", "known", "base", "logs", "bytes", "rare", "grams"])
+                    out, begin, size = [[] for _ in range(7)], upto, 0
     scored = written(rows.mapInArrow(
         run, f"row long, id {kind}, n_tokens long, known long, base double, logs double, bytes long, "
         "rare array<long>, grams array<long>"), "scored")

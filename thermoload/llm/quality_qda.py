@@ -7,9 +7,9 @@ count as letters, so a new script is not an outlier by itself.
 
 For both labels the mean and covariance of these vectors are learned. A class's covariance
 is shrunk towards the pooled one (``TO_POOLED``) and towards the identity in units of the
-overall standard deviations (``TO_IDENTITY``); its Cholesky factor is computed once and
-kept in the model. The score of a text is the logistic function of
-log-density difference / ``TEMPERATURE``: two triangular solves give the Mahalanobis distances.
+overall standard deviations (``TO_IDENTITY``); its Cholesky factor is computed once, and the model keeps
+the factor's inverse and log determinant. The score of a text is the logistic function of
+log-density difference / ``TEMPERATURE``: one product with each triangular inverse gives the Mahalanobis distances.
 
 Scale: texts are read once, their statistics (17 numbers a row) are written and serve
 learning and scoring. Learning sums in two passes (means, then centred products), each a
