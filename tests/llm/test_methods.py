@@ -103,6 +103,44 @@ def test_join_matches_brute_force(spark):
     assert got == want and len(set(want.values())) < len(ids)
 
 
+def test_marked_signatures():
+    """Common signatures of a run are marked, two rows of each are repeated as proof, nothing else changes."""
+    rng = np.random.default_rng(6)
+    sig = rng.choice(np.r_[np.arange(5), np.arange(100, 400)], 600, p=np.r_[np.full(5, 0.1), np.full(300, 0.5 / 300)])
+    node, info = np.arange(600) + 7, np.full(600, (3 << 32) + (1 << 8) + 5)
+    s, n, i = ngram_join.marked(sig, node, info)
+    count = collections.Counter(sig.tolist())
+    common = {x for x, k in count.items() if k >= ngram_join.COMMON}
+    assert len(common) >= 5 and (s[:600] == sig).all() and (n[:600] == node).all()
+    assert all(bool(x & ngram_join.HOT) == (y in common) for x, y in zip(i[:600].tolist(), sig.tolist()))
+    assert (i[:600] & (ngram_join.HOT - 1) == info).all()
+    proof = collections.Counter(s[600:].tolist())
+    assert set(proof) == common and set(proof.values()) == {2} and (i[600:] & ngram_join.PROOF != 0).all()
+    assert len(set(zip(s[600:].tolist(), n[600:].tolist()))) == 2 * len(common)
+
+
+@pytest.mark.parametrize("common,run", [(2, 300), (2, 10 ** 6), (3, 2000)])
+def test_marked_signatures_lose_no_link(spark, monkeypatch, common, run):
+    """Nearly every shared signature is marked in some runs and not in others; copies of sets in several tasks."""
+    monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "RUN", run)
+    monkeypatch.setattr(ngram_join, "SALTS", 3)
+    rng = random.Random(common * run)
+    texts = []
+    for size, copies in ((12, 12), (90, 25), (150, 40), (400, 8)):
+        base = [f"h{size}x{i}" for i in range(size)]
+        passage = [f"q{i}" for i in range(50)]
+        for c in range(copies):
+            ws = edited(base, rng.randrange(0, max(2, size // 9)), rng)
+            texts += [" ".join(ws + passage if c % 5 == 3 else ws)] * (3 if c % 4 == 0 else 1)
+    rng.shuffle(texts)
+    ids = list(range(len(texts)))
+    want = brute_components(ids, brute_sets(texts))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(6)
+    assert {r.id: r.component_id for r in ngram_join.components(df).collect()} == want
+    assert 4 < len(set(want.values())) < 0.7 * len(ids)
+
+
 def test_linked_sets_share_a_signature():
     """The pigeonhole, with and without one-deletion neighbourhoods, on random linked pairs."""
     rng = np.random.default_rng(3)

@@ -72,6 +72,10 @@ THRESHOLD = 75
 FIRST_BAND = 64
 NEVER = 1 << 20          # a number of segments that no set has
 FILTER_BITS = 26
+RUN = 500_000            # signature rows that a task holds
+COMMON = 8               # sets with a signature in a run from which on it is marked
+HOT, PROOF = 1 << 60, 1 << 61
+SALTS = 4096
 CENTRES = 2
 _SEGMENTS: dict[tuple[int, int], int] = {}
 
@@ -238,7 +242,11 @@ def named_sets(docs: DataFrame, id_col: str, text: str, t: int = THRESHOLD) -> D
 
 def signature_rows(docs: DataFrame, text: str, allocation: dict[int, int], t: int = THRESHOLD) -> DataFrame:
     """``sig``, ``node``, ``info`` = wholes * 2^32 + spare * 2^8 + band * 2 + whole; a task names a set once.
-    Spare is the slack plus one, 0 for any set short of segments."""
+    Spare is the slack plus one, 0 for any set short of segments.
+
+    A signature that ``COMMON`` sets or more have in one run of about ``RUN`` rows is shared, whatever other
+    tasks have. Its rows are marked (``HOT``) and need not meet each other; two of them are repeated (``PROOF``) for the
+    rows that other runs have of it. So no more rows of a signature meet than ``COMMON`` + 1 from a run."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
@@ -254,17 +262,33 @@ def signature_rows(docs: DataFrame, text: str, allocation: dict[int, int], t: in
                     spare = max(slack, -1) + 1
                     infos.append(((int(whole.sum()) << 32) + (spare << 8) + x * 2 + whole).astype(np.int64))
                     held += len(sig)
-                if held > 500_000:
+                if held > RUN:
                     yield _rows(sigs, nodes, infos)
                     sigs, nodes, infos, held = [], [], [], 0
             if held:
                 yield _rows(sigs, nodes, infos)
 
     def _rows(*cols):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["sig", "node", "info"])
+        sig, node, info = marked(*(np.concatenate(c) for c in cols))
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(info)], names=["sig", "node", "info"])
     return docs.select(F.col(text).alias("__text")).mapInArrow(run, "sig long, node long, info long")
 
 
+def marked(sig: np.ndarray, node: np.ndarray, info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows with ``HOT`` set where their signature is common here, and two rows with ``PROOF`` for each such signature."""
+    order = np.argsort(sig, kind="stable")
+    start = np.flatnonzero(np.r_[True, sig[order][1:] != sig[order][:-1]])
+    n = np.diff(np.r_[start, len(sig)])
+    hot = n >= COMMON
+    if not hot.any():
+        return sig, node, info
+    rows = order[np.repeat(hot, n)]
+    proof = order[np.concatenate([start[hot], start[hot] + 1])]
+    out = info.copy()
+    out[rows] |= HOT
+    return np.r_[sig, sig[proof]], np.r_[node, node[proof]], np.r_[out, info[proof] | PROOF]
+
+
 def member_filter(nodes: DataFrame) -> np.ndarray:
     """Bit table of the nodes' low ``FILTER_BITS`` bits (false positives possible): at most
     2^20 words reach the driver, whatever the input."""
@@ -327,13 +351,20 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
     """The signatures that two sets or more have, without those of sets that have no
     partner in their band: ``sig``, ``node``, ``kind`` (band * 2 + whole), ``slack`` (-1 for any
     set short of segments), and ``own``, the number of the set's segments that no other set has."""
-    by_sig = Window.partitionBy("sig")
+    hot = F.col("info").bitwiseAND(F.lit(HOT)) != 0
+    # marked rows are known to be shared: they only meet their own copies from other tasks
+    by_sig = Window.partitionBy("sig", "__salt")
+    rows = rows.withColumn("__salt", F.when(hot, F.pmod(F.col("node"), F.lit(SALTS))).otherwise(-1))
     some = (rows.withColumn("__first", F.min("node").over(by_sig))
             .withColumn("__last", F.max("node").over(by_sig))
             .withColumn("__before", F.lag("node").over(by_sig.orderBy("node")))
-            .filter("__first <> __last AND (__before IS NULL OR __before <> node)"))
-    rows = some.select("sig", "node", "info", F.expr("CAST((info >> 1) & 127 AS INT)").alias("band"))
-    shared = F.sum(F.expr("CAST(info & 1 AS INT)")).over(Window.partitionBy("node", "band"))
+            .filter((hot | (F.col("__first") != F.col("__last"))) & (F.col("__before").isNull() | (F.col("__before") != F.col("node")))
+                    & (F.col("info").bitwiseAND(F.lit(PROOF)) == 0)))
+    rows = some.select("sig", "node", F.col("info").bitwiseAND(F.lit(HOT - 1)).alias("info"), F.expr("CAST((info >> 1) & 127 AS INT)").alias("band"))
+    by_set = Window.partitionBy("node", "band")
+    # a set's row may be marked in one task and not in another
+    rows = rows.withColumn("__before", F.lag("sig").over(by_set.orderBy("sig"))).filter("__before IS NULL OR __before <> sig").drop("__before")
+    shared = F.sum(F.expr("CAST(info & 1 AS INT)")).over(by_set)
     alive = rows.withColumn("shared", shared).filter("shared >= CAST((info >> 8) & 16777215 AS INT)")
     return alive.select("sig", "node", F.expr("CAST(info & 255 AS INT)").alias("kind"),
                         F.expr("CAST((info >> 8) & 16777215 AS INT) - 1").alias("slack"),
@@ -345,10 +376,13 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     with the fewest segments of its own, as an unedited original has among its edited copies.
     Each set meets the ``CENTRES`` that most of its signatures have; other pairs are left to
     ``crossing_pairs``, which leaves none out."""
-    centre = F.min(F.struct("own", "node")).over(Window.partitionBy("sig"))["node"]
-    met = rows.select(centre.alias("a"), F.col("node").alias("b")).filter("a <> b").groupBy("a", "b").count()
+    # a table of its own, so that the join may split a signature that very many sets have
+    centres = written(rows.groupBy("sig").agg(F.min(F.struct("own", "node")).alias("c")).select("sig", F.col("c.node").alias("a")), "centres")
+    met = rows.select("sig", F.col("node").alias("b")).join(centres, "sig").filter("a <> b").groupBy("a", "b").count()
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))
-    return met.withColumn("__rank", rank).filter(f"__rank <= {CENTRES}").select("a", "b")
+    pairs = written(met.withColumn("__rank", rank).filter(f"__rank <= {CENTRES}").select("a", "b"), "star-pairs")
+    discard(centres)
+    return pairs
 
 
 def pivots(tested: DataFrame) -> DataFrame:
@@ -380,11 +414,13 @@ def open_signatures(rows: DataFrame, members: DataFrame) -> DataFrame:
     own_place = members.select(F.col("node").alias("__node"), "root", "pivot")
     at = (rows.drop("own").join(own_place, F.col("node") == F.col("__node"), "left").drop("__node")
           .withColumn("root", F.coalesce("root", "node")).withColumn("pivot", F.coalesce("pivot", "node")))
-    by_sig = Window.partitionBy("sig")
-    found = (at.withColumn("__lo", F.min("root").over(by_sig)).withColumn("__hi", F.max("root").over(by_sig))
-             .withColumn("mixed", F.min("pivot").over(by_sig) != F.max("pivot").over(by_sig))
-             .withColumn("n", F.count(F.lit(1)).over(by_sig)).filter("__lo <> __hi").drop("__lo", "__hi"))
-    return enough(found)
+    at = written(at, "placed")
+    ends = (at.groupBy("sig").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"), F.count(F.lit(1)).alias("n"),
+                                  (F.min("pivot") != F.max("pivot")).alias("mixed")).filter("__lo <> __hi").select("sig", "n", "mixed"))
+    ends = written(ends, "open-signatures")
+    found = written(enough(at.join(ends, "sig")), "open")
+    discard(at, ends)
+    return found
 
 
 def enough(found: DataFrame) -> DataFrame:
@@ -515,7 +551,7 @@ def crossing_pairs(rows: DataFrame, sizes: DataFrame, labels: DataFrame, tested:
                    t: int = THRESHOLD) -> DataFrame:
     """Candidate pairs of sets in different components. ``sizes``: ``node``, ``size``."""
     places = written(memberships(tested, labels), "members")
-    found = written(open_signatures(rows, places), "open")
+    found = open_signatures(rows, places)
     members = found.select("node", "root", "pivot").distinct()
     split = members.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     family = (members.join(split.select("pivot"), "pivot").join(sizes, "node")
