@@ -46,7 +46,7 @@ def main(argv: list[str]) -> None:
     cols = ["shuffles", "broadcasts", "joins", "windows", "partial aggs", "python", "reused", "pushed filters"]
     print(f"# Final adaptive plans ({sf}, local[8])\n")
     print("Generated by `explain_plans.py`. Broadcasts are either explicit on relations of fixed size "
-          "(the 4-row station mapping, the window list, at most 5 sample targets) or chosen by AQE after "
+          "(the 4-row station mapping, the offsets of range partitions, at most 5 sampled facilities) or chosen by AQE after "
           "measuring a side at runtime. Files that a query writes before its own plan runs are not shown.\n")
     print("| query | " + " | ".join(cols) + " |")
     print("| --- " * (len(cols) + 1) + "|")
