@@ -56,6 +56,15 @@ def test_csv_folders_of_any_depth(spark, tmp_dir):
     assert read_csv_union(spark, f"{tmp_dir}/land", COLS).count() == 3
 
 
+def test_no_csv_files(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/empty")
+    put(f"{tmp_dir}/hollow/a.csv", "")
+    for pattern in (f"{tmp_dir}/none/*.csv", f"{tmp_dir}/none", f"{tmp_dir}/empty", f"{tmp_dir}/hollow", []):
+        with pytest.raises(FileNotFoundError):
+            read_csv_union(spark, pattern)
+    assert read_csv_union(spark, [f"{tmp_dir}/hollow/a.csv"], COLS).count() == 0
+
+
 def test_csv_errors(spark, tmp_dir):
     put(f"{tmp_dir}/blank/a.csv", "\nSTATION,DATE,TMP\n1,2024-01-01T00:00:00,1\n")
     with pytest.raises(ValueError, match="blank header"):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,12 @@ def files_by_header(spark: SparkSession, pattern: str | list[str]) -> dict[str,
 
     Files up to ``SMALL_FILE`` are read whole, many to a task. A larger file gets a task of its own,
     which stops after the first rows: what it reads does not grow with the file."""
-    landed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern)
+    try:
+        landed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
     text = F.substring_index(F.substring_index(F.col("content").cast("string"), "\n", 1), "\r", 1)
     small = landed.filter(f"length > 0 AND length <= {SMALL_FILE}").select("path", text.alias("line"))
     groups = _grouped(small)
