@@ -148,6 +148,17 @@ def test_positions_by_counts(spark, monkeypatch, few):
     assert [(r.a, r.b) for r in got] == [order[p] for p in places] and [r.position for r in got] == places
 
 
+def test_positions_of_computed_keys(spark, monkeypatch):
+    """Keys that are wide expressions (the rubric): many passes, the same rows, nothing left behind."""
+    from thermoload.plans import queries as Q
+    from thermoload.session import shared_dir
+    before = {tuple(r) for r in Q.q_score_sample(spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(positional, "BINS", 8)
+    monkeypatch.setattr(positional, "FEW", 5)
+    assert {tuple(r) for r in Q.q_score_sample(spark, "/root/testdata/sf0.001").collect()} == before and len(before) == 5
+    assert not [x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("work-positions")]
+
+
 def test_every_row_is_numbered(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice([None, 1.5, 1.5, 2.0]), "x") for i in range(2000)]

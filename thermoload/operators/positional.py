@@ -5,7 +5,8 @@ the range of each key in turn is cut into at most ``BINS`` bins, one grouped cou
 holds each position, and only those bins are looked at further. Once a position's bin holds at most
 ``FEW`` rows (or rows equal in all keys), these are numbered in a window of their own. Every
 pass sends at most ``BINS`` counts for each wanted position to the driver, whatever the number of rows, and
-a score that a third of the rows share is simply cut further by the next key.
+a score that a third of the rows share is simply cut further by the next key. The passes read a table of
+the keys, written once and deleted afterwards.
 
 ``number_rows`` numbers all rows: the rows are range partitioned by the order,
 sorted and numbered inside the partitions and written; the counts per partition (at
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.files import delete
 
 BINS = 1024
 FEW = 10_000
@@ -41,9 +43,23 @@ def select_positions(df: DataFrame, order_cols: list[str], positions: Callable[[
     order given) and ``position``. A position repeated by the list yields the
     row once per sample number, like repeated ``iloc`` calls. At most one row
     per position: callers look the rows up by these keys."""
+    spark = df.sparkSession
     keys = df.select(*[F.col(c).cast("long").alias(c) for c in order_cols])
     n = keys.count()
     wanted = [(i + 1, p) for i, p in enumerate(positions(n))] if n else []
+    path = scratch_path(spark, "positions") if n > FEW else None
+    if path:  # several passes: they read the keys alone, and don't compute them again in every condition
+        keys.write.parquet(path)
+        keys = spark.read.parquet(path)
+    found = _found(keys, order_cols, n, wanted)
+    if path:
+        delete(spark, path)
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order_cols)
+    return spark.createDataFrame([(*found[p], sample, p) for sample, p in wanted], f"{schema}, sample_no int, position bigint")
+
+
+def _found(keys: DataFrame, order_cols: list[str], n: int, wanted: list[tuple[int, int]]) -> dict[int, tuple]:
+    """The keys at each wanted position."""
     at = {p: _Range((), None, None, 0, n) for _, p in wanted}
     for depth, key in enumerate(order_cols):
         at = _narrow(keys, order_cols, depth, key, at)
@@ -58,9 +74,7 @@ def select_positions(df: DataFrame, order_cols: list[str], positions: Callable[[
         places = {(number[_name(r)], p - r.before): p for p, r in few.items()}
         for h in numbered.filter(_any([(F.col("__range") == i) & (F.col("__no") == k) for i, k in places])).collect():
             values[places[h["__range"], h["__no"]]] = tuple(h[c] for c in order_cols)  # a row per position
-    rows = [(*values[p], sample, p) for sample, p in wanted]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order_cols)
-    return df.sparkSession.createDataFrame(rows, f"{schema}, sample_no int, position bigint")
+    return values
 
 
 def _name(r: _Range) -> tuple:
